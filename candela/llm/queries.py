@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, token_store, tokens
+from . import packing, separators, simhash, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file is named by its task and attempt, so only what doesn't depend on them is returned."""
+    return separators.counts(_table(spark, sf_dir, "documents"), tokens.vocabulary()).select("doc_id", "n_tokens")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -20,6 +29,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_separators": op4_separators,
     "op7_token_store": op7_token_store,
     "op9_simhash": op9_simhash,
 }
