@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, separators, simhash, token_store, tokens
+from . import ogg, packing, separators, simhash, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
+def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.stored(_table(spark, sf_dir, "documents"))
+
+
 def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file is named by its task and attempt, so only what doesn't depend on them is returned."""
     return separators.counts(_table(spark, sf_dir, "documents"), tokens.vocabulary()).select("doc_id", "n_tokens")
@@ -30,6 +34,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_ogg": op3_ogg,
     "op4_separators": op4_separators,
     "op7_token_store": op7_token_store,
     "op9_simhash": op9_simhash,
