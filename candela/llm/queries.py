@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, packing, separators, simhash, token_store, tokens
+from . import decontam, ogg, packing, separators, simhash, token_store, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_ogg": op3_ogg,
     "op4_separators": op4_separators,
     "op7_token_store": op7_token_store,
     "op9_simhash": op9_simhash,
+    "op10_decontam": op10_decontam,
 }
 ORACLE_SQL: dict[str, str] = {}
