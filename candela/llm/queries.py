@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ogg, packing, separators, simhash, token_store, tokens
+from . import decontam, ogg, packing, separators, simhash, token_store, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.counts(_table(spark, sf_dir, "documents"), tokens.vocabulary()).select("doc_id", "n_tokens")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_ogg": op3_ogg,
     "op4_separators": op4_separators,
+    "op5_toxicity": op5_toxicity,
     "op7_token_store": op7_token_store,
     "op9_simhash": op9_simhash,
     "op10_decontam": op10_decontam,
