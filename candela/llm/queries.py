@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ogg, packing, separators, simhash, token_store, tokens, toxicity
+from . import decontam, ogg, packing, pii, separators, simhash, token_store, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_pseudonyms(_table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_separators": op4_separators,
     "op5_toxicity": op5_toxicity,
     "op7_token_store": op7_token_store,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_decontam": op10_decontam,
 }
