@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ogg, packing, pii, separators, simhash, token_store, tokens, toxicity
+from . import decontam, ogg, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_ogg": op3_ogg,
     "op4_separators": op4_separators,
     "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_token_store": op7_token_store,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
