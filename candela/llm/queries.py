@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ogg, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
+from . import decontam, katz, ogg, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -49,6 +53,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_packing": op2_packing,
     "op3_ogg": op3_ogg,
     "op4_separators": op4_separators,
