@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.plans import market, technical
+from candela.plans import market, risk, technical
 
-_MODULES = (market, technical)
+_MODULES = (market, technical, risk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
