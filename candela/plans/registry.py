@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.plans import backtests, market, risk, technical
+from candela.plans import backtests, market, portfolios, risk, technical
 
-_MODULES = (market, technical, risk, backtests)
+_MODULES = (market, technical, risk, backtests, portfolios)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
