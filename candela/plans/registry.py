@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.plans import backtests, market, portfolios, risk, technical
+from candela.plans import backtests, forecasts, market, portfolios, risk, scalars, technical
 
-_MODULES = (market, technical, risk, backtests, portfolios)
+_MODULES = (market, technical, risk, backtests, portfolios, forecasts, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
