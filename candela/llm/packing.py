@@ -135,4 +135,5 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             columns = {name: batch.column(name) for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
             yield pa.RecordBatch.from_pydict(columns | {"sequence_id": places["sequence"][at] + use, "offset": places["offset"][at] + nth * length})
 
-    return made.join(offsets, ["block", "length"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # merged, not broadcast: the offsets grow with the blocks
+    return made.join(offsets.hint("merge"), ["block", "length"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
