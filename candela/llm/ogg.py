@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -133,12 +134,9 @@ def decode(data: bytes, rate: int = RATE) -> Decoded:
 
 
 def samples_of(media: Decoded) -> bytes:
-    """The signal: the streams' packets, taken in turn."""
+    """The signal: the streams' packets, taken in turn; what a damaged file has lost is left out."""
     dealt = [media.streams[s].packets[1:] for s in sorted(media.streams)]
-    whole = [b""] * sum(map(len, dealt))
-    for s, packets in enumerate(dealt):
-        whole[s :: len(dealt)] = packets
-    return b"".join(whole)
+    return b"".join(packet for turn in zip_longest(*dealt, fillvalue=b"") for packet in turn)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:

@@ -33,9 +33,12 @@ LEVEL = 3
 
 
 def train(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
-    """A dictionary from the first characters of the documents with the smallest hashes of doc_id; with too little to
-    train on, some fixed content."""
-    rows = common.documents(docs).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
+    """A dictionary from the first characters of the documents with the smallest hashes of doc_id (of rows with the
+    same doc_id, one); with too little to train on, some fixed content."""
+    least = (F.xxhash64("doc_id"), "doc_id")
+    ids = common.documents(docs).select("doc_id").distinct().orderBy(*least).limit(SAMPLE_DOCUMENTS)  # ids alone: little is sent
+    chosen = common.documents(docs).join(F.broadcast(ids), "doc_id")
+    rows = chosen.groupBy("doc_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).orderBy(*least).collect()  # at most SAMPLE_DOCUMENTS
     end = end_id.to_bytes(4, "little")
     samples = [x + end for x in tokens.encoder(path).encode([r.text for r in rows])]
     try:

@@ -1,8 +1,9 @@
 """Token ids of whole texts inside tasks, by a tokenizer file of the tokenizers library.
 
 Byte-level pre-tokenisation always cuts before a single space or line feed between two visible characters, so a text's
-ids are those of its pieces one after the other. Each worker keeps the ids of pieces it has met (a bounded number; full,
-it starts afresh) and hands only new ones to the library, many in one text, one a line.
+ids are those of its pieces one after the other. Each worker keeps the ids of pieces it has met (a bounded number: full,
+the store becomes the older one, from which pieces that are met again come back) and hands only new ones to the library,
+many in one text, one a line.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 
 import numpy as np
 
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
 LINE = 198  # the id of a line feed, which no visible character shares
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _TWO_SPACES = ("  ", " \n", "\n ", "\n\n")
@@ -37,11 +38,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids don't depend on each other, without the space that leads each of them (a NUL marks the
-        first, which has none); None if the text has other spaces than single ones between visible characters."""
-        if _OTHER_SPACE.search(text) or any(x in text for x in _TWO_SPACES) or "\0" in text or not text or text[0] in " \n" or text[-1] in " \n":
+        first, which has none); None if the text has two spaces or line feeds together, or one at an end."""
+        if any(x in text for x in _TWO_SPACES) or "\0" in text or not text or text[0] in " \n" or text[-1] in " \n":
             return None
         return ("\0" + text.replace("\n", " \n")).split(" ")
 
@@ -63,13 +65,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self._cut(text) for text in texts]
+        met = set().union(*filter(None, pieces))
+        fresh = met.difference(self.known)
+        if _OTHER_SPACE.search("".join(fresh)):  # kept pieces have none; texts with such pieces are encoded whole
+            odd = {x for x in fresh if _OTHER_SPACE.search(x)}
+            pieces = [cut if cut and odd.isdisjoint(cut) else None for cut in pieces]
+            fresh -= odd
+        if len(self.known) + len(fresh) > KEPT_PIECES:
+            self.older, self.known = self.known, {}
+            fresh = set().union(*filter(None, pieces))
         known = self.known
-        fresh = {x for cut in pieces if cut for x in cut if x not in known}
-        if len(known) + len(fresh) > KEPT_PIECES:
-            known.clear()
-            fresh = {x for cut in pieces if cut for x in cut}
-        self._learn(list(fresh))
-        return [b"".join([known[x] for x in cut]) if cut else self._whole(text) for text, cut in zip(texts, pieces)]
+        again = {x: self.older[x] for x in fresh if x in self.older}
+        known.update(again)
+        self._learn(list(fresh.difference(again)))
+        return [b"".join(map(known.__getitem__, cut)) if cut else self._whole(text) for text, cut in zip(texts, pieces)]
 
 
 def encoder(path: str, plain: bool = False) -> Encoder:
