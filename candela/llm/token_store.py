@@ -78,7 +78,8 @@ def write(docs: DataFrame, path: str, dictionary: bytes, folder: str, end_id: in
     spark = docs.sparkSession
     rows = common.documents(docs)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # of the texts only openings, which have the same order, are sampled for the ranges' ends
+    ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(store, "file string, bytes long, part int, documents long, ids long")
 
 
