@@ -366,3 +366,18 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == clean
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_tells_rows_apart_without_ids(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    item = " ".join(f"t{k}" for k in range(20)) + "?\nthe answer is here"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, copied = [text() for _ in range(6)], text()
+    rows = [*((None, t) for t in clean[:4]), (7, clean[4]), (7, clean[5]), (None, copied), (9, copied), (8, copied), (None, f"{text()} {item}"), (7, f"{text()} {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    wanted = Counter(r for r in rows if r not in ((None, copied), (9, copied)))
+    assert Counter((r.doc_id, r.text) for r in once.collect()) == wanted
+    left = corpus_pipeline.drop_leaks(spark, once, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in wanted.elements() if item not in r[1])
