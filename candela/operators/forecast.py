@@ -148,7 +148,7 @@ def walk_forward(panel: DataFrame, horizon: int = 30, folds: int = 6, names: tup
     return fold_metrics(rows, with_ensemble(paths), horizon)
 
 
-def forecasts(panel: DataFrame, horizon: int = 30, names: tuple[str, ...] = ()) -> DataFrame:
+def forecasts(panel: DataFrame, horizon: int = 30, names: tuple[str, ...] = ITERATIVE) -> DataFrame:
     """asset, model, step, last_price and the price paths after the last day; LEAST_ROWS days more than the horizon are
     needed."""
     rows = series(panel).where(C("n") >= LEAST_ROWS + horizon)
@@ -161,7 +161,7 @@ def forecasts(panel: DataFrame, horizon: int = 30, names: tuple[str, ...] = ())
     return with_ensemble(paths).join(last, "asset").select("asset", "model", "step", "last_price", *(F.exp(p).alias(p) for p in PATHS))
 
 
-def report(panel: DataFrame, horizon: int = 30, folds: int = 6, names: tuple[str, ...] = ()) -> DataFrame:
+def report(panel: DataFrame, horizon: int = 30, folds: int = 6, names: tuple[str, ...] = ITERATIVE) -> DataFrame:
     """One row per asset: its best model (the flat one unless another has the highest skill over LEAST_WINDOWS windows
     or more), that model's skill, whether it beats the flat one, and the price it expects at the horizon."""
     metrics = ranked(model_metrics(walk_forward(panel, horizon, folds, names)))

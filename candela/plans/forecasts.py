@@ -58,13 +58,14 @@ _SCENES = "({}) AS sc(scenario, price)".format("VALUES " + ", ".join(f"('{s}', {
 _VALUE = "1000.0 * (0.998::DOUBLE * 0.998::DOUBLE) * price / last_price"
 add(
     "forecast_scenarios",
-    lambda p: sim.scenarios(fc.forecasts(p, HORIZON)).select("asset", "model", "scenario", F.log("price").alias("ln_price"), F.log("value").alias("ln_value")),
+    lambda p: sim.scenarios(fc.forecasts(p, HORIZON, ())).select("asset", "model", "scenario", F.log("price").alias("ln_price"), F.log("value").alias("ln_value")),
     f"""{_LAST}, ens AS (SELECT asset, model, step, mean, lo95, lo80, hi80, hi95 FROM pth UNION ALL SELECT asset, 'ensemble', step, avg(mean), avg(lo95), avg(lo80), avg(hi80), avg(hi95) FROM pth GROUP BY 1, 3),
 fin AS (SELECT e.asset, model, last, mean, lo95, lo80, hi80, hi95 FROM ens e JOIN kn ON kn.asset = e.asset WHERE step = {HORIZON}),
 sc AS ({' UNION ALL '.join(f"SELECT asset, model, '{s}' AS scenario, {s} AS lp, last FROM fin" for s in sim.SCENARIOS)}), o AS (SELECT asset, model, scenario, lp AS ln_price, ln(1000.0 * (0.998::DOUBLE * 0.998::DOUBLE)) + lp - last AS ln_value FROM sc)
  SELECT asset, model, scenario, {r('ln_price')}, {r('ln_value')} FROM o""",
 )
-add("forecast_report", lambda p: fc.report(p, HORIZON, FOLDS))
+add("forecast_report", lambda p: fc.report(p, HORIZON, FOLDS, fc.ITERATIVE))
+add("walk_forward_all", lambda p: fc.walk_forward(p, HORIZON, FOLDS, fc.ITERATIVE))
 for _model in fc.ITERATIVE:
     add(f"fc_{_model}", lambda p, model=_model: fc.forecasts(p, HORIZON, (model,)).where(F.col("model") == model).select("asset", "model", "step", *_PATHS))
 _LJUNG_TERMS = " + ".join(f"pow(s{k} / s, 2) / (n - {k})" for k in range(1, 11))

@@ -108,6 +108,30 @@ def test_walk_forward_does_not_see_the_future(spark, walk):
     assert got[0] == got[1] and len(got[0]) == 60
 
 
+def test_report_and_walk_forward_see_all_models(spark):
+    """Against plain loops, on a level with noise, where smoothing is better than the last price."""
+    h, folds = 5, 3
+    prices = np.exp(3 + 0.05 * np.random.default_rng(6).normal(size=150))
+    y = np.log(prices)
+    at = [len(y) - h - k * 5 for k in range(folds)]
+    errors = {}
+    for origin in at:
+        known = y[:origin]
+        paths = {"naive": np.full(h, known[-1]), "drift": known[-1] + np.diff(known).mean() * np.arange(1, h + 1)}
+        paths |= {m: models.forecast(m, known, h, y[: min(at)])[0]["mean"] for m in forecast.ITERATIVE}
+        paths["ensemble"] = np.mean(list(paths.values()), axis=0)
+        for m, mean in paths.items():
+            errors[m, origin] = 100 * np.mean(np.abs(np.exp(mean) / prices[origin : origin + h] - 1))
+    panel = _panel(spark, prices)
+    got = {(r.model, r.origin): r.mape for r in forecast.walk_forward(panel, h, folds, forecast.ITERATIVE).collect()}
+    assert got == pytest.approx(errors, rel=1e-6)
+    of = {m: np.mean([errors[m, o] for o in at]) for m, _ in errors}
+    best = min(of, key=of.get)
+    assert best not in ("naive", "drift")
+    told = forecast.report(panel, h, folds).first()
+    assert told.best == best and told.skill == pytest.approx(100 * (1 - of[best] / of["naive"]), rel=1e-6)
+
+
 def test_ljung_box_equals_the_arrays(spark, walk):
     got = forecast.ljung_box(_panel(spark, walk)).first()
     assert got.p_value == pytest.approx(models.portmanteau(np.diff(np.log(walk))), abs=1e-9)
