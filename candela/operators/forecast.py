@@ -2,8 +2,8 @@
 
 Prices are modelled in logs. The flat and the drift forecast, the folds, the ensemble and all metrics are DataFrame
 operations; models that iterate (exponential smoothing, Theta, ARIMA, boosted trees) run in NumPy on one (asset, origin)
-at a time, a bounded series, after Spark has dealt the pairs out. These four are approximations of the usual packages'
-fits: same model, own optimiser.
+at a time, a bounded series, after Spark has dealt the pairs out; the candidate orders of ARIMA are rows that are fitted
+apart. These four are approximations of the usual packages' fits: same model, own optimiser.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def ends(rows: DataFrame) -> DataFrame:
 def moments(rows: DataFrame, at: DataFrame) -> DataFrame:
     """Of the days before each origin: the last log price, the number, mean and deviation of the daily changes."""
     change = rows.withColumn("x", C("y") - F.lag("y").over(Window.partitionBy("asset").orderBy("i")))
-    known = change.join(F.broadcast(at), "asset").where("i < origin")
+    known = change.join(at, "asset").where("i < origin")
     return known.groupBy("asset", "origin").agg(F.max_by("y", "i").alias("last"), F.count("x").alias("t"), F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"))
 
 
@@ -74,20 +74,44 @@ def closed_forms(known: DataFrame, horizon: int) -> DataFrame:
 _SCHEMA = "asset string, origin int, model string, step int, " + ", ".join(f"{p} double" for p in PATHS) + ", error string, info map<string,double>"
 
 
+def arima_orders(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """asset, order (p, q and trend): the candidate with the least AICc on all days before the asset's first origin. Each
+    candidate is fitted by itself."""
+    first = at.groupBy("asset").agg(F.min("origin").alias("first"))
+    candidates = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(trend).alias("trend")) for p, q, trend in models.ORDERS))
+    dealt = rows.join(first, "asset").where("i < first").select("asset", "i", "y", F.explode(candidates).alias("order"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        order = frame["order"].iloc[0]
+        order = dict(order) if isinstance(order, dict) else order.asDict()
+        try:
+            aicc = models.arima_aicc(frame.sort_values("i")["y"].to_numpy(dtype=float), **order)
+        except (ValueError, ArithmeticError):
+            aicc = float("nan")
+        return pd.DataFrame([{"asset": frame["asset"].iloc[0], **order, "aicc": aicc}])
+
+    fitted = dealt.groupBy("asset", "order").applyInPandas(fit, "asset string, p int, q int, trend boolean, aicc double")
+    known = fitted.where("NOT isnan(aicc)")
+    return known.groupBy("asset").agg(F.min_by(F.struct("p", "q", "trend"), F.struct("aicc", "p", "q", "trend")).alias("order"))
+
+
 def iterative(rows: DataFrame, at: DataFrame, horizon: int, names: tuple[str, ...] = ITERATIVE) -> DataFrame:
     """The same columns for the iterative models, with what they tell about their fit. A model that fails, or whose mean
     isn't finite, has one row with the error and no step. The order of ARIMA is chosen on the days before an asset's
     first origin and used for all of them."""
-    first = at.groupBy("asset").agg(F.min("origin").alias("first"))
-    own = rows.join(F.broadcast(at.join(first, "asset")), "asset").where("i < origin").select("asset", "origin", "first", "i", "y")
+    own = rows.join(at, "asset").where("i < origin").select("asset", "origin", "i", "y")
     dealt = own.withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    if "arima" in names:
+        dealt = dealt.join(arima_orders(rows, at), "asset", "left")
+    else:
+        dealt = dealt.withColumn("order", F.lit(None).cast("struct<p:int,q:int,trend:boolean>"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i")
-        y, model = frame["y"].to_numpy(dtype=float), frame["model"].iloc[0]
+        y, model, order = frame["y"].to_numpy(dtype=float), frame["model"].iloc[0], frame["order"].iloc[0]
         keys = {"asset": frame["asset"].iloc[0], "origin": int(frame["origin"].iloc[0]), "model": model}
         try:
-            paths, info = models.forecast(model, y, horizon, y[: int(frame["first"].iloc[0])])
+            paths, info = models.forecast(model, y, horizon, tuple(order[k] for k in ("p", "q", "trend")) if order is not None else None)
             if not np.isfinite(paths["mean"]).all():
                 raise ValueError("its mean isn't finite")
             return pd.DataFrame({**keys, "step": np.arange(1, horizon + 1), **paths, "error": None, "info": [info] * horizon})
@@ -162,12 +186,21 @@ def forecasts(panel: DataFrame, horizon: int = 30, names: tuple[str, ...] = ITER
 
 
 def report(panel: DataFrame, horizon: int = 30, folds: int = 6, names: tuple[str, ...] = ITERATIVE) -> DataFrame:
-    """One row per asset: its best model (the flat one unless another has the highest skill over LEAST_WINDOWS windows
-    or more), that model's skill, whether it beats the flat one, and the price it expects at the horizon."""
+    """One row per asset: its best model (of those that have a forecast and LEAST_WINDOWS windows or more the one with the
+    highest skill, else the flat one), that model's skill and windows, the price it expects at the horizon, the models
+    that beat the flat one (the best first), and those that were validated on fewer windows than there are."""
     metrics = ranked(model_metrics(walk_forward(panel, horizon, folds, names)))
-    best = metrics.where("place = 1").withColumn("best", F.when(C("windows") >= LEAST_WINDOWS, C("model")).otherwise("naive")).select("asset", "best", "windows", F.when(C("best") == C("model"), C("skill")).otherwise(0.0).alias("skill"))
-    final = forecasts(panel, horizon, names).where(C("step") == horizon).select("asset", C("model").alias("best"), "last_price", C("mean").alias("expected_price"), "lo95", "hi95")
-    return best.join(final, ["asset", "best"]).withColumn("beats_naive", C("skill") > 0).withColumn("few_windows", C("windows") < LEAST_WINDOWS)
+    final = forecasts(panel, horizon, names).where(C("step") == horizon).select("asset", "model", "last_price", C("mean").alias("expected_price"), "lo95", "hi95")
+    told = metrics.select("asset", "model", "windows", "skill", "place", F.max("windows").over(Window.partitionBy("asset")).alias("of")).join(final, ["asset", "model"], "left")
+    reliable = (C("windows") >= LEAST_WINDOWS) & C("expected_price").isNotNull()
+    row = F.struct("model", "skill", "windows", "last_price", "expected_price", "lo95", "hi95")
+    beats = F.when(reliable & (C("model") != "naive") & (C("skill") > 0), F.struct("place", "model"))
+    grouped = told.groupBy("asset").agg(
+        F.coalesce(F.min_by(row, F.when(reliable, C("place"))), F.max(F.when(C("model") == "naive", row))).alias("r"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(beats)), lambda x: x["model"]), ",").alias("beat_naive"),
+        F.array_join(F.array_sort(F.collect_list(F.when(C("windows") < C("of"), C("model")))), ",").alias("few_windows"),
+    )
+    return grouped.select("asset", C("r.model").alias("best"), "r.skill", "r.windows", "r.last_price", "r.expected_price", "r.lo95", "r.hi95", "beat_naive", "few_windows")
 
 
 def failures(panel: DataFrame, horizon: int = 30, names: tuple[str, ...] = ITERATIVE) -> DataFrame:

@@ -106,12 +106,20 @@ def ets(y: np.ndarray, h: int) -> tuple[dict, dict]:
 
 
 def _css(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """Conditional residuals of an ARMA process without a constant."""
-    e, p, q = np.zeros(len(x)), len(ar), len(ma)
-    for t in range(p, len(x)):
-        value = x[t] - sum(ar[k] * x[t - 1 - k] for k in range(p))
-        e[t] = value - sum(ma[k] * e[t - 1 - k] for k in range(min(q, t)))
-    return e
+    """Conditional residuals of an ARMA process of up to two lags without a constant."""
+    p = len(ar)
+    rest = x.copy()
+    for k in range(p):
+        rest[k + 1 :] -= ar[k] * x[: -k - 1]
+    rest[:p] = 0.0
+    if not len(ma):
+        return rest
+    first, second = float(ma[0]), float(ma[1]) if len(ma) > 1 else 0.0
+    e, before, earlier = [0.0] * p, 0.0, 0.0
+    for value in rest[p:].tolist():
+        before, earlier = value - first * before - second * earlier, before
+        e.append(before)
+    return np.array(e)
 
 
 def _stable(z: np.ndarray) -> np.ndarray:
@@ -136,11 +144,12 @@ def _arma(x: np.ndarray, p: int, q: int, trend: bool) -> tuple[float, np.ndarray
     return float(-2 * log_likelihood + 2 * k + 2 * k * (k + 1) / (n - k - 1)), ar, ma, mu, errors
 
 
-def arima_order(y: np.ndarray, most: int = 500) -> tuple[int, int, bool]:
-    """The (p, q, trend) with p, q <= 2 of the least AICc, on the last `most` days."""
-    x = np.diff(y[-most:])
-    fits = [(_arma(x, p, q, trend)[0], p, q, trend) for p in range(3) for q in range(3) for trend in (False, True)]
-    return min(fits)[1:]
+#: The candidate orders: p, q and whether there is a drift.
+ORDERS = tuple((p, q, trend) for p in range(3) for q in range(3) for trend in (False, True))
+
+
+def arima_aicc(y: np.ndarray, p: int, q: int, trend: bool) -> float:
+    return _arma(np.diff(y), p, q, trend)[0]
 
 
 def portmanteau(e: np.ndarray, lags: int = 10) -> float:
@@ -157,12 +166,12 @@ def portmanteau(e: np.ndarray, lags: int = 10) -> float:
     return float(np.exp(-half) * tail)
 
 
-def arima(y: np.ndarray, h: int, early: np.ndarray, most: int = 800) -> tuple[dict, dict]:
-    """ARIMA(p, 1, q), its order chosen on the early part, fitted to the last `most` days."""
-    if len(y) < 30:
-        raise ValueError("ARIMA needs thirty days")
-    p, q, trend = arima_order(early if len(early) >= 30 else y)
-    x = np.diff(y[-most:])
+def arima(y: np.ndarray, h: int, order: tuple[int, int, bool] | None) -> tuple[dict, dict]:
+    """ARIMA(p, 1, q) of the given order, fitted to all days."""
+    if len(y) < 30 or order is None:
+        raise ValueError("ARIMA needs thirty days and an order")
+    p, q, trend = order
+    x = np.diff(y)
     aicc, ar, ma, mu, errors = _arma(x, p, q, trend)
     past, shocks, guesses = list(x - mu), list(errors), []
     for k in range(h):
@@ -185,12 +194,14 @@ def _features(y: np.ndarray) -> np.ndarray:
     windows = lambda x, k: np.lib.stride_tricks.sliding_window_view(x, k) if n >= k else np.empty((0, k))
     pad = lambda v, k: np.r_[np.full(min(k - 1, n), np.nan), v]
     columns += [pad(windows(r, k).std(axis=1, ddof=1), k) for k in (7, 30)]
-    columns += [y - pad(windows(y, k).mean(axis=1), k) for k in (20, 50)]
-    up = down = 0.0
+    columns += [y - pad(np.log(windows(np.exp(y), k).mean(axis=1)), k) for k in (20, 50)]
     ratio = np.full(n, np.nan)
+    up = down = None
     for k in range(1, n):
-        up, down = up + (max(r[k], 0) - up) / 14, down + (max(-r[k], 0) - down) / 14
-        ratio[k] = up / (up + down) if up + down else 0.5
+        rise, fall = max(r[k], 0.0), max(-r[k], 0.0)
+        up, down = (rise, fall) if up is None else (up + (rise - up) / 14, down + (fall - down) / 14)
+        if down:  # without any fall it is missing
+            ratio[k] = up / (up + down)
     return np.c_[(*columns, ratio)]
 
 
@@ -229,8 +240,9 @@ def boost(y: np.ndarray, h: int, rounds: int = 150, rate: float = 0.05) -> tuple
     straight line, the bands are those of the flat forecast."""
     x = _features(y)
     known = np.flatnonzero(~np.isnan(x).any(axis=1) & (np.arange(len(y)) < len(y) - h))
-    if len(known) < LEAST_BOOST_ROWS or np.isnan(x[-1]).any():
+    if len(known) < LEAST_BOOST_ROWS:
         raise ValueError(f"boosting needs {LEAST_BOOST_ROWS} days with features")
+    x[-1] = np.where(np.isnan(x[-1]), np.nanmedian(x, axis=0), x[-1])
     cuts = [np.unique(np.quantile(x[known, j], np.linspace(0, 1, 33)[1:-1])) for j in range(x.shape[1])]
     coded = lambda rows: np.c_[tuple(np.searchsorted(c, rows[:, j]) for j, c in enumerate(cuts))]
     codes, last, target = coded(x[known]), coded(x[-1:]), y[known + h] - y[known]
@@ -245,10 +257,10 @@ def boost(y: np.ndarray, h: int, rounds: int = 150, rate: float = 0.05) -> tuple
     return banded(y[-1] + guess * steps / h, sd * np.sqrt(steps)), {"rows": float(len(known)), "train_mae": float(np.abs(target - fitted).mean())}
 
 
-def forecast(model: str, y: np.ndarray, h: int, early: np.ndarray) -> tuple[dict, dict]:
+def forecast(model: str, y: np.ndarray, h: int, order: tuple[int, int, bool] | None = None) -> tuple[dict, dict]:
     if len(y) < 3 or not np.isfinite(y).all():
         raise ValueError("too few prices")
-    return {"theta": lambda: theta(y, h), "ets": lambda: ets(y, h), "arima": lambda: arima(y, h, early), "boost": lambda: boost(y, h)}[model]()
+    return {"theta": lambda: theta(y, h), "ets": lambda: ets(y, h), "arima": lambda: arima(y, h, order), "boost": lambda: boost(y, h)}[model]()
 
 
 def dickey_fuller(y: np.ndarray) -> tuple[float | None, int | None, float]:

@@ -98,27 +98,34 @@ def outliers(panel: DataFrame, least: int = 30) -> DataFrame:
 
 
 def quality(raw: DataFrame) -> DataFrame:
-    """Each asset's quality record: points, range, filled days, dropped rows, longest gap, whether it was trimmed."""
-    seen = observed(raw)
-    panel = filled(trimmed(seen))
-    dropped = numeric(raw).groupBy("asset").agg(F.count_if(F.col("close").isNull() | (F.col("close") <= 0)).alias("dropped_rows"))
-    gaps = seen.groupBy("asset").agg(F.max("gap").alias("longest_gap"))
-    kept = trimmed(seen).groupBy("asset").agg(F.first("trimmed").alias("trimmed_start"))
-    points = panel.groupBy("asset").agg(F.count("*").alias("points"), F.min("d").alias("start"), F.max("d").alias("end"), F.count_if("was_filled").alias("filled_days"))
-    flagged = outliers(with_returns(panel)).groupBy("asset").agg(F.count("*").alias("outliers"))
-    return points.join(dropped, "asset").join(gaps, "asset").join(kept, "asset").join(flagged, "asset", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    """Each asset's quality record: points, range, filled days, dropped rows, longest gap, whether it was trimmed. One
+    pass over the raw rows tells all but the outliers: the kept range has a point a day, and what it lacks is filled."""
+    good = F.coalesce(F.col("close") > 0, F.lit(False))
+    own = Window.partitionBy("asset", "good")
+    rows = numeric(raw).withColumn("good", good).withColumn("gap", F.when(F.col("good"), F.coalesce(F.datediff("d", F.lag("d").over(own.orderBy("d"))) - 1, F.lit(0))))
+    cut = rows.withColumn("cut", F.max(F.when(F.col("gap") > config.MAX_FILL_DAYS, F.col("d"))).over(own))
+    marked = cut.withColumn("trimmed", F.col("good") & (F.count_if(F.col("d") >= F.col("cut")).over(own) >= config.MIN_ROWS_AFTER_TRIM))
+    kept = F.col("good") & (~F.col("trimmed") | (F.col("d") >= F.col("cut")))
+    told = marked.groupBy("asset").agg(
+        F.min(F.when(kept, F.col("d"))).alias("start"), F.max(F.when(kept, F.col("d"))).alias("end"), F.count_if(kept).alias("seen"), F.count_if("good").alias("n"),
+        F.count_if(~F.col("good")).alias("dropped_rows"), F.max("gap").alias("longest_gap"), F.bool_or("trimmed").alias("trimmed_start"),
+    )
+    points = told.where("n >= 2").withColumn("points", F.datediff("end", "start").cast("long") + 1).withColumn("filled_days", F.col("points") - F.col("seen")).drop("n", "seen")
+    flagged = outliers(prices(raw)).groupBy("asset").agg(F.count("*").alias("outliers"))
+    return points.join(flagged, "asset", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
 
 
 def asof(left: DataFrame, rates: DataFrame, value: str) -> DataFrame:
     """left with the rate's value of the same or the last earlier day, before the first rate the first. left: asset, d;
-    rates: d and value, one row a day. Each asset is searched by its own partition."""
-    assets = left.select("asset").distinct()
-    marks = assets.crossJoin(F.broadcast(rates.select("d", F.col(value).alias("__rate")))) if value else None
-    both = left.withColumns({"__rate": F.lit(None).cast("double"), "__own": F.lit(True)}).unionByName(marks.withColumn("__own", F.lit(False)), allowMissingColumns=True)
-    order = Window.partitionBy("asset").orderBy("d", "__own")
-    back = F.last("__rate", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__rate", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn(value, F.coalesce(back, ahead)).where("__own").drop("__rate", "__own")
+    rates: d and value, one row a day. Each rate becomes a row for every day until the next one (a table of the
+    calendar's size), so one join by day does for a search."""
+    first, last = left.agg(F.min("d"), F.max("d")).first()
+    order = Window.orderBy("d")  # one row a day
+    spans = rates.select("d", F.col(value).alias("__rate")).withColumns({"__next": F.lead("d").over(order), "__k": F.row_number().over(order)})
+    start = F.when(F.col("__k") == 1, F.least("d", F.lit(first))).otherwise(F.col("d"))
+    stop = F.coalesce(F.date_sub("__next", 1), F.greatest("d", F.lit(last)))
+    by_day = spans.select(F.explode(F.sequence(start, stop)).alias("d"), F.col("__rate").alias(value))
+    return left.join(by_day, "d", "left").select(*left.columns, value)
 
 
 def converted(panel: DataFrame, rates: DataFrame, value: str = "rate") -> DataFrame:

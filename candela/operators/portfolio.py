@@ -1,12 +1,13 @@
 """Covariances, portfolio points, optimised weights and rebalanced portfolios over the long panel.
 
-Pairs of assets are joined by day and summed by Spark; only k x k sums of one basket reach the driver, and only for the
-optimiser, whose baskets are bounded (MOST_ASSETS).
+Pairs of assets are joined by day and summed by Spark, each pair once. Baskets are optimised in tasks, each from its own
+k x k covariances; nothing but the number of assets reaches the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from candela.windows import ordered, ratio, so_far
 
 C = F.col
 N = config.PERIODS
-MOST_ASSETS = 64
 
 
 def joint_returns(panel: DataFrame) -> DataFrame:
@@ -28,17 +28,26 @@ def joint_returns(panel: DataFrame) -> DataFrame:
 def asset_stats(panel: DataFrame, rate: float = 0.0) -> DataFrame:
     r = joint_returns(panel)
     growth = F.sum(F.log1p("r")).over(so_far())
-    fallen = r.withColumn("ln", growth).withColumn("fall", F.exp(C("ln") - F.greatest(F.max("ln").over(so_far()), F.lit(0.0))) - 1)
+    # the fall is from the first day's value on, not from what was paid for it
+    fallen = r.withColumn("ln", growth).withColumn("fall", F.exp(C("ln") - F.max("ln").over(so_far())) - 1)
     return fallen.groupBy("asset").agg((F.sum(F.log1p("r")) * N / F.count("*")).alias("log_cagr"), (F.stddev_samp("r") * N**0.5).alias("volatility"), risk.sharpe(C("r"), rate).alias("sharpe"), F.min("fall").alias("max_drawdown"), F.sum(F.log1p("r")).alias("ln_total"))
 
 
 def _pairs(r: DataFrame) -> DataFrame:
+    """The returns of each pair i <= j by day."""
     a, b = r.select(C("asset").alias("i"), "d", C("r").alias("x")), r.select(C("asset").alias("j"), "d", C("r").alias("y"))
-    return a.join(b, "d")
+    return a.join(b, "d").where("i <= j")
+
+
+def _both(upper: DataFrame) -> DataFrame:
+    """A symmetric matrix (i, j and values) from its pairs i <= j."""
+    values = [c for c in upper.columns if c not in ("i", "j")]
+    sides = F.array(F.struct("i", "j"), F.struct(C("j").alias("i"), C("i").alias("j")))
+    return upper.select(F.explode(F.when(C("i") == C("j"), F.slice(sides, 1, 1)).otherwise(sides)).alias("e"), *values).select("e.i", "e.j", *values)
 
 
 def correlations(panel: DataFrame) -> DataFrame:
-    return _pairs(joint_returns(panel)).groupBy("i", "j").agg(F.corr("x", "y").alias("corr"))
+    return _both(_pairs(joint_returns(panel)).groupBy("i", "j").agg(F.corr("x", "y").alias("corr")))
 
 
 def mean_correlation(matrix: DataFrame) -> DataFrame:
@@ -52,17 +61,15 @@ def covariances(panel: DataFrame) -> DataFrame:
     means = r.groupBy("asset").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
     centred = r.join(means, "asset").select("asset", "d", "n", (C("r") - C("m")).alias("r"))
     sums = _pairs(centred).groupBy("i", "j").agg((F.sum(C("x") * C("y"))).alias("p"), F.sum(C("x") * C("x") * C("y") * C("y")).alias("q"), F.count("*").alias("n"))
-    every = Window.partitionBy("n")
-    s = C("p") / C("n")
-    k = F.sqrt(F.count("*").over(every))
-    mu = F.sum(F.when(C("i") == C("j"), s)).over(every) / k
-    target = F.when(C("i") == C("j"), mu).otherwise(0.0)
-    shape = sums.withColumns({"s": s, "k": k, "target": target})
-    delta = F.sum(F.pow(C("s") - C("target"), F.lit(2.0))).over(every) / C("k")
-    beta = (F.sum(C("q")).over(every) / C("n") - F.sum(C("s") * C("s")).over(every)) / (C("k") * C("n"))
-    shrunk = shape.withColumns({"delta": delta, "beta": beta}).withColumn("w", F.coalesce(ratio(F.greatest(F.lit(0.0), F.least("beta", "delta")), C("delta")), F.lit(0.0)))
+    own = sums.withColumns({"s": C("p") / C("n"), "own": C("i") == C("j")})
+    twice = F.when(C("own"), 1.0).otherwise(2.0)  # a pair stands for both orders
+    totals = own.groupBy("n").agg(F.count_if("own").alias("k"), F.sum(F.when(C("own"), C("s"))).alias("trace"), F.sum(twice * C("q")).alias("qq"), F.sum(twice * C("s") * C("s")).alias("ss"))
+    # sum((s - target)^2) with the mean variance on the target's diagonal
+    told = totals.withColumns({"mu": C("trace") / C("k"), "delta": (C("ss") - C("trace") * C("trace") / C("k")) / C("k"), "beta": (C("qq") / C("n") - C("ss")) / (C("k") * C("n"))})
+    shape = own.join(told, "n").withColumn("target", F.when(C("own"), C("mu")).otherwise(0.0))
+    shrunk = shape.withColumn("w", F.coalesce(ratio(F.greatest(F.lit(0.0), F.least("beta", "delta")), C("delta")), F.lit(0.0)))
     wide = (1 - C("w")) * C("s") + C("w") * C("target")
-    return shrunk.select("i", "j", (N * F.when(C("n") > C("k") + 2, wide).otherwise(C("p") / (C("n") - 1))).alias("cov"))
+    return _both(shrunk.select("i", "j", (N * F.when(C("n") > C("k") + 2, wide).otherwise(C("p") / (C("n") - 1))).alias("cov")))
 
 
 def log_growth(panel: DataFrame) -> DataFrame:
@@ -87,7 +94,15 @@ def contributions(weights: DataFrame, cov: DataFrame) -> DataFrame:
 
 def equal_weights(panel: DataFrame, basket: str = "equal") -> DataFrame:
     assets = panel.select("asset").distinct()
-    return assets.select(F.lit(basket).alias("basket"), "asset", (1.0 / F.count("*").over(Window.partitionBy(F.lit(basket)))).alias("w"))
+    return assets.select(F.lit(basket).alias("basket"), "asset", F.lit(1.0 / max(1, assets.count())).alias("w"))
+
+
+def manual_weights(panel: DataFrame, wanted: dict[str, float], basket: str = "manual") -> DataFrame:
+    """The wanted shares (negative or missing ones are none), scaled to one; equal weights if nothing is left."""
+    given = F.create_map(*(F.lit(x) for pair in wanted.items() for x in (pair[0], float(pair[1])))) if wanted else F.create_map().cast("map<string,double>")
+    raw = panel.select("asset").distinct().withColumn("raw", F.greatest(F.lit(0.0), F.coalesce(F.try_element_at(given, C("asset")), F.lit(0.0))))
+    total, n = raw.agg(F.coalesce(F.sum("raw"), F.lit(0.0)), F.count("*")).first()
+    return raw.select(F.lit(basket).alias("basket"), "asset", (C("raw") / total if total > 0 else F.lit(1.0 / max(1, n))).alias("w"))
 
 
 def _capped(w: np.ndarray, cap: float) -> np.ndarray:
@@ -142,31 +157,40 @@ def solve(cov: np.ndarray, mu: np.ndarray, method: str, cap: float = 1.0, rate:
 
 
 def optimised(panel: DataFrame, method: str, cap: float = 1.0, rate: float = 0.0) -> DataFrame:
-    """basket (the method), asset and weight of one basket of at most MOST_ASSETS assets."""
-    spark = panel.sparkSession
-    growth = log_growth(panel).orderBy("asset").limit(MOST_ASSETS + 1).collect()
-    if len(growth) > MOST_ASSETS:
-        raise ValueError(f"a basket has at most {MOST_ASSETS} assets")
-    names = [g["asset"] for g in growth]
-    at = {a: n for n, a in enumerate(names)}
-    cov = np.zeros((len(names), len(names)))
-    for c in covariances(panel).collect():
-        cov[at[c["i"]], at[c["j"]]] = c["cov"]
-    w = solve(cov, np.array([g["mu"] for g in growth]), method, cap, rate)
-    return spark.createDataFrame([(method, a, float(x)) for a, x in zip(names, w)], "basket string, asset string, w double")
+    """basket (the method), asset and weight. The basket's covariances and growth go to one task (k x k numbers)."""
+    if method not in ("equal", "min_variance", "max_sharpe", "risk_parity"):
+        raise ValueError(f"no method named {method}")
+    rows = covariances(panel).join(log_growth(panel).withColumnRenamed("asset", "i"), "i").withColumn("basket", F.lit(method))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        wide = frame.pivot(index="i", columns="j", values="cov").sort_index()
+        wide = wide[wide.index]
+        mu = frame.drop_duplicates("i").set_index("i")["mu"].loc[wide.index]
+        return pd.DataFrame({"basket": method, "asset": wide.index, "w": solve(wide.to_numpy(), mu.to_numpy(), method, cap, rate)})
+
+    return rows.groupBy("basket").applyInPandas(fit, "basket string, asset string, w double")
+
+
+#: Tries of a gamma variate. About seven in ten are accepted, so all fail with a probability under 1e-30; that is an error.
+TRIES = 64
 
 
 def random_baskets(panel: DataFrame, n: int = 3000, shape: float = 0.7, seed: int = 7) -> DataFrame:
     """n baskets of Dirichlet weights; each basket's are drawn from its own number, whatever partition it is in. Gamma
-    variates under one are made as Ahrens and Dieter's: a power of a uniform, thinned by a second; eight tries each, the
-    first accepted counts."""
-    assets = panel.select("asset").distinct()
-    u = lambda tag: (F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), C("basket"), C("asset"), C("t"))), F.lit(1), F.lit(12)), 16, 10).cast("double") + 1) / float(2**48 + 1)
+    variates under one are made as Ahrens and Dieter's: a power of a uniform, thinned by a second; the first accepted
+    try counts."""
+    key = lambda tag, t: F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), C("basket"), C("asset"), t))
+    u = lambda tag, t: (F.conv(F.substr(key(tag, t), F.lit(1), F.lit(12)), 16, 10).cast("double") + 1) / float(2**48 + 1)
     e = 1 + shape / np.e
-    tries = F.broadcast(assets).crossJoin(panel.sparkSession.range(n).withColumnRenamed("id", "basket")).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    drawn = tries.withColumns({"p": u("a") * e, "v": u("b")}).withColumn("x", F.when(C("p") <= 1, F.pow("p", F.lit(1 / shape))).otherwise(-F.log((F.lit(e) - C("p")) / shape)))
-    taken = F.when(C("p") <= 1, C("v") <= F.exp(-C("x"))).otherwise(C("v") <= F.pow("x", F.lit(shape - 1)))
-    gamma = drawn.groupBy("basket", "asset").agg(F.coalesce(F.min_by("x", F.when(taken, C("t"))), F.max_by("x", "t")).alias("g"))
+
+    def tried(t: Column) -> Column:
+        p = u("a", t) * e
+        small, large = F.pow(p, F.lit(1 / shape)), -F.log((F.lit(e) - p) / shape)
+        return F.when((p <= 1) & (u("b", t) <= F.exp(-small)), small).when((p > 1) & (u("b", t) <= F.pow(large, F.lit(shape - 1))), large)
+
+    rows = panel.select("asset").distinct().withColumn("basket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).repartition("basket")
+    accepted = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), lambda found, t: F.when(found.isNotNull(), found).otherwise(tried(t)))
+    gamma = rows.withColumn("g", F.coalesce(accepted, F.raise_error(F.lit("no gamma variate was accepted")).cast("double")))
     return gamma.select(C("basket").cast("string").alias("basket"), "asset", (C("g") / F.sum("g").over(Window.partitionBy("basket"))).alias("w"))
 
 

@@ -109,19 +109,34 @@ def rolling_correlation(panel: DataFrame, benchmark: DataFrame, n: int = 90) ->
     return both.withColumn("rolling_corr", F.when(F.count("*").over(rows(n)) >= n, F.corr("returns", "bench").over(rows(n))))
 
 
+# Fixed values of the score: each factor's weight, its value without risk and its value at the most.
+SCORE = {
+    "volatility_score": (0.30, 0.0, 120.0),
+    "drawdown_score": (0.25, 0.0, 80.0),
+    "var_score": (0.25, 0.0, 8.0),
+    "sharpe_score": (0.20, 2.0, -1.0),
+}
+
+
 def _scaled(x: Column, low: float, high: float) -> Column:
     """0 at low to 10 at high; 5 where undefined."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), (x - low) / (high - low) * 10)), F.lit(5.0))
+    # least and greatest skip nulls
+    return F.when(x.isNull(), 5.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(10.0), (x - low) / (high - low) * 10)))
 
 
 def scores(measures: DataFrame) -> DataFrame:
-    """A risk score of 0 to 10 from volatility, drawdown, value at risk and Sharpe ratio, and its level."""
-    parts = {
-        "volatility_score": _scaled(C("volatility"), 0.0, 1.2), "drawdown_score": _scaled(-C("max_drawdown"), 0.0, 0.9),
-        "var_score": _scaled(-F.least(C("var_95"), F.lit(0.0)), 0.0, 0.1), "sharpe_score": _scaled(-C("sharpe"), -2.0, 1.0),
-    }
-    out = measures.withColumns(parts).withColumn("risk_score", 0.3 * C("volatility_score") + 0.25 * C("drawdown_score") + 0.25 * C("var_score") + 0.2 * C("sharpe_score"))
-    return out.withColumn("risk_level", F.when(C("risk_score") < 2.5, "low").when(C("risk_score") < 5, "moderate").when(C("risk_score") < 7.5, "high").otherwise("very_high"))
+    """A risk score of 0 to 10 from the volatility of 30 days, drawdown, value at risk (all in percent) and Sharpe ratio,
+    and its level."""
+    factors = {
+        "volatility_score": C("vol_30"),
+        "drawdown_score": F.abs(C("max_drawdown")) * 100,
+        "var_score": F.when(C("var_95") < 0, -C("var_95") * 100).when(C("var_95") >= 0, 0.0),
+        "sharpe_score": C("sharpe"),
+    }
+    parts = {name: _scaled(value, *SCORE[name][1:]) for name, value in factors.items()}
+    total = sum((weight * C(name) for name, (weight, *_) in SCORE.items()), F.lit(0.0))
+    out = measures.withColumns(parts).withColumn("risk_score", total)
+    return out.withColumn("risk_level", F.when(C("risk_score") <= 2.5, "low").when(C("risk_score") <= 5, "moderate").when(C("risk_score") <= 7.5, "high").otherwise("very_high"))
 
 
 def report(panel: DataFrame, rate: float = 0.0) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from candela.windows import ordered, whole
 
 C = F.col
-#: Rules and their groups.
+# The rules and their groups, and the bounds of the labels.
 RULES = {
-    "rsi": "momentum", "stochastic": "momentum", "roc": "momentum", "macd": "trend", "sma_20": "trend", "sma_50": "trend", "sma_200": "trend",
-    "golden_cross": "trend", "adx": "trend", "aroon": "trend", "bollinger": "volatility", "obv": "volume",
+    "rsi": "oscillator", "stochastic": "oscillator", "bollinger": "oscillator", "macd": "oscillator", "roc": "oscillator",
+    "sma_20": "trend", "sma_50": "trend", "sma_200": "trend", "golden_cross": "trend", "adx": "trend", "aroon": "trend", "obv": "trend",
 }
+STRONG, WEAK = 0.5, 0.1
 LEAST_VOTES = 5
 RATIOS = (0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0)
 
@@ -27,25 +28,25 @@ def vote(up: Column, down: Column, valid: Column) -> Column:
 def votes(wide: DataFrame) -> DataFrame:
     """vote_<rule> columns of an indicator frame (without volume, no obv rule)."""
 
-    def over(a: str, b: str) -> Column:
-        return vote(C(a) > C(b), C(a) < C(b), C(a).isNotNull() & C(b).isNotNull())
+    def over(a: str, b: str, known: str) -> Column:
+        return vote(C(a) > C(b), C(a) < C(b), C(known).isNotNull())
 
     strong = C("adx") >= 20
     made = {
         "rsi": vote(C("rsi") < 30, C("rsi") > 70, C("rsi").isNotNull()),
         "stochastic": vote(C("stoch_k") < 20, C("stoch_k") > 80, C("stoch_k").isNotNull()),
         "bollinger": vote(C("bb_pct") < 0, C("bb_pct") > 1, C("bb_pct").isNotNull()),
-        "macd": over("macd", "macd_signal"),
+        "macd": over("macd", "macd_signal", "macd"),
         "roc": vote(C("roc_20") > 0, C("roc_20") < 0, C("roc_20").isNotNull()),
-        "sma_20": over("close", "sma_20"),
-        "sma_50": over("close", "sma_50"),
-        "sma_200": over("close", "sma_200"),
-        "golden_cross": over("sma_50", "sma_200"),
+        "sma_20": over("close", "sma_20", "sma_20"),
+        "sma_50": over("close", "sma_50", "sma_50"),
+        "sma_200": over("close", "sma_200", "sma_200"),
+        "golden_cross": over("sma_50", "sma_200", "sma_200"),
         "adx": vote(strong & (C("di_plus") > C("di_minus")), strong & (C("di_plus") < C("di_minus")), C("adx").isNotNull()),
         "aroon": vote(C("aroon_osc") > 50, C("aroon_osc") < -50, C("aroon_osc").isNotNull()),
     }
     if "obv" in wide.columns:
-        made["obv"] = over("obv", "obv_sma")
+        made["obv"] = over("obv", "obv_sma", "obv_sma")
     return wide.withColumns({f"vote_{k}": v for k, v in made.items()})
 
 
@@ -62,7 +63,34 @@ def score(voted: DataFrame, least: int = LEAST_VOTES) -> DataFrame:
 
 
 def label(x: Column) -> Column:
-    return F.when(x.isNull(), "undefined").when(x >= 0.5, "strong_bull").when(x >= 0.15, "bull").when(x > -0.15, "neutral").when(x > -0.5, "bear").otherwise("strong_bear")
+    return F.when(x.isNull(), "undefined").when(x <= -STRONG, "strong_bear").when(x <= -WEAK, "bear").when(x < WEAK, "neutral").when(x < STRONG, "bull").otherwise("strong_bull")
+
+
+def readings(voted: DataFrame) -> DataFrame:
+    """What each rule says on each asset's last day: rule, group, the value it reads (null for crosses without one), its
+    vote, and the vote in words. Rules without a vote are left out."""
+    distance = lambda average: (C("close") / C(average) - 1) * 100
+    nothing = F.lit(None).cast("double")
+    value = {
+        "rsi": C("rsi"), "stochastic": C("stoch_k"), "bollinger": C("bb_pct"), "macd": C("macd") - C("macd_signal"), "roc": C("roc_20"),
+        "sma_20": distance("sma_20"), "sma_50": distance("sma_50"), "sma_200": distance("sma_200"), "golden_cross": nothing, "adx": C("adx"), "aroon": C("aroon_osc"), "obv": nothing,
+    }
+    # up, down and neither
+    words = {
+        "rsi": ("oversold, below 30", "overbought, above 70", "between 30 and 70"),
+        "stochastic": ("oversold, below 20", "overbought, above 80", "between 20 and 80"),
+        "bollinger": ("below the lower band", "above the upper band", "within the bands"),
+        "macd": ("above its signal", "below its signal", "at its signal"),
+        "roc": ("higher than 20 days ago", "lower than 20 days ago", "as 20 days ago"),
+        **{f"sma_{n}": (f"above the average of {n} days", f"below the average of {n} days", f"at the average of {n} days") for n in (20, 50, 200)},
+        "golden_cross": ("the 50-day average is above the 200-day one", "the 50-day average is below the 200-day one", "both averages are equal"),
+        "adx": ("a strong rise", "a strong fall", "no clear trend, below 20"),
+        "aroon": ("recent highs prevail", "recent lows prevail", "no clear direction"),
+        "obv": ("volume confirms buyers", "volume confirms sellers", "volume confirms neither"),
+    }
+    of = lambda rule: F.struct(F.lit(rule).alias("rule"), F.lit(RULES[rule]).alias("grp"), value[rule].cast("double").alias("value"), C(f"vote_{rule}").alias("vote"), F.when(C(f"vote_{rule}") > 0, words[rule][0]).when(C(f"vote_{rule}") < 0, words[rule][1]).otherwise(words[rule][2]).alias("reading"))
+    each = F.explode(F.array(*(of(v[5:]) for v in vote_columns(voted))))
+    return latest(voted).select("asset", "d", each.alias("v")).select("asset", "d", "v.*").where("vote IS NOT NULL")
 
 
 def latest(panel: DataFrame) -> DataFrame:
@@ -111,16 +139,19 @@ def levels(points: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def nearest_levels(found: DataFrame, panel: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest supports below and resistances above each asset's last close."""
+    """The k nearest supports below and resistances above each asset's last close; a level at the close is neither."""
     price = latest(panel).select("asset", C("close").alias("price"))
-    sided = found.join(price, "asset").withColumn("side", F.when(C("level") < C("price"), "support").otherwise("resistance")).withColumn("distance_pct", (C("level") / C("price") - 1) * 100)
+    sided = found.join(price, "asset").where("level <> price").withColumn("side", F.when(C("level") < C("price"), "support").otherwise("resistance")).withColumn("distance_pct", (C("level") / C("price") - 1) * 100)
     order = Window.partitionBy("asset", "side").orderBy(F.abs("distance_pct"), "level")
     return sided.withColumn("rank", F.row_number().over(order)).where(C("rank") <= k)
 
 
-def fibonacci(panel: DataFrame, days: int = 180) -> DataFrame:
-    """Seven levels between the extremes of the last days: down from the high if the low came first, else up."""
-    recent = panel.withColumn("__n", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("d")))).where(C("__n") <= days)
+def fibonacci(panel: DataFrame, days: int | None = None) -> DataFrame:
+    """Seven levels between the extremes of all days, or of the last ones: down from the high if the low came first, else
+    up."""
+    recent = panel
+    if days:
+        recent = panel.withColumn("__n", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("d")))).where(C("__n") <= days)
     ends = recent.groupBy("asset").agg(F.max("high").alias("top"), F.min("low").alias("bottom"), F.min_by("d", F.struct(-C("high"), "d")).alias("top_day"), F.min_by("d", F.struct("low", "d")).alias("bottom_day"))
     rising = C("bottom_day") < C("top_day")
     ratios = ends.withColumn("ratio", F.explode(F.array(*map(F.lit, RATIOS))))

@@ -13,6 +13,10 @@ C = F.col
 #: Days before each rule's signal means anything.
 WARM_UP = {"buy_hold": 0, "sma_cross": 50, "trend_filter": 100, "macd": 35, "rsi": 15, "bollinger": 20, "donchian": 21}
 RECURSIVE = ("macd", "rsi")
+#: Days that must follow the start; assets with fewer have no backtest.
+LEAST_DAYS = 30
+# The periods of the grid's averages.
+FAST, SLOW = (5, 10, 15, 20, 30, 40), (30, 50, 75, 100, 150, 200)
 
 
 def held(entry: Column, leave: Column) -> Column:
@@ -51,15 +55,17 @@ def numbered(panel: DataFrame) -> DataFrame:
 
 
 def positions(panel: DataFrame, rules: list[str] | None = None, start: int | None = None) -> DataFrame:
-    """asset, strategy, d, i, close, returns, position and turnover from the common start on (the longest warm-up, if not
-    given): a day's position is the target of the day before; buy and hold holds from the start."""
+    """asset, strategy, d, i, close, returns, position and turnover from the common start on (the longest warm-up, one day
+    at least, if not given): a day's position is the target of the day before; buy and hold holds from the start. Assets
+    without LEAST_DAYS days beyond the start are left out."""
     rules = list(rules or WARM_UP)
-    first = max(WARM_UP[s] for s in rules) if start is None else start
+    first = max(1, *(WARM_UP[s] for s in rules)) if start is None else start
     base = scans.recursive(panel) if any(s in RECURSIVE for s in rules) else panel
     wide = numbered(base).withColumns({f"__{s}": target(s) for s in rules})
     shifted = wide.withColumns({f"__{s}": F.coalesce(F.lag(f"__{s}").over(ordered()), F.lit(0.0)) if s != "buy_hold" else F.lit(1.0) for s in rules})
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), C(f"__{s}").alias("position")) for s in rules)))
-    long = shifted.where(C("i") >= first).select("asset", "d", "i", "close", "returns", each.alias("s")).select("asset", "s.strategy", "d", "i", "close", "returns", "s.position")
+    enough = shifted.withColumn("__n", F.count("*").over(Window.partitionBy("asset"))).where(C("__n") - LEAST_DAYS > first)
+    long = enough.where(C("i") >= first).select("asset", "d", "i", "close", "returns", each.alias("s")).select("asset", "s.strategy", "d", "i", "close", "returns", "s.position")
     order = Window.partitionBy("asset", "strategy").orderBy("d")
     return long.withColumn("turnover", F.abs(C("position") - F.coalesce(F.lag("position").over(order), F.lit(0.0))))
 
@@ -72,6 +78,14 @@ def backtest(panel: DataFrame, rules: list[str] | None = None, fee: float = conf
     return out.withColumns({"equity": capital * F.product(1 + C("net")).over(order), "ln_equity": F.sum(F.when(C("net") > -1, F.log1p("net"))).over(order)})
 
 
+def with_start(tested: DataFrame, panel: DataFrame, capital: float = 1.0) -> DataFrame:
+    """asset, strategy, d and equity, with the capital on the day before the first."""
+    first = tested.groupBy("asset", "strategy").agg(F.min("d").alias("first"))
+    before = panel.withColumn("next", F.lead("d").over(ordered())).select("asset", C("next").alias("first"), "d")
+    start = first.join(before, ["asset", "first"]).select("asset", "strategy", "d", F.lit(float(capital)).alias("equity"))
+    return tested.select("asset", "strategy", "d", "equity").unionByName(start)
+
+
 def trades(tested: DataFrame, panel: DataFrame, cost: float = config.FEE + config.SLIPPAGE) -> DataFrame:
     """The k-th entry with the k-th exit of each asset and strategy, at the closes of the days before; an open trade is
     valued at the last close. Costs count twice, open or not."""
@@ -88,14 +102,16 @@ def trades(tested: DataFrame, panel: DataFrame, cost: float = config.FEE + confi
 
 
 def metrics(tested: DataFrame, traded: DataFrame, rate: float = 0.0) -> DataFrame:
-    """Per asset and strategy: log growth, volatility, Sharpe ratio, deepest fall, time invested, trades, win rate of
-    closed ones and their average gain and loss."""
+    """Per asset and strategy: log growth, growth in all and a year, volatility, Sharpe, Sortino and Calmar ratio, deepest
+    fall, time invested, trades, win rate of closed ones and their average gain and loss."""
     keys = ["asset", "strategy"]
     peak = F.max("ln_equity").over(Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
     fall = tested.withColumn("fall", F.exp(C("ln_equity") - F.greatest(peak, F.lit(0.0))) - 1)
     curve = fall.groupBy(*keys).agg(
-        F.max_by("ln_equity", "d").alias("ln_total"), (F.stddev_samp("net") * config.PERIODS**0.5).alias("volatility"), risk.sharpe(C("net"), rate).alias("sharpe"), F.min("fall").alias("max_drawdown"), (F.avg("position") * 100).alias("invested_pct")
-    )
+        F.max_by("ln_equity", "d").alias("ln_total"), (F.stddev_samp("net") * config.PERIODS**0.5).alias("volatility"), risk.sharpe(C("net"), rate).alias("sharpe"), F.min("fall").alias("max_drawdown"), (F.avg("position") * 100).alias("invested_pct"),
+        risk.cagr(C("net")).alias("annual_return"), risk.sortino(C("net"), rate).alias("sortino"),
+    )
+    curve = curve.withColumns({"total_return": F.expm1("ln_total"), "calmar": F.when(C("max_drawdown") < 0, C("annual_return") / F.abs("max_drawdown"))})
     closed = ~C("is_open")
     of = traded.groupBy(*keys).agg(
         F.count("*").alias("trades"), (F.avg(F.when(closed, (C("result") > 0).cast("double"))) * 100).alias("win_rate"),
@@ -110,7 +126,7 @@ def better_than_holding(measured: DataFrame) -> DataFrame:
     return measured.where("strategy <> 'buy_hold'").join(base, "asset").where("sharpe > bench").select("asset", "strategy", "sharpe", "bench")
 
 
-def grid(panel: DataFrame, fast: tuple[int, ...] = (5, 10, 15, 20, 30, 50), slow: tuple[int, ...] = (20, 50, 80, 100, 150, 200), fee: float = config.FEE + config.SLIPPAGE, rate: float = 0.0) -> DataFrame:
+def grid(panel: DataFrame, fast: tuple[int, ...] = FAST, slow: tuple[int, ...] = SLOW, fee: float = config.FEE + config.SLIPPAGE, rate: float = 0.0) -> DataFrame:
     """Sharpe ratio and log growth of moving-average crosses for all pairs with fast < slow: each average is computed
     once, and a day's row carries the pairs."""
     wide = numbered(panel).withColumns({f"m{n}": indicators.sma(n) for n in sorted({*fast, *slow})})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.operators import normalize
+from candela.windows import full, ordered, rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,21 @@ def flag_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.prices(flag_bars(spark, sf_dir))
 
 
+def slow_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags' closes averaged over 20 days and made to fall by half a percent a day, so that rules can do better than
+    holding."""
+    fallen = F.exp(F.row_number().over(ordered()) * -0.005)
+    slow = flag_prices(spark, sf_dir).withColumn("close", full(F.col("close"), F.avg("close").over(rows(20)) * fallen, 20)).where("close IS NOT NULL")
+    return normalize.with_returns(slow.select("asset", "d", "close"))
+
+
+def flawed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with closes that must go: negative on the 13th, none on the 17th, nothing on the 23rd of each month."""
+    day = F.dayofmonth("d")
+    close = F.when(day == 13, -F.col("close")).when(day == 17, F.lit(None).cast("double")).when(day == 23, 0.0).otherwise(F.col("close"))
+    return brand_bars(spark, sf_dir).withColumn("close", close)
+
+
 def _lines_sql(asset: str, source: str) -> str:
     p = "l_extendedprice / l_quantity"
     return f"""SELECT {asset} AS asset, CAST(l_shipdate AS DATE) AS d,
@@ -90,3 +106,16 @@ prices AS (SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY d) - 1
 
 
 FLAG_PRICES = normalised_sql(FLAG_BARS)
+# named like the panel that it replaces
+SLOW_PRICES = f"""{FLAG_PRICES.replace("prices AS (SELECT", "daily AS (SELECT")},
+averaged AS (
+  SELECT asset, d, avg(close) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * exp(row_number() OVER (PARTITION BY asset ORDER BY d) * -0.005::DOUBLE) AS close,
+    row_number() OVER (PARTITION BY asset ORDER BY d) AS k
+  FROM daily
+),
+prices AS (
+  SELECT asset, d, close, close / lag(close) OVER (PARTITION BY asset ORDER BY d) - 1 AS returns, ln(close) - ln(lag(close) OVER (PARTITION BY asset ORDER BY d)) AS log_returns
+  FROM averaged WHERE k >= 20
+)"""
+FLAWED_BARS = f"""SELECT * REPLACE (CASE day(d) WHEN 13 THEN -close WHEN 17 THEN NULL WHEN 23 THEN 0.0 ELSE close END AS close)
+ FROM ({BRAND_BARS})"""

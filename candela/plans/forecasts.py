@@ -55,15 +55,51 @@ add(
     5,
 )
 _SCENES = "({}) AS sc(scenario, price)".format("VALUES " + ", ".join(f"('{s}', {s})" for s in sim.SCENARIOS))
-_VALUE = "1000.0 * (0.998::DOUBLE * 0.998::DOUBLE) * price / last_price"
+_KEPT = "(0.999::DOUBLE * 0.999::DOUBLE)"
 add(
     "forecast_scenarios",
     lambda p: sim.scenarios(fc.forecasts(p, HORIZON, ())).select("asset", "model", "scenario", F.log("price").alias("ln_price"), F.log("value").alias("ln_value")),
     f"""{_LAST}, ens AS (SELECT asset, model, step, mean, lo95, lo80, hi80, hi95 FROM pth UNION ALL SELECT asset, 'ensemble', step, avg(mean), avg(lo95), avg(lo80), avg(hi80), avg(hi95) FROM pth GROUP BY 1, 3),
 fin AS (SELECT e.asset, model, last, mean, lo95, lo80, hi80, hi95 FROM ens e JOIN kn ON kn.asset = e.asset WHERE step = {HORIZON}),
-sc AS ({' UNION ALL '.join(f"SELECT asset, model, '{s}' AS scenario, {s} AS lp, last FROM fin" for s in sim.SCENARIOS)}), o AS (SELECT asset, model, scenario, lp AS ln_price, ln(1000.0 * (0.998::DOUBLE * 0.998::DOUBLE)) + lp - last AS ln_value FROM sc)
+sc AS ({' UNION ALL '.join(f"SELECT asset, model, '{s}' AS scenario, {s} AS lp, last FROM fin" for s in sim.SCENARIOS)}), o AS (SELECT asset, model, scenario, lp AS ln_price, ln(1000.0 * ({_KEPT} * {_KEPT})) + lp - last AS ln_value FROM sc)
  SELECT asset, model, scenario, {r('ln_price')}, {r('ln_value')} FROM o""",
 )
+# of the closed forms alone, which SQL can say
+_Z95 = "1.9599639845400536::DOUBLE"
+add(
+    "forecast_report_closed",
+    lambda p: fc.report(p, HORIZON, FOLDS, ()).select("asset", "best", "skill", "windows", F.log("last_price").alias("ln_last"), F.log("expected_price").alias("ln_expected"), F.log("lo95").alias("ln_lo95"), F.log("hi95").alias("ln_hi95"), "beat_naive", "few_windows"),
+    f"""{WALK},
+mm AS (
+  SELECT f.asset, f.model, count(*) AS windows, 100 * (1 - avg(f.mape) / avg(b.mape)) AS skill
+  FROM fm f JOIN fm b ON b.asset = f.asset AND b.origin = f.origin AND b.model = 'naive' GROUP BY 1, 2
+),
+pl AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(skill, 6) DESC NULLS LAST, model <> 'naive', model) AS place, max(windows) OVER (PARTITION BY asset) AS total FROM mm),
+kl AS (
+  SELECT chg.asset, max_by(y, i) AS last, count(x) AS t, avg(x) AS mu, stddev_samp(x) AS sd FROM chg WHERE n >= {fc.LEAST_ROWS + HORIZON} GROUP BY 1
+),
+one AS (
+  SELECT asset, 'naive' AS model, last, last AS mid, {_Z95} * sd * sqrt({HORIZON}) AS wide FROM kl
+  UNION ALL SELECT asset, 'drift', last, last + mu * {HORIZON}, {_Z95} * sd * sqrt({HORIZON} * (1 + {HORIZON} / t)) FROM kl
+),
+fl AS (
+  SELECT asset, model, last, mid, mid - wide AS lo, mid + wide AS hi FROM one
+  UNION ALL SELECT asset, 'ensemble', any_value(last), avg(mid), avg(mid - wide), avg(mid + wide) FROM one GROUP BY 1
+),
+ok AS (SELECT pl.*, last, mid, lo, hi, windows >= {fc.LEAST_WINDOWS} AND mid IS NOT NULL AS reliable FROM pl LEFT JOIN fl ON fl.asset = pl.asset AND fl.model = pl.model),
+bt AS (
+  SELECT asset, coalesce(min_by(model, place) FILTER (reliable), 'naive') AS best,
+    coalesce(string_agg(model, ',' ORDER BY place) FILTER (reliable AND model <> 'naive' AND skill > 0), '') AS beat_naive,
+    coalesce(string_agg(model, ',' ORDER BY model) FILTER (windows < total), '') AS few_windows
+  FROM ok GROUP BY 1
+),
+o AS (
+  SELECT bt.asset, best, skill, windows, last AS ln_last, mid AS ln_expected, lo AS ln_lo95, hi AS ln_hi95, beat_naive, few_windows
+  FROM bt JOIN ok ON ok.asset = bt.asset AND ok.model = best
+)
+SELECT asset, best, windows, beat_naive, few_windows, {', '.join(r(c, 5) for c in ('skill', 'ln_last', 'ln_expected', 'ln_lo95', 'ln_hi95'))} FROM o""",
+    5,
+)
 add("forecast_report", lambda p: fc.report(p, HORIZON, FOLDS, fc.ITERATIVE))
 add("walk_forward_all", lambda p: fc.walk_forward(p, HORIZON, FOLDS, fc.ITERATIVE))
 for _model in fc.ITERATIVE:

@@ -84,13 +84,14 @@ def outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "data_quality",
-    f"""WITH {fx.normalised_sql(fx.BRAND_BARS)}, {_OUTLIERS}
-SELECT p.asset, count(*) AS points, min(p.d) AS start, max(p.d) AS "end", count(CASE WHEN was_filled THEN 1 END) AS filled_days, CAST(0 AS BIGINT) AS dropped_rows,
+    f"""WITH {fx.normalised_sql(fx.FLAWED_BARS)}, {_OUTLIERS}
+SELECT p.asset, count(*) AS points, min(p.d) AS start, max(p.d) AS "end", count(CASE WHEN was_filled THEN 1 END) AS filled_days,
+ (SELECT count(*) FROM raw WHERE raw.asset = p.asset AND (raw.close IS NULL OR raw.close <= 0)) AS dropped_rows,
  (SELECT max(gap) FROM seen s WHERE s.asset = p.asset) AS longest_gap, (SELECT first(trimmed) FROM trims t WHERE t.asset = p.asset) AS trimmed_start,
  (SELECT count(*) FROM flagged f WHERE f.asset = p.asset) AS outliers FROM prices p GROUP BY p.asset""",
 )
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.quality(fx.brand_bars(spark, sf_dir))
+    return normalize.quality(fx.flawed_bars(spark, sf_dir))
 
 
 @query("returns", f"WITH {fx.FLAG_PRICES} SELECT asset, d, {r('returns')}, {r('log_returns')} FROM prices")

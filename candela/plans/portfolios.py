@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def told(columns: dict[str, int], source: str, *keys: str) -> str:
 _BY = "OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 JOINT = """shr AS (SELECT asset, d, close FROM prices WHERE d IN (SELECT d FROM prices GROUP BY d HAVING count(close) = (SELECT count(DISTINCT asset) FROM prices))),
 jr AS (SELECT asset, d, r FROM (SELECT asset, d, close / lag(close) OVER (PARTITION BY asset ORDER BY d) - 1 AS r FROM shr) WHERE r IS NOT NULL)"""
-add("asset_stats", partial(pf.asset_stats, rate=0.04), f"""{JOINT}, lg AS (SELECT *, sum(ln(1 + r)) {_BY} AS l FROM jr), fl AS (SELECT *, exp(l - greatest(max(l) {_BY}, 0)) - 1 AS fall FROM lg),
+add("asset_stats", partial(pf.asset_stats, rate=0.04), f"""{JOINT}, lg AS (SELECT *, sum(ln(1 + r)) {_BY} AS l FROM jr), fl AS (SELECT *, exp(l - max(l) {_BY}) - 1 AS fall FROM lg),
 o AS (SELECT asset, sum(ln(1 + r)) * 365 / count(*) AS log_cagr, stddev_samp(r) * sqrt(365) AS volatility, (avg(r) - 0.04 / 365) * sqrt(365) / stddev_samp(r) AS sharpe, min(fall) AS max_drawdown, sum(ln(1 + r)) AS ln_total FROM fl GROUP BY 1) """ + told({"log_cagr": 6, "volatility": 6, "sharpe": 6, "max_drawdown": 6, "ln_total": 6}, "o", "asset"))
 CORR = JOINT + ", cor AS (SELECT a.asset AS i, b.asset AS j, corr(a.r, b.r) AS corr FROM jr a JOIN jr b ON a.d = b.d GROUP BY 1, 2)"
 add("corr_matrix", pf.correlations, CORR + " " + told({"corr": 6}, "cor", "i", "j"))
@@ -56,24 +57,143 @@ va AS (SELECT basket, d, flag, CASE WHEN flag = 1 THEN traded END AS traded, ln(
 add("turnover_cost", lambda p: pf.turnover_cost(pf.rebalanced(p, pf.equal_weights(p), "quarter")), _curve + ", o AS (SELECT basket, 0.002::DOUBLE + coalesce(sum(CASE WHEN flag = 1 THEN exp(ln_value) / (1 - 0.002::DOUBLE * traded) * 0.002::DOUBLE * traded END), 0) AS cost FROM va GROUP BY 1) " + told({"cost": 5}, "o", "basket"), 5)
 for _method in ("min_variance", "max_sharpe", "risk_parity"):
     add(f"optimize_{_method}", lambda p, method=_method: pf.optimised(p, method, 0.6, 0.04))
-add("random_portfolios", lambda p: pf.point(pf.random_baskets(p, 3000), pf.covariances(p), pf.log_growth(p), 0.04))
+_UNIFORM = "(('0x' || substr(md5('7{}:' || basket || ':' || asset || ':' || t), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657.0::DOUBLE"
+_E = repr(1 + 0.7 / math.e)
+add(
+    "random_portfolios",
+    lambda p: pf.point(pf.random_baskets(p, 3000), pf.covariances(p), pf.log_growth(p), 0.04).select("basket", "volatility", "expected_return", "sharpe"),
+    f"""{POINT},
+tr AS (SELECT asset, basket, t, {_UNIFORM.format('a')} * {_E}::DOUBLE AS p, {_UNIFORM.format('b')} AS v FROM mu, range(3000) b(basket), range(64) s(t)),
+tx AS (SELECT *, CASE WHEN p <= 1 THEN pow(p, 1 / 0.7::DOUBLE) ELSE -ln(({_E}::DOUBLE - p) / 0.7::DOUBLE) END AS x FROM tr),
+ga AS (SELECT basket, asset, min_by(x, t) AS g FROM tx WHERE v <= CASE WHEN p <= 1 THEN exp(-x) ELSE pow(x, 0.7::DOUBLE - 1) END GROUP BY 1, 2),
+bw AS (SELECT basket, asset, g / sum(g) OVER (PARTITION BY basket) AS w FROM ga),
+gr AS (SELECT basket, exp(sum(w * mu)) - 1 AS expected_return FROM bw JOIN mu ON mu.asset = bw.asset GROUP BY 1),
+vo AS (SELECT a.basket, sqrt(sum(a.w * b.w * cov)) AS volatility FROM bw a JOIN cov ON cov.i = a.asset JOIN bw b ON b.asset = cov.j AND b.basket = a.basket GROUP BY 1),
+o AS (SELECT CAST(vo.basket AS VARCHAR) AS basket, volatility, expected_return, (expected_return - 0.04) / volatility AS sharpe FROM vo JOIN gr ON gr.basket = vo.basket)
+"""
+    + told({"volatility": 5, "expected_return": 5, "sharpe": 5}, "o", "basket"),
+    5,
+)
+add(
+    "optimize_manual",
+    lambda p: pf.manual_weights(p, {"A": 3, "N": 1, "R": -2}),
+    "o AS (SELECT 'manual' AS basket, asset, CASE asset WHEN 'A' THEN 0.75 WHEN 'N' THEN 0.25 ELSE 0.0 END::DOUBLE AS w FROM (SELECT DISTINCT asset FROM prices)) " + told({"w": 6}, "o", "basket", "asset"),
+)
 
 _HASH = "('0x' || substr(md5('7:' || sim || ':' || ((day - 1) // b)), 1, 8))::BIGINT"
 BOOT = f"""lr AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS pos, log_returns - avg(log_returns) OVER (PARTITION BY asset) AS x, count(*) OVER (PARTITION BY asset) AS n FROM prices WHERE log_returns IS NOT NULL),
-sz AS (SELECT asset, max(n) AS n, greatest(1, least(20, max(n) // 4)) AS b FROM lr GROUP BY 1), gd AS (SELECT asset, n, b, sim, day FROM sz, range(300) t(sim), range(1, 61) u(day)),
+sz AS (SELECT asset, max(n) AS n, greatest(1, least(5, max(n) // 4)) AS b FROM lr GROUP BY 1), gd AS (SELECT asset, n, b, sim, day FROM sz, range(5000) t(sim), range(1, 61) u(day)),
 pt AS (SELECT asset, sim, day, ({_HASH} % n + (day - 1) % b) % n AS pos FROM gd),
 paths AS (SELECT pt.asset, sim, day, sum(x) OVER (PARTITION BY pt.asset, sim ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ln FROM pt JOIN lr ON lr.asset = pt.asset AND lr.pos = pt.pos)"""
 _PS = {5: 0.05, 25: 0.25, 50: 0.5, 75: 0.75, 95: 0.95}
-_V = "1000 * (0.998::DOUBLE * 0.998::DOUBLE) * exp(ln)"
-add("monte_carlo_bootstrap", lambda p: sim.fan(sim.bootstrap_paths(p, 300, 60)).select("asset", "day", *(F.log(f"p{q}").alias(f"p{q}") for q in _PS)), BOOT + f""", ev AS (SELECT asset, day, {_V} AS v FROM paths UNION ALL SELECT asset, 0, {_V.replace('exp(ln)', '1')} FROM paths WHERE day = 1),
-o AS (SELECT asset, CAST(day AS INT) AS day, {', '.join(f'ln(quantile_cont(v, {p})) AS p{q}' for q, p in _PS.items())} FROM ev GROUP BY 1, 2) """ + told({f"p{q}": 6 for q in _PS}, "o", "asset", "day"))
-add("monte_carlo_outcome", lambda p: sim.outcome(sim.bootstrap_paths(p, 300, 60)).select("asset", F.log("mean").alias("mean"), "median", "p_loss", "p_double", "var_95", "cvar_95"), BOOT + f""", la AS (SELECT asset, {_V} AS v FROM paths WHERE day = 60), st AS (SELECT asset, avg(v) AS mean, quantile_cont(v, 0.5) AS median, avg((v < 1000)::INT) AS p_loss, avg((v >= 2000)::INT) AS p_double, quantile_cont(v, 0.05) AS v5 FROM la GROUP BY 1),
-tl AS (SELECT la.asset, avg(v) AS tail FROM la JOIN st ON st.asset = la.asset WHERE v <= v5 GROUP BY 1), o AS (SELECT st.asset, ln(mean) AS mean, median, p_loss, p_double, greatest(0, 1000 - v5) AS var_95, greatest(0, 1000 - tail) AS cvar_95 FROM st JOIN tl ON tl.asset = st.asset) """ + told({"mean": 5, "median": 4, "p_loss": 5, "p_double": 5, "var_95": 4, "cvar_95": 4}, "o", "asset"), 5, median=4, var_95=4, cvar_95=4)
-add("monte_carlo_gbm", lambda p: sim.fan(sim.gbm_paths(p, 300, 60)))
-DCA = """nu AS (SELECT asset, d, close, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM prices), by0 AS (SELECT *, 1000.0::DOUBLE / count(*) OVER (PARTITION BY asset) AS amount FROM nu WHERE n >= 60 AND i % 30 = 0),
-buys AS (SELECT asset, d, close, amount, amount * 0.998::DOUBLE / close AS units FROM by0)"""
+_KEPT = "(0.999::DOUBLE * 0.999::DOUBLE)"
+_V = f"1000 * ({_KEPT} * {_KEPT}) * exp(ln)"
+add(
+    "monte_carlo_bootstrap",
+    lambda p: sim.fan(sim.bootstrap_paths(p)).select("asset", "day", *(F.log(f"p{q}").alias(f"p{q}") for q in _PS)),
+    f"""{BOOT},
+ev AS (
+  SELECT asset, day, {_V} AS v FROM paths
+  UNION ALL SELECT asset, 0, {_V.replace('exp(ln)', '1')} FROM paths WHERE day = 1
+),
+o AS (SELECT asset, CAST(day AS INT) AS day, {', '.join(f'ln(quantile_cont(v, {p})) AS p{q}' for q, p in _PS.items())} FROM ev GROUP BY 1, 2)
+"""
+    + told({f"p{q}": 6 for q in _PS}, "o", "asset", "day"),
+)
+_OUTCOME = {"mean": 5, "median": 4, "p5": 4, "p95": 4, "p_loss": 5, "p_double": 5, "var_95": 4, "cvar_95": 4}
+add(
+    "monte_carlo_outcome",
+    lambda p: sim.outcome(sim.bootstrap_paths(p)).select("asset", F.log("mean").alias("mean"), "median", "p5", F.log("p95").alias("p95"), "p_loss", "p_double", "var_95", "cvar_95"),
+    f"""{BOOT},
+la AS (SELECT asset, {_V} AS v FROM paths WHERE day = 60),
+st AS (
+  SELECT asset, avg(v) AS mean, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95,
+    avg((v < 1000)::INT) AS p_loss, avg((v >= 2000)::INT) AS p_double
+  FROM la GROUP BY 1
+),
+tl AS (SELECT la.asset, avg(v) AS tail FROM la JOIN st ON st.asset = la.asset WHERE v <= p5 GROUP BY 1),
+o AS (
+  SELECT st.asset, ln(mean) AS mean, median, p5, ln(p95) AS p95, p_loss, p_double, greatest(0, 1000 - p5) AS var_95, greatest(0, 1000 - tail) AS cvar_95
+  FROM st JOIN tl ON tl.asset = st.asset
+)
+"""
+    + told(_OUTCOME, "o", "asset"),
+    5,
+    **{c: n for c, n in _OUTCOME.items() if n != 5},
+)
+add(
+    "monte_carlo_samples",
+    lambda p: sim.samples(sim.bootstrap_paths(p)).select("asset", "sim", "day", F.log("value").alias("ln_value")),
+    f"""{BOOT},
+o AS (
+  SELECT asset, sim, CAST(day AS INT) AS day, ln(1000 * ({_KEPT} * {_KEPT})) + ln AS ln_value FROM paths WHERE sim < 30
+  UNION ALL SELECT asset, sim, 0, ln(1000 * ({_KEPT} * {_KEPT})) FROM paths WHERE sim < 30 AND day = 1
+)
+"""
+    + told({"ln_value": 6}, "o", "asset", "sim", "day"),
+)
+add(
+    "monte_carlo_assumptions",
+    lambda p: sim.assumptions(p, "historical"),
+    """o AS (
+  SELECT asset, avg(log_returns) * 365 * 100 AS annual_drift, stddev_samp(log_returns) * sqrt(365) * 100 AS annual_volatility
+  FROM prices WHERE log_returns IS NOT NULL GROUP BY 1 HAVING count(*) >= 30
+)
+"""
+    + told({"annual_drift": 4, "annual_volatility": 4}, "o", "asset"),
+    4,
+)
+_DRAW = "(('0x' || substr(md5('{}:' || sim || ':' || day || ':' || asset), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
+add(
+    "monte_carlo_gbm",
+    lambda p: sim.fan(sim.gbm_paths(p)).select("asset", "day", *(F.log(f"p{q}").alias(f"p{q}") for q in _PS)),
+    f"""sd AS (SELECT asset, stddev_samp(log_returns) AS sd FROM prices WHERE log_returns IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
+gd AS (SELECT asset, sd, sim, day FROM sd, range(5000) t(sim), range(1, 61) u(day)),
+zs AS (SELECT asset, sim, day, sd * sqrt(-2 * ln({_DRAW.format(8)})) * cos(2 * pi() * {_DRAW.format(9)}) AS x FROM gd),
+paths AS (SELECT asset, sim, day, sum(x) OVER (PARTITION BY asset, sim ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ln FROM zs),
+ev AS (
+  SELECT asset, day, {_V} AS v FROM paths
+  UNION ALL SELECT asset, 0, {_V.replace('exp(ln)', '1')} FROM paths WHERE day = 1
+),
+o AS (SELECT asset, CAST(day AS INT) AS day, {', '.join(f'ln(quantile_cont(v, {p})) AS p{q}' for q, p in _PS.items())} FROM ev GROUP BY 1, 2)
+"""
+    + told({f"p{q}": 6 for q in _PS}, "o", "asset", "day"),
+)
+DCA = f"""nu AS (
+  SELECT asset, d, close, row_number() OVER (PARTITION BY asset ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM prices
+),
+by0 AS (SELECT *, 1000.0::DOUBLE / count(*) OVER (PARTITION BY asset) AS amount FROM nu WHERE n >= 14 AND i % 7 = 0),
+buys AS (SELECT asset, d, close, amount, amount * {_KEPT} / close AS units FROM by0)"""
 add("dca_purchases", lambda p: sim.purchases(p).select("asset", "d", "amount", "units"), DCA + " " + told({"amount": 6, "units": 6}, "buys", "asset", "d"))
-_LUMP = f""", va AS (SELECT p.asset, p.d, 1000 * 0.998::DOUBLE * p.close / first_value(p.close) OVER (PARTITION BY p.asset ORDER BY p.d) AS lump,
- coalesce(sum(units) OVER w, 0) * p.close + 1000 - coalesce(sum(amount) OVER w, 0) AS regular FROM prices p LEFT JOIN buys b ON b.asset = p.asset AND b.d = p.d WINDOW w AS (PARTITION BY p.asset ORDER BY p.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-fv AS (SELECT *, lump / max(lump) {_BY} - 1 AS lf, regular / max(regular) {_BY} - 1 AS rf FROM va), o AS (SELECT asset, last(lump ORDER BY d) * 0.998::DOUBLE AS lump_final, last(regular ORDER BY d) * 0.998::DOUBLE AS regular_final, min(lf) AS lump_drawdown, min(rf) AS regular_drawdown FROM fv GROUP BY 1) """
-add("dca_vs_lump", sim.comparison, DCA + _LUMP + told({"lump_final": 5, "regular_final": 5, "lump_drawdown": 6, "regular_drawdown": 6}, "o", "asset"), 6, lump_final=5, regular_final=5)
+_LUMP = f""",
+va AS (
+  SELECT p.asset, p.d, p.close, first_value(p.close) OVER w AS first_price, 1000 * {_KEPT} * p.close / first_value(p.close) OVER w AS lump,
+    coalesce(sum(units) OVER w, 0) AS units, coalesce(sum(amount) OVER w, 0) AS invested, count(amount) OVER w AS buys
+  FROM prices p LEFT JOIN buys b ON b.asset = p.asset AND b.d = p.d
+  WINDOW w AS (PARTITION BY p.asset ORDER BY p.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+vb AS (SELECT *, units * close + 1000 - invested AS regular FROM va)"""
+add(
+    "dca_curve",
+    lambda p: sim.lump_and_regular(p).select("asset", "d", F.log("lump").alias("ln_lump"), F.log("regular").alias("ln_regular"), "invested"),
+    f"{DCA}{_LUMP}, o AS (SELECT asset, d, ln(lump) AS ln_lump, ln(regular) AS ln_regular, invested FROM vb) " + told({"ln_lump": 6, "ln_regular": 6, "invested": 4}, "o", "asset", "d"),
+    6,
+    invested=4,
+)
+_COMPARED = {"lump_final": 5, "regular_final": 5, "lump_return": 5, "regular_return": 5, "lump_price": 4, "regular_price": 4, "lump_drawdown": 6, "regular_drawdown": 6}
+add(
+    "dca_vs_lump",
+    sim.comparison,
+    f"""{DCA}{_LUMP},
+fv AS (SELECT *, lump / max(lump) {_BY} - 1 AS lf, regular / max(regular) {_BY} - 1 AS rf FROM vb),
+en AS (
+  SELECT asset, last(lump ORDER BY d) * {_KEPT} AS lump_final, last(regular - units * close * (1 - {_KEPT}) ORDER BY d) AS regular_final, last(first_price ORDER BY d) AS lump_price,
+    1000 * {_KEPT} / last(units ORDER BY d) AS regular_price, last(buys ORDER BY d) AS regular_buys, min(lf) AS lump_drawdown, min(rf) AS regular_drawdown
+  FROM fv GROUP BY 1
+),
+o AS (SELECT *, (lump_final / 1000 - 1) * 100 AS lump_return, (regular_final / 1000 - 1) * 100 AS regular_return FROM en)
+"""
+    + told(_COMPARED, "o", "asset", "regular_buys"),
+    6,
+    **{c: n for c, n in _COMPARED.items() if n != 6},
+)

@@ -63,16 +63,33 @@ add("rolling_corr_90", lambda p: risk.rolling_correlation(p.where("asset <> 'A'"
 
 
 def _sc(x: str, low: float, high: float) -> str:
-    return f"coalesce(greatest(0.0, least(10.0, ({x} - {low}) / ({high} - {low}) * 10)), 5.0)"
-
-
-SCORES = f"""{RATIOS}, {VAR}, {DRAW}, sco AS (SELECT rat.asset, {_sc('volatility', 0.0, 1.2)} AS volatility_score, {_sc('-max_drawdown', 0.0, 0.9)} AS drawdown_score, {_sc('-least(var_95, 0)', 0.0, 0.1)} AS var_score, {_sc('-sharpe', -2.0, 1.0)} AS sharpe_score
- FROM rat JOIN var ON var.asset = rat.asset JOIN draw ON draw.asset = rat.asset), scored AS (SELECT *, 0.3::DOUBLE * volatility_score + 0.25 * drawdown_score + 0.25 * var_score + 0.2::DOUBLE * sharpe_score AS risk_score FROM sco),
-leveled AS (SELECT *, CASE WHEN risk_score < 2.5 THEN 'low' WHEN risk_score < 5 THEN 'moderate' WHEN risk_score < 7.5 THEN 'high' ELSE 'very_high' END AS risk_level FROM scored)"""
+    return f"CASE WHEN ({x}) IS NULL THEN 5.0 ELSE greatest(0.0, least(10.0, ({x} - {low}) / ({high} - {low}) * 10)) END"
+
+
+SCORES = f"""{RATIOS},
+{VAR},
+{DRAW},
+{VOLS},
+sco AS (
+  SELECT rat.asset,
+    {_sc('vol_30', 0.0, 120.0)} AS volatility_score,
+    {_sc('abs(max_drawdown) * 100', 0.0, 80.0)} AS drawdown_score,
+    {_sc('CASE WHEN var_95 < 0 THEN -var_95 * 100 WHEN var_95 >= 0 THEN 0 END', 0.0, 8.0)} AS var_score,
+    {_sc('sharpe', 2.0, -1.0)} AS sharpe_score
+  FROM rat JOIN var ON var.asset = rat.asset JOIN draw ON draw.asset = rat.asset JOIN vols ON vols.asset = rat.asset
+),
+scored AS (
+  SELECT *, 0.3::DOUBLE * volatility_score + 0.25 * drawdown_score + 0.25 * var_score + 0.2::DOUBLE * sharpe_score AS risk_score
+  FROM sco
+),
+leveled AS (
+  SELECT *, CASE WHEN risk_score <= 2.5 THEN 'low' WHEN risk_score <= 5 THEN 'moderate' WHEN risk_score <= 7.5 THEN 'high' ELSE 'very_high' END AS risk_level
+  FROM scored
+)"""
 _SCORE_COLUMNS = ["volatility_score", "drawdown_score", "var_score", "sharpe_score", "risk_score"]
 add("risk_score", lambda p: risk.report(p, 0.04).select("asset", *_SCORE_COLUMNS, "risk_level"), SCORES + " " + told(dict.fromkeys(_SCORE_COLUMNS, 6), "leveled", "asset", "risk_level"))
-_REPORT = {"volatility": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "current": 6, "var_95": 6, "cvar_99": 6, "cf_var_95": 6, "skew": 6, "kurtosis": 6, "vol_30": 5, "risk_score": 6}
-add("risk_report", lambda p: risk.report(p, 0.04).select("asset", "trough_day", "best_day", "extreme_days", "risk_level", *_REPORT), f"{SCORES}, {TAILS}, {VOLS} " + told(_REPORT, "leveled JOIN rat USING (asset) JOIN draw USING (asset) JOIN var USING (asset) JOIN tails USING (asset) JOIN vols USING (asset)", "asset", "trough_day", "best_day", "extreme_days", "risk_level"), vol_30=5)
+_REPORT = {"volatility": 6, "log_calmar": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "current": 6, "var_95": 6, "cvar_99": 6, "cf_var_95": 6, "skew": 6, "kurtosis": 6, "vol_30": 5, "risk_score": 6}
+add("risk_report", lambda p: risk.report(p, 0.04).withColumn("log_calmar", F.log("calmar")).select("asset", "trough_day", "best_day", "extreme_days", "risk_level", *_REPORT), f"{SCORES}, {TAILS} " + told(_REPORT, "(SELECT *, ln(cagr / abs(max_drawdown)) AS log_calmar FROM leveled JOIN rat USING (asset) JOIN draw USING (asset) JOIN var USING (asset) JOIN tails USING (asset) JOIN vols USING (asset))", "asset", "trough_day", "best_day", "extreme_days", "risk_level"), vol_30=5)
 add("return_histogram", risk.histogram, """he AS (SELECT asset, quantile_cont(returns, 0.005) AS a, quantile_cont(returns, 0.995) AS b FROM prices WHERE returns IS NOT NULL GROUP BY 1),
 hb AS (SELECT p.asset, CAST(least(floor((returns - a) / (b - a) * 70), 69) AS INT) AS bin FROM prices p JOIN he ON he.asset = p.asset WHERE returns BETWEEN a AND b) SELECT asset, bin, count(*) AS n FROM hb GROUP BY 1, 2""")
 QUERIES["position_size"] = lambda spark, sf_dir: rounded(fx.table(spark, sf_dir, "customer").select("c_custkey", risk.position_size(F.col("c_acctbal"), F.lit(0.02), F.pmod("c_custkey", F.lit(7)).cast("double") / 100).alias("size")))

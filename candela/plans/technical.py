@@ -98,17 +98,26 @@ def _vote_sql(up: str, down: str, valid: str) -> str:
     return f"CASE WHEN {valid} THEN CASE WHEN {down} THEN -1 WHEN {up} THEN 1 ELSE 0 END END"
 
 
-def _over_sql(a: str, b: str) -> str:
-    return _vote_sql(f"{a} > {b}", f"{a} < {b}", f"{a} IS NOT NULL AND {b} IS NOT NULL")
+def _over_sql(a: str, b: str, known: str) -> str:
+    return _vote_sql(f"{a} > {b}", f"{a} < {b}", f"{known} IS NOT NULL")
 
 
 _RULES_SQL = {
-    "rsi": _vote_sql("rsi < 30", "rsi > 70", "rsi IS NOT NULL"), "stochastic": _vote_sql("stoch_k < 20", "stoch_k > 80", "stoch_k IS NOT NULL"), "roc": _vote_sql("roc_20 > 0", "roc_20 < 0", "roc_20 IS NOT NULL"),
-    "macd": _over_sql("macd", "macd_signal"), "sma_20": _over_sql("close", "sma_20"), "sma_50": _over_sql("close", "sma_50"), "sma_200": _over_sql("close", "sma_200"), "golden_cross": _over_sql("sma_50", "sma_200"),
-    "adx": _vote_sql("adx >= 20 AND di_plus > di_minus", "adx >= 20 AND di_plus < di_minus", "adx IS NOT NULL"), "aroon": _vote_sql("aroon_osc > 50", "aroon_osc < -50", "aroon_osc IS NOT NULL"),
-    "bollinger": _vote_sql("bb_pct < 0", "bb_pct > 1", "bb_pct IS NOT NULL"), "obv": _over_sql("obv", "obv_sma"),
-}
-VOTES = f"{WIDE}, voted AS (SELECT asset, d, close, {', '.join(f'{x} AS vote_{k}' for k, x in _RULES_SQL.items())} FROM wide)"
+    "rsi": _vote_sql("rsi < 30", "rsi > 70", "rsi IS NOT NULL"),
+    "stochastic": _vote_sql("stoch_k < 20", "stoch_k > 80", "stoch_k IS NOT NULL"),
+    "bollinger": _vote_sql("bb_pct < 0", "bb_pct > 1", "bb_pct IS NOT NULL"),
+    "macd": _over_sql("macd", "macd_signal", "macd"),
+    "roc": _vote_sql("roc_20 > 0", "roc_20 < 0", "roc_20 IS NOT NULL"),
+    "sma_20": _over_sql("close", "sma_20", "sma_20"),
+    "sma_50": _over_sql("close", "sma_50", "sma_50"),
+    "sma_200": _over_sql("close", "sma_200", "sma_200"),
+    "golden_cross": _over_sql("sma_50", "sma_200", "sma_200"),
+    "adx": _vote_sql("adx >= 20 AND di_plus > di_minus", "adx >= 20 AND di_plus < di_minus", "adx IS NOT NULL"),
+    "aroon": _vote_sql("aroon_osc > 50", "aroon_osc < -50", "aroon_osc IS NOT NULL"),
+    "obv": _over_sql("obv", "obv_sma", "obv_sma"),
+}
+_GROUPS_SQL = {"oscillator": ("rsi", "stochastic", "bollinger", "macd", "roc"), "trend": ("sma_20", "sma_50", "sma_200", "golden_cross", "adx", "aroon", "obv")}
+VOTES = f"{WIDE}, voted AS (SELECT *, {', '.join(f'{x} AS vote_{k}' for k, x in _RULES_SQL.items())} FROM wide)"
 _NAMES = [f"vote_{k}" for k in signals.RULES]
 
 
@@ -122,19 +131,41 @@ _COUNT = " + ".join(f"({n} IS NOT NULL)::INT" for n in _NAMES)
 QUERIES["technical_score"] = lambda spark, sf_dir: rounded(signals.score(voted(fx.flag_prices(spark, sf_dir))).select(*KEYS, "votes", "score"))
 ORACLES["technical_score"] = f"WITH RECURSIVE {fx.FLAG_PRICES}, {VOTES}, counted AS (SELECT asset, d, {_COUNT} AS votes, {' + '.join(f'coalesce({n}, 0)' for n in _NAMES)} AS total FROM voted) , told AS (SELECT asset, d, votes, CASE WHEN votes >= 5 THEN total::DOUBLE / votes END AS score FROM counted) SELECT asset, d, votes, {r('score')} FROM told"
 QUERIES["technical_summary"] = lambda spark, sf_dir: rounded(signals.summary(voted(fx.flag_prices(spark, sf_dir))))
-_LABEL = "CASE WHEN mean IS NULL THEN 'undefined' WHEN mean >= 0.5 THEN 'strong_bull' WHEN mean >= 0.15 THEN 'bull' WHEN mean > -0.15 THEN 'neutral' WHEN mean > -0.5 THEN 'bear' ELSE 'strong_bear' END"
+_LABEL = "CASE WHEN mean IS NULL THEN 'undefined' WHEN mean <= -0.5 THEN 'strong_bear' WHEN mean <= -0.1 THEN 'bear' WHEN mean < 0.1 THEN 'neutral' WHEN mean < 0.5 THEN 'bull' ELSE 'strong_bull' END"
 ORACLES["technical_summary"] = f"""WITH RECURSIVE {fx.FLAG_PRICES}, {VOTES}, fin AS (SELECT * FROM voted QUALIFY d = max(d) OVER (PARTITION BY asset)),
-lng AS ({" UNION ALL ".join(f"SELECT asset, d, '{g}' AS grp, vote_{k} AS vote FROM fin" for k, g in signals.RULES.items())}), grown AS (SELECT * FROM lng UNION ALL SELECT asset, d, 'all', vote FROM lng),
+lng AS ({" UNION ALL ".join(f"SELECT asset, d, '{g}' AS grp, vote_{k} AS vote FROM fin" for g, ks in _GROUPS_SQL.items() for k in ks)}), grown AS (SELECT * FROM lng UNION ALL SELECT asset, d, 'all', vote FROM lng),
 agg AS (SELECT asset, d, grp, count(vote) AS votes, count(CASE WHEN vote > 0 THEN 1 END) AS ups, count(CASE WHEN vote < 0 THEN 1 END) AS downs, avg(vote) AS mean FROM grown GROUP BY 1, 2, 3)
 SELECT asset, d, grp, votes, ups, downs, {r("mean")}, {_LABEL} AS label FROM agg"""
 
+QUERIES["vote_readings"] = lambda spark, sf_dir: rounded(signals.readings(voted(fx.flag_prices(spark, sf_dir))).select(*KEYS, "rule", "grp", "value", "vote", "reading"), 4)
+# rule: (value, words for up, for down, for neither)
+_READINGS = {
+    "rsi": ("rsi", "oversold, below 30", "overbought, above 70", "between 30 and 70"),
+    "stochastic": ("stoch_k", "oversold, below 20", "overbought, above 80", "between 20 and 80"),
+    "bollinger": ("bb_pct", "below the lower band", "above the upper band", "within the bands"),
+    "macd": ("macd - macd_signal", "above its signal", "below its signal", "at its signal"),
+    "roc": ("roc_20", "higher than 20 days ago", "lower than 20 days ago", "as 20 days ago"),
+    "sma_20": ("(close / sma_20 - 1) * 100", "above the average of 20 days", "below the average of 20 days", "at the average of 20 days"),
+    "sma_50": ("(close / sma_50 - 1) * 100", "above the average of 50 days", "below the average of 50 days", "at the average of 50 days"),
+    "sma_200": ("(close / sma_200 - 1) * 100", "above the average of 200 days", "below the average of 200 days", "at the average of 200 days"),
+    "golden_cross": ("NULL", "the 50-day average is above the 200-day one", "the 50-day average is below the 200-day one", "both averages are equal"),
+    "adx": ("adx", "a strong rise", "a strong fall", "no clear trend, below 20"),
+    "aroon": ("aroon_osc", "recent highs prevail", "recent lows prevail", "no clear direction"),
+    "obv": ("NULL", "volume confirms buyers", "volume confirms sellers", "volume confirms neither"),
+}
+_GROUP_OF = {k: g for g, ks in _GROUPS_SQL.items() for k in ks}
+_EACH_READING = " UNION ALL ".join(f"SELECT asset, d, '{k}' AS rule, '{_GROUP_OF[k]}' AS grp, CAST({v} AS DOUBLE) AS value, vote_{k} AS vote, CASE WHEN vote_{k} > 0 THEN '{a}' WHEN vote_{k} < 0 THEN '{b}' ELSE '{c}' END AS reading FROM fin" for k, (v, a, b, c) in _READINGS.items())
+ORACLES["vote_readings"] = f"""WITH RECURSIVE {fx.FLAG_PRICES}, {VOTES},
+fin AS (SELECT * FROM voted QUALIFY d = max(d) OVER (PARTITION BY asset)),
+said AS ({_EACH_READING})
+SELECT asset, d, rule, grp, {r('value', 4)}, vote, reading FROM said WHERE vote IS NOT NULL"""
+
 _AROUND = "OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)"
 PIVOTS = f"""piv AS (SELECT asset, d, high, low, count(close) {_AROUND} AS n, max(high) {_AROUND} AS mh, min(low) {_AROUND} AS ml FROM prices),
 pivots AS (SELECT asset, d, high AS value, 'high' AS kind FROM piv WHERE n = 15 AND high = mh UNION ALL SELECT asset, d, low, 'low' FROM piv WHERE n = 15 AND low = ml)"""
 QUERIES["pivots"] = lambda spark, sf_dir: rounded(signals.pivots(fx.flag_prices(spark, sf_dir)), 4)
 ORACLES["pivots"] = f"WITH {fx.FLAG_PRICES}, {PIVOTS} SELECT asset, d, {r('value', 4)}, kind FROM pivots"
-FIB = """rec180 AS (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY asset ORDER BY d DESC) <= 180),
-ends AS (SELECT asset, max(high) AS top, min(low) AS bottom, first(d ORDER BY high DESC, d) AS top_day, first(d ORDER BY low, d) AS bottom_day FROM rec180 GROUP BY 1),
+FIB = """ends AS (SELECT asset, max(high) AS top, min(low) AS bottom, first(d ORDER BY high DESC, d) AS top_day, first(d ORDER BY low, d) AS bottom_day FROM prices GROUP BY 1),
 fib AS (SELECT asset, bottom_day < top_day AS uptrend, top, bottom, ratio, CASE WHEN bottom_day < top_day THEN top - (top - bottom) * ratio ELSE bottom + (top - bottom) * ratio END AS level FROM ends, (SELECT unnest([0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]::DOUBLE[]) AS ratio))"""
 QUERIES["fibonacci"] = lambda spark, sf_dir: rounded(signals.fibonacci(fx.flag_prices(spark, sf_dir)), 4)
 ORACLES["fibonacci"] = f"WITH {fx.FLAG_PRICES}, {FIB} SELECT asset, uptrend, {r('top', 4)}, {r('bottom', 4)}, {r('ratio', 4)}, {r('level', 4)} FROM fib"
@@ -155,6 +186,6 @@ cl AS (SELECT pv.asset, k, 1 AS c, value AS s, 1 AS n, d AS last_touch, toleranc
  CASE WHEN p.value <= c.s / c.n * (1 + tolerance) THEN c.n + 1 ELSE 1 END, CASE WHEN p.value <= c.s / c.n * (1 + tolerance) THEN greatest(c.last_touch, p.d) ELSE p.d END, tolerance FROM cl c JOIN pv p ON p.asset = c.asset AND p.k = c.k + 1),
 lv AS (SELECT asset, c, last(s / n ORDER BY k) AS level, CAST(max(n) AS BIGINT) AS touches, last(last_touch ORDER BY k) AS last_touch FROM cl GROUP BY 1, 2),
 px AS (SELECT asset, last(close ORDER BY d) AS price FROM prices GROUP BY 1),
-sd AS (SELECT lv.asset, CASE WHEN level < price THEN 'support' ELSE 'resistance' END AS side, level, touches, last_touch, (level / price - 1) * 100 AS distance_pct FROM lv JOIN px ON px.asset = lv.asset),
+sd AS (SELECT lv.asset, CASE WHEN level < price THEN 'support' ELSE 'resistance' END AS side, level, touches, last_touch, (level / price - 1) * 100 AS distance_pct FROM lv JOIN px ON px.asset = lv.asset WHERE level <> price),
 rk AS (SELECT *, row_number() OVER (PARTITION BY asset, side ORDER BY abs(distance_pct), level) AS rank FROM sd)
 SELECT asset, side, CAST(rank AS INT) AS rank, {r('level', 4)}, touches, last_touch, {r('distance_pct', 4)} FROM rk WHERE rank <= 3"""

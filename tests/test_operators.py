@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela.functions import formatting
-from candela.operators import forecast, models, portfolio, scans, simulate, strategies
+from candela.operators import forecast, models, portfolio, risk, scans, signals, simulate, strategies
 from candela.operators import normalize
 from candela.sources import market
 from candela.streaming import bars
@@ -78,12 +78,12 @@ def test_optimised_weights(spark, walk):
 def test_monte_carlo_without_drift_is_neutral(spark, walk):
     paths = simulate.bootstrap_paths(_panel(spark, walk), 1000, 30)
     day = {r.day: r.p50 for r in simulate.fan(paths).collect()}
-    assert day[0] == pytest.approx(1000 * 0.998**2) and day[30] == pytest.approx(1000, rel=0.05)
+    assert day[0] == pytest.approx(1000 * 0.999**4) and day[30] == pytest.approx(1000, rel=0.05)
 
 
 @pytest.mark.parametrize("model", forecast.ITERATIVE)
 def test_models_give_nested_bands(model, walk):
-    paths, info = models.forecast(model, np.log(walk), 20, np.log(walk[:200]))
+    paths, info = models.forecast(model, np.log(walk), 20, (1, 1, True))
     assert all(len(p) == 20 and np.isfinite(p).all() for p in paths.values()) and all(np.isfinite(v) for v in info.values())
     assert (paths["lo95"] <= paths["lo80"]).all() and (paths["lo80"] <= paths["mean"]).all() and (paths["hi80"] <= paths["hi95"]).all()
 
@@ -114,11 +114,12 @@ def test_report_and_walk_forward_see_all_models(spark):
     prices = np.exp(3 + 0.05 * np.random.default_rng(6).normal(size=150))
     y = np.log(prices)
     at = [len(y) - h - k * 5 for k in range(folds)]
+    order = min((models.arima_aicc(y[: min(at)], *o), *o) for o in models.ORDERS)[1:]
     errors = {}
     for origin in at:
         known = y[:origin]
         paths = {"naive": np.full(h, known[-1]), "drift": known[-1] + np.diff(known).mean() * np.arange(1, h + 1)}
-        paths |= {m: models.forecast(m, known, h, y[: min(at)])[0]["mean"] for m in forecast.ITERATIVE}
+        paths |= {m: models.forecast(m, known, h, order)[0]["mean"] for m in forecast.ITERATIVE}
         paths["ensemble"] = np.mean(list(paths.values()), axis=0)
         for m, mean in paths.items():
             errors[m, origin] = 100 * np.mean(np.abs(np.exp(mean) / prices[origin : origin + h] - 1))
@@ -205,3 +206,102 @@ def test_streamed_bars_are_the_batch_bars(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "bars")).collect()}
     wanted = {tuple(r) for r in bars.bars(ticks).collect()}
     assert got and got <= wanted
+
+
+def test_risk_score_by_hand(spark):
+    """60 % of volatility, a fall of 40 %, 4 % at risk and a Sharpe ratio of 0.5 are in the middle of each scale."""
+    rows = [("mid", 60.0, -0.4, -0.04, 0.5), ("calm", 0.0, 0.0, 0.01, 2.5), ("wild", 150.0, -0.9, -0.2, -3.0), ("unknown", None, -0.4, -0.04, 0.5), ("quarter", 30.0, -0.2, -0.02, 1.25)]
+    got = {r.asset: (r.risk_score, r.risk_level) for r in risk.scores(spark.createDataFrame(rows, "asset string, vol_30 double, max_drawdown double, var_95 double, sharpe double")).collect()}
+    assert {k: v for k, (_, v) in got.items()} == {"mid": "moderate", "calm": "low", "wild": "very_high", "unknown": "moderate", "quarter": "low"}
+    assert [got[k][0] for k in ("mid", "calm", "wild", "unknown", "quarter")] == pytest.approx([5.0, 0.0, 10.0, 5.0, 2.5])
+
+
+def test_labels_at_their_bounds(spark):
+    values = [None, -0.5, -0.49, -0.1, -0.09, 0.0, 0.09, 0.1, 0.49, 0.5]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").withColumn("label", signals.label(F.col("x"))).orderBy("k").collect()
+    assert [r.label for r in rows] == ["undefined", "strong_bear", "bear", "bear", "neutral", "neutral", "neutral", "bull", "bull", "strong_bull"]
+    assert [sum(g == x for g in signals.RULES.values()) for x in ("oscillator", "trend")] == [5, 7]
+
+
+def test_levels_at_the_price_are_neither(spark):
+    panel = _panel(spark, [90.0, 100.0])
+    found = spark.createDataFrame([("a", 100.0, 2, dt.date(2024, 1, 1)), ("a", 95.0, 1, dt.date(2024, 1, 1)), ("a", 104.0, 1, dt.date(2024, 1, 1))], "asset string, level double, touches long, last_touch date")
+    assert sorted((r.side, r.level) for r in signals.nearest_levels(found, panel).collect()) == [("resistance", 104.0), ("support", 95.0)]
+
+
+def test_fibonacci_of_all_days(spark):
+    up = [10.0, *[50.0] * 200, 110.0]
+    got = {round(r.ratio, 3): r.level for r in signals.fibonacci(_panel(spark, up)).collect()}
+    assert got[0.0] == 115.0 and got[1.0] == 5.0 and got[0.5] == 60.0  # highs are five above the closes, lows five below
+
+
+def test_regular_buying_by_hand(spark):
+    flat = simulate.comparison(_panel(spark, [100.0] * 100)).first()
+    assert flat.regular_buys == 15 and flat.lump_final == pytest.approx(1000 * 0.999**4) == flat.regular_final and flat.regular_price == pytest.approx(100.0)
+    rising = simulate.comparison(_panel(spark, np.linspace(100, 200, 100))).first()
+    prices = np.linspace(100, 200, 100)[::7]
+    units = (1000 / 15 * 0.999**2 / prices).sum()
+    assert rising.regular_final == pytest.approx(units * 200 * 0.999**2) and rising.regular_price == pytest.approx(1000 * 0.999**2 / units) and rising.lump_final > rising.regular_final
+    assert simulate.comparison(_panel(spark, [100.0] * 13)).count() == 0
+
+
+def test_blocks_have_five_days(spark, walk):
+    ln = {(r.sim, r.day): r.ln for r in simulate.bootstrap_paths(_panel(spark, walk), 3, 10, drift="historical").collect()}
+    steps = np.diff(np.log(walk))
+    for sim in range(3):
+        path = np.diff([0.0, *(ln[sim, d] for d in range(1, 11))])
+        for block in (path[:5], path[5:]):
+            assert any(np.allclose(block, np.take(steps, range(k, k + 5), mode="wrap")) for k in range(len(steps)))
+
+
+def test_the_table_falls_from_its_first_value(spark):
+    panel = _panel(spark, [100.0, 90.0, 99.0, 120.0]).unionByName(_panel(spark, [10.0, 11.0, 9.0, 9.0], "b"))
+    got = {r.asset: r.max_drawdown for r in portfolio.asset_stats(panel).collect()}
+    assert got == pytest.approx({"a": 0.0, "b": 9 / 11 - 1})
+
+
+def test_invalid_closes_are_dropped_and_counted(spark):
+    rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=k), c) for k, c in enumerate(("100", "-1", "0", None, "105", "bad"))] + [("b", dt.date(2024, 1, 1), "5")]
+    raw = spark.createDataFrame(rows, "asset string, d date, close string")
+    got = normalize.quality(raw).collect()
+    assert [(r.asset, r.points, r.filled_days, r.dropped_rows, r.longest_gap, r.trimmed_start, r.outliers) for r in got] == [("a", 5, 3, 4, 3, False, 0)]
+    assert [r.close for r in normalize.prices(raw).orderBy("d").collect()] == [100.0, 100.0, 100.0, 100.0, 105.0]
+    with pytest.raises(ValueError):
+        normalize.numeric(raw.drop("close"))
+
+
+def test_rates_of_the_day_or_before(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    rates = spark.createDataFrame([(day(3), 2.0), (day(6), 4.0)], "d date, rate double")
+    panel = spark.createDataFrame([("a", day(k), 10.0, 1.0) for k in (1, 3, 5, 6, 9)], "asset string, d date, close double, volume double")
+    got = normalize.converted(panel, rates).orderBy("d").collect()
+    assert [(r.rate, r.close, r.volume) for r in got] == [(2.0, 20.0, 2.0), (2.0, 20.0, 2.0), (2.0, 20.0, 2.0), (4.0, 40.0, 4.0), (4.0, 40.0, 4.0)]
+
+
+def test_report_takes_the_best_reliable_model(spark, monkeypatch, walk):
+    """The first place has two windows only, so the second is taken."""
+    metrics = spark.createDataFrame([("a", "ensemble", 2, 9.0), ("a", "drift", 3, 4.0), ("a", "naive", 3, 0.0)], "asset string, model string, windows long, skill double")
+    monkeypatch.setattr(forecast, "model_metrics", lambda folds: metrics)
+    got = forecast.report(_panel(spark, walk[:200]), 5, 3, ()).first()
+    assert (got.best, got.skill, got.beat_naive, got.few_windows) == ("drift", 4.0, "drift", "ensemble")
+
+
+def test_backtest_record(spark, walk):
+    panel = _panel(spark, walk)
+    tested = strategies.backtest(panel, ["sma_cross"])
+    row = strategies.metrics(tested, strategies.trades(tested, panel)).first()
+    net = np.array([r.net for r in tested.orderBy("d").collect()])
+    equity = np.r_[1.0, np.cumprod(1 + net)]
+    fall = (equity / np.maximum.accumulate(equity) - 1).min()
+    annual = equity[-1] ** (365 / len(net)) - 1
+    assert (row.total_return, row.annual_return, row.max_drawdown, row.calmar) == pytest.approx((equity[-1] - 1, annual, fall, annual / abs(fall)))
+    assert row.sortino == pytest.approx(net.mean() * 365**0.5 / np.sqrt((np.minimum(net, 0) ** 2).mean()))
+    start = strategies.with_start(tested, panel, 1.0).orderBy("d").first()
+    assert start.equity == 1.0 and start.d == dt.date(2024, 1, 1) + dt.timedelta(days=49)
+    assert strategies.backtest(_panel(spark, walk[:80]), ["sma_cross"]).count() == 0
+
+
+def test_manual_weights(spark, walk):
+    panel = _panel(spark, walk[:40]).unionByName(_panel(spark, walk[:40] * 2, "b"))
+    of = lambda wanted: {r.asset: r.w for r in portfolio.manual_weights(panel, wanted).collect()}
+    assert of({"a": 3, "b": 1}) == {"a": 0.75, "b": 0.25} and of({"a": -3}) == {"a": 0.5, "b": 0.5} == of({})
