@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are mapped to symbols (insult, threat, target, negation, reported speech, anything else). Insults and the stems
-they are formed with are learned from labelled rows; the small closed classes are fixed words of four languages. A
-transducer for each of these reads the symbols of a clause; their composition is one machine whose step multiplies what
-each says about the weight of an insult (a target strengthens it; a negation before it or reported speech weakens it) and
-adds what each emits (a threat with its target). A document's matched clauses give five features that a logistic
-regression, fitted on other labelled rows than the lexicon, turns into a probability.
+they are formed with are learned from labelled rows; the small closed classes are fixed words of four languages, verbs
+with their regular endings. A transducer for each of these reads the symbols of a clause; their composition is one
+machine whose step multiplies what each says about the weight of an insult (a target changes it, as do a negation before
+it and reported speech) and adds what each emits (a threat with its target). How much each of them changes it is chosen
+from a grid by the likelihood of the labelled rows, and stays at its default where they don't tell. A document's matched
+clauses give five features that a logistic regression, fitted on other labelled rows than the lexicon, turns into a
+probability.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from itertools import product
 
 import numpy as np
@@ -31,17 +34,48 @@ PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCUMENTS = 4
 LEAST_WEIGHT = 3.0
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
+
+
+def _inflected(stems: str, endings: str) -> str:
+    """The stems with each of the endings ("-" is none)."""
+    return " ".join(stem + end.replace("-", "") for stem in stems.split() for end in endings.split())
+
+
 # Fixed closed-class words (English, German, French, Spanish).
 FIXED = {
-    THREAT: "kill hurt beat destroy burn shoot töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar",
+    THREAT: " ".join(
+        (
+            _inflected("kill beat destroy burn shoot punch strangle hurt", "- s ed ing"),
+            _inflected("destroy burn punch", "er es"),
+            "shot destroyed strangling strangled murder murders murdered murdering",
+            _inflected("töt schlag verbrenn erschieß vernicht", "e st t en et te ten end"),
+            "umbringen umbringe umbringt bringe um",
+            _inflected("tu frapp brûl détrui égorg", "er e es ent ez ons ais ait ai era erai é"),
+            _inflected("mat golpe quem destru dispar", "ar o a as an amos aré ará aba ando é ó"),
+        )
+    ),
     TARGET: "you your yours u they them their he she is are du dich dir dein ihr euch sie ist sind bist tu toi te vous votre ils est es sont êtes tú ti usted ustedes eres son él ella",
     NEGATION: "not no never isn't aren't nicht kein keine nie niemals ne pas jamais aucun non nunca jamás ningún",
     REPORTED: "said says say called quoted wrote claimed sagte sagt nannte schrieb dit disait appelé écrit dijo dice llamó escribió",
-}
+}
 _EDGE = "\"'“”„«»()[]{}*_,.;:!?…-"
 _CLAUSE_END = (".", "!", "?", ";", "…")
 
 
+@dataclass(frozen=True)
+class Factors:
+    """What a target, a negation and reported speech make of an insult's weight."""
+
+    target: float = 1.25
+    negation: float = 0.4
+    reported: float = 0.6
+
+
+#: What is tried for each factor; a factor that isn't the default must be worth this much log likelihood.
+GRID = ((1.0, 1.25, 1.6), (0.1, 0.4, 0.7, 1.0), (0.2, 0.6, 1.0))
+WORTH = 2.0
+
+
 @dataclass
 class Transducer:
     """next[state][symbol]; factor[state][symbol] on an insult's weight; emits[state][symbol]. It starts in state 0."""
@@ -56,13 +90,13 @@ def _machine(states: int, step) -> Transducer:
     return Transducer(*([[cell[k] for cell in row] for row in rows] for k in range(3)))
 
 
-def grammar() -> list[Transducer]:
+def grammar(factors: Factors = Factors()) -> list[Transducer]:
     """The transducers of the five pattern kinds; their steps are (next state, factor, emission)."""
     insult = _machine(1, lambda s, a: (0, 1.0 if a == INSULT else 0.0, 0.0))
-    target = _machine(2, lambda s, a: (1 if a == TARGET else s, 1.25 if s else 1.0, 0.0))
+    target = _machine(2, lambda s, a: (1 if a == TARGET else s, factors.target if s else 1.0, 0.0))
     threat = _machine(4, lambda s, a: (s | (a == TARGET) | 2 * (a == THREAT), 1.0, 1.0 if (s | (a == TARGET) | 2 * (a == THREAT)) == 3 != s else 0.0))
-    negation = _machine(4, lambda s, a: (3 if a == NEGATION else max(0, s - 1), 0.4 if s else 1.0, 0.0))
-    reported = _machine(2, lambda s, a: (1 if a == REPORTED else s, 0.6 if s else 1.0, 0.0))
+    negation = _machine(4, lambda s, a: (3 if a == NEGATION else max(0, s - 1), factors.negation if s else 1.0, 0.0))
+    reported = _machine(2, lambda s, a: (1 if a == REPORTED else s, factors.reported if s else 1.0, 0.0))
     return [insult, target, threat, negation, reported]
 
 
@@ -78,7 +112,8 @@ def compose(machines: list[Transducer]) -> Transducer:
 
 
 class Lexicon(dict):
-    """Word to (symbol, weight, ends a clause); words are looked up in the learned words and stems when first met."""
+    """Word to (symbol, weight, ends a clause); words are looked up in the closed classes and the learned words and stems
+    when first met."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], most: int = 400_000) -> None:
         super().__init__()
@@ -93,16 +128,14 @@ class Lexicon(dict):
             self.clear()
         word = token.strip(_EDGE)
         weight = max(self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n), 0.0)
-        symbol = INSULT if weight else self.fixed.get(word, OTHER)
+        symbol = self.fixed.get(word, INSULT if weight else OTHER)
         self[token] = found = (symbol, weight, token.rstrip("\"'“”»)]}").endswith(_CLAUSE_END))
         return found
 
 
-_whole = compose(grammar())
-
-
-def clause_scores(text: str, lexicon: Lexicon) -> list[tuple[float, float, set[str]]]:
-    """Insult score, threat score and insults of every clause that matches."""
+def clauses(text: str, lexicon: Lexicon) -> list[tuple[list[tuple[int, float, bool]], set[str]]]:
+    """The clauses with an insult or a threat: what their words are (symbol, weight, whether it ends the clause), and
+    which insults they hold."""
     tokens = text.lower().split()
     read = [lexicon[w] for w in tokens]
     hits = [k for k, x in enumerate(read) if x[0] in (INSULT, THREAT)]
@@ -110,50 +143,67 @@ def clause_scores(text: str, lexicon: Lexicon) -> list[tuple[float, float, set[s
     for hit in hits:
         if hit <= done:
             continue
-        first = hit
+        first = done = hit
         while first > 0 and not read[first - 1][2]:
             first -= 1
-        state, insult, threat, k = 0, 0.0, 0.0, first
-        while k < len(read):
-            symbol, weight, last = read[k]
-            insult += weight * _whole.factor[state][symbol]
-            threat += _whole.emits[state][symbol]
-            state = _whole.next[state][symbol]
-            if last:
-                break
-            k += 1
-        done = k
-        if insult or threat:
-            found.append((insult, threat, {tokens[j].strip(_EDGE) for j in range(first, min(k + 1, len(read))) if read[j][0] == INSULT}))
+        while done + 1 < len(read) and not read[done][2]:
+            done += 1
+        found.append((read[first : done + 1], {tokens[j].strip(_EDGE) for j in range(first, done + 1) if read[j][0] == INSULT}))
     return found
 
 
-def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
-    """Largest clause score, log of one more than their sum and than the number of different insults, the largest
-    threat, and whether there is one insult only."""
-    clauses = clause_scores(text or "", lexicon)
-    different = set().union(*(x for _, _, x in clauses))
-    return max((x for x, _, _ in clauses), default=0.0), math.log1p(sum(x for x, _, _ in clauses)), math.log1p(len(different)), max((x for _, x, _ in clauses), default=0.0), float(len(different) == 1)
+def run(machine: Transducer, clause: list[tuple[int, float, bool]]) -> tuple[float, float]:
+    """A clause's insult and threat scores."""
+    state, insult, threat = 0, 0.0, 0.0
+    for symbol, weight, _ in clause:
+        insult += weight * machine.factor[state][symbol]
+        threat += machine.emits[state][symbol]
+        state = machine.next[state][symbol]
+    return insult, threat
+
+
+def described(found: list, machine: Transducer) -> tuple[float, ...]:
+    """Of a document's clauses: the largest score, log of one more than their sum and than the number of different
+    insults, the largest threat, and whether there is one insult only."""
+    scores, different = [], set()
+    for clause, insults in found:
+        score = run(machine, clause)
+        if any(score):
+            scores.append(score)
+            different |= insults
+    return max((x for x, _ in scores), default=0.0), math.log1p(sum(x for x, _ in scores)), math.log1p(len(different)), max((x for _, x in scores), default=0.0), float(len(different) == 1)
+
+
+DEFAULT = compose(grammar())
+
+
+def features(text: str | None, lexicon: Lexicon, machine: Transducer = DEFAULT) -> tuple[float, ...]:
+    return described(clauses(text or "", lexicon), machine)
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray  # of the constant and the features
+    factors: Factors = Factors()
+
+    def __post_init__(self) -> None:
+        self.machine = compose(grammar(self.factors))
 
     def score(self, text: str | None) -> float:
-        z = float(self.weights[0] + np.dot(self.weights[1:], features(text, self.lexicon)))
+        z = float(self.weights[0] + np.dot(self.weights[1:], features(text, self.lexicon, self.machine)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 40) -> np.ndarray:
-    """Weights (the constant first) of a ridge logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 40, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the constant first) of a ridge logistic regression, by Newton steps; times: how often each row counts."""
     x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
+    times = np.ones(len(x)) if times is None else times
+    w, n = np.zeros(x.shape[1]), max(1.0, float(times.sum()))
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty * max(1, len(x)), x.T @ (y - p) - penalty @ w * max(1, len(x)))
+        step = np.linalg.solve(x.T @ (x * (times * p * (1 - p))[:, None]) + penalty * n, x.T @ (times * (y - p)) - penalty @ w * n)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-7:
             break
@@ -161,13 +211,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 40
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """text, label and half (0 or 1) of at most TRAINING_ROWS labelled rows outside the held-out part, one for each
-    opening of ten words, so that copies count once."""
+    """text, label and half (0 or 1) of at most TRAINING_ROWS labelled rows outside the held-out part, one for each text
+    and label, so that exact copies count once."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("label in (0, 1)").where(common.remainder(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     texts = common.documents(docs).join(F.broadcast(chosen), "doc_id")  # at most TRAINING_ROWS ids
-    once = texts.withColumn("opening", F.xxhash64(F.substring_index(F.lower(F.substring("text", 1, 400)), " ", 10))).groupBy("opening", "label").agg(F.min(F.struct("doc_id", "text")).alias("row"))
-    return once.select("label", F.col("row.text").alias("text"), F.pmod(F.xxhash64(F.col("row.doc_id"), F.lit(5)), F.lit(2)).alias("half"))
+    once = texts.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
+    return once.select("label", "text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"))
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,28 +248,52 @@ def _lexicon(found: list, halves: tuple[int, ...], total: dict[tuple[int, int],
     return Lexicon(words, stems)
 
 
+def _fitted(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
+    """The regression on rows of features (a to e) that occur n times, and its log likelihood."""
+    x, y, n = rows[list("abcde")].to_numpy(), rows["label"].to_numpy(dtype=float), rows["n"].to_numpy(dtype=float)
+    w = logistic(x, y, times=n)
+    z = np.clip(w[0] + x @ w[1:], -40, 40)
+    return w, float(-(n * np.logaddexp(0, np.where(y > 0, -z, z))).sum())
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon from all training rows; the regression from each half's features under the other half's lexicon. Without
-    labels of both kinds the score is the share of toxic labels, 0 if there are none."""
+    """Lexicon from all training rows; factors and regression from each half's features under the other half's lexicon.
+    Without labels of both kinds the score is the share of toxic labels, 0 if there are none."""
     rows = common.written(training_rows(docs, labels), "tox-training")
     total = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
     seen = rows.select("label", "text", "half").mapInArrow(_vocabulary, "x string, n0 long, n1 long, n2 long, n3 long")
     found = seen.groupBy("x").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).where(F.col("n1") + F.col("n3") >= min(LEAST_DOCUMENTS, 2)).where((F.col("n1") + F.col("n3")) * 4 > F.col("n0") + F.col("n2")).collect()  # from TRAINING_ROWS texts
     crossed = {0: _lexicon(found, (1,), total), 1: _lexicon(found, (0,), total)}
+    settings = [Factors(*values) for values in product(*GRID)]
+    machines = [compose(grammar(x)) for x in settings]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
         for batch in batches:
-            if batch.num_rows:
-                read = [features(text, crossed[half]) for text, half in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_pydict({"label": batch.column(0), **dict(zip("abcde", np.array(read).T))})
-
-    fitted = rows.select("label", "text", "half").mapInArrow(look, "label int, a double, b double, c double, d double, e double").orderBy("label", "a", "b", "c", "d", "e").toPandas()
+            for label, text, half in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                read = clauses(text or "", crossed[half])
+                for k, machine in enumerate(machines):
+                    counted[k, label, *described(read, machine)] += 1
+        columns = list(zip(*((*key, n) for key, n in counted.items()))) or [[]] * 8
+        kinds = (pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["setting", "label", *"abcde", "n"])
+
+    told = rows.select("label", "text", "half").mapInArrow(look, "setting int, label int, a double, b double, c double, d double, e double, n long")
+    counted = told.groupBy("setting", "label", *"abcde").agg(F.sum("n").alias("n")).toPandas().sort_values(["setting", "label", *"abcde"])  # from TRAINING_ROWS texts
     lexicon = _lexicon(found, (0, 1), total)
-    y = fitted["label"].to_numpy(dtype=float)
-    if len(y) and 0 < y.sum() < len(y):
-        return Model(lexicon, logistic(fitted[list("abcde")].to_numpy(), y))
-    share = float(y.mean()) if len(y) else 0.0
-    return Model(lexicon, np.array([math.log(max(share, 1e-17) / max(1 - share, 1e-17)), 0, 0, 0, 0, 0]))
+    first = counted[counted["setting"] == 0]
+    toxic, n = float(first.loc[first["label"] == 1, "n"].sum()), float(first["n"].sum())
+    if not 0 < toxic < n:
+        share = toxic / n if n else 0.0
+        return Model(lexicon, np.array([math.log(max(share, 1e-17) / max(1 - share, 1e-17)), 0, 0, 0, 0, 0]))
+    best = None
+    for k, part in counted.groupby("setting"):
+        weights, likelihood = _fitted(part)
+        away = sum(a != b for a, b in zip(astuple(settings[k]), astuple(Factors())))
+        worth = (round(likelihood - WORTH * away, 6), -away, -k)
+        if best is None or worth > best[0]:
+            best = (worth, Model(lexicon, weights, settings[k]))
+    return best[1]
 
 
 def score(model: Model, text: Column) -> Column:

@@ -214,9 +214,95 @@ def test_toxicity_grammar():
     assert score("you are not an idiot.")[0] < score("you are an idiot.")[0]
     assert score("i will kill you.")[3] == 1.0 and score("i will kill time.")[3] == 0.0
     assert score(None) == score("") == score("all is well.")
+    assert score("he killed you.")[3] == 1.0 == score("ich erschieße dich")[3]
     assert len(toxicity.compose(toxicity.grammar()).next) == 1 * 2 * 4 * 4 * 2
 
 
+def test_composition_runs_all_machines_at_once():
+    """Against the machines stepped one by one."""
+    rng = random.Random(9)
+    machines = toxicity.grammar(toxicity.Factors(1.5, 0.3, 0.7))
+    whole = toxicity.compose(machines)
+    for _ in range(200):
+        clause = [(a, rng.random() * (a == toxicity.INSULT), False) for a in (rng.randrange(6) for _ in range(rng.randint(0, 12)))]
+        states, insult, threat = [0] * len(machines), 0.0, 0.0
+        for symbol, weight, _ in clause:
+            insult += weight * math.prod(m.factor[s][symbol] for m, s in zip(machines, states))
+            threat += sum(m.emits[s][symbol] for m, s in zip(machines, states))
+            states = [m.next[s][symbol] for m, s in zip(machines, states)]
+        assert toxicity.run(whole, clause) == pytest.approx((insult, threat))
+
+
+@pytest.fixture(scope="module")
+def abuse(spark):
+    """Texts whose labels depend on the patterns: insults are toxic unless negated or reported, threats need a target."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(rng.choice([f"f{k}" for k in range(80)]) for _ in range(12))
+    made = [(filler(), 0) for _ in range(700)] + [(f"{filler()}. you are a blorf. {filler()}", 1) for _ in range(160)]
+    made += [(f"{filler()}. this is not a blorf. {filler()}", 0) for _ in range(8)] + [(f"{filler()}. she said: blorf. {filler()}", 0) for _ in range(8)]
+    made += [(f"{filler()}. i will kill you. {filler()}", 1) for _ in range(60)] + [(f"{filler()}. i will kill time. {filler()}", 0) for _ in range(60)]
+    rng.shuffle(made)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(made)], "doc_id long, toxic int"), dict(enumerate(made))
+
+
+def test_each_transducer_moves_held_out_scores(abuse):
+    docs, labels, made = abuse
+    model = toxicity.train(docs, labels)
+    assert model.weights[4] > 0  # threats
+    held = {k: t for k, (t, _) in made.items() if common.remainder_of(k, 4) == 2}
+    whole = {k: model.score(t) for k, t in held.items()}
+    neutral = toxicity._machine(1, lambda s, a: (0, 1.0, 0.0))
+    for k, kind in enumerate(("insult", "target", "threat", "negation", "reported")):
+        machines = toxicity.grammar(toxicity.Factors(1.6, 0.1, 0.2))
+        full = toxicity.compose(machines)
+        machines[k] = neutral if kind != "insult" else toxicity._machine(1, lambda s, a: (0, 0.0, 0.0))
+        part = toxicity.compose(machines)
+        assert any(toxicity.features(t, model.lexicon, full) != toxicity.features(t, model.lexicon, part) for t in held.values()), kind
+    assert np.mean([(whole[k] >= toxicity.THRESHOLD) == (made[k][1] == 1) for k in held]) > 0.95
+
+
+def test_training_is_the_plain_one(abuse):
+    """Lexicon, factors and weights by loops over the rows."""
+    docs, labels, made = abuse
+    seen = {}
+    for k, (t, y) in made.items():
+        if common.remainder_of(k, 4) != 2:
+            seen[t, y] = min(k, seen.get((t, y), k))
+    half = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("h")).collect()}
+    rows = [(t, y, half[k]) for (t, y), k in seen.items()]
+    total, counts = Counter((h, y) for _, y, h in rows), defaultdict(lambda: [0, 0, 0, 0])
+    for t, y, h in rows:
+        words = {w.strip(toxicity._EDGE) for w in t.lower().split()}
+        for x in words | {w[:n] + "*" for w in words for n in toxicity.PREFIXES if len(w) >= n}:
+            counts[x][2 * h + y] += 1
+    found = [{"x": x, **{f"n{j}": n for j, n in enumerate(c)}} for x, c in counts.items()]
+    crossed = {h: toxicity._lexicon(found, (1 - h,), total) for h in (0, 1)}
+    best = None
+    for k, values in enumerate((a, b, c) for a in toxicity.GRID[0] for b in toxicity.GRID[1] for c in toxicity.GRID[2]):
+        machine = toxicity.compose(toxicity.grammar(toxicity.Factors(*values)))
+        x = np.array([toxicity.features(t, crossed[h], machine) for t, _, h in rows])
+        y = np.array([float(y) for _, y, _ in rows])
+        w = toxicity.logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -40, 40)))
+        away = sum(a != b for a, b in zip(values, (1.25, 0.4, 0.6)))
+        worth = (round(float(np.log(np.where(y > 0, p, 1 - p)).sum()) - toxicity.WORTH * away, 6), -away, -k)
+        best = max(best or (worth, w, values), (worth, w, values), key=lambda x: x[0])
+    model = toxicity.train(docs, labels)
+    assert (model.factors.target, model.factors.negation, model.factors.reported) == best[2]
+    assert model.weights == pytest.approx(best[1], rel=1e-4, abs=1e-4)
+    whole = toxicity._lexicon(found, (0, 1), total)
+    assert model.lexicon.words == whole.words and model.lexicon.stems == whole.stems
+
+
+def test_training_keeps_texts_with_equal_openings(spark):
+    head = "one header of more than ten words that all of these documents share here: "
+    docs = spark.createDataFrame([(k, head + f"tail {k % 20}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0) for k in range(40)], "doc_id long, toxic int")
+    kept = {k % 20 for k in range(40) if common.remainder_of(k, 4) != 2}
+    assert toxicity.training_rows(docs, labels).count() == len(kept)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables have too few toxic labels to learn from
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
