@@ -21,7 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.sparkContext.setCheckpointDir(named)
-    return named if "://" in named or named.startswith("file:") else "file://" + os.path.abspath(named)
+    if "://" in named or named.startswith("file:"):
+        return named
+    system = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    # without a scheme a path is the cluster's default file system's, as it is for Spark itself
+    return ("file://" if system.startswith("file:") else system.rstrip("/")) + os.path.abspath(named)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,10 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of df, from a table written to the shared folder: later reads neither recompute nor lose them."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    return written_at(df, scratch(df.sparkSession, name), codec)
+
+
+def written_at(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -12,7 +12,9 @@ from pyspark import TaskContext
 def _at(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    # Hadoop's names of stores that Arrow knows by others
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest}" if rest else uri)
 
 
 @contextmanager

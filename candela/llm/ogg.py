@@ -77,6 +77,7 @@ class Stream:
     packets: list[bytes] = field(default_factory=list)
     times: list[float | None] = field(default_factory=list)  # seconds at the end of each packet, as far as known
     pages: int = 0
+    next_page: int = 0  # the number that the stream's next page should have
     ended: bool = False
     open: bytes | None = None
 
@@ -86,17 +87,20 @@ class Decoded:
     streams: dict[int, Stream]
     bad_pages: int
     lost_packets: int
+    missing_pages: int = 0
 
 
 def decode(data: bytes, rate: int = RATE) -> Decoded:
-    """Pages in any order of streams, each verified. A page with a wrong checksum is counted and skipped, and the
-    packet that it would have continued is counted as lost; so is what is cut off at the end."""
-    found, bad, lost, at = {}, 0, 0, 0
+    """Pages in any order of streams, each verified. A page with a wrong checksum is counted and skipped; a gap in a
+    stream's page numbers is counted as missing pages, and a packet that was open before it, or that the page after it
+    continues, as lost; so is what is cut off at the end. A page's granule position times its last packet; the
+    sizes of the packets time those before it on the page."""
+    found, bad, lost, missing, at = {}, 0, 0, 0, 0
     while (at := data.find(b"OggS", at)) >= 0:
         if at + 27 > len(data):
             bad += 1
             break
-        _, version, kind, granule, serial, _, crc, n = _HEADER.unpack_from(data, at)
+        _, version, kind, granule, serial, number, crc, n = _HEADER.unpack_from(data, at)
         lacing = data[at + 27 : at + 27 + n]
         start, size = at + 27 + n, sum(lacing)
         page = data[at : start + size]
@@ -105,6 +109,11 @@ def decode(data: bytes, rate: int = RATE) -> Decoded:
             continue
         stream = found.setdefault(serial, Stream())
         stream.pages += 1
+        if number > stream.next_page:
+            missing += number - stream.next_page
+            lost += stream.open is not None
+            stream.open = None
+        stream.next_page = number + 1
         if kind & 2:
             stream.open = None
         part = stream.open if kind & 1 else None
@@ -127,10 +136,24 @@ def decode(data: bytes, rate: int = RATE) -> Decoded:
         if n and lacing[-1] == 255:
             stream.open = None if skip else b"".join(pieces)
         if ended and granule >= 0:
-            stream.times[-1] = granule / rate
+            back, end = _spacing(stream, rate), granule
+            for k in range(1, ended + 1):
+                if k > 1:
+                    end -= len(stream.packets[1 - k]) + back
+                if end >= 0 and (k == 1 or len(stream.packets) - k > 0):  # the header has no time of its own
+                    stream.times[-k] = end / rate
         stream.ended |= bool(kind & 4)
         at = start + size
-    return Decoded(found, bad, lost + sum(s.open is not None for s in found.values()))
+    return Decoded(found, bad, lost + sum(s.open is not None for s in found.values()), missing)
+
+
+def _spacing(stream: Stream, rate: int) -> int:
+    """Samples of the other streams between two packets of this one, as its header tells."""
+    head = stream.packets[0] if stream.packets else b""
+    if len(head) != 17 or head[:4] != b"PCM8":
+        return 0
+    _, packet, streams = struct.unpack_from("<III", head, 4)
+    return packet * (streams - 1)
 
 
 def samples_of(media: Decoded) -> bytes:

@@ -6,7 +6,7 @@ check digits are made valid again, dates stay dates and addresses stay addresses
 all documents, and different values different ones. Kinds:
 
 - e-mail addresses (all but the last domain label), phone and social-security numbers (a leading country code stays),
-  cloud access keys, hexadecimal tokens and what follows password=, token = and the like: characters, by class
+  cloud access keys, hexadecimal tokens and what follows password=, API_KEY: and the like: characters, by class
 - card numbers of 13 to 19 digits with a valid Luhn digit: all other digits, then a new Luhn digit
 - IBANs with valid check digits: the account part, then new check digits
 - dates of 1900 to 2099 (2024-05-17, 17.05.2024, 17/05/2024): the day's number, among all days of these years
@@ -15,16 +15,21 @@ all documents, and different values different ones. Kinds:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "candela-pseudonyms-1"
+#: The session's setting that holds the key, and the key of demonstrations and tests, which hides nothing.
+KEY_SETTING = "spark.candela.pseudonyms.key"
+DEMONSTRATION_KEY = "a key that everybody knows"
 ROUNDS = 8
 # Fixed patterns, in the order in which they are tried at a place.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z])(?:password|passwd|secret|token|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9_\-/+]{6,}"
+# Where a part may be long it is bounded and begins at a word's start, so a long text is searched in linear time.
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+SECRET_NAME = r"(?i:(?:[a-z0-9]{1,20}[_-]){0,4}(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))"
+SECRET = r"(?<![A-Za-z0-9_-])" + SECRET_NAME + r"[\"']?\s*[=:]\s*[\"']?[A-Za-z0-9_\-/+=.!@#$%^&*~]{6,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -42,16 +47,27 @@ def _rounds(start: Column, step: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def _digest(kind: str, number: Column, value: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{KEY}:{kind}:"), number.cast("string"), F.lit(":"), value), 256)
+def key_of(spark: SparkSession) -> str:
+    """The session's key, or (unset, as in tests) the demonstration key."""
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
 
 
-def permuted_number(x: Column, radices: tuple[int, int], kind: str) -> Column:
-    """A keyed permutation of the numbers under the product of the radices: a Feistel network on the two places."""
+def subkey(key: str, kind: str) -> str:
+    """The key of one kind of values; plans and logs show these only."""
+    return hashlib.sha256(f"{key}:{kind}".encode()).hexdigest()
+
+
+def _digest(own: str, number: Column, value: Column) -> Column:
+    return F.sha2(F.concat(F.lit(f"{own}:"), number.cast("string"), F.lit(":"), value), 256)
+
+
+def permuted_number(x: Column, radices: tuple[int, int], own: str) -> Column:
+    """A permutation, keyed by `own`, of the numbers under the product of the radices: a Feistel network on the two
+    places."""
     a, b = radices
 
     def f(number: Column, value: Column, radix: int) -> Column:
-        return F.conv(F.substring(_digest(kind, number, value.cast("string")), 1, 14), 16, 10).cast("long") % radix
+        return F.conv(F.substring(_digest(own, number, value.cast("string")), 1, 14), 16, 10).cast("long") % radix
 
     def step(acc: Column, k: Column) -> Column:
         odd = k % 2 == 1
@@ -75,14 +91,14 @@ def _shifted(text: Column, stream: Column, letters: int) -> Column:
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), moved), "")
 
 
-def permuted_text(text: Column, kind: str, letters: int = 26) -> Column:
+def permuted_text(text: Column, own: str, letters: int = 26) -> Column:
     """A keyed permutation of the texts with the same character classes in the same places: a Feistel network on the
     two halves. letters: how many lower-case letters there are (6 for hexadecimal digits)."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1, F.length(text)).alias("b"))
 
     def step(acc: Column, k: Column) -> Column:
-        return F.struct(acc["b"].alias("a"), _shifted(acc["a"], _digest(kind, k, acc["b"]), letters).alias("b"))
+        return F.struct(acc["b"].alias("a"), _shifted(acc["a"], _digest(own, k, acc["b"]), letters).alias("b"))
 
     return F.transform(F.array(_rounds(start, step)), lambda s: F.concat(s["a"], s["b"]))[0]
 
@@ -104,9 +120,9 @@ def _refilled(form: Column, symbols: Column) -> Column:
     return filled
 
 
-def _card(m: Column) -> Column:
+def _card(m: Column, key: str) -> Column:
     def renewed(digits: Column) -> Column:
-        body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), "card")
+        body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), subkey(key, "card"))
         return _let(body, lambda p: F.concat(p, F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: F.call_function("luhn_check", F.concat(p, d)))[0]))
 
     return _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(F.call_function("luhn_check", d), _refilled(m, renewed(d))).otherwise(m))
@@ -118,23 +134,23 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda acc, c: F.when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
 
 
-def _iban(m: Column) -> Column:
+def _iban(m: Column, key: str) -> Column:
     def renewed(plain: Column) -> Column:
         country, account = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5), F.length(plain))
-        return _let(permuted_text(account, "iban"), lambda p: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0"), p))
+        return _let(permuted_text(account, subkey(key, "iban")), lambda p: F.concat(country, F.lpad((F.lit(98) - _mod97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0"), p))
 
     valid = lambda plain: _mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1
     return _let(F.regexp_replace(m, " ", ""), lambda plain: F.when(valid(plain), _refilled(m, renewed(plain))).otherwise(m))
 
 
-def _ip(m: Column) -> Column:
+def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
     dotted = lambda n: F.concat_ws(".", *(F.floor(n / 256**k).cast("long").bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)))
-    return F.when(F.forall(octets, lambda x: x < 256), _let(permuted_number(number, (65536, 65536), "ipv4"), dotted)).otherwise(m)
+    return F.when(F.forall(octets, lambda x: x < 256), _let(permuted_number(number, (65536, 65536), subkey(key, "ipv4")), dotted)).otherwise(m)
 
 
-def _date(m: Column) -> Column:
+def _date(m: Column, key: str) -> Column:
     iso = m.rlike("^[0-9]{4}-")
     day = F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.regexp_replace(m, "/", "."), F.lit("d.M.yyyy"))).cast("date")
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
@@ -145,7 +161,7 @@ def _date(m: Column) -> Column:
         dotted = F.when(wide, F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "d.M.yyyy"))
         return F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.regexp_replace(dotted, r"\.", "/")).otherwise(dotted)
 
-    return _let(number, lambda n: F.when(n.between(0, DAYS - 1), _let(permuted_number(n, DAY_RADICES, "date"), told)).otherwise(m))
+    return _let(number, lambda n: F.when(n.between(0, DAYS - 1), _let(permuted_number(n, DAY_RADICES, subkey(key, "date")), told)).otherwise(m))
 
 
 def _after(m: Column, lead: str, use: Callable[[Column], Column]) -> Column:
@@ -157,36 +173,39 @@ def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
-def pseudonym(m: Column) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one candidate, or the candidate if it doesn't validate."""
-    email = _let(F.regexp_extract(m, r"\.[A-Za-z]+$", 0), lambda tail: F.concat(permuted_text(F.substr(m, F.lit(1), F.length(m) - F.length(tail)), "email"), tail))
+    kept = lambda x, kind, letters=26: permuted_text(x, subkey(key, kind), letters)
+    email = _let(F.regexp_extract(m, r"\.[A-Za-z]+$", 0), lambda tail: F.concat(kept(F.substr(m, F.lit(1), F.length(m) - F.length(tail)), "email"), tail))
+    named = "^" + SECRET_NAME + r"[\"']?\s*[=:]\s*[\"']?"
     return (
-        F.when(m.contains("@"), email)
-        .when(m.rlike(r"^(?:password|passwd|secret|token|api_key|apikey)"), _after(m, r"^[a-z_]+\s*[=:]\s*[\"']?", lambda x: F.when(x.rlike("^[0-9a-f]+$"), permuted_text(x, "hex", 6)).otherwise(permuted_text(x, "secret"))))
-        .when(m.rlike("^AKIA[0-9A-Z]{16}$"), _after(m, "^AKIA", lambda x: permuted_text(x, "access")))
-        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), _iban(m))
-        .when(m.rlike(_whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}")), _ip(m))
-        .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})$"), _date(m))
-        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), permuted_text(m, "ssn"))
-        .when(m.rlike(_whole("[0-9](?:[ -]?[0-9]){12,18}")), _card(m))
-        .when(m.rlike("^[0-9a-f]{16,64}$"), permuted_text(m, "hex", 6))
-        .otherwise(_after(m, r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", lambda x: permuted_text(x, "phone")))
+        F.when(m.rlike(named), _after(m, named, lambda x: F.when(x.rlike("^[0-9a-f]+$"), kept(x, "hex", 6)).otherwise(kept(x, "secret"))))
+        .when(m.contains("@"), email)
+        .when(m.rlike("^AKIA[0-9A-Z]{16}$"), _after(m, "^AKIA", lambda x: kept(x, "access")))
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), _iban(m, key))
+        .when(m.rlike(_whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}")), _ip(m, key))
+        .when(m.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})$"), _date(m, key))
+        .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), kept(m, "ssn"))
+        .when(m.rlike(_whole("[0-9](?:[ -]?[0-9]){12,18}")), _card(m, key))
+        .when(m.rlike("^[0-9a-f]{16,64}$"), kept(m, "hex", 6))
+        .otherwise(_after(m, r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", lambda x: kept(x, "phone")))
     )
 
 
-def pseudonymised(text: Column) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """A text with all validated candidates replaced; a null text stays null."""
     pattern = F.lit(CANDIDATE)
-    names = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), pseudonym)
+    names = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: pseudonym(m, key))
     # the text between the candidates has one part more than there are candidates
     joined = F.array_join(F.zip_with(F.split(text, CANDIDATE, -1), names, lambda part, name: F.concat(part, F.coalesce(name, F.lit("")))), "")
     return F.when(text.rlike("[0-9@=:]") & text.rlike(CANDIDATE), joined).otherwise(text)
 
 
-def with_pseudonyms(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with pseudonyms in their text.
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
+    """The documents, all columns, with pseudonyms under a secret key in their text. Who knows the key can undo them.
 
     Null texts stay null and empty ones empty; repeated rows stay and get equal texts; texts of any length are searched
-    whole; n_chars, where there is one, is kept as it was (pseudonyms of IP addresses and dates may differ in length).
+    whole; n_chars, where there is one, is kept as it was (pseudonyms of IP addresses and dates may differ in length);
+    an empty table gives an empty result.
     """
-    return docs.withColumn("text", pseudonymised(docs["text"]))
+    return docs.withColumn("text", pseudonymised(docs["text"], key))

@@ -66,9 +66,11 @@ def scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
 
 
 def counted(scanned: DataFrame) -> DataFrame:
-    """file, place (of the document in its file), start (its first id's position there) and n_tokens (with the end)."""
+    """file, place (of the document in its file), start (its first id's position there) and n_tokens (with the end). The
+    prefix scan sees two numbers a block; the blocks' separators stay where they are until its results are joined."""
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = scanned.select("file", "found", (F.coalesce(F.max("last").over(earlier), F.lit(-1)) + 1).alias("open"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    scan = scanned.select("file", "block", (F.coalesce(F.max("last").over(earlier), F.lit(-1)) + 1).alias("open"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    carried = scanned.select("file", "block", "found").join(scan.hint("merge"), ["file", "block"])
     placed = carried.select("file", "before", "open", F.posexplode("found").alias("k", "at")).withColumn("start", F.coalesce("at.start", "open"))
     return placed.select("file", (F.col("before") + F.col("k")).alias("place"), "start", (F.col("at.end") - F.col("start") + 1).alias("n_tokens"))
 
@@ -83,6 +85,7 @@ def counts(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BL
     written = common.written(write_flat(docs, path, common.scratch(spark, "flat-files"), end_id), "flat-manifest")
     names = written.select("file", "ids").distinct()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = counted(scan(blocks_of(names, block_ids).repartition(parts, "file", "block"), end_id))
+    found = counted(common.written(scan(blocks_of(names, block_ids).repartition(parts, "file", "block"), end_id), "flat-scanned"))
     named = written.select("file", "place", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("place") + F.col("k")).alias("place"), "doc_id")
-    return named.join(found, ["file", "place"]).select("doc_id", "file", "place", "start", "n_tokens")
+    # both grow with the documents
+    return named.join(found.hint("merge"), ["file", "place"]).select("doc_id", "file", "place", "start", "n_tokens")

@@ -129,16 +129,19 @@ def links(marks: DataFrame, dense: int = DENSE) -> DataFrame:
 def classes(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node that it reaches, for all nodes of the edges (a, b): alternating large and small
     stars, each round written to the shared folder, until nothing changes."""
-    now = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    spark, path = edges.sparkSession, common.scratch(edges.sparkSession, "stars")
+    now = common.written_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), path)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        after = common.written(small, "stars")
+        before, path = path, common.scratch(spark, "stars")
+        after = common.written_at(small, path)
         same = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now = after
+        common.dropped(spark, before)
         if same:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -152,9 +155,22 @@ def components(docs: DataFrame) -> DataFrame:
     an empty result.
     """
     marks = common.written(fingerprints(docs), "simhash-marks")
-    distinct = common.written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = common.written(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     roots = classes(links(distinct.select("fp")))
     reached = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("reached"))
     linked = roots.join(reached, "root").select(F.col("node").alias("fp"), "reached")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"), "rows")
+    return _named(marks, common.written(named, "simhash-named")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: A fingerprint of more than one in so many rows is hot; there are at most so many of them.
+HOT = 1000
+
+
+def _named(marks: DataFrame, named: DataFrame) -> DataFrame:
+    """marks with the class of their fingerprint: hot fingerprints' rows stay where they are, the others are shuffled."""
+    total = named.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = named.where(F.col("rows") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    told = marks.join(F.broadcast(hot), "fp", "left")  # at most HOT rows
+    rest = told.where("hot IS NULL").select("doc_id", "fp").join(named.where(F.col("rows") * HOT <= total).select("fp", "component_id").hint("merge"), "fp")
+    return told.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))

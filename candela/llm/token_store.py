@@ -30,6 +30,8 @@ SAMPLE_DOCUMENTS = 600
 SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
+#: A file is closed when it has so many bytes; a task goes on in another.
+FILE_BYTES = 64 << 20
 
 
 def train(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
@@ -48,8 +50,9 @@ def train(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
 
 
 def write(docs: DataFrame, path: str, dictionary: bytes, folder: str, end_id: int = END_ID) -> DataFrame:
-    """Write the files, in ascending doc_id order over all partitions; one manifest row each: file, part (its place in
-    the order), documents, ids."""
+    """Write the files, in ascending doc_id order over all partitions; one manifest row each: file, bytes, part and nth (its
+    place in the order), documents, ids. There are at least as many partitions as the input has splits, and files are
+    closed at FILE_BYTES, so neither tasks nor indexes grow with the input."""
     digest = hashlib.sha256(dictionary).digest()
     end = end_id.to_bytes(4, "little")
 
@@ -57,30 +60,44 @@ def write(docs: DataFrame, path: str, dictionary: bytes, folder: str, end_id: in
         from pyspark import TaskContext
 
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
-        encoder, lengths, docs_of, ids, at = tokens.encoder(path), [], [], 0, len(MAGIC) + len(digest)
-        with files.created(folder, "tokens") as (name, out):
-            out.write(MAGIC + digest)
-            for batch in batches:
-                docs_of.append(batch.column(0))
-                for part in tokens.groups(batch.column(1)):
-                    for raw in encoder.encode([text for _, text in part]):
-                        frame = squeeze(raw + end)
-                        out.write(frame)
-                        lengths.append(len(frame))
-                        ids += len(raw) // 4 + 1
-            at += sum(lengths)
-            known = pa.concat_arrays(docs_of) if docs_of else pa.array([], pa.int64())
-            index = np.array(lengths, dtype="<u8").tobytes()
-            named = np.asarray(known.fill_null(0), dtype="<i8").tobytes() + np.asarray(known.is_null().cast(pa.uint8()), dtype=np.uint8).tobytes()
-            out.write(index + named + struct.pack("<QQ", len(lengths), at))
-        yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([at + 17 * len(lengths) + 16], pa.int64()), "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "documents": pa.array([len(lengths)], pa.int64()), "ids": pa.array([ids], pa.int64())})
+        encoder, part, nth = tokens.encoder(path), TaskContext.get().partitionId(), 0
+        rows = _encoded(batches, encoder, end)
+        row = next(rows, None)
+        while row is not None:
+            lengths, known, ids, size = [], [], 0, 0
+            with files.created(folder, "tokens") as (name, out):
+                out.write(MAGIC + digest)
+                while row is not None and size < FILE_BYTES:
+                    doc_id, raw = row
+                    frame = squeeze(raw)
+                    out.write(frame)
+                    lengths.append(len(frame))
+                    known.append(doc_id)
+                    size += len(frame)
+                    ids += len(raw) // 4
+                    row = next(rows, None)
+                at = len(MAGIC) + len(digest) + size
+                null = np.array([x is None for x in known], dtype=np.uint8)
+                named = np.array([x or 0 for x in known], dtype="<i8").tobytes() + null.tobytes()
+                out.write(np.array(lengths, dtype="<u8").tobytes() + named + struct.pack("<QQ", len(lengths), at))
+            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([at + 17 * len(lengths) + 16], pa.int64()), "part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int32()), "documents": pa.array([len(lengths)], pa.int64()), "ids": pa.array([ids], pa.int64())})
+            nth += 1
 
     spark = docs.sparkSession
     rows = common.documents(docs)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions(), 1)
     # of the texts only openings, which have the same order, are sampled for the ranges' ends
     ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(store, "file string, bytes long, part int, documents long, ids long")
+    return ordered.mapInArrow(store, "file string, bytes long, part int, nth int, documents long, ids long")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: tokens.Encoder, end: bytes) -> Iterator[tuple[int | None, bytes]]:
+    """doc_id and the ids of each document."""
+    for batch in batches:
+        known = batch.column(0).to_pylist()
+        for part in tokens.groups(batch.column(1)):
+            for (k, _), raw in zip(part, encoder.encode([text for _, text in part])):
+                yield known[k], raw + end
 
 
 def read(manifest: DataFrame, dictionary: bytes) -> DataFrame:
@@ -125,6 +142,6 @@ def stored(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     spark = docs.sparkSession
     dictionary = train(docs, path, end_id)
     manifest = common.written(write(docs, path, dictionary, common.scratch(spark, "token-files"), end_id), "token-manifest")
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spread = manifest.where("documents > 0").withColumn("before", before)
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spread = manifest.withColumn("before", before)  # a row a file
     return read(spread.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), dictionary)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import random
@@ -116,6 +117,12 @@ def test_token_store(docs, rows, nothing, path):
     assert token_store.stored(nothing, path).count() == 0
 
 
+def test_token_files_are_closed_at_their_size(docs, rows, path, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_BYTES", 500)
+    made = token_store.write(docs, path, token_store.train(docs, path), common.scratch(docs.sparkSession, "small-files")).collect()
+    assert len(made) > 6 and sum(r.documents for r in made) == len(rows) and max(r.nth for r in made) > 0
+
+
 def test_separators(docs, rows, nothing, path):
     got = Counter((r.doc_id, r.n_tokens) for r in separators.counts(docs, path, block_ids=37).collect())
     assert got == Counter((i, len(_encoded(path, t, 2, True)) // 4) for i, t in rows)
@@ -142,6 +149,13 @@ def test_ogg_round_trip_and_damage():
     assert ogg.samples_of(media) == samples and not media.bad_pages and not media.lost_packets
     assert all(s.ended for s in media.streams.values())
     assert max(t for s in media.streams.values() for t in s.times if t is not None) == len(samples) / ogg.RATE
+    for stream in media.streams.values():
+        assert all(t is not None for t in stream.times[1:])  # every packet but the header
+    ends = sorted(t for s in media.streams.values() for t in s.times[1:])
+    assert ends == pytest.approx([min(k * ogg.PACKET, len(samples)) / ogg.RATE for k in range(1, len(ends) + 1)])
+    starts = [k for k in range(len(data)) if data[k : k + 4] == b"OggS"]
+    lost = ogg.decode(data[: starts[4]] + data[starts[5] :])
+    assert lost.missing_pages == 1 and not lost.bad_pages and lost.lost_packets and len(ogg.samples_of(lost)) < len(samples)
     hurt = bytearray(data)
     hurt[len(data) // 2] ^= 1
     media = ogg.decode(bytes(hurt))
@@ -330,11 +344,69 @@ def test_quality_on_held_out_labels(spark, nothing):
     assert quality.scores(nothing, none).count() == 0
 
 
+KEY = "a test's key"
+
+
+def _plain_feistel_text(text, own, letters=26):
+    """The network on the halves of a text, with loops and hashlib."""
+    half = len(text) // 2
+    a, b = text[:half], text[half:]
+    for k in range(1, pii.ROUNDS + 1):
+        stream = hashlib.sha256(f"{own}:{k}:{b}".encode()).digest()
+        moved = ""
+        for j, c in enumerate(a):
+            for first, n in (("0", 10), ("a", letters), ("A", 26)):
+                last = {"0": "9", "a": "z", "A": "Z"}[first]
+                if first <= c <= last:
+                    c = chr(ord(first) + (ord(c) - ord(first) + stream[j % 32]) % n)
+                    break
+            moved += c
+        a, b = b, moved
+    return a + b
+
+
+def _plain_feistel_number(x, radices, own):
+    left, right = divmod(x, radices[1])
+    f = lambda k, value, radix: int(hashlib.sha256(f"{own}:{k}:{value}".encode()).hexdigest()[:14], 16) % radix
+    for k in range(1, pii.ROUNDS + 1):
+        if k % 2:
+            left = (left + f(k, right, radices[0])) % radices[0]
+        else:
+            right = (right + f(k, left, radices[1])) % radices[1]
+    return left * radices[1] + right
+
+
+def test_pseudonyms_are_the_plain_networks(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcXYZ0189-. ") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    own = pii.subkey(KEY, "test")
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", pii.permuted_text(F.col("w"), own).alias("p")).collect()
+    assert all(r.p == _plain_feistel_text(r.w, own) for r in got)
+    numbers = spark.range(0, 73_049, 97).select("id", pii.permuted_number(F.col("id"), pii.DAY_RADICES, own).alias("p")).collect()
+    assert all(r.p == _plain_feistel_number(r.id, pii.DAY_RADICES, own) for r in numbers)
+    docs = spark.createDataFrame([("mail jo.doe@mail.example.org, API_KEY: 'Ab9_xyz-77', my-Password=Tr0ub4dor! born 1999-02-28",)], "text string")
+    day = _plain_feistel_number((datetime.date(1999, 2, 28) - datetime.date(1900, 1, 1)).days, pii.DAY_RADICES, pii.subkey(KEY, "date"))
+    secret = lambda x: _plain_feistel_text(x, pii.subkey(KEY, "secret"))
+    wanted = f"mail {_plain_feistel_text('jo.doe@mail.example', pii.subkey(KEY, 'email'))}.org, API_KEY: '{secret('Ab9_xyz-77')}', my-Password={secret('Tr0ub4dor!')} born {datetime.date(1900, 1, 1) + datetime.timedelta(days=day)}"
+    assert pii.with_pseudonyms(docs, KEY).first().text == wanted
+    assert pii.with_pseudonyms(docs, "another").first().text != wanted
+    assert pii.key_of(spark) == pii.DEMONSTRATION_KEY
+
+
+def test_pseudonyms_edges(spark):
+    long = "x" * 300_000 + " 4111 1111 1111 1111 " + "y " * 100_000
+    docs = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (None, None, None), (2, "", "b")], "doc_id long, text string, key string")
+    got = pii.with_pseudonyms(docs, KEY).collect()
+    assert docs.columns == list(got[0].asDict()) and got[0] == got[1] and got[0].text != long and len(got[0].text) == len(long)
+    assert got[0].text.startswith("x" * 300_000 + " ") and (got[2].text, got[3].text) == (None, "")
+    assert pii.with_pseudonyms(docs.limit(0), KEY).count() == 0
+
+
 def test_pseudonyms(spark):
     card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
     texts = [f"a {card} b", f"again {card}.", "not a card 4111 1111 1111 1112", f"account {iban} end", "mail jo.doe@mail.example.org now", "born 1999-02-28 or 31.12.2020, not 2020-02-30", "host 10.0.0.1 and 999.1.1.1", "call +49 170 1234567", None, "", "plain words"]
     docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, m int")
-    got = [r.text for r in pii.with_pseudonyms(docs).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.with_pseudonyms(docs, KEY).orderBy("doc_id").collect()]
     digits = lambda s: [int(c) for c in s if c.isdigit()]
     luhn = lambda ds: sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(ds[::-1])) % 10 == 0
     assert got[0][2:-2] != card and got[0][2:-2] == got[1][6:-1] and luhn(digits(got[0])) and [c.isdigit() for c in got[0][2:-2]] == [c.isdigit() for c in card]
@@ -346,7 +418,7 @@ def test_pseudonyms(spark):
     assert "10.0.0.1" not in got[6] and got[6].endswith("999.1.1.1")
     assert got[7].startswith("call +49 ") and got[7] != texts[7]
     assert got[8:] == [None, "", "plain words"]
-    assert "PythonUDF" not in pii.with_pseudonyms(docs)._jdf.queryExecution().toString()
+    assert "PythonUDF" not in pii.with_pseudonyms(docs, KEY)._jdf.queryExecution().toString()
 
 
 def test_pseudonyms_are_permutations(spark):
