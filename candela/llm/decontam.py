@@ -2,10 +2,10 @@
 
 The index holds, for each term, the items that contain it with their BM25 weights, each divided by the score that the
 item's own text would get; a passage's score for an item is then the share of the item's weight that it covers, and one
-threshold serves all items. Search is block-max WAND: the terms' largest weights bound a passage's score for all items,
-their largest weights within a block of items for the items of the block, and only blocks whose bound reaches the
-threshold are scored. Everything at or above the threshold is retrieved and then verified by the overlap of the item's
-question and answer.
+threshold serves all items. Search is block-max WAND: a cursor a term moves through that term's items in order; the
+terms' largest weights tell the first item that can reach the threshold at all (the pivot), the largest weights of the
+blocks that hold it whether it can, and if not, all cursors skip to the first item beyond one of these blocks. Everything
+at or above the threshold is retrieved and then verified by the overlap of the item's question and answer.
 
 Passages are overlapping windows of the whole text, twice as long as the longest item of the index and half a window
 apart, so that any occurrence of an item lies within one of them.
@@ -14,6 +14,8 @@ apart, so that any occurrence of an item lies within one of them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,15 +56,16 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
+    """Postings by term: numbers of items in ascending order with their weights, in blocks of BLOCK with the block's last
+    item and largest weight."""
+
     items: list[tuple[int | None, list[str], list[str]]]  # id, question, answer
     terms: dict[str, int]
-    starts: np.ndarray  # of each term's postings
-    posted: np.ndarray  # item numbers, ascending within a term
-    weights: np.ndarray
+    posted: list[list[int]]
+    weights: list[list[float]]
     most: np.ndarray  # each term's largest weight
-    block_starts: np.ndarray
-    blocks: np.ndarray
-    block_most: np.ndarray
+    block_last: list[list[int]]
+    block_most: list[list[float]]
     window: int
 
 
@@ -70,43 +73,73 @@ def build(items: list[tuple[int | None, str]], df: dict[str, int], n_items: int,
     """The index of some items, with the document frequencies, number and mean length of all of them."""
     parted = [(item_id, *question_and_answer(text)) for item_id, text in items]
     terms: dict[str, int] = {}
-    rows = []
+    posted: list[list[int]] = []
+    weights: list[list[float]] = []
     for number, (_, question, answer) in enumerate(parted):
         words = question + answer
-        tf: dict[str, int] = {}
-        for word in words:
-            tf[word] = tf.get(word, 0) + 1
-        weight = {t: np.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean_words)) for t, n in tf.items()}
+        tf = Counter(words)
+        weight = {t: float(np.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5))) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean_words)) for t, n in tf.items()}
         own = sum(weight.values())
-        rows += [(terms.setdefault(t, len(terms)), number, w / own) for t, w in weight.items()]
-    rows.sort()
-    term, posted, weights = (np.array(x) for x in zip(*rows))
-    starts = np.searchsorted(term, np.arange(len(terms) + 1))
-    at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (posted[1:] // BLOCK != posted[:-1] // BLOCK)])
-    return Index(parted, terms, starts, posted, weights, np.maximum.reduceat(weights, starts[:-1]), np.searchsorted(term[at], np.arange(len(terms) + 1)), posted[at] // BLOCK, np.maximum.reduceat(weights, at), 2 * max(len(q) + len(a) for _, q, a in parted))
-
-
-def _lists(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """The positions of these terms' entries, one list after the other."""
-    first, n = starts[terms], starts[terms + 1] - starts[terms]
-    ends = np.cumsum(n)
-    return np.arange(ends[-1]) + np.repeat(first - ends + n, n)
-
-
-def retrieve(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """All items whose score for a passage of these distinct terms is at least the threshold."""
-    if not len(terms) or index.most[terms].sum() < threshold:
-        return []
-    n_blocks = (len(index.items) - 1) // BLOCK + 1
-    at = _lists(index.block_starts, terms)
-    bound = np.bincount(index.blocks[at], index.block_most[at], n_blocks)
-    alive = bound >= threshold
-    if not alive.any():
-        return []
-    at = _lists(index.starts, terms)
-    at = at[alive[index.posted[at] // BLOCK]]
-    score = np.bincount(index.posted[at], index.weights[at], len(index.items))
-    return [(int(k), float(score[k])) for k in np.flatnonzero(score >= threshold)]
+        for t, w in weight.items():
+            if t not in terms:
+                terms[t] = len(terms)
+                posted.append([])
+                weights.append([])
+            posted[terms[t]].append(number)
+            weights[terms[t]].append(w / own)
+    cuts = [range(0, len(x), BLOCK) for x in posted]
+    block_last = [[x[min(k + BLOCK, len(x)) - 1] for k in cut] for x, cut in zip(posted, cuts)]
+    block_most = [[max(x[k : k + BLOCK]) for k in cut] for x, cut in zip(weights, cuts)]
+    return Index(parted, terms, posted, weights, np.array([max(x) for x in weights]), block_last, block_most, 2 * max(len(q) + len(a) for _, q, a in parted))
+
+
+_SLACK = 1e-9  # sums are rounded by their order
+
+
+def retrieve(index: Index, terms: list[int], threshold: float, told: Counter | None = None) -> list[tuple[int, float]]:
+    """All items whose score for a passage of these distinct terms is at least the threshold. told: gets how many items
+    were scored, and how often a block's bound let the cursors skip."""
+    told = Counter() if told is None else told
+    goal, found = threshold - _SLACK, []
+    # a cursor: item, place in the postings, term
+    cursors = [[index.posted[t][0], 0, t] for t in terms]
+    bound = [float(x) for x in index.most]
+    while cursors:
+        cursors.sort()
+        total, last = 0.0, -1
+        for k, (_, _, t) in enumerate(cursors):
+            total += bound[t]
+            if total >= goal:
+                last = k
+                break
+        if last < 0:
+            break
+        pivot = cursors[last][0]
+        while last + 1 < len(cursors) and cursors[last + 1][0] == pivot:
+            last += 1
+        # the blocks that would hold the pivot, and where the first of them, or the next term, lets the bound change
+        total, goes = 0.0, cursors[last + 1][0] if last + 1 < len(cursors) else len(index.items)
+        for _, at, t in cursors[: last + 1]:
+            block = bisect_left(index.block_last[t], pivot, at // BLOCK)
+            if block < len(index.block_last[t]):
+                total += index.block_most[t][block]
+                goes = min(goes, index.block_last[t][block] + 1)
+        if total < goal:
+            told["skipped"] += 1
+        elif cursors[0][0] == pivot:
+            told["scored"] += 1
+            score = sum(index.weights[t][at] for _, at, t in cursors[: last + 1])
+            if score >= threshold:
+                found.append((pivot, score))
+            goes = pivot + 1
+        else:
+            goes = pivot
+        for cursor in cursors[: last + 1]:
+            items = index.posted[cursor[2]]
+            cursor[1] = bisect_left(items, goes, cursor[1])
+            cursor[0] = items[cursor[1]] if cursor[1] < len(items) else -1
+        cursors = [c for c in cursors if c[0] >= 0]
+    return found
 
 
 def verify(item: tuple[int | None, list[str], list[str]], words: list[str]) -> tuple[float, float, float]:
@@ -133,9 +166,9 @@ def search(index: Index, words: list[str], threshold: float = THRESHOLD) -> dict
         if bound[stop] - bound[first] < threshold - 1e-9:
             continue
         terms = np.unique(ids[first:stop])
-        for number, score in retrieve(index, terms[terms >= 0], threshold):
+        for number, score in retrieve(index, terms[terms >= 0].tolist(), threshold):
             whole, question, answer = verify(index.items[number], words[first:stop])
-            if whole >= OVERLAP and answer >= OVERLAP and score > found.get(number, (0.0,))[0]:
+            if min(whole, question, answer) >= OVERLAP and score > found.get(number, (0.0,))[0]:
                 found[number] = (score, question, answer)
     return found
 
