@@ -2,10 +2,11 @@
 
 The index holds, for each term, the items that contain it with their BM25 weights, each divided by the score that the
 item's own text would get; a passage's score for an item is then the share of the item's weight that it covers, and one
-threshold serves all items. Search is block-max WAND: a cursor a term moves through that term's items in order; the
-terms' largest weights tell the first item that can reach the threshold at all (the pivot), the largest weights of the
-blocks that hold it whether it can, and if not, all cursors skip to the first item beyond one of these blocks. Everything
-at or above the threshold is retrieved and then verified by the overlap of the item's question and answer.
+threshold serves all items. Search is block-max WAND over blocks of item numbers: the terms' largest weights within a
+block bound the scores of its items, which tells at once which blocks are live (mostly none). Then a cursor a term moves
+through that term's items in order; the terms' largest weights tell the first item that can reach the threshold at all
+(the pivot), and where that lies in a dead block, the cursors skip to the next live one. Everything at or above the
+threshold is retrieved and then verified by the overlap of the item's question and answer.
 
 Passages are overlapping windows of the whole text, twice as long as the longest item of the index and half a window
 apart, so that any occurrence of an item lies within one of them.
@@ -28,7 +29,7 @@ from . import common
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
-BLOCK = 16
+BLOCK = 4
 SHINGLE = 5
 OVERLAP = 0.8
 #: Most words of test items in one index, which every executor holds; more items make more indexes, searched in turn.
@@ -56,16 +57,17 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings by term: numbers of items in ascending order with their weights, in blocks of BLOCK with the block's last
-    item and largest weight."""
+    """Postings by term: numbers of items in ascending order with their weights; and for the blocks of BLOCK items that a
+    term occurs in, one list after the other from block_starts[term] on, their numbers and the term's largest weight."""
 
     items: list[tuple[int | None, list[str], list[str]]]  # id, question, answer
     terms: dict[str, int]
     posted: list[list[int]]
     weights: list[list[float]]
     most: np.ndarray  # each term's largest weight
-    block_last: list[list[int]]
-    block_most: list[list[float]]
+    block_starts: np.ndarray
+    blocks: np.ndarray
+    block_most: np.ndarray
     window: int
 
 
@@ -87,25 +89,42 @@ def build(items: list[tuple[int | None, str]], df: dict[str, int], n_items: int,
                 weights.append([])
             posted[terms[t]].append(number)
             weights[terms[t]].append(w / own)
-    cuts = [range(0, len(x), BLOCK) for x in posted]
-    block_last = [[x[min(k + BLOCK, len(x)) - 1] for k in cut] for x, cut in zip(posted, cuts)]
-    block_most = [[max(x[k : k + BLOCK]) for k in cut] for x, cut in zip(weights, cuts)]
-    return Index(parted, terms, posted, weights, np.array([max(x) for x in weights]), block_last, block_most, 2 * max(len(q) + len(a) for _, q, a in parted))
+    n = np.array([len(x) for x in posted])
+    term, weight = np.repeat(np.arange(len(n)), n), np.array([w for x in weights for w in x])
+    block = np.array([k for x in posted for k in x]) // BLOCK
+    at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+    most = np.maximum.reduceat(weight, np.r_[0, np.cumsum(n)[:-1]])
+    return Index(parted, terms, posted, weights, most, np.searchsorted(term[at], np.arange(len(n) + 1)), block[at], np.maximum.reduceat(weight, at), 2 * max(len(q) + len(a) for _, q, a in parted))
 
 
 _SLACK = 1e-9  # sums are rounded by their order
 
 
-def retrieve(index: Index, terms: list[int], threshold: float, told: Counter | None = None) -> list[tuple[int, float]]:
+def live_blocks(index: Index, terms: np.ndarray, goal: float) -> list[int]:
+    """The blocks whose bound for a passage of these terms reaches the goal."""
+    first, n = index.block_starts[terms], index.block_starts[terms + 1] - index.block_starts[terms]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+    return np.flatnonzero(np.bincount(index.blocks[at], index.block_most[at]) >= goal).tolist()
+
+
+def retrieve(index: Index, terms: np.ndarray, threshold: float, told: Counter | None = None) -> list[tuple[int, float]]:
     """All items whose score for a passage of these distinct terms is at least the threshold. told: gets how many items
-    were scored, and how often a block's bound let the cursors skip."""
-    told = Counter() if told is None else told
+    were scored, and how often the cursors skipped to the next live block."""
     goal, found = threshold - _SLACK, []
+    if not len(terms) or index.most[terms].sum() < goal or not (live := live_blocks(index, terms, goal)):
+        return found
+    told = Counter() if told is None else told
     # a cursor: item, place in the postings, term
-    cursors = [[index.posted[t][0], 0, t] for t in terms]
-    bound = [float(x) for x in index.most]
-    while cursors:
-        cursors.sort()
+    cursors = [[0, 0, t] for t in terms.tolist()]
+    bound = dict(zip(terms.tolist(), index.most[terms].tolist()))
+    moved, goes = cursors, live[0] * BLOCK
+    while True:
+        for cursor in moved:
+            items = index.posted[cursor[2]]
+            cursor[1] = bisect_left(items, goes, cursor[1])
+            cursor[0] = items[cursor[1]] if cursor[1] < len(items) else -1
+        cursors = sorted(c for c in cursors if c[0] >= 0)
         total, last = 0.0, -1
         for k, (_, _, t) in enumerate(cursors):
             total += bound[t]
@@ -113,33 +132,25 @@ def retrieve(index: Index, terms: list[int], threshold: float, told: Counter | N
                 last = k
                 break
         if last < 0:
-            break
+            return found
         pivot = cursors[last][0]
         while last + 1 < len(cursors) and cursors[last + 1][0] == pivot:
             last += 1
-        # the blocks that would hold the pivot, and where the first of them, or the next term, lets the bound change
-        total, goes = 0.0, cursors[last + 1][0] if last + 1 < len(cursors) else len(index.items)
-        for _, at, t in cursors[: last + 1]:
-            block = bisect_left(index.block_last[t], pivot, at // BLOCK)
-            if block < len(index.block_last[t]):
-                total += index.block_most[t][block]
-                goes = min(goes, index.block_last[t][block] + 1)
-        if total < goal:
+        next_live = bisect_left(live, pivot // BLOCK)
+        moved = cursors[: last + 1]
+        if next_live == len(live):
+            return found
+        if live[next_live] != pivot // BLOCK:
             told["skipped"] += 1
+            goes = live[next_live] * BLOCK
         elif cursors[0][0] == pivot:
             told["scored"] += 1
-            score = sum(index.weights[t][at] for _, at, t in cursors[: last + 1])
+            score = sum(index.weights[t][at] for _, at, t in moved)
             if score >= threshold:
                 found.append((pivot, score))
             goes = pivot + 1
         else:
             goes = pivot
-        for cursor in cursors[: last + 1]:
-            items = index.posted[cursor[2]]
-            cursor[1] = bisect_left(items, goes, cursor[1])
-            cursor[0] = items[cursor[1]] if cursor[1] < len(items) else -1
-        cursors = [c for c in cursors if c[0] >= 0]
-    return found
 
 
 def verify(item: tuple[int | None, list[str], list[str]], words: list[str]) -> tuple[float, float, float]:
@@ -166,7 +177,7 @@ def search(index: Index, words: list[str], threshold: float = THRESHOLD) -> dict
         if bound[stop] - bound[first] < threshold - 1e-9:
             continue
         terms = np.unique(ids[first:stop])
-        for number, score in retrieve(index, terms[terms >= 0].tolist(), threshold):
+        for number, score in retrieve(index, terms[terms >= 0], threshold):
             whole, question, answer = verify(index.items[number], words[first:stop])
             if min(whole, question, answer) >= OVERLAP and score > found.get(number, (0.0,))[0]:
                 found[number] = (score, question, answer)

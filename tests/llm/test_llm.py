@@ -494,7 +494,7 @@ def test_decontamination_finds_all(spark):
     told = Counter()
     for _ in range(60):
         passage = [rng.choice(words) for _ in range(30)] + decontam.words_of(rng.choice(items)[1])[: rng.randint(2, 25)]
-        terms = sorted({index.terms[w] for w in passage if w in index.terms})
+        terms = np.array(sorted({index.terms[w] for w in passage if w in index.terms}))
         scores = np.zeros(len(items))  # exhaustively
         for t in terms:
             for k, w in zip(index.posted[t], index.weights[t]):
