@@ -154,13 +154,12 @@ def retrieve(index: Index, terms: np.ndarray, threshold: float, told: Counter |
 
 
 def verify(item: tuple[int | None, list[str], list[str]], words: list[str]) -> tuple[float, float, float]:
-    """The shares of an item's shingles (across question and answer), of its question's, and of its answer's words
-    that these words hold; without an answer, the last is 1."""
+    """The shares that these words hold of an item's shingles (across question and answer), of its question's words and
+    of its answer's; without an answer, the last is 1."""
     _, question, answer = item
-    there = shingles(words)
-    of = lambda wanted: len(wanted & there) / len(wanted) if wanted else 1.0
-    held = set(words)
-    return of(shingles(question + answer)), of(shingles(question)), sum(w in held for w in answer) / len(answer) if answer else 1.0
+    wanted, there, held = shingles(question + answer), shingles(words), set(words)
+    of = lambda part: sum(w in held for w in part) / len(part) if part else 1.0
+    return len(wanted & there) / len(wanted) if wanted else 1.0, of(question), of(answer)
 
 
 def search(index: Index, words: list[str], threshold: float = THRESHOLD) -> dict[int, tuple[float, float, float]]:
