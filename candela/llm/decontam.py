@@ -31,7 +31,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 BLOCK = 4
 SHINGLE = 5
-OVERLAP = 0.8
+#: Least shares of an item's shingles, and of the words of its question and of its answer, in a verified passage.
+OVERLAP, PART = 0.8, 0.5
 #: Most words of test items in one index, which every executor holds; more items make more indexes, searched in turn.
 SHARD_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -178,7 +179,7 @@ def search(index: Index, words: list[str], threshold: float = THRESHOLD) -> dict
         terms = np.unique(ids[first:stop])
         for number, score in retrieve(index, terms[terms >= 0], threshold):
             whole, question, answer = verify(index.items[number], words[first:stop])
-            if min(whole, question, answer) >= OVERLAP and score > found.get(number, (0.0,))[0]:
+            if whole >= OVERLAP and min(question, answer) >= PART and score > found.get(number, (0.0,))[0]:
                 found[number] = (score, question, answer)
     return found
 
