@@ -344,6 +344,53 @@ def test_quality_on_held_out_labels(spark, nothing):
     assert quality.scores(nothing, none).count() == 0
 
 
+def test_co_training_is_the_plain_one(spark):
+    """Against the same rounds with arrays, all rows at once; with repeated rows and ids, nulls, a long text, ids beyond
+    doubles and clashing columns."""
+    rng = random.Random(21)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta,", "The", "end."]) for _ in range(rng.randint(20, 60)))
+    bad = lambda: "\n".join(rng.choice(["CLICK!!!", "win $$$ 777", "zz zz zz"]) for _ in range(rng.randint(2, 30)))
+    made = [(k, good() if k % 2 else bad(), f"src{k % 2 * 3}", "en") for k in range(600)]
+    made += [(2**60 + 1, good(), "src3", None), (None, bad(), None, None), (None, None, "src0", "de"), (4, good(), "src9", "fr"), made[5], (2**60 + 3, "word " * 60_000, "src1", "en")]
+    docs = spark.createDataFrame([(*r, "clash", 1.0) for r in made], "doc_id long, text string, source string, lang string, label string, score double").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 240)] + [(None, 1), (7, None), (9, 4)], "doc_id long, quality int")
+    got = quality.scores(docs, labels).collect()
+
+    half = lambda rows: np.array(rows, dtype="<f2")
+    content, meta = half([quality.content_view(t or "") for _, t, _, _ in made]), half([quality.metadata_view(t or "", s, x) for _, t, s, x in made])
+    fold = np.array([common.remainder_of(i, 4) != 2 for i, *_ in made])
+    first = {}
+    for k, (i, *_) in enumerate(made):
+        if i is not None and i < 240 and fold[k] and (i not in first or (content[k].tobytes(), meta[k].tobytes()) < (content[first[i]].tobytes(), meta[first[i]].tobytes())):
+            first[i] = k
+    at = [first[i] for i in sorted(first)]
+    y = np.array([float(i % 2) for i in sorted(first)])
+    own, rest = quality.parted(y)
+    x = (content.astype(float), meta.astype(float))
+    labelled = [v[at] for v in x]
+    pool = [k for k, (i, *_) in enumerate(made) if fold[k] and i not in first]
+    views = [quality.View.fit(v[own], y[own], n) for v, n in zip(labelled, quality.SQUARED)]
+    for turn in range(1, quality.ROUNDS + 1):
+        extra = [None, None]
+        for v in (0, 1):
+            bins = np.floor(np.clip(views[v].score(x[v][pool]), -quality.MOST, quality.MOST) / quality.STEP).astype(int)
+            low, high = quality.cut_offs(dict(Counter(bins.tolist())), quality.GROWTH * turn, float(y[own].mean()))
+            sure = np.flatnonzero((bins <= low) | (bins >= high))
+            extra[1 - v] = (np.array(pool)[sure], (bins[sure] >= high).astype(float))
+        views = [quality.View.fit(np.r_[v[own], w[k]], np.r_[y[own], z], n) for v, w, (k, z), n in zip(labelled, x, extra, quality.SQUARED)]
+        assert all(len(k) for k, _ in extra)
+    model = quality.combined(tuple(views), tuple(v[rest] for v in labelled), y[rest])
+    wanted = sorted((i is None, i or 0, s) for (i, *_), s in zip(made, model.score(x)))
+    told = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in got)
+    assert [t[:2] for t in told] == [w[:2] for w in wanted] and [t[2] for t in told] == pytest.approx([w[2] for w in wanted], abs=1e-5)
+
+
+def test_cut_offs():
+    assert quality.cut_offs({-5: 10, -3: 10, 0: 60, 4: 15, 6: 5}, 0.3, 0.5) == (-5, 6)
+    assert quality.cut_offs({-5: 10, -3: 10, 0: 60, 4: 15, 6: 5}, 1.0, 0.5) == (-3, 4)
+    assert quality.cut_offs({-1: 100}, 0.5, 0.5)[1] > 1000 > -1000 > quality.cut_offs({-1: 100}, 0.5, 0.5)[0]
+
+
 KEY = "a test's key"
 
 
