@@ -1,16 +1,19 @@
 """Katz back-off language model over words, for corpora whose n-grams no single machine holds.
 
-The model: a word's count is discounted by Good-Turing (counts up to K; more are trusted), and what a context's discounts
-free is shared among the words not seen after it, in proportion to their unigram probability: P(w|h) is the discounted
-relative frequency if hw was seen in training, else alpha(h) P(w), with alpha(h) exactly what makes the sum over all
-words (and one unknown word, which has what the unigram discounts free) one.
-
-The work: texts become blocks of word numbers, written once. Blocks ask for the corpus counts of their words and word
-pairs, in packed arrays that are dealt by hash to buckets of bounded size; a bucket sums what blocks have counted in
-training documents, keeps its part of the model as a row of a partitioned table, and replies to each block. Contexts of
-more than one in HOT training tokens (so at most HOT of them) are spread over all buckets by their next word; their sums
-come back to the driver. So no task or row holds more than a block, a bucket or its share, however often a word or pair
-occurs.
+The model, of order three: a count is discounted by Good-Turing (counts up to K; more are trusted), and what a context's
+discounts free is shared among the words not seen after it, in proportion to their probability after the shorter
+context: P(w|h) is the discounted relative frequency if hw was seen in training (runs of three words: CUT times or more,
+the usual cut-off), else alpha(h) P(w|h'), where h' is h without its first word and alpha(h) is exactly what makes the
+sum over all words (and one unknown word, which has what the unigram discounts free) one. A text's first word has the
+text's start as its only context.
+
+The work: texts become files of word numbers, one a block. Blocks ask for the corpus counts of their words, then of their
+word pairs, then of those triples whose both pairs were seen CUT times (others can't have been), in packed arrays that are
+dealt by hash of the context to buckets of bounded size; a bucket sums what blocks have counted in training documents,
+keeps its part of the model (counts, and each context's sum of the shorter probabilities, from which its back-off weight
+follows) as a row of a partitioned table, and replies to each block. Contexts of more than one in HOT training tokens (so
+at most HOT of them) are spread over all buckets by their next word; their sums come back to the driver. So no task or
+row holds more than a block, a bucket or its share, however often a run of words occurs.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, files
 
 K = 5
+#: Runs of three words that were seen less often have no count of their own.
+CUT = 2
 HOT = 2000
 BLOCK_BYTES = 12 << 20
 BUCKET_WORDS = 400_000
@@ -35,6 +40,7 @@ BUCKET_PAIRS = 2_000_000
 HELD_OUT = (7, 2)
 END = 0  # the number of the end token, which is also the context at a text's start
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
@@ -65,15 +71,17 @@ def _words(data: bytes) -> list[bytes]:
     return joined.split(b" ") if joined else []
 
 
-def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
-    """Factor d_r for r = 0 to K (d_0 unused) from the numbers n_1 to n_(K+1) of types seen 1 to K+1 times. Where
-    Good-Turing's factor isn't strictly between 0 and 1 (too few types), it is (r - 1/2) / r."""
+def discounts(counts_of_counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """Factor d_r for r = 0 to K (d_0 unused) from the numbers n_1 to n_(K+1) of types seen 1 to K+1 times, of which those
+    under `least` are not in the model. Katz's condition is that what counts up to K lose is what Good-Turing gives to
+    lower ones: (1 - d_r) is in proportion to 1 - r*/r, and sums to the mass of n_least. Where the factor isn't strictly
+    between 0 and 1 (too few types), it is (r - 1/2) / r."""
     n = np.r_[0.0, np.asarray(counts_of_counts, dtype=float)]
     d = np.ones(K + 1)
-    for r in range(1, K + 1):
+    for r in range(least, K + 1):
         d[r] = (r - 0.5) / r
-        if n[1] > 0 and n[r] > 0:
-            common_part = (K + 1) * n[K + 1] / n[1]
+        if n[least] > 0 and n[r] > 0:
+            common_part = (K + 1) * n[K + 1] / (least * n[least])
             exact = (r + 1) * n[r + 1] / (n[r] * r)
             if common_part < 1 and 0 < (value := (exact - common_part) / (1 - common_part)) < 1:
                 d[r] = value
@@ -98,55 +106,63 @@ class Unigram:
         return np.where(counts > 0, self.scale * _discounted(counts, self.d) / max(1, self.total), self.unknown)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as numbers of the block's own words: 0 is the end, others by their place in the words."""
-    from pyspark import TaskContext
-
-    first = TaskContext.get().partitionId() << 32
-    ids, texts, size, made = [], [], 0, 0
-
-    def block() -> pa.RecordBatch:
-        split = [common.words_of(t) for t in texts]
-        lengths = np.array([len(s) + 1 for s in split], dtype=np.int64)
-        coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
-        held = np.array([common.remainder_of(i, HELD_OUT[0]) == HELD_OUT[1] for i in ids])
-        tokens = np.zeros(int(lengths.sum()), dtype=np.int64)
-        ends = np.cumsum(lengths) - 1
-        inner = np.ones(len(tokens), dtype=bool)
-        inner[ends] = False
-        tokens[inner] = coded.indices.to_numpy() + 1
-        words = coded.dictionary.to_pylist()
-        trained = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words) + 1)
-        return pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array([first + made], pa.int64()),
-                "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                "held": [np.packbits(held).tobytes()],
-                "lengths": [packed(lengths)],
-                "tokens": [packed(tokens)],
-                "words": [_text(words)],
-                "counts": [packed(trained[1:])],
-                "n_words": pa.array([len(words)], pa.int64()),
-                "n_tokens": pa.array([len(tokens)], pa.int64()),
-                "trained": pa.array([int(trained.sum())], pa.int64()),
-                "trained_texts": pa.array([int((~held).sum())], pa.int64()),
-            }
-        )
-
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            if texts and size + len(text) > BLOCK_BYTES:
-                yield block()
-                ids, texts, size, made = [], [], 0, made + 1
-            ids.append(i)
-            texts.append(text)
-            size += len(text)
-    if texts:
-        yield block()
-
-
-_BLOCKS = "block long, doc_ids array<long>, held binary, lengths binary, tokens binary, words binary, counts binary, n_words long, n_tokens long, trained long, trained_texts long"
+_KEPT = ("lengths", "held", "tokens", "words", "counts")
+
+
+def _blocks(folder: str):
+    """Files of texts as numbers of the block's own words: 0 is the end, others by their place in the words."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        ids, texts, size, made = [], [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            split = [common.words_of(t) for t in texts]
+            lengths = np.array([len(s) + 1 for s in split], dtype=np.int64)
+            coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
+            held = np.array([common.remainder_of(i, HELD_OUT[0]) == HELD_OUT[1] for i in ids])
+            tokens = np.zeros(int(lengths.sum()), dtype=np.int64)
+            ends = np.cumsum(lengths) - 1
+            inner = np.ones(len(tokens), dtype=bool)
+            inner[ends] = False
+            tokens[inner] = coded.indices.to_numpy() + 1
+            words = coded.dictionary.to_pylist()
+            trained = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(words) + 1)
+            row = {"ids": pa.array([ids], pa.list_(pa.int64()))} | dict(zip(_KEPT, ([packed(lengths)], [np.packbits(held).tobytes()], [packed(tokens)], [_text(words)], [packed(trained[1:])])))
+            sink = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_pydict(row)
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            data = sink.getvalue()
+            with files.created(folder, "block") as (name, out):
+                out.write(data)
+            told = {"block": first + made, "bytes": data.size, "n_words": len(words), "n_tokens": len(tokens), "trained": int(trained.sum()), "trained_texts": int((~held).sum())}
+            return pa.RecordBatch.from_pydict({"file": [name]} | {k: pa.array([v], pa.int64()) for k, v in told.items()})
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if texts and size + len(text) > BLOCK_BYTES:
+                    yield block()
+                    ids, texts, size, made = [], [], 0, made + 1
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield block()
+
+    return make
+
+
+_MANIFEST = "file string, block long, bytes long, n_words long, n_tokens long, trained long, trained_texts long"
+
+
+def _block(file: str, size: int) -> dict:
+    """A block's row; its ids stay an Arrow array."""
+    table = pa.ipc.open_stream(files.read(file, 0, size)).read_all()
+    return {c: table.column(c)[0].as_py() for c in _KEPT} | {"ids": table.column("ids").chunk(0).values}
 
 
 def _parts(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +175,16 @@ def _word_buckets(words: list[bytes], n: int) -> np.ndarray:
     return (pd.util.hash_array(np.array(words, dtype=object)) % np.uint64(n)).astype(np.int64) if words else np.zeros(0, dtype=np.int64)
 
 
+def _dealt(keys: np.ndarray, n: int) -> np.ndarray:
+    return (((keys ^ (keys >> _SHIFT)) * _MIX >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
 def _ask_words(n: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                words, counts = _words(words), unpacked(counts)
+            for block, file, size in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                row = _block(file, size)
+                words, counts = _words(row["words"]), unpacked(row["counts"])
                 order, at = _parts(_word_buckets(words, n), n)
                 rows = [(k, block, _text([words[j] for j in own.tolist()]), packed(counts[own])) for k in range(n) if len(own := order[at[k] : at[k + 1]])]
                 if rows:
@@ -176,6 +197,10 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(counts[(counts > 0) & (counts <= K + 1)].astype(int), minlength=K + 2)[1 : K + 2].tolist()
 
 
+_ANSWER = "kind string, block long, bucket int, a binary, b binary, c binary, stats array<long>, mass double"
+_COLUMNS = ["kind", "block", "bucket", "a", "b", "c", "stats", "mass"]
+
+
 def _answer_words(n: int, hot_count: float):
     """kind: model (words and counts, the most frequent first), reply (numbers and counts for a block), hot."""
 
@@ -190,47 +215,111 @@ def _answer_words(n: int, hot_count: float):
         number = 1 + rank * n + bucket
         if len(number) and number.max() >= 1 << 32:
             raise ValueError("more than 2**32 different words")
-        rows, at = [("model", None, bucket, _text([known[k] for k in order.tolist()]), packed(counts[order]), [int((counts > 0).sum()), *_counts_of_counts(counts)])], 0
+        rows, at = [("model", None, bucket, _text([known[k] for k in order.tolist()]), packed(counts[order]), None, [int((counts > 0).sum()), *_counts_of_counts(counts)], None)], 0
         for block, ws in zip(frame["block"], asked):
             own = codes[at : at + len(ws)]
             at += len(ws)
-            rows.append(("reply", block, bucket, packed(number[own]), packed(counts[own]), None))
+            rows.append(("reply", block, bucket, packed(number[own]), packed(counts[own]), None, None, None))
         hot = np.flatnonzero(counts >= hot_count)
-        rows.append(("hot", None, bucket, None, None, number[hot].tolist()))
-        return pd.DataFrame(rows, columns=["kind", "block", "bucket", "a", "b", "stats"])
+        rows.append(("hot", None, bucket, None, None, None, number[hot].tolist(), None))
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     return answer
 
 
-_ANSWER = "kind string, block long, bucket int, a binary, b binary, stats array<long>"
+def _floats(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype="<f8").tobytes())
+
+
+def _unfloats(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<f8")
 
 
 class _Pairs:
-    """A block's word pairs, from its row and the replies about its words."""
+    """A block's word pairs, from its file and the replies about its words. A pair's key is both numbers in one."""
 
-    def __init__(self, row, replies: pd.DataFrame, n_words: int, n_pairs: int, texts: int, hot: np.ndarray) -> None:
+    def __init__(self, row: dict, replies: list[dict], n_words: int, n_pairs: int, texts: int, hot: np.ndarray) -> None:
         words = _words(row["words"])
         order, at = _parts(_word_buckets(words, n_words), n_words)
         number, count = np.zeros(len(words) + 1, dtype=np.uint64), np.full(len(words) + 1, texts, dtype=np.int64)
-        for bucket, a, b in zip(replies["bucket"], replies["a"], replies["b"]):
-            own = order[at[bucket] : at[bucket + 1]] + 1
-            number[own], count[own] = unpacked(a), unpacked(b)
+        for r in replies:
+            own = order[at[r["bucket"]] : at[r["bucket"] + 1]] + 1
+            number[own], count[own] = unpacked(r["a"]), unpacked(r["b"])
+        self.ids = row["ids"]
         self.lengths = unpacked(row["lengths"]).astype(np.int64)
         self.held = np.unpackbits(np.frombuffer(row["held"], dtype=np.uint8))[: len(self.lengths)].astype(bool)
         now = unpacked(row["tokens"]).astype(np.int64)
         before = np.r_[0, now[:-1]]  # the end of a text comes before the next one's first word
+        self.firsts = np.r_[0, np.cumsum(self.lengths)[:-1]]
+        self.trained = np.repeat(~self.held, self.lengths)
         self.count_now = count[now]
-        keys = (number[before] << np.uint64(32)) | number[now]
+        keys = (number[before] << _SHIFT) | number[now]
         self.keys, first, self.inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.count_before, self.count_next = count[before[first]], self.count_now[first]
-        context, following = self.keys >> np.uint64(32), self.keys & np.uint64(0xFFFFFFFF)
-        self.hot = np.isin(context, hot)
-        self.bucket = (((np.where(self.hot, following, context) * _MIX) >> np.uint64(33)) % np.uint64(n_pairs)).astype(np.int64)
+        self.context = self.keys >> _SHIFT
+        self.hot = np.isin(self.context, hot)
+        self.bucket = _dealt(np.where(self.hot, self.keys & _LOW, self.context), n_pairs)
+
+    def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, hot_mass: np.ndarray) -> None:
+        """joint: the pairs' counts; p: their probability; divisor: their context's."""
+        order, at = _parts(self.bucket, n_pairs)
+        self.joint, n, mass = np.zeros(len(self.keys), dtype=np.int64), np.zeros((len(self.keys), K)), np.zeros(len(self.keys))
+        for r in answers:
+            own = order[at[r["bucket"]] : at[r["bucket"] + 1]]
+            self.joint[own] = unpacked(r["a"])
+            own = own[~self.hot[own]]
+            there, k = np.unique(self.context[own], return_inverse=True)
+            if len(there):
+                n[own], mass[own] = unpacked(r["b"]).reshape(K, len(there)).T[k], _unfloats(r["c"])[k]
+        k = np.searchsorted(hot, self.context[self.hot])
+        n[self.hot], mass[self.hot] = hot_n[k], hot_mass[k]
+        alpha, self.divisor = _alpha(n @ _lost(d), mass, self.count_before)
+        backed = np.where(self.count_before > 0, alpha, 1.0) * unigram(self.count_next)
+        self.p = np.where(self.joint > 0, _discounted(self.joint, d) / np.maximum(self.divisor, 1), backed)
+
+
+class _Triples:
+    """A block's runs of three words that may have been seen CUT times, and their contexts, the pairs that were."""
+
+    def __init__(self, pairs: _Pairs, n: int, hot: np.ndarray) -> None:
+        later = np.ones(len(pairs.inverse), dtype=bool)
+        later[pairs.firsts] = False
+        at = np.flatnonzero(later)
+        at = at[pairs.joint[pairs.inverse[at - 1]] >= CUT]
+        self.at = at  # the tokens with such a context
+        contexts, self.context = np.unique(pairs.inverse[at - 1], return_inverse=True)
+        self.contexts, self.count = pairs.keys[contexts], pairs.joint[contexts]
+        now = pairs.inverse[at]
+        seen = np.flatnonzero(pairs.joint[now] >= CUT)
+        keys = (self.context[seen].astype(np.uint64) << _SHIFT) | (pairs.keys[now[seen]] & _LOW)
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        self.own = np.full(len(at), -1)
+        self.own[seen] = inverse
+        self.words, self.of = keys & _LOW, (keys >> _SHIFT).astype(np.int64)
+        self.trained = np.bincount(inverse, pairs.trained[at[seen]].astype(float), len(keys)).astype(np.int64)
+        last = now[seen][first]  # the pair that ends each triple
+        self.last, self.divisor = pairs.joint[last], np.zeros(len(contexts), dtype=np.int64)
+        self.divisor[self.of] = pairs.divisor[last].astype(np.int64)
+        self.hot = np.isin(self.contexts, hot)
+        self.context_bucket = np.where(self.hot, -1, _dealt(self.contexts, n))
+        self.bucket = np.where(self.hot[self.of], _dealt(self.words, n), self.context_bucket[self.of])
+        self.n = n
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """bucket, contexts and triples of each bucket that is asked."""
+        order, at = _parts(self.bucket, self.n)
+        cold, begins = _parts(self.context_bucket + 1, self.n + 1)  # hot ones have the first part
+        for k in range(self.n):
+            own, contexts = order[at[k] : at[k + 1]], cold[begins[k + 1] : begins[k + 2]]
+            if self.hot.any():
+                contexts = np.union1d(contexts, self.of[own][self.hot[self.of[own]]])
+            if len(contexts):
+                yield k, contexts, own
 
 
 def _summed(contexts: np.ndarray, joint: np.ndarray, p_next: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted contexts: which there are, how many next words they have with each count up to K (a column each), and
-    the sum of the next words' unigram probabilities."""
+    the sum of the next words' probabilities after the shorter context."""
     seen = joint > 0
     there, index = np.unique(contexts, return_inverse=True)
     n = np.zeros((len(there), K), dtype=np.int64)
@@ -239,46 +328,117 @@ def _summed(contexts: np.ndarray, joint: np.ndarray, p_next: np.ndarray) -> tupl
     return there, n, np.bincount(index, p_next * seen, len(there))
 
 
-def _answer_pairs(unigram: Unigram, hot: np.ndarray):
-    """kind: model (seen pairs and counts), reply (a: counts of the asked pairs; b: sums for their contexts that aren't
-    hot, in order), hot (sums of a hot context in this bucket)."""
+def _answer_pairs(unigram: Unigram, hot: np.ndarray, hot_count: float):
+    """kind: model (seen pairs, counts and their contexts' sums), reply (a: counts of the asked pairs; b and c: sums for
+    their contexts that aren't hot, in order), hot (sums of a hot context in this bucket), often (frequent pairs)."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         asked = [unpacked(x) for x in frame["keys"]]
         keys, first, index = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
         p_next = unigram(np.concatenate([unpacked(x) for x in frame["nexts"]])[first].astype(np.int64))
-        there, n, mass = _summed(keys >> np.uint64(32), joint, p_next)
+        there, n, mass = _summed(keys >> _SHIFT, joint, p_next)
         is_hot = np.isin(there, hot)
         seen = joint > 0
         bucket = int(frame["bucket"].iloc[0])
-        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), _counts_of_counts(joint), None, None)], 0
+        kept = np.isin(there, keys[seen] >> _SHIFT)
+        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), _floats(mass[kept]), _counts_of_counts(joint), None)], 0
         for block, own in zip(frame["block"], asked):
             mine = index[at : at + len(own)]
             at += len(own)
-            contexts = np.unique(own >> np.uint64(32))
+            contexts = np.unique(own >> _SHIFT)
             k = np.searchsorted(there, contexts[~np.isin(contexts, hot)])
-            rows.append(("reply", block, bucket, packed(joint[mine]), packed(n[k].T.reshape(-1)), None, None, zstandard.ZstdCompressor(level=1).compress(mass[k].tobytes())))
+            rows.append(("reply", block, bucket, packed(joint[mine]), packed(n[k].T.reshape(-1)), _floats(mass[k]), None, None))
         for k in np.flatnonzero(is_hot):
-            rows.append(("hot", int(there[k]), bucket, None, None, n[k].tolist(), float(mass[k]), None))
-        return pd.DataFrame(rows, columns=["kind", "block", "bucket", "a", "b", "stats", "mass", "c"])
+            rows.append(("hot", int(there[k]), bucket, None, None, None, n[k].tolist(), float(mass[k])))
+        rows.append(("often", None, bucket, None, None, None, keys[joint >= hot_count].view(np.int64).tolist(), None))
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     return answer
 
 
-_PAIR_ANSWER = _ANSWER + ", mass double, c binary"
+def _answer_triples(d: np.ndarray, hot: np.ndarray):
+    """kind: model (contexts, the numbers of next words that are kept; words and counts; sums), reply (a: counts of the
+    asked triples, 0 under CUT; b: sums of counts and numbers by count for the contexts that aren't hot; c: their sums of
+    probabilities), hot (sums of a hot context in this bucket; its block is its key)."""
 
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        contexts = [unpacked(x) for x in frame["contexts"]]
+        sizes = [unpacked(x).astype(np.int64) for x in frame["sizes"]]
+        there, where = np.unique(np.concatenate(contexts), return_inverse=True)
+        of = np.repeat(where, np.concatenate(sizes))
+        keys = (of.astype(np.uint64) << _SHIFT) | np.concatenate([unpacked(x) for x in frame["words"]])
+        keys, first, index = np.unique(keys, return_index=True, return_inverse=True)
+        joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
+        counted = _counts_of_counts(joint)
+        joint[joint < CUT] = 0
+        divisor = np.repeat(np.concatenate([unpacked(x) for x in frame["divisors"]]), np.concatenate(sizes))
+        p_next = _discounted(np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64), d) / np.maximum(divisor[first], 1)
+        at = (keys >> _SHIFT).astype(np.int64)
+        few = (joint > 0) & (joint <= K)
+        n = np.zeros((len(there), K + 1), dtype=np.int64)  # the last: sum of counts
+        np.add.at(n, (at[few], joint[few] - 1), 1)
+        n[:, K] = np.bincount(at, joint, len(there))
+        mass = np.bincount(at, p_next * (joint > 0), len(there))
+        is_hot, seen, bucket = np.isin(there, hot), joint > 0, int(frame["bucket"].iloc[0])
+        kept, told = np.unique(at[seen], return_counts=True)
+        body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), _floats(mass[kept]))))
+        rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, counted, None)], 0, 0
+        for block, own, size in zip(frame["block"], contexts, sizes):
+            total = int(size.sum())
+            k = where[begin : begin + len(own)]
+            k = k[~is_hot[k]]
+            rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(n[k].T.reshape(-1)), _floats(mass[k]), None, None))
+            begin, start = begin + len(own), start + total
+        for k in np.flatnonzero(is_hot):
+            rows.append(("hot", int(there[k : k + 1].view(np.int64)[0]), bucket, None, None, None, n[k].tolist(), float(mass[k])))
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
-def _alpha(n: np.ndarray, mass: np.ndarray, count: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Back-off weight and divisor of contexts that were seen `count` times: what the discounts free, over the unigram
-    probability of the words not seen next. A context without any discounted word is divided by one more than its count
-    instead, which frees that one."""
-    freed = n.astype(float) @ (np.arange(1, K + 1) * (1 - d[1:]))
+    return answer
+
+
+def _lost(d: np.ndarray) -> np.ndarray:
+    """What each word seen 1 to K times loses of its count."""
+    return np.arange(1, K + 1) * (1 - d[1:])
+
+
+def _alpha(freed: np.ndarray, mass: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Back-off weight and divisor of contexts that were seen `count` times: what is freed of that, over the probability
+    (after the shorter context) of the words not seen next. A context that frees nothing is divided by one more than its
+    count instead, which frees that one."""
     divisor = np.where(freed > 0, count, count + 1).astype(float)
     freed = np.where(freed > 0, freed, 1.0)
     return freed / np.maximum(divisor, 1) / np.maximum(1 - mass, 1e-300), divisor
 
 
+def _sums(rows: DataFrame, wide: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the hot contexts, over all buckets: the numbers and the masses, in the order of `hot`."""
+    told = rows.where("kind = 'hot'").groupBy("block").agg(*(F.sum(F.col("stats")[k]).alias(f"n{k}") for k in range(wide)), F.sum("mass").alias("mass")).collect()  # at most HOT + 1
+    of = {r["block"] % (1 << 64): ([r[f"n{k}"] for k in range(wide)], r["mass"]) for r in told}
+    nothing = ([0] * wide, 0.0)
+    return np.array([of.get(int(h), nothing)[0] for h in hot]).reshape(len(hot), wide), np.array([of.get(int(h), nothing)[1] for h in hot])
+
+
+def _told(rows: DataFrame, wide: int) -> list[int]:
+    return [int(x or 0) for x in rows.where("kind = 'model'").select(*(F.sum(F.col("stats")[k]) for k in range(wide))).first()]
+
+
+def _table(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values())], names=list(schema))
+
+
+_BINARY = pa.binary()
+_PAIR_ASK = {"bucket": pa.int32(), "block": pa.int64(), "keys": _BINARY, "counts": _BINARY, "nexts": _BINARY}
+_TRIPLE_ASK = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("contexts", "sizes", "words", "counts", "lasts", "divisors"), _BINARY)}
+_SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+_SQL = {pa.int32(): "int", pa.int64(): "long", _BINARY: "binary", pa.bool_(): "boolean", pa.float64(): "double"}
+
+
+def _schema(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {_SQL[t]}" for c, t in columns.items())
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text, learned from the
     documents that aren't held out.
@@ -288,91 +448,96 @@ def scores(docs: DataFrame) -> DataFrame:
     of probability one; an empty table gives an empty result. A text of any length is read whole.
     """
     spark = docs.sparkSession
-    blocks = common.written(common.documents(docs).mapInArrow(_blocks, _BLOCKS), "lm-blocks", codec="uncompressed")
-    size = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "trained", "trained_texts"))).first()
+    blocks = common.written(common.documents(docs).mapInArrow(_blocks(common.scratch(spark, "lm-files")), _MANIFEST), "lm-blocks")
+    size = blocks.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "trained", "trained_texts"))).first()
     total, texts = size["trained"], size["trained_texts"]
     n_words = 1 + size["n_words"] // BUCKET_WORDS
     n_pairs = 1 + size["n_tokens"] // BUCKET_PAIRS
     hot_count = max(1.0, total / HOT)
 
-    asked = blocks.select("block", "words", "counts").mapInArrow(_ask_words(n_words), "bucket int, block long, words binary, counts binary")
+    spread = blocks.select("block", "file", "bytes").repartition(max(1, size["n"]), "block")
+    asked = spread.mapInArrow(_ask_words(n_words), "bucket int, block long, words binary, counts binary")
     answered = _by_kind(asked.groupBy("bucket").applyInPandas(_answer_words(n_words, hot_count), _ANSWER), "lm-words")
-    told = answered.where("kind = 'model'").select(*(F.sum(F.col("stats")[k]) for k in range(K + 2))).first()
-    kinds, *counted = [int(x or 0) for x in told]
+    kinds, *counted = _told(answered, K + 2)
     if 0 < texts <= K + 1:
         counted[texts - 1] += 1
     kinds += texts > 0
     hot = np.array(sorted({END, *(x for r in answered.where("kind = 'hot'").select("stats").collect() for x in r["stats"])}), dtype=np.uint64)  # at most HOT + 1
     unigram = Unigram(total, np.array(counted))
 
-    replies = answered.where("kind = 'reply'").select("block", "bucket", "a", "b")
-
-    def ask_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for row in left.to_dict("records"):
-            pairs = _Pairs(row, right, n_words, n_pairs, texts, hot)
-            trained = np.bincount(pairs.inverse, np.repeat(~pairs.held, pairs.lengths).astype(float), len(pairs.keys)).astype(np.int64)
-            order, at = _parts(pairs.bucket, n_pairs)
-            for k in np.flatnonzero(np.diff(at)):
-                own = order[at[k] : at[k + 1]]
-                rows.append((k, row["block"], packed(pairs.keys[own], rising=True), packed(trained[own]), packed(pairs.count_next[own])))
-        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "counts", "nexts"])
-
-    pair_rows = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(ask_pairs, "bucket int, block long, keys binary, counts binary, nexts binary")
-    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_answer_pairs(unigram, hot), _PAIR_ANSWER), "lm-pairs")
-    told = pair_answers.where("kind = 'model'").select(*(F.sum(F.col("stats")[k]) for k in range(K + 1))).first()
-    d = discounts(np.array([int(x or 0) for x in told]))
-    sums = pair_answers.where("kind = 'hot'").groupBy("block").agg(*(F.sum(F.col("stats")[k]).alias(f"n{k}") for k in range(K)), F.sum("mass").alias("mass")).collect()  # at most HOT + 1
-    hot_sums = {r["block"]: ([r[f"n{k}"] for k in range(K)], r["mass"]) for r in sums}
-    hot_n = np.array([hot_sums.get(int(h), ([0] * K, 0.0))[0] for h in hot])
-    hot_mass = np.array([hot_sums.get(int(h), ([0] * K, 0.0))[1] for h in hot])
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    # a block's file and the replies to it, by kind
+    none = F.lit(None)
+    marks = blocks.select("block", F.lit("block").alias("kind"), "file", "bytes", none.cast("int").alias("bucket"), *(none.cast("binary").alias(c) for c in "abc"))
+    replied = lambda rows, kind: rows.where("kind = 'reply'").select("block", F.lit(kind).alias("kind"), none.cast("string").alias("file"), none.cast("long").alias("bytes"), "bucket", "a", "b", "c")
+
+    def pairs_of(table: pa.Table) -> tuple[int, _Pairs, dict[str, list[dict]]]:
+        rows: dict[str, list[dict]] = {"block": [], "words": [], "pairs": [], "triples": []}
+        for r in table.to_pylist():
+            rows[r["kind"]].append(r)
+        mark = rows["block"][0]
+        return mark["block"], _Pairs(_block(mark["file"], mark["bytes"]), rows["words"], n_words, n_pairs, texts, hot), rows
+
+    def ask_pairs(table: pa.Table) -> pa.Table:
+        block, pairs, _ = pairs_of(table)
+        trained = np.bincount(pairs.inverse, pairs.trained.astype(float), len(pairs.keys)).astype(np.int64)
+        order, at = _parts(pairs.bucket, n_pairs)
+        owned = ((int(k), order[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at)))
+        return _table([(k, block, packed(pairs.keys[own], rising=True), packed(trained[own]), packed(pairs.count_next[own])) for k, own in owned], _PAIR_ASK)
+
+    by_block = marks.unionByName(replied(answered, "words"))
+    pair_rows = by_block.groupBy("block").applyInArrow(ask_pairs, _schema(_PAIR_ASK))
+    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_answer_pairs(unigram, hot, hot_count), _ANSWER), "lm-pairs")
+    d2 = discounts(np.array(_told(pair_answers, K + 1)))
+    hot_n, hot_mass = _sums(pair_answers, K, hot)
+    often = np.array(sorted(x % (1 << 64) for r in pair_answers.where("kind = 'often'").select("stats").collect() for x in r["stats"]), dtype=np.uint64)  # at most HOT
+
+    def triples_of(table: pa.Table) -> tuple[int, _Pairs, _Triples, list[dict]]:
+        block, pairs, rows = pairs_of(table)
+        pairs.answered(rows["pairs"], n_pairs, unigram, d2, hot, hot_n, hot_mass)
+        return block, pairs, _Triples(pairs, n_pairs, often), rows["triples"]
+
+    def ask_triples(table: pa.Table) -> pa.Table:
+        block, _, triples, _ = triples_of(table)
         made = []
-        words, answers = right[right["kind"] == "word"], right[right["kind"] == "pair"]
-        for row in left.to_dict("records"):
-            pairs = _Pairs(row, words, n_words, n_pairs, texts, hot)
-            order, at = _parts(pairs.bucket, n_pairs)
-            context = pairs.keys >> np.uint64(32)
-            joint, n, mass = np.zeros(len(context), dtype=np.int64), np.zeros((len(context), K)), np.zeros(len(context))
-            for bucket, a, b, c in zip(answers["bucket"], answers["a"], answers["b"], answers["c"]):
-                own = order[at[bucket] : at[bucket + 1]]
-                joint[own] = unpacked(a)
-                own = own[~pairs.hot[own]]
-                there, k = np.unique(context[own], return_inverse=True)
-                n[own] = unpacked(b).reshape(K, len(there)).T[k] if len(there) else 0
-                mass[own] = np.frombuffer(zstandard.ZstdDecompressor().decompress(c))[k] if len(there) else 0
-            k = np.searchsorted(hot, context[pairs.hot])
-            n[pairs.hot], mass[pairs.hot] = hot_n[k], hot_mass[k]
-            alpha, divisor = _alpha(n, mass, pairs.count_before, d)
-            p_next = unigram(pairs.count_next)
-            backed = np.where(pairs.count_before > 0, alpha, 1.0) * p_next
-            logs = np.log10(np.where(joint > 0, _discounted(joint, d) / np.maximum(divisor, 1), backed))
-            firsts = np.r_[0, np.cumsum(pairs.lengths)[:-1]]
-            base = np.log10((pairs.count_now + 1) / (total + 1 * (kinds + 1)))
-            ids = row["doc_ids"]
-            made.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], dtype="Int64"),
-                        "held_out": pairs.held,
-                        "n_tokens": pairs.lengths,
-                        "n_known": np.add.reduceat((pairs.count_now > 0).astype(np.int64), firsts),
-                        "train_tokens": total,
-                        "base_score": np.add.reduceat(base, firsts),
-                        "score": np.add.reduceat(logs[pairs.inverse], firsts),
-                    }
-                )
-            )
-        return pd.concat(made) if made else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    nothing = F.lit(None).cast("binary").alias("c")
-    both = replies.select(F.lit("word").alias("kind"), "block", "bucket", "a", "b", nothing).unionByName(pair_answers.where("kind = 'reply'").select(F.lit("pair").alias("kind"), "block", "bucket", "a", "b", "c"))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for k, contexts, own in triples.parts():
+            sizes = np.bincount(np.searchsorted(contexts, triples.of[own]), minlength=len(contexts))
+            made.append((k, block, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own]), packed(triples.divisor[contexts])))
+        return _table(made, _TRIPLE_ASK)
+
+    by_block = by_block.unionByName(replied(pair_answers, "pairs"))
+    triple_rows = by_block.groupBy("block").applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
+    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_answer_triples(d2, often), _ANSWER), "lm-triples")
+    d3 = discounts(np.array(_told(triple_answers, K + 1)), CUT)
+    often_n, often_mass = _sums(triple_answers, K + 1, often)
+
+    def score(table: pa.Table) -> pa.Table:
+        _, pairs, triples, answers = triples_of(table)
+        answer = {r["bucket"]: r for r in answers}
+        joint, n, mass = np.zeros(len(triples.words), dtype=np.int64), np.zeros((len(triples.contexts), K + 1)), np.zeros(len(triples.contexts))
+        for k, contexts, own in triples.parts():
+            joint[own] = unpacked(answer[k]["a"])
+            cold = contexts[~triples.hot[contexts]]
+            if len(cold):
+                n[cold], mass[cold] = unpacked(answer[k]["b"]).reshape(K + 1, len(cold)).T, _unfloats(answer[k]["c"])
+        k = np.searchsorted(often, triples.contexts[triples.hot])
+        n[triples.hot], mass[triples.hot] = often_n[k], often_mass[k]
+        alpha, divisor = _alpha(triples.count - n[:, K] + n[:, :K] @ _lost(d3), mass, triples.count)
+        alpha[n[:, K] == 0] = 1.0  # no word was seen often enough after it
+        p = pairs.p[pairs.inverse]
+        seen = (triples.own >= 0) & (joint[triples.own] > 0) if len(joint) else np.zeros(len(triples.at), dtype=bool)
+        p[triples.at] *= alpha[triples.context]
+        at, own = triples.at[seen], triples.own[seen]
+        p[at] = _discounted(joint[own], d3) / divisor[triples.of[own]]
+        base = np.log10((pairs.count_now + 1) / (total + 1 * (kinds + 1)))
+        known = np.add.reduceat((pairs.count_now > 0).astype(np.int64), pairs.firsts)
+        columns = (pairs.ids, pairs.held, pairs.lengths, known, np.full(len(known), total), np.add.reduceat(base, pairs.firsts), np.add.reduceat(np.log10(p), pairs.firsts))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORES.values())], names=list(_SCORES))
+
+    return by_block.unionByName(replied(triple_answers, "triples")).groupBy("block").applyInArrow(score, _schema(_SCORES))
 
 
 def _by_kind(df: DataFrame, name: str) -> DataFrame:
-    """The rows, from a table partitioned by kind: model, reply, hot."""
+    """The rows, from a table partitioned by kind: model, reply, hot, often."""
     spark = df.sparkSession
     path = common.scratch(spark, name)
     df.write.option("compression", "uncompressed").partitionBy("kind").parquet(path)

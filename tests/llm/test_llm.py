@@ -174,51 +174,101 @@ def test_ogg_stored(docs, rows, nothing):
 
 
 def _plain_katz(rows):
-    """The same model with dictionaries."""
+    """The same model with dictionaries, evaluated recursively."""
     texts = [(i, [w.decode() for w in common.words_of(t)] + [None]) for i, t in rows]
     trained = [ws for i, ws in texts if common.remainder_of(i, 7) != 2]
-    one, two = Counter(w for ws in trained for w in ws), Counter()
+    one, two, three = Counter(w for ws in trained for w in ws), Counter(), Counter()
     for ws in trained:
         two.update(zip([None, *ws[:-1]], ws))
+        three.update(zip([None, *ws[:-2]], ws[:-1], ws[1:]))
     total = sum(one.values())
     of_counts = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)])
-    unigram, d = katz.Unigram(total, of_counts(one)), katz.discounts(of_counts(two))
-    p1 = lambda w: float(unigram(np.array([one[w]]))[0])
-    follow = defaultdict(dict)
+    unigram, d2, d3 = katz.Unigram(total, of_counts(one)), katz.discounts(of_counts(two)), katz.discounts(of_counts(three), katz.CUT)
+    follow = {2: defaultdict(dict), 3: defaultdict(dict)}
     for (h, w), c in two.items():
-        follow[h][w] = c
-    cut = lambda c: c * (d[c] if c <= katz.K else 1.0)
+        follow[2][h,][w] = c
+    for (u, v, w), c in three.items():
+        if c >= katz.CUT:
+            follow[3][u, v][w] = c
+    d = {2: d2, 3: d3}
+    cut = lambda c, n: c * (d[n][c] if c <= katz.K else 1.0)
+    memo = {}
+
+    def weight(h):
+        """alpha and divisor of a context, or None where nothing follows it."""
+        if h not in memo:
+            n, seen = len(h) + 1, follow[len(h) + 1].get(h, {})
+            memo[h] = None
+            if seen:
+                count = one[h[0]] if n == 2 else two[h]
+                freed = count - sum(cut(c, n) for c in seen.values())
+                divisor, freed = (count, freed) if freed > 1e-12 else (count + 1, 1.0)
+                memo[h] = freed / divisor / (1 - sum(p(h[1:], w) for w in seen)), divisor
+        return memo[h]
+
+    def p(h, w):
+        if not h:
+            return float(unigram(np.array([one[w]]))[0])
+        found = weight(h)
+        if not found:
+            return p(h[1:], w)
+        seen = follow[len(h) + 1][h]
+        return cut(seen[w], len(h) + 1) / found[1] if w in seen else found[0] * p(h[1:], w)
+
+    return texts, one, total, p
+
+
+def _wanted_katz(rows):
+    texts, one, total, p = _plain_katz(rows)
+    wanted = []
+    for i, ws in texts:
+        base = sum(math.log10((one[w] + 1) / (total + 1 * (len(one) + 1))) for w in ws)
+        told = sum(math.log10(p((None,) if not k else (ws[k - 2] if k > 1 else None, ws[k - 1]), w)) for k, w in enumerate(ws))
+        wanted.append((i is None, i or 0, len(ws), sum(one[w] > 0 for w in ws), base, told))
+    return sorted(wanted)
 
-    def p2(h, w):
-        seen = follow.get(h, {})
-        if not one[h] or not seen:
-            return p1(w)
-        freed = sum(c - cut(c) for c in seen.values())
-        divisor = one[h] + (freed <= 0)
-        freed = freed if freed > 0 else 1.0
-        if w in seen:
-            return cut(seen[w]) / divisor
-        return freed / divisor / (1 - sum(map(p1, seen))) * p1(w)
 
-    return texts, one, total, p2, unigram
+def _same_scores(docs, rows):
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in katz.scores(docs).collect())
+    for a, b in zip(got, _wanted_katz(rows), strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6)
 
 
 def test_katz(docs, rows, nothing):
-    texts, one, total, p2, unigram = _plain_katz(rows)
-    wanted = []
-    for i, ws in texts:
-        base = sum(math.log10((one[w] + 1) / (total + 1 * (len(one) + 1))) for w in ws)
-        wanted.append((i is not None, i or 0, len(ws), sum(one[w] > 0 for w in ws), base, sum(math.log10(p2(h, w)) for h, w in zip([None, *ws[:-1]], ws))))
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in katz.scores(docs).collect())
-    for a, b in zip(got, sorted(wanted), strict=True):
-        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6)
+    _same_scores(docs, rows)
     assert katz.scores(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("hot", "size"), [(3, 40), (10**9, 40), (50, 1000)])
+def test_katz_with_hot_contexts_blocks_and_buckets(spark, monkeypatch, hot, size):
+    """Whatever is spread, on skewed words, with ids beyond doubles beside null ones."""
+    monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 20 * size)
+    monkeypatch.setattr(katz, "BUCKET_WORDS", 7)
+    monkeypatch.setattr(katz, "BUCKET_PAIRS", size * 3)
+    rng = random.Random(13)
+    words = ["the", "of"] * 12 + [f"w{k}" for k in range(12)]
+    made = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for k in range(30)]
+    made += [(2**60 + 1, "the of the of"), (None, "the of w1"), (2**60 + 3, made[1][1]), (40, made[1][1]), (41, None), (42, "the of the unheard of")]
+    _same_scores(spark.createDataFrame(made, "doc_id long, text string").repartition(2), made)
+
+
 def test_katz_is_normalised(rows):
-    _, one, _, p2, unigram = _plain_katz(rows)
-    for h in (None, "w1", "w7", "never seen"):
-        assert sum(p2(h, w) for w in one) + p2(h, "unknown word") == pytest.approx(1.0)
+    texts, one, _, p = _plain_katz(rows)
+    contexts = {(None,), ("w1",), ("never seen",), ("never", "seen"), *((ws[k], ws[k + 1]) for _, ws in texts[:6] for k in range(min(6, len(ws) - 2)))}
+    for h in contexts:
+        assert sum(p(h, w) for w in one) + p(h, "unknown word") == pytest.approx(1.0)
+
+
+def test_katz_tells_doubles_apart(spark):
+    """A text that occurs twice is likelier, word for word, than one like it that occurs once."""
+    rng = random.Random(17)
+    text = lambda: " ".join(rng.choice([f"w{k}" for k in range(300)]) for _ in range(50))
+    made = [(k, text()) for k in range(400)]
+    made += [(1000 + k, made[k][1]) for k in range(0, 400, 20)]
+    got = {r.doc_id: r.score / r.n_tokens for r in katz.scores(spark.createDataFrame(made, "doc_id long, text string")).where("NOT held_out").collect()}
+    twice = [got[k] for k in range(0, 400, 20) if k in got and 1000 + k in got]
+    assert min(twice) > np.quantile([v for k, v in got.items() if k < 1000 and k % 20], 0.95)
 
 
 def test_toxicity_grammar():
