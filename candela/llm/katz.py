@@ -74,8 +74,9 @@ def _words(data: bytes) -> list[bytes]:
 def discounts(counts_of_counts: np.ndarray, least: int = 1) -> np.ndarray:
     """Factor d_r for r = 0 to K (d_0 unused) from the numbers n_1 to n_(K+1) of types seen 1 to K+1 times, of which those
     under `least` are not in the model. Katz's condition is that what counts up to K lose is what Good-Turing gives to
-    lower ones: (1 - d_r) is in proportion to 1 - r*/r, and sums to the mass of n_least. Where the factor isn't strictly
-    between 0 and 1 (too few types), it is (r - 1/2) / r."""
+    lower ones: (1 - d_r) is in proportion to 1 - r*/r, and sums to the mass of n_least. Where that would take nothing
+    from a count or more than one whole occurrence (too few types, or copied texts, which make many types with one count
+    and hardly any with the next), half an occurrence is taken."""
     n = np.r_[0.0, np.asarray(counts_of_counts, dtype=float)]
     d = np.ones(K + 1)
     for r in range(least, K + 1):
@@ -83,7 +84,7 @@ def discounts(counts_of_counts: np.ndarray, least: int = 1) -> np.ndarray:
         if n[least] > 0 and n[r] > 0:
             common_part = (K + 1) * n[K + 1] / (least * n[least])
             exact = (r + 1) * n[r + 1] / (n[r] * r)
-            if common_part < 1 and 0 < (value := (exact - common_part) / (1 - common_part)) < 1:
+            if common_part < 1 and (r - 1) / r < (value := (exact - common_part) / (1 - common_part)) < 1:
                 d[r] = value
     return d
 
