@@ -34,7 +34,7 @@ K = 5
 #: Runs of three words that were seen less often have no count of their own.
 CUT = 2
 HOT = 2000
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_WORDS = 400_000
 BUCKET_PAIRS = 2_000_000
 HELD_OUT = (7, 2)
@@ -228,12 +228,13 @@ def _answer_words(n: int, hot_count: float):
     return answer
 
 
-def _floats(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype="<f8").tobytes())
+def _shares(values: np.ndarray) -> bytes:
+    """Numbers from 0 to 1 in steps of 2**-40, in half the room of doubles."""
+    return packed(np.rint(np.clip(values, 0, 1) * 2.0**40).astype(np.uint64))
 
 
-def _unfloats(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<f8")
+def _unshares(data: bytes) -> np.ndarray:
+    return unpacked(data).astype(float) / 2.0**40
 
 
 class _Pairs:
@@ -262,7 +263,8 @@ class _Pairs:
         self.bucket = _dealt(np.where(self.hot, self.keys & _LOW, self.context), n_pairs)
 
     def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, hot_mass: np.ndarray) -> None:
-        """joint: the pairs' counts; p: their probability; divisor: their context's."""
+        """joint: the pairs' counts; divisor: their context's; p: their probability (if the answers have the contexts' sums
+        of probabilities)."""
         order, at = _parts(self.bucket, n_pairs)
         self.joint, n, mass = np.zeros(len(self.keys), dtype=np.int64), np.zeros((len(self.keys), K)), np.zeros(len(self.keys))
         for r in answers:
@@ -271,7 +273,9 @@ class _Pairs:
             own = own[~self.hot[own]]
             there, k = np.unique(self.context[own], return_inverse=True)
             if len(there):
-                n[own], mass[own] = unpacked(r["b"]).reshape(K, len(there)).T[k], _unfloats(r["c"])[k]
+                n[own] = unpacked(r["b"]).reshape(K, len(there)).T[k]
+                if r["c"] is not None:
+                    mass[own] = _unshares(r["c"])[k]
         k = np.searchsorted(hot, self.context[self.hot])
         n[self.hot], mass[self.hot] = hot_n[k], hot_mass[k]
         alpha, self.divisor = _alpha(n @ _lost(d), mass, self.count_before)
@@ -343,13 +347,13 @@ def _answer_pairs(unigram: Unigram, hot: np.ndarray, hot_count: float):
         seen = joint > 0
         bucket = int(frame["bucket"].iloc[0])
         kept = np.isin(there, keys[seen] >> _SHIFT)
-        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), _floats(mass[kept]), _counts_of_counts(joint), None)], 0
+        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), _shares(mass[kept]), _counts_of_counts(joint), None)], 0
         for block, own in zip(frame["block"], asked):
             mine = index[at : at + len(own)]
             at += len(own)
             contexts = np.unique(own >> _SHIFT)
             k = np.searchsorted(there, contexts[~np.isin(contexts, hot)])
-            rows.append(("reply", block, bucket, packed(joint[mine]), packed(n[k].T.reshape(-1)), _floats(mass[k]), None, None))
+            rows.append(("reply", block, bucket, packed(joint[mine]), packed(n[k].T.reshape(-1)), _shares(mass[k]), None, None))
         for k in np.flatnonzero(is_hot):
             rows.append(("hot", int(there[k]), bucket, None, None, None, n[k].tolist(), float(mass[k])))
         rows.append(("often", None, bucket, None, None, None, keys[joint >= hot_count].view(np.int64).tolist(), None))
@@ -360,8 +364,8 @@ def _answer_pairs(unigram: Unigram, hot: np.ndarray, hot_count: float):
 
 def _answer_triples(d: np.ndarray, hot: np.ndarray):
     """kind: model (contexts, the numbers of next words that are kept; words and counts; sums), reply (a: counts of the
-    asked triples, 0 under CUT; b: sums of counts and numbers by count for the contexts that aren't hot; c: their sums of
-    probabilities), hot (sums of a hot context in this bucket; its block is its key)."""
+    asked triples, 0 under CUT; b: numbers by count from CUT to K, and the sum of larger counts, for the contexts that
+    aren't hot; c: the sums of probabilities of those of them that have any), hot (sums of a hot context in this bucket; its block is its key)."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         contexts = [unpacked(x) for x in frame["contexts"]]
@@ -377,19 +381,20 @@ def _answer_triples(d: np.ndarray, hot: np.ndarray):
         p_next = _discounted(np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64), d) / np.maximum(divisor[first], 1)
         at = (keys >> _SHIFT).astype(np.int64)
         few = (joint > 0) & (joint <= K)
-        n = np.zeros((len(there), K + 1), dtype=np.int64)  # the last: sum of counts
+        n = np.zeros((len(there), K + 1), dtype=np.int64)  # the last: sum of larger counts
         np.add.at(n, (at[few], joint[few] - 1), 1)
-        n[:, K] = np.bincount(at, joint, len(there))
+        n[:, K] = np.bincount(at, joint * ~few, len(there))
+        some = n.any(axis=1)
         mass = np.bincount(at, p_next * (joint > 0), len(there))
         is_hot, seen, bucket = np.isin(there, hot), joint > 0, int(frame["bucket"].iloc[0])
         kept, told = np.unique(at[seen], return_counts=True)
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), _floats(mass[kept]))))
+        body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), _shares(mass[kept]))))
         rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, counted, None)], 0, 0
         for block, own, size in zip(frame["block"], contexts, sizes):
             total = int(size.sum())
             k = where[begin : begin + len(own)]
             k = k[~is_hot[k]]
-            rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(n[k].T.reshape(-1)), _floats(mass[k]), None, None))
+            rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(n[k, CUT - 1 :].T.reshape(-1)), _shares(mass[k[some[k]]]), None, None))
             begin, start = begin + len(own), start + total
         for k in np.flatnonzero(is_hot):
             rows.append(("hot", int(there[k : k + 1].view(np.int64)[0]), bucket, None, None, None, n[k].tolist(), float(mass[k])))
@@ -469,7 +474,7 @@ def scores(docs: DataFrame) -> DataFrame:
     # a block's file and the replies to it, by kind
     none = F.lit(None)
     marks = blocks.select("block", F.lit("block").alias("kind"), "file", "bytes", none.cast("int").alias("bucket"), *(none.cast("binary").alias(c) for c in "abc"))
-    replied = lambda rows, kind: rows.where("kind = 'reply'").select("block", F.lit(kind).alias("kind"), none.cast("string").alias("file"), none.cast("long").alias("bytes"), "bucket", "a", "b", "c")
+    replied = lambda rows, kind, c="c": rows.where("kind = 'reply'").select("block", F.lit(kind).alias("kind"), none.cast("string").alias("file"), none.cast("long").alias("bytes"), "bucket", "a", "b", F.expr(c).cast("binary").alias("c"))
 
     def pairs_of(table: pa.Table) -> tuple[int, _Pairs, dict[str, list[dict]]]:
         rows: dict[str, list[dict]] = {"block": [], "words": [], "pairs": [], "triples": []}
@@ -505,8 +510,8 @@ def scores(docs: DataFrame) -> DataFrame:
             made.append((k, block, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own]), packed(triples.divisor[contexts])))
         return _table(made, _TRIPLE_ASK)
 
-    by_block = by_block.unionByName(replied(pair_answers, "pairs"))
-    triple_rows = by_block.groupBy("block").applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
+    # what to ask doesn't depend on the probabilities' sums, so they aren't sent for it
+    triple_rows = by_block.unionByName(replied(pair_answers, "pairs", "null")).groupBy("block").applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
     triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_answer_triples(d2, often), _ANSWER), "lm-triples")
     d3 = discounts(np.array(_told(triple_answers, K + 1)), CUT)
     often_n, often_mass = _sums(triple_answers, K + 1, often)
@@ -519,11 +524,13 @@ def scores(docs: DataFrame) -> DataFrame:
             joint[own] = unpacked(answer[k]["a"])
             cold = contexts[~triples.hot[contexts]]
             if len(cold):
-                n[cold], mass[cold] = unpacked(answer[k]["b"]).reshape(K + 1, len(cold)).T, _unfloats(answer[k]["c"])
+                n[cold, CUT - 1 :] = unpacked(answer[k]["b"]).reshape(K + 2 - CUT, len(cold)).T
+                mass[cold[n[cold].any(axis=1)]] = _unshares(answer[k]["c"])
         k = np.searchsorted(often, triples.contexts[triples.hot])
         n[triples.hot], mass[triples.hot] = often_n[k], often_mass[k]
-        alpha, divisor = _alpha(triples.count - n[:, K] + n[:, :K] @ _lost(d3), mass, triples.count)
-        alpha[n[:, K] == 0] = 1.0  # no word was seen often enough after it
+        kept = n[:, K] + n[:, :K] @ np.arange(1, K + 1)
+        alpha, divisor = _alpha(triples.count - kept + n[:, :K] @ _lost(d3), mass, triples.count)
+        alpha[kept == 0] = 1.0  # no word was seen often enough after it
         p = pairs.p[pairs.inverse]
         seen = (triples.own >= 0) & (joint[triples.own] > 0) if len(joint) else np.zeros(len(triples.at), dtype=bool)
         p[triples.at] *= alpha[triples.context]
@@ -534,7 +541,7 @@ def scores(docs: DataFrame) -> DataFrame:
         columns = (pairs.ids, pairs.held, pairs.lengths, known, np.full(len(known), total), np.add.reduceat(base, pairs.firsts), np.add.reduceat(np.log10(p), pairs.firsts))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORES.values())], names=list(_SCORES))
 
-    return by_block.unionByName(replied(triple_answers, "triples")).groupBy("block").applyInArrow(score, _schema(_SCORES))
+    return by_block.unionByName(replied(pair_answers, "pairs")).unionByName(replied(triple_answers, "triples")).groupBy("block").applyInArrow(score, _schema(_SCORES))
 
 
 def _by_kind(df: DataFrame, name: str) -> DataFrame:
