@@ -303,8 +303,8 @@ class _Triples:
         self.words, self.of = keys & _LOW, (keys >> _SHIFT).astype(np.int64)
         self.trained = np.bincount(inverse, pairs.trained[at[seen]].astype(float), len(keys)).astype(np.int64)
         last = now[seen][first]  # the pair that ends each triple
-        self.last, self.divisor = pairs.joint[last], np.zeros(len(contexts), dtype=np.int64)
-        self.divisor[self.of] = pairs.divisor[last].astype(np.int64)
+        self.last, self.divisor = pairs.joint[last], np.ones(len(contexts))
+        self.divisor[self.context] = pairs.divisor[now]  # of the shorter context, which all pairs that end it share
         self.hot = np.isin(self.contexts, hot)
         self.context_bucket = np.where(self.hot, -1, _dealt(self.contexts, n))
         self.bucket = np.where(self.hot[self.of], _dealt(self.words, n), self.context_bucket[self.of])
@@ -362,10 +362,24 @@ def _answer_pairs(unigram: Unigram, hot: np.ndarray, hot_count: float):
     return answer
 
 
-def _answer_triples(d: np.ndarray, hot: np.ndarray):
-    """kind: model (contexts, the numbers of next words that are kept; words and counts; sums), reply (a: counts of the
-    asked triples, 0 under CUT; b: numbers by count from CUT to K, and the sum of larger counts, for the contexts that
-    aren't hot; c: the sums of probabilities of those of them that have any), hot (sums of a hot context in this bucket; its block is its key)."""
+def _by_count(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """For each of `size` groups (at: that of each count): how many counts are CUT, ..., K (a column each), and the sum
+    of the larger ones."""
+    few, columns = counts <= K, np.zeros((size, K + 2 - CUT), dtype=np.int64)
+    np.add.at(columns, (at[few], counts[few] - CUT), 1)
+    columns[:, -1] = np.bincount(at[~few], counts[~few].astype(float), size)
+    return columns
+
+
+#: Numbers that tell a context's sums: of its triples' counts, and of the counts of the pairs that end them.
+WIDE = 2 * (K + 2 - CUT)
+
+
+def _answer_triples(hot: np.ndarray):
+    """kind: model (contexts with the numbers of next words that are kept; words and counts; sums), reply (a: counts of
+    the asked triples, 0 under CUT; b: sums for the contexts that aren't hot), hot (sums of a hot context in this bucket;
+    its block is its key). The sums are _by_count of the kept triples and of the pairs that end them: whole numbers, from
+    which what a context frees and its words' probability after the shorter context follow exactly."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         contexts = [unpacked(x) for x in frame["contexts"]]
@@ -375,34 +389,33 @@ def _answer_triples(d: np.ndarray, hot: np.ndarray):
         keys = (of.astype(np.uint64) << _SHIFT) | np.concatenate([unpacked(x) for x in frame["words"]])
         keys, first, index = np.unique(keys, return_index=True, return_inverse=True)
         joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
+        last = np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64)
         counted = _counts_of_counts(joint)
         joint[joint < CUT] = 0
-        divisor = np.repeat(np.concatenate([unpacked(x) for x in frame["divisors"]]), np.concatenate(sizes))
-        p_next = _discounted(np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64), d) / np.maximum(divisor[first], 1)
-        at = (keys >> _SHIFT).astype(np.int64)
-        few = (joint > 0) & (joint <= K)
-        n = np.zeros((len(there), K + 1), dtype=np.int64)  # the last: sum of larger counts
-        np.add.at(n, (at[few], joint[few] - 1), 1)
-        n[:, K] = np.bincount(at, joint * ~few, len(there))
-        some = n.any(axis=1)
-        mass = np.bincount(at, p_next * (joint > 0), len(there))
-        is_hot, seen, bucket = np.isin(there, hot), joint > 0, int(frame["bucket"].iloc[0])
-        kept, told = np.unique(at[seen], return_counts=True)
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), _shares(mass[kept]))))
+        seen = joint > 0
+        at = (keys[seen] >> _SHIFT).astype(np.int64)
+        sums = np.c_[_by_count(at, joint[seen], len(there)), _by_count(at, last[seen], len(there))]
+        is_hot, bucket = np.isin(there, hot), int(frame["bucket"].iloc[0])
+        kept, told = np.unique(at, return_counts=True)
+        body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
         rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, counted, None)], 0, 0
         for block, own, size in zip(frame["block"], contexts, sizes):
             total = int(size.sum())
             k = where[begin : begin + len(own)]
-            k = k[~is_hot[k]]
-            rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(n[k, CUT - 1 :].T.reshape(-1)), _shares(mass[k[some[k]]]), None, None))
+            rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(sums[k[~is_hot[k]]].T.reshape(-1)), None, None, None))
             begin, start = begin + len(own), start + total
         for k in np.flatnonzero(is_hot):
-            rows.append(("hot", int(there[k : k + 1].view(np.int64)[0]), bucket, None, None, None, n[k].tolist(), float(mass[k])))
+            rows.append(("hot", int(there[k : k + 1].view(np.int64)[0]), bucket, None, None, None, sums[k].tolist(), 0.0))
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return answer
 
 
+def _total(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The sum of discounted counts that these columns of _by_count stand for."""
+    return sums[:, :-1] @ (np.arange(CUT, K + 1) * d[CUT:]) + sums[:, -1]
+
+
 def _lost(d: np.ndarray) -> np.ndarray:
     """What each word seen 1 to K times loses of its count."""
     return np.arange(1, K + 1) * (1 - d[1:])
@@ -436,7 +449,7 @@ def _table(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.Table:
 
 _BINARY = pa.binary()
 _PAIR_ASK = {"bucket": pa.int32(), "block": pa.int64(), "keys": _BINARY, "counts": _BINARY, "nexts": _BINARY}
-_TRIPLE_ASK = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("contexts", "sizes", "words", "counts", "lasts", "divisors"), _BINARY)}
+_TRIPLE_ASK = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("contexts", "sizes", "words", "counts", "lasts"), _BINARY)}
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 _SQL = {pa.int32(): "int", pa.int64(): "long", _BINARY: "binary", pa.bool_(): "boolean", pa.float64(): "double"}
 
@@ -507,30 +520,28 @@ def scores(docs: DataFrame) -> DataFrame:
         made = []
         for k, contexts, own in triples.parts():
             sizes = np.bincount(np.searchsorted(contexts, triples.of[own]), minlength=len(contexts))
-            made.append((k, block, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own]), packed(triples.divisor[contexts])))
+            made.append((k, block, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own])))
         return _table(made, _TRIPLE_ASK)
 
     # what to ask doesn't depend on the probabilities' sums, so they aren't sent for it
     triple_rows = by_block.unionByName(replied(pair_answers, "pairs", "null")).groupBy("block").applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
-    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_answer_triples(d2, often), _ANSWER), "lm-triples")
+    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_answer_triples(often), _ANSWER), "lm-triples")
     d3 = discounts(np.array(_told(triple_answers, K + 1)), CUT)
-    often_n, often_mass = _sums(triple_answers, K + 1, often)
+    often_sums, _ = _sums(triple_answers, WIDE, often)
 
     def score(table: pa.Table) -> pa.Table:
         _, pairs, triples, answers = triples_of(table)
         answer = {r["bucket"]: r for r in answers}
-        joint, n, mass = np.zeros(len(triples.words), dtype=np.int64), np.zeros((len(triples.contexts), K + 1)), np.zeros(len(triples.contexts))
+        joint, sums = np.zeros(len(triples.words), dtype=np.int64), np.zeros((len(triples.contexts), WIDE))
         for k, contexts, own in triples.parts():
             joint[own] = unpacked(answer[k]["a"])
             cold = contexts[~triples.hot[contexts]]
             if len(cold):
-                n[cold, CUT - 1 :] = unpacked(answer[k]["b"]).reshape(K + 2 - CUT, len(cold)).T
-                mass[cold[n[cold].any(axis=1)]] = _unshares(answer[k]["c"])
-        k = np.searchsorted(often, triples.contexts[triples.hot])
-        n[triples.hot], mass[triples.hot] = often_n[k], often_mass[k]
-        kept = n[:, K] + n[:, :K] @ np.arange(1, K + 1)
-        alpha, divisor = _alpha(triples.count - kept + n[:, :K] @ _lost(d3), mass, triples.count)
-        alpha[kept == 0] = 1.0  # no word was seen often enough after it
+                sums[cold] = unpacked(answer[k]["b"]).reshape(WIDE, len(cold)).T
+        sums[triples.hot] = often_sums[np.searchsorted(often, triples.contexts[triples.hot])]
+        counted, ended = sums[:, : WIDE // 2], sums[:, WIDE // 2 :]
+        alpha, divisor = _alpha(triples.count - _total(counted, d3), _total(ended, d2) / np.maximum(triples.divisor, 1), triples.count)
+        alpha[~counted.any(axis=1)] = 1.0  # no word was seen often enough after it
         p = pairs.p[pairs.inverse]
         seen = (triples.own >= 0) & (joint[triples.own] > 0) if len(joint) else np.zeros(len(triples.at), dtype=bool)
         p[triples.at] *= alpha[triples.context]
