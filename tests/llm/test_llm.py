@@ -647,37 +647,3 @@ def test_pipeline_tells_rows_apart_without_ids(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in once.collect()) == wanted
     left = corpus_pipeline.drop_leaks(spark, once, str(tmp_path))
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in wanted.elements() if item not in r[1])
-
-
-def test_near_copies_of_four_fifths_are_linked(spark):
-    rng = random.Random(12)
-    words = [f"w{k}" for k in range(400)]
-    texts = []
-    for _ in range(12):
-        base = [rng.choice(words) for _ in range(rng.randint(60, 250))]
-        for _ in range(8):
-            changed = list(base)
-            for _ in range(rng.randint(0, max(1, len(base) // 30))):
-                changed[rng.randrange(len(changed))] = rng.choice(words)
-            texts.append(" ".join(changed))
-    rows = [*enumerate(texts), (None, texts[0]), (200, None), (201, ""), (202, "one two"), (203, "one two")]
-    sets = [decontam.shingles([w.decode() for w in common.words_of(t)]) for _, t in rows]
-    marks = [_plain_fingerprint(t) for _, t in rows]
-    root = list(range(len(rows)))
-    wider = 0
-    for i in range(len(rows)):
-        for j in range(i):
-            near, both = (marks[i] ^ marks[j]).bit_count() <= 2, len(sets[i] | sets[j])
-            alike = both and 5 * len(sets[i] & sets[j]) >= 4 * both
-            wider += bool(alike and not near)
-            if near or alike:
-                a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
-    assert wider > 50
-    least = {}
-    for k, (i, _) in sorted(enumerate(rows), key=lambda r: (r[1][0] is None, r[1][0] or 0)):
-        least.setdefault(root[k], i)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
-    assert sorted(r.doc_id for r in got.collect()) == sorted(least.values())
-    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
