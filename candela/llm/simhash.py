@@ -116,7 +116,7 @@ def links(marks: DataFrame, dense: int = DENSE) -> DataFrame:
     small cells, and one to the smallest sharer of each one-bit neighbour within dense ones. marks: one row per fp."""
     rows = marks.select("fp").mapInArrow(_cells, "fp long, choice int, cell long")
     sizes = rows.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = common.written(rows.join(sizes, ["choice", "cell"]), "simhash-cells")
+    shared = common.written(rows.join(sizes.hint("merge"), ["choice", "cell"]), "simhash-cells")  # both grow with the documents
     small = shared.where(F.col("n") <= dense).groupBy("choice", "cell").agg(F.collect_list("fp").alias("fps"))
     pairs = small.select("fps").mapInPandas(_pairs, "a long, b long")
     masks = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << k)).cast("long") for k in range(64)))
