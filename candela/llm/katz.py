@@ -11,14 +11,16 @@ The work: texts become files of word numbers, one a block. Blocks ask for the co
 word pairs, then of those triples whose both pairs were seen CUT times (others can't have been), in packed arrays that are
 dealt by hash of the context to buckets of bounded size; a bucket sums what blocks have counted in training documents,
 keeps its part of the model (counts, and each context's sum of the shorter probabilities, from which its back-off weight
-follows) as a row of a partitioned table, and replies to each block. Contexts of more than one in HOT training tokens (so
+follows) as a row of a partitioned table, and replies to each block in a file, of which only the place is shuffled, since
+a block reads its replies in every later step. Contexts of more than one in HOT training tokens (so
 at most HOT of them) are spread over all buckets by their next word; their sums come back to the driver. So no task or
 row holds more than a block, a bucket or its share, however often a run of words occurs.
 """
 
 from __future__ import annotations
 
-import math
+import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,10 +200,36 @@ def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(counts[(counts > 0) & (counts <= K + 1)].astype(int), minlength=K + 2)[1 : K + 2].tolist()
 
 
-_ANSWER = "kind string, block long, bucket int, a binary, b binary, c binary, stats array<long>, mass double"
+_ANSWER = "kind string, block long, bucket int, a binary, b binary, c binary, stats array<long>, mass double, file string, at long, bytes long"
 _COLUMNS = ["kind", "block", "bucket", "a", "b", "c", "stats", "mass"]
 
 
+def _filed(answer, folder: str):
+    """The answer's rows; what it replies is put into one file of the bucket, and the rows say where."""
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = answer(frame)
+        where, at = [(None, None, None)] * len(rows), 0
+        with files.created(folder, "replies") as (name, out):
+            for k in np.flatnonzero(rows["kind"] == "reply").tolist():
+                parts = [x or b"" for x in rows.loc[k, ["a", "b", "c"]]]
+                data = struct.pack("<3Q", *map(len, parts)) + b"".join(parts)
+                out.write(data)
+                where[k] = name, at, len(data)
+                at += len(data)
+        rows.loc[rows["kind"] == "reply", ["a", "b", "c"]] = None
+        return rows.assign(**{c: pd.Series(x, dtype=object) for c, x in zip(("file", "at", "bytes"), zip(*where))})
+
+    return told
+
+
+def _reply(row: dict) -> dict:
+    """The bucket of a reply and its parts, from its file."""
+    data = files.read(row["file"], row["at"], row["bytes"])
+    ends = np.cumsum((24, *struct.unpack_from("<3Q", data))).tolist()
+    return {"bucket": row["bucket"]} | {c: data[a:b] for c, a, b in zip("abc", ends, ends[1:])}
+
+
 def _answer_words(n: int, hot_count: float):
     """kind: model (words and counts, the most frequent first), reply (numbers and counts for a block), hot."""
 
@@ -263,8 +291,7 @@ class _Pairs:
         self.bucket = _dealt(np.where(self.hot, self.keys & _LOW, self.context), n_pairs)
 
     def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, hot_mass: np.ndarray) -> None:
-        """joint: the pairs' counts; divisor: their context's; p: their probability (if the answers have the contexts' sums
-        of probabilities)."""
+        """joint: the pairs' counts; divisor: their context's; p: their probability."""
         order, at = _parts(self.bucket, n_pairs)
         self.joint, n, mass = np.zeros(len(self.keys), dtype=np.int64), np.zeros((len(self.keys), K)), np.zeros(len(self.keys))
         for r in answers:
@@ -274,8 +301,7 @@ class _Pairs:
             there, k = np.unique(self.context[own], return_inverse=True)
             if len(there):
                 n[own] = unpacked(r["b"]).reshape(K, len(there)).T[k]
-                if r["c"] is not None:
-                    mass[own] = _unshares(r["c"])[k]
+                mass[own] = _unshares(r["c"])[k]
         k = np.searchsorted(hot, self.context[self.hot])
         n[self.hot], mass[self.hot] = hot_n[k], hot_mass[k]
         alpha, self.divisor = _alpha(n @ _lost(d), mass, self.count_before)
@@ -476,7 +502,8 @@ def scores(docs: DataFrame) -> DataFrame:
 
     spread = blocks.select("block", "file", "bytes").repartition(max(1, size["n"]), "block")
     asked = spread.mapInArrow(_ask_words(n_words), "bucket int, block long, words binary, counts binary")
-    answered = _by_kind(asked.groupBy("bucket").applyInPandas(_answer_words(n_words, hot_count), _ANSWER), "lm-words")
+    replies = common.scratch(spark, "lm-replies")
+    answered = _by_kind(asked.groupBy("bucket").applyInPandas(_filed(_answer_words(n_words, hot_count), replies), _ANSWER), "lm-words")
     kinds, *counted = _told(answered, K + 2)
     if 0 < texts <= K + 1:
         counted[texts - 1] += 1
@@ -484,15 +511,15 @@ def scores(docs: DataFrame) -> DataFrame:
     hot = np.array(sorted({END, *(x for r in answered.where("kind = 'hot'").select("stats").collect() for x in r["stats"])}), dtype=np.uint64)  # at most HOT + 1
     unigram = Unigram(total, np.array(counted))
 
-    # a block's file and the replies to it, by kind
-    none = F.lit(None)
-    marks = blocks.select("block", F.lit("block").alias("kind"), "file", "bytes", none.cast("int").alias("bucket"), *(none.cast("binary").alias(c) for c in "abc"))
-    replied = lambda rows, kind, c="c": rows.where("kind = 'reply'").select("block", F.lit(kind).alias("kind"), none.cast("string").alias("file"), none.cast("long").alias("bytes"), "bucket", "a", "b", F.expr(c).cast("binary").alias("c"))
+    # where a block and the replies to it are; small rows, so the number of tasks is given
+    marks = blocks.select("block", F.lit("block").alias("kind"), F.lit(0).alias("bucket"), "file", F.lit(0).cast("long").alias("at"), "bytes")
+    replied = lambda rows, kind: rows.where("kind = 'reply'").select("block", F.lit(kind).alias("kind"), "bucket", "file", "at", "bytes")
+    dealt = lambda *rows: functools.reduce(DataFrame.unionByName, rows, marks).repartition(max(1, size["n"]), "block").groupBy("block")
 
     def pairs_of(table: pa.Table) -> tuple[int, _Pairs, dict[str, list[dict]]]:
         rows: dict[str, list[dict]] = {"block": [], "words": [], "pairs": [], "triples": []}
         for r in table.to_pylist():
-            rows[r["kind"]].append(r)
+            rows[r["kind"]].append(r if r["kind"] == "block" else _reply(r))
         mark = rows["block"][0]
         return mark["block"], _Pairs(_block(mark["file"], mark["bytes"]), rows["words"], n_words, n_pairs, texts, hot), rows
 
@@ -503,9 +530,9 @@ def scores(docs: DataFrame) -> DataFrame:
         owned = ((int(k), order[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at)))
         return _table([(k, block, packed(pairs.keys[own], rising=True), packed(trained[own]), packed(pairs.count_next[own])) for k, own in owned], _PAIR_ASK)
 
-    by_block = marks.unionByName(replied(answered, "words"))
-    pair_rows = by_block.groupBy("block").applyInArrow(ask_pairs, _schema(_PAIR_ASK))
-    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_answer_pairs(unigram, hot, hot_count), _ANSWER), "lm-pairs")
+    to_words = replied(answered, "words")
+    pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_PAIR_ASK))
+    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_filed(_answer_pairs(unigram, hot, hot_count), replies), _ANSWER), "lm-pairs")
     d2 = discounts(np.array(_told(pair_answers, K + 1)))
     hot_n, hot_mass = _sums(pair_answers, K, hot)
     often = np.array(sorted(x % (1 << 64) for r in pair_answers.where("kind = 'often'").select("stats").collect() for x in r["stats"]), dtype=np.uint64)  # at most HOT
@@ -523,9 +550,9 @@ def scores(docs: DataFrame) -> DataFrame:
             made.append((k, block, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own])))
         return _table(made, _TRIPLE_ASK)
 
-    # what to ask doesn't depend on the probabilities' sums, so they aren't sent for it
-    triple_rows = by_block.unionByName(replied(pair_answers, "pairs", "null")).groupBy("block").applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
-    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_answer_triples(often), _ANSWER), "lm-triples")
+    to_pairs = replied(pair_answers, "pairs")
+    triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
+    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_filed(_answer_triples(often), replies), _ANSWER), "lm-triples")
     d3 = discounts(np.array(_told(triple_answers, K + 1)), CUT)
     often_sums, _ = _sums(triple_answers, WIDE, often)
 
@@ -552,7 +579,7 @@ def scores(docs: DataFrame) -> DataFrame:
         columns = (pairs.ids, pairs.held, pairs.lengths, known, np.full(len(known), total), np.add.reduceat(base, pairs.firsts), np.add.reduceat(np.log10(p), pairs.firsts))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORES.values())], names=list(_SCORES))
 
-    return by_block.unionByName(replied(pair_answers, "pairs")).unionByName(replied(triple_answers, "triples")).groupBy("block").applyInArrow(score, _schema(_SCORES))
+    return dealt(to_words, to_pairs, replied(triple_answers, "triples")).applyInArrow(score, _schema(_SCORES))
 
 
 def _by_kind(df: DataFrame, name: str) -> DataFrame:
