@@ -2,8 +2,9 @@
 
 Byte-level pre-tokenisation always cuts before a single space or line feed between two visible characters, so a text's
 ids are those of its pieces one after the other. Each worker keeps the ids of pieces it has met (a bounded number: full,
-the store becomes the older one, from which pieces that are met again come back) and hands only new ones to the library,
-many in one text, one a line.
+the store becomes the older one, from which pieces that are met again come back) and hands only new ones to the library:
+words of Latin letters, with the marks that follow them apart, straight to its model in the spelling of the byte-level
+alphabet, as they are one pre-token each; all others many in one text, one a line.
 """
 
 from __future__ import annotations
@@ -18,6 +19,12 @@ LINE = 198  # the id of a line feed, which no visible character shares
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _TWO_SPACES = ("  ", " \n", "\n ", "\n\n")
 _LINE_BYTES = LINE.to_bytes(4, "little")
+#: Marks after a word, which are a pre-token of their own (no apostrophe: that may begin a contraction).
+TAIL = ".,;:!?%&#"
+LATIN_END = "\u0250"  # letters before this one are letters in every version of Unicode
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The byte-level alphabet: bytes that aren't visible characters are spelled by the characters from 256 on.
+_SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -39,6 +46,18 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.by_word = self._spells()
+
+    def _spells(self) -> bool:
+        """Whether words of letters and the marks after them are one pre-token each, in the byte-level alphabet."""
+        from tokenizers import models
+
+        t = self.tokenizer
+        if t.normalizer is not None or t.pre_tokenizer is None or not isinstance(t.model, models.BPE):
+            return False
+        added = (x.content.rstrip(TAIL) for x in t.get_added_tokens_decoder().values())
+        return all(x and not x.isalpha() for x in added) and [x for x, _ in t.pre_tokenizer.pre_tokenize_str("\u00e9 ab,; \u0121\nAb")] == ["\u00c3\u00a9", "\u0120ab", ",;", "\u0120\u00c4\u00a1", "\u010a", "Ab"]
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids don't depend on each other, without the space that leads each of them (a NUL marks the
@@ -50,7 +69,29 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn_words(self, pieces: list[str]) -> list[str]:
+        """Learn the words of Latin letters; the other pieces."""
+        tokenize, ids, ends, words, others = self.tokenizer.model.tokenize, [], [0], [], []
+        for x in pieces:
+            first = x[0] in "\0\n"
+            word = (x[1:] if first else x).rstrip(TAIL)
+            if not word.isalpha() or max(word) >= LATIN_END:
+                others.append(x)
+                continue
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
+            ids += [t.id for t in tokenize(spelled if first else "\u0120" + spelled)]
+            ends.append(len(ids) * 4)
+            words.append((x, x[len(word) + first :]))
+        raw = np.array(ids, dtype="<u4").tobytes()
+        for (x, tail), i, j in zip(words, ends, ends[1:]):
+            if tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            self.known[x] = (_LINE_BYTES if x[0] == "\n" else b"") + raw[i:j] + self.tails[tail]
+        return others
+
     def _learn(self, pieces: list[str]) -> None:
+        if self.by_word:
+            pieces = self._learn_words(pieces)
         texts = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
         lines = ["\n".join([x[1:] if x[0] in "\0\n" else " " + x for x in part]) for part in texts]
         for part, coded in zip(texts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
@@ -72,7 +113,7 @@ class Encoder:
             pieces = [cut if cut and odd.isdisjoint(cut) else None for cut in pieces]
             fresh -= odd
         if len(self.known) + len(fresh) > KEPT_PIECES:
-            self.older, self.known = self.known, {}
+            self.older, self.known, self.tails = self.known, {}, {"": b""}
             fresh = set().union(*filter(None, pieces))
         known = self.known
         again = {x: self.older[x] for x in fresh if x in self.older}

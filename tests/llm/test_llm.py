@@ -54,6 +54,16 @@ def test_encoder_pieces_are_whole_texts(path, rows):
     assert encoder.encode(texts) == [encoder._whole(t) for t in texts]
 
 
+def test_encoder_words_are_whole_texts(path):
+    encoder = tokens.Encoder(path)
+    assert encoder.by_word
+    words = ["plain", "Été", "straße", "ñandú,", "end.", "what?!", "don't", "it's,", "ſhort", "ǅ", "ªº", "Żółć;", "слово", "ʰmark", "a1", "x%%%", "#tag", "&&", "naïve…", "e\u0301a", "日本", "well-known", "A" * 300, "I'll.", "µm"]
+    rng = random.Random(5)
+    texts = [rng.choice((" ", "\n")).join(rng.choice(words) for _ in range(40)).replace(" ", "\n", k % 4) for k in range(60)] + words
+    assert encoder.encode(texts) == [encoder._whole(t) for t in texts]
+    assert encoder.encode(texts[::-1]) == [encoder._whole(t) for t in texts[::-1]]
+
+
 def test_packing_plan_uses_every_piece_once():
     rng = random.Random(1)
     histogram = Counter(rng.randint(1, 50) for _ in range(500))
