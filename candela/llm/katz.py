@@ -182,6 +182,30 @@ def _dealt(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys ^ (keys >> _SHIFT)) * _MIX >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
+def _by_rank(numbers: np.ndarray, n: int) -> np.ndarray:
+    """The order of word numbers by bucket (of n), then rank: in it, each bucket's counts only fall."""
+    return np.lexsort((numbers, (numbers - np.uint64(1)) % np.uint64(n)))
+
+
+def _told_counts(keys: np.ndarray, counts: np.ndarray, n: int) -> bytes:
+    """The counts of the pairs' next words, once a word and as falls, which are nearly all zero."""
+    words, first = np.unique(keys & _LOW, return_index=True)
+    falling = counts[first][_by_rank(words, n)].astype(np.int64)
+    steps = np.r_[falling[:1], falling[:-1] - falling[1:]]  # below zero where a bucket begins
+    return packed((steps << 1) ^ (steps >> 63))
+
+
+def _untold_counts(keys: np.ndarray, data: bytes, n: int) -> np.ndarray:
+    """A pair's count of its next word, from _told_counts."""
+    words, index = np.unique(keys & _LOW, return_inverse=True)
+    told = unpacked(data)
+    steps = (told >> np.uint64(1)).astype(np.int64) ^ -(told & np.uint64(1)).astype(np.int64)
+    steps[1:] *= -1
+    counts = np.empty(len(words), dtype=np.int64)
+    counts[_by_rank(words, n)] = np.cumsum(steps)
+    return counts[index]
+
+
 def _ask_words(n: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,7 +383,7 @@ def _summed(contexts: np.ndarray, joint: np.ndarray, p_next: np.ndarray) -> tupl
     return there, n, np.bincount(index, p_next * seen, len(there))
 
 
-def _answer_pairs(unigram: Unigram, hot: np.ndarray, hot_count: float):
+def _answer_pairs(unigram: Unigram, n_words: int, hot: np.ndarray, hot_count: float):
     """kind: model (seen pairs, counts and their contexts' sums), reply (a: counts of the asked pairs; b and c: sums for
     their contexts that aren't hot, in order), hot (sums of a hot context in this bucket), often (frequent pairs)."""
 
@@ -367,7 +391,7 @@ def _answer_pairs(unigram: Unigram, hot: np.ndarray, hot_count: float):
         asked = [unpacked(x) for x in frame["keys"]]
         keys, first, index = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
-        p_next = unigram(np.concatenate([unpacked(x) for x in frame["nexts"]])[first].astype(np.int64))
+        p_next = unigram(np.concatenate([_untold_counts(own, x, n_words) for own, x in zip(asked, frame["nexts"])])[first])
         there, n, mass = _summed(keys >> _SHIFT, joint, p_next)
         is_hot = np.isin(there, hot)
         seen = joint > 0
@@ -528,11 +552,11 @@ def scores(docs: DataFrame) -> DataFrame:
         trained = np.bincount(pairs.inverse, pairs.trained.astype(float), len(pairs.keys)).astype(np.int64)
         order, at = _parts(pairs.bucket, n_pairs)
         owned = ((int(k), order[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at)))
-        return _table([(k, block, packed(pairs.keys[own], rising=True), packed(trained[own]), packed(pairs.count_next[own])) for k, own in owned], _PAIR_ASK)
+        return _table([(k, block, packed(pairs.keys[own], rising=True), packed(trained[own]), _told_counts(pairs.keys[own], pairs.count_next[own], n_words)) for k, own in owned], _PAIR_ASK)
 
     to_words = replied(answered, "words")
     pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_PAIR_ASK))
-    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_filed(_answer_pairs(unigram, hot, hot_count), replies), _ANSWER), "lm-pairs")
+    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_filed(_answer_pairs(unigram, n_words, hot, hot_count), replies), _ANSWER), "lm-pairs")
     d2 = discounts(np.array(_told(pair_answers, K + 1)))
     hot_n, hot_mass = _sums(pair_answers, K, hot)
     often = np.array(sorted(x % (1 << 64) for r in pair_answers.where("kind = 'often'").select("stats").collect() for x in r["stats"]), dtype=np.uint64)  # at most HOT
