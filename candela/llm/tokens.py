@@ -9,15 +9,17 @@ alphabet, as they are one pre-token each; all others many in one text, one a lin
 
 from __future__ import annotations
 
+import operator
 import os
 import re
 
 import numpy as np
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 LINE = 198  # the id of a line feed, which no visible character shares
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _TWO_SPACES = ("  ", " \n", "\n ", "\n\n")
+_ID = operator.attrgetter("id")
 _LINE_BYTES = LINE.to_bytes(4, "little")
 #: Marks after a word, which are a pre-token of their own (no apostrophe: that may begin a contraction).
 TAIL = ".,;:!?%&#"
@@ -71,22 +73,34 @@ class Encoder:
 
     def _learn_words(self, pieces: list[str]) -> list[str]:
         """Learn the words of Latin letters; the other pieces."""
-        tokenize, ids, ends, words, others = self.tokenizer.model.tokenize, [], [0], [], []
+        tokenize, known, ids, ends, words, tails, others = self.tokenizer.model.tokenize, self.known, [], [0], [], [], []
         for x in pieces:
             first = x[0] in "\0\n"
-            word = (x[1:] if first else x).rstrip(TAIL)
-            if not word.isalpha() or max(word) >= LATIN_END:
+            bare = x.rstrip(TAIL)
+            word = bare[1:] if first else bare
+            if not word.isalpha():
                 others.append(x)
                 continue
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
-            ids += [t.id for t in tokenize(spelled if first else "\u0120" + spelled)]
+            if word.isascii():
+                spelled = word
+            elif max(word) < LATIN_END:
+                spelled = word.encode().decode("latin-1").translate(_SPELLING)
+            else:
+                others.append(x)
+                continue
+            tail = x[len(bare) :]
+            if tail and tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            if tail and bare in known:
+                known[x] = known[bare] + self.tails[tail]
+                continue
+            ids.extend(map(_ID, tokenize(spelled if first else "\u0120" + spelled)))
             ends.append(len(ids) * 4)
-            words.append((x, x[len(word) + first :]))
+            words.append(x)
+            tails.append(tail)
         raw = np.array(ids, dtype="<u4").tobytes()
-        for (x, tail), i, j in zip(words, ends, ends[1:]):
-            if tail not in self.tails:
-                self.tails[tail] = self._whole(tail)
-            self.known[x] = (_LINE_BYTES if x[0] == "\n" else b"") + raw[i:j] + self.tails[tail]
+        for x, tail, i, j in zip(words, tails, ends, ends[1:]):
+            known[x] = (_LINE_BYTES if x[0] == "\n" else b"") + raw[i:j] + self.tails[tail]
         return others
 
     def _learn(self, pieces: list[str]) -> None:
