@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, katz, ogg, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
+from . import chat, decontam, divergence, filter_audit, katz, ogg, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.stored(chat.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_katz": op1_katz,
     "op2_packing": op2_packing,
@@ -63,5 +75,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_decontam": op10_decontam,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_divergence": op12_divergence,
+    "op13_chat": op13_chat,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op11_filter_audit": filter_audit.ORACLE, "op12_divergence": divergence.ORACLE, "op13_chat": chat.ORACLE}
