@@ -71,17 +71,18 @@ def blocks(docs: DataFrame) -> DataFrame:
                     some = names[k : k + 50_000]
                     yield batch([lang] * len(some), [None] * len(some), [None] * len(some), some, n[k : k + 50_000])
 
-        texts, df, size = defaultdict(list), defaultdict(Counter), 0
+        texts, df, size, named = defaultdict(list), defaultdict(Counter), 0, 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 raw = folded(text)
                 words = set(raw.split())
                 texts[lang, source].append(raw)
+                named += sum(map(len, words.difference(df[lang])))
                 df[lang].update(words)
                 size += len(raw)
-                if size >= BLOCK_BYTES or size >= BLOCK_TERMS and sum(map(len, (w for counted in df.values() for w in counted))) >= BLOCK_TERMS:
+                if size >= BLOCK_BYTES or named >= BLOCK_TERMS:
                     yield from made(texts, df)
-                    texts, df, size = defaultdict(list), defaultdict(Counter), 0
+                    texts, df, size, named = defaultdict(list), defaultdict(Counter), 0, 0
         if texts:
             yield from made(texts, df)
 
