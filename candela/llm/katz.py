@@ -2,16 +2,19 @@
 
 The model, of order three: a count is discounted by Good-Turing (counts up to K; more are trusted), and what a context's
 discounts free is shared among the words not seen after it, in proportion to their probability after the shorter
-context: P(w|h) is the discounted relative frequency if hw was seen in training (runs of three words: CUT times or more,
-the usual cut-off), else alpha(h) P(w|h'), where h' is h without its first word and alpha(h) is exactly what makes the
-sum over all words (and one unknown word, which has what the unigram discounts free) one. A text's first word has the
-text's start as its only context.
+context: P(w|h) is the discounted relative frequency if hw was seen in training, however seldom, else alpha(h) P(w|h'),
+where h' is h without its first word and alpha(h) is exactly what makes the sum over all words (and one unknown word,
+which has what the unigram discounts free) one. A text's first word has the text's start as its only context.
+
+The discounts are Katz's, of smoothed counts of counts (Gale and Sampson's Simple Good-Turing): numbers of types by their
+count are averaged over the gaps between counts, and a line fitted to their logarithms stands for them, so copied
+texts, which make many types with one count and few with the next, move no single discount.
 
 The work: texts become files of word numbers, one a block. Blocks ask for the corpus counts of their words, then of their
-word pairs, then of those triples whose both pairs were seen CUT times (others can't have been), in packed arrays that are
+word pairs, then of those triples whose both pairs were seen (others can't have been), in packed arrays that are
 dealt by hash of the context to buckets of bounded size; a bucket sums what blocks have counted in training documents,
-keeps its part of the model (counts, and each context's sum of the shorter probabilities, from which its back-off weight
-follows) as a row of a partitioned table, and replies to each block in a file, of which only the place is shuffled, since
+keeps its part of the model (counts, and for each context whole numbers that tell the sum of the shorter probabilities,
+from which its back-off weight follows exactly) as a row of a partitioned table, and replies to each block in a file, of which only the place is shuffled, since
 a block reads its replies in every later step. Contexts of more than one in HOT training tokens (so
 at most HOT of them) are spread over all buckets by their next word; their sums come back to the driver. So no task or
 row holds more than a block, a bucket or its share, however often a run of words occurs.
@@ -33,8 +36,6 @@ from pyspark.sql import functions as F
 from . import common, files
 
 K = 5
-#: Runs of three words that were seen less often have no count of their own.
-CUT = 2
 HOT = 2000
 BLOCK_BYTES = 10 << 20
 BUCKET_WORDS = 400_000
@@ -73,22 +74,36 @@ def _words(data: bytes) -> list[bytes]:
     return joined.split(b" ") if joined else []
 
 
-def discounts(counts_of_counts: np.ndarray, least: int = 1) -> np.ndarray:
-    """Factor d_r for r = 0 to K (d_0 unused) from the numbers n_1 to n_(K+1) of types seen 1 to K+1 times, of which those
-    under `least` are not in the model. Katz's condition is that what counts up to K lose is what Good-Turing gives to
-    lower ones: (1 - d_r) is in proportion to 1 - r*/r, and sums to the mass of n_least. Where that would take nothing
-    from a count or more than one whole occurrence (too few types, or copied texts, which make many types with one count
-    and hardly any with the next), half an occurrence is taken."""
-    n = np.r_[0.0, np.asarray(counts_of_counts, dtype=float)]
-    d = np.ones(K + 1)
-    for r in range(least, K + 1):
-        d[r] = (r - 0.5) / r
-        if n[least] > 0 and n[r] > 0:
-            common_part = (K + 1) * n[K + 1] / (least * n[least])
-            exact = (r + 1) * n[r + 1] / (n[r] * r)
-            if common_part < 1 and (r - 1) / r < (value := (exact - common_part) / (1 - common_part)) < 1:
-                d[r] = value
-    return d
+#: Classes of counts: each count up to eleven, then eight classes for each doubling. Class k is from BINS[k] to BINS[k + 1] - 1.
+BINS = np.unique(np.floor(2.0 ** (np.arange(62 * 8 + 1) / 8)).astype(np.int64))
+
+
+def histogram(counts: np.ndarray) -> np.ndarray:
+    """The number of types in each class of counts; types that weren't seen are in none."""
+    return np.bincount(np.searchsorted(BINS, counts[counts > 0].astype(np.int64), side="right") - 1, minlength=len(BINS) - 1)
+
+
+def slope(types: np.ndarray) -> float:
+    """The slope of the line through log(types with a count) by log(count): a class's types are averaged over half the
+    way to the next class with types on either side, and each such class is a point. -1 where there is no line."""
+    there = np.flatnonzero(types)
+    if len(there) < 2:
+        return -1.0
+    middle = (BINS[there] + BINS[there + 1] - 1) / 2
+    below, above = np.r_[0.0, middle[:-1]], np.r_[middle[1:], 2 * middle[-1] - middle[-2]]
+    return float(np.polyfit(np.log(middle), np.log(types[there] / ((above - below) / 2)), 1)[0])
+
+
+def discounts(slope: float) -> np.ndarray:
+    """Factor d_r for r = 0 to K (d_0 unused) where the number of types seen r times goes as r to the power of the slope.
+    Katz's condition is that what counts up to K lose is what Good-Turing gives to lower ones: (1 - d_r) is in proportion
+    to 1 - r*/r, and sums to the mass of types seen once. Then r*/r is (1 + 1/r) ** (slope + 1), and all factors are
+    between 0 and 1 for any slope (at -1: by their limit)."""
+    r, e = np.arange(1, K + 1), slope + 1
+    if abs(e) < 1e-9:
+        return np.r_[1.0, 1 - np.log1p(1 / r) / np.log(K + 1)]
+    most = (K + 1.0) ** e
+    return np.r_[1.0, ((1 + 1 / r) ** e - most) / (1 - most)]
 
 
 def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -99,15 +114,19 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Unigram:
     """P(w) by the training count of w; count 0 is the unknown word, all of them one type."""
 
-    def __init__(self, total: int, counts_of_counts: np.ndarray) -> None:
-        self.total, self.d = total, discounts(counts_of_counts)
-        freed = sum(r * n * (1 - self.d[r]) for r, n in zip(range(1, K + 1), counts_of_counts))
+    def __init__(self, total: int, types: np.ndarray) -> None:
+        self.total, self.d = total, discounts(slope(types))
+        freed = types[:K] @ _lost(self.d)
         self.unknown = freed / total if total and freed > 0 else 1.0 if not total else 1.0 / (total + 1)
         self.scale = 1.0 if not total or freed > 0 else total / (total + 1)
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, self.scale * _discounted(counts, self.d) / max(1, self.total), self.unknown)
 
+    def mass(self, sums: np.ndarray) -> np.ndarray:
+        """The probability of the words whose counts these columns of _by_count tell."""
+        return self.scale * _total(sums, self.d) / max(1, self.total)
+
 
 _KEPT = ("lengths", "held", "tokens", "words", "counts")
 
@@ -220,12 +239,8 @@ def _ask_words(n: int):
     return ask
 
 
-def _counts_of_counts(counts: np.ndarray) -> list[int]:
-    return np.bincount(counts[(counts > 0) & (counts <= K + 1)].astype(int), minlength=K + 2)[1 : K + 2].tolist()
-
-
-_ANSWER = "kind string, block long, bucket int, a binary, b binary, c binary, stats array<long>, mass double, file string, at long, bytes long"
-_COLUMNS = ["kind", "block", "bucket", "a", "b", "c", "stats", "mass"]
+_ANSWER = "kind string, block long, bucket int, a binary, b binary, c binary, stats array<long>, file string, at long, bytes long"
+_COLUMNS = ["kind", "block", "bucket", "a", "b", "c", "stats"]
 
 
 def _filed(answer, folder: str):
@@ -268,25 +283,34 @@ def _answer_words(n: int, hot_count: float):
         number = 1 + rank * n + bucket
         if len(number) and number.max() >= 1 << 32:
             raise ValueError("more than 2**32 different words")
-        rows, at = [("model", None, bucket, _text([known[k] for k in order.tolist()]), packed(counts[order]), None, [int((counts > 0).sum()), *_counts_of_counts(counts)], None)], 0
+        rows, at = [("model", None, bucket, _text([known[k] for k in order.tolist()]), packed(counts[order]), None, histogram(counts).tolist())], 0
         for block, ws in zip(frame["block"], asked):
             own = codes[at : at + len(ws)]
             at += len(ws)
-            rows.append(("reply", block, bucket, packed(number[own]), packed(counts[own]), None, None, None))
+            rows.append(("reply", block, bucket, packed(number[own]), packed(counts[own]), None, None))
         hot = np.flatnonzero(counts >= hot_count)
-        rows.append(("hot", None, bucket, None, None, None, number[hot].tolist(), None))
+        rows.append(("hot", None, bucket, None, None, None, number[hot].tolist()))
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return answer
 
 
-def _shares(values: np.ndarray) -> bytes:
-    """Numbers from 0 to 1 in steps of 2**-40, in half the room of doubles."""
-    return packed(np.rint(np.clip(values, 0, 1) * 2.0**40).astype(np.uint64))
+#: Numbers that tell a context's sums at either order: by its next words' counts after it, and after the shorter context.
+WIDE = 2 * (K + 1)
 
 
-def _unshares(data: bytes) -> np.ndarray:
-    return unpacked(data).astype(float) / 2.0**40
+def _by_count(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """For each of `size` groups (at: that of each count): how many counts are 1, ..., K (a column each), and the sum of
+    the larger ones."""
+    few, columns = counts <= K, np.zeros((size, K + 1), dtype=np.int64)
+    np.add.at(columns, (at[few], counts[few] - 1), 1)
+    columns[:, -1] = np.bincount(at[~few], counts[~few].astype(float), size)
+    return columns
+
+
+def _total(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The sum of discounted counts that these columns of _by_count stand for."""
+    return sums[..., :-1] @ (np.arange(1, K + 1) * d[1:]) + sums[..., -1]
 
 
 class _Pairs:
@@ -314,38 +338,53 @@ class _Pairs:
         self.hot = np.isin(self.context, hot)
         self.bucket = _dealt(np.where(self.hot, self.keys & _LOW, self.context), n_pairs)
 
-    def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, hot_mass: np.ndarray) -> None:
-        """joint: the pairs' counts; divisor: their context's; p: their probability."""
+    def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_sums: np.ndarray) -> None:
+        """joint: the pairs' counts; rank: their places among their bucket's seen pairs; divisor: their context's; p: their
+        probability."""
         order, at = _parts(self.bucket, n_pairs)
-        self.joint, n, mass = np.zeros(len(self.keys), dtype=np.int64), np.zeros((len(self.keys), K)), np.zeros(len(self.keys))
+        self.joint, self.rank, sums = np.zeros(len(self.keys), dtype=np.int64), np.zeros(len(self.keys), dtype=np.uint64), np.zeros((len(self.keys), WIDE), dtype=np.int64)
         for r in answers:
             own = order[at[r["bucket"]] : at[r["bucket"] + 1]]
-            self.joint[own] = unpacked(r["a"])
+            self.joint[own], self.rank[own] = unpacked(r["a"]), unpacked(r["c"])
             own = own[~self.hot[own]]
             there, k = np.unique(self.context[own], return_inverse=True)
             if len(there):
-                n[own] = unpacked(r["b"]).reshape(K, len(there)).T[k]
-                mass[own] = _unshares(r["c"])[k]
-        k = np.searchsorted(hot, self.context[self.hot])
-        n[self.hot], mass[self.hot] = hot_n[k], hot_mass[k]
-        alpha, self.divisor = _alpha(n @ _lost(d), mass, self.count_before)
-        backed = np.where(self.count_before > 0, alpha, 1.0) * unigram(self.count_next)
+                sums[own] = unpacked(r["b"]).reshape(WIDE, len(there)).T[k]
+        sums[self.hot] = hot_sums[np.searchsorted(hot, self.context[self.hot])]
+        counted, followed = sums[:, : K + 1], sums[:, K + 1 :]
+        alpha, self.divisor = _alpha(self.count_before - _total(counted, d), unigram.mass(followed), self.count_before)
+        backed = np.where(counted.any(axis=1), alpha, 1.0) * unigram(self.count_next)
         self.p = np.where(self.joint > 0, _discounted(self.joint, d) / np.maximum(self.divisor, 1), backed)
 
 
+#: Contexts of triples are told by their place among their bucket's seen pairs; hot ones by this and their place among those.
+HOT_CONTEXT = np.uint64(1 << 40)
+
+
 class _Triples:
-    """A block's runs of three words that may have been seen CUT times, and their contexts, the pairs that were."""
+    """A block's runs of three words that may have been seen, and their contexts, the pairs that were."""
 
     def __init__(self, pairs: _Pairs, n: int, hot: np.ndarray) -> None:
         later = np.ones(len(pairs.inverse), dtype=bool)
         later[pairs.firsts] = False
         at = np.flatnonzero(later)
-        at = at[pairs.joint[pairs.inverse[at - 1]] >= CUT]
+        at = at[pairs.joint[pairs.inverse[at - 1]] > 0]
         self.at = at  # the tokens with such a context
-        contexts, self.context = np.unique(pairs.inverse[at - 1], return_inverse=True)
-        self.contexts, self.count = pairs.keys[contexts], pairs.joint[contexts]
+        # a block's contexts in the order of their buckets and names, so that what a bucket gets rises
+        of = pairs.inverse[at - 1]
+        there = np.zeros(len(pairs.keys), dtype=bool)
+        there[of] = True
+        there = np.flatnonzero(there)
+        is_hot = np.isin(pairs.keys[there], hot)
+        names = np.where(is_hot, HOT_CONTEXT + np.searchsorted(hot, pairs.keys[there]).astype(np.uint64), pairs.rank[there])
+        bucket = np.where(is_hot, -1, pairs.bucket[there])
+        order = np.lexsort((names, bucket))
+        place = np.empty(len(pairs.keys), dtype=np.int64)
+        place[there[order]] = np.arange(len(there))
+        contexts, self.context = there[order], place[of]
+        self.contexts, self.hot, self.context_bucket, self.count = names[order], is_hot[order], bucket[order], pairs.joint[contexts]
         now = pairs.inverse[at]
-        seen = np.flatnonzero(pairs.joint[now] >= CUT)
+        seen = np.flatnonzero(pairs.joint[now] > 0)
         keys = (self.context[seen].astype(np.uint64) << _SHIFT) | (pairs.keys[now[seen]] & _LOW)
         keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.own = np.full(len(at), -1)
@@ -355,8 +394,6 @@ class _Triples:
         last = now[seen][first]  # the pair that ends each triple
         self.last, self.divisor = pairs.joint[last], np.ones(len(contexts))
         self.divisor[self.context] = pairs.divisor[now]  # of the shorter context, which all pairs that end it share
-        self.hot = np.isin(self.contexts, hot)
-        self.context_bucket = np.where(self.hot, -1, _dealt(self.contexts, n))
         self.bucket = np.where(self.hot[self.of], _dealt(self.words, n), self.context_bucket[self.of])
         self.n = n
 
@@ -372,98 +409,65 @@ class _Triples:
                 yield k, contexts, own
 
 
-def _summed(contexts: np.ndarray, joint: np.ndarray, p_next: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted contexts: which there are, how many next words they have with each count up to K (a column each), and
-    the sum of the next words' probabilities after the shorter context."""
-    seen = joint > 0
-    there, index = np.unique(contexts, return_inverse=True)
-    n = np.zeros((len(there), K), dtype=np.int64)
-    few = seen & (joint <= K)
-    np.add.at(n, (index[few], joint[few].astype(int) - 1), 1)
-    return there, n, np.bincount(index, p_next * seen, len(there))
-
-
-def _answer_pairs(unigram: Unigram, n_words: int, hot: np.ndarray, hot_count: float):
-    """kind: model (seen pairs, counts and their contexts' sums), reply (a: counts of the asked pairs; b and c: sums for
-    their contexts that aren't hot, in order), hot (sums of a hot context in this bucket), often (frequent pairs)."""
+def _answer_pairs(n_words: int, hot: np.ndarray, hot_count: float):
+    """kind: model (seen pairs, counts and their contexts' sums), reply (a: counts of the asked pairs; b: sums for their
+    contexts that aren't hot, in order; c: places among the seen pairs), hot (sums of a hot context in this bucket),
+    often (frequent pairs). The sums are _by_count of the seen pairs and of their next words: whole numbers, from which
+    what a context frees and its words' shorter probabilities follow exactly."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         asked = [unpacked(x) for x in frame["keys"]]
         keys, first, index = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
-        p_next = unigram(np.concatenate([_untold_counts(own, x, n_words) for own, x in zip(asked, frame["nexts"])])[first])
-        there, n, mass = _summed(keys >> _SHIFT, joint, p_next)
-        is_hot = np.isin(there, hot)
+        nexts = np.concatenate([_untold_counts(own, x, n_words) for own, x in zip(asked, frame["nexts"])])[first]
+        there, of = np.unique(keys >> _SHIFT, return_inverse=True)
         seen = joint > 0
+        sums = np.c_[_by_count(of[seen], joint[seen], len(there)), _by_count(of[seen], nexts[seen], len(there))]
+        rank = np.cumsum(seen) - seen
+        is_hot, kept = np.isin(there, hot), sums.any(axis=1)
         bucket = int(frame["bucket"].iloc[0])
-        kept = np.isin(there, keys[seen] >> _SHIFT)
-        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), _shares(mass[kept]), _counts_of_counts(joint), None)], 0
+        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), packed(sums[kept].T.reshape(-1)), histogram(joint).tolist())], 0
         for block, own in zip(frame["block"], asked):
             mine = index[at : at + len(own)]
             at += len(own)
             contexts = np.unique(own >> _SHIFT)
             k = np.searchsorted(there, contexts[~np.isin(contexts, hot)])
-            rows.append(("reply", block, bucket, packed(joint[mine]), packed(n[k].T.reshape(-1)), _shares(mass[k]), None, None))
+            rows.append(("reply", block, bucket, packed(joint[mine]), packed(sums[k].T.reshape(-1)), packed(rank[mine], rising=True), None))
         for k in np.flatnonzero(is_hot):
-            rows.append(("hot", int(there[k]), bucket, None, None, None, n[k].tolist(), float(mass[k])))
-        rows.append(("often", None, bucket, None, None, None, keys[joint >= hot_count].view(np.int64).tolist(), None))
+            rows.append(("hot", int(there[k]), bucket, None, None, None, sums[k].tolist()))
+        rows.append(("often", None, bucket, None, None, None, keys[joint >= hot_count].view(np.int64).tolist()))
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return answer
 
 
-def _by_count(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """For each of `size` groups (at: that of each count): how many counts are CUT, ..., K (a column each), and the sum
-    of the larger ones."""
-    few, columns = counts <= K, np.zeros((size, K + 2 - CUT), dtype=np.int64)
-    np.add.at(columns, (at[few], counts[few] - CUT), 1)
-    columns[:, -1] = np.bincount(at[~few], counts[~few].astype(float), size)
-    return columns
-
-
-#: Numbers that tell a context's sums: of its triples' counts, and of the counts of the pairs that end them.
-WIDE = 2 * (K + 2 - CUT)
-
-
-def _answer_triples(hot: np.ndarray):
-    """kind: model (contexts with the numbers of next words that are kept; words and counts; sums), reply (a: counts of
-    the asked triples, 0 under CUT; b: sums for the contexts that aren't hot), hot (sums of a hot context in this bucket;
-    its block is its key). The sums are _by_count of the kept triples and of the pairs that end them: whole numbers, from
-    which what a context frees and its words' probability after the shorter context follow exactly."""
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        contexts = [unpacked(x) for x in frame["contexts"]]
-        sizes = [unpacked(x).astype(np.int64) for x in frame["sizes"]]
-        there, where = np.unique(np.concatenate(contexts), return_inverse=True)
-        of = np.repeat(where, np.concatenate(sizes))
-        keys = (of.astype(np.uint64) << _SHIFT) | np.concatenate([unpacked(x) for x in frame["words"]])
-        keys, first, index = np.unique(keys, return_index=True, return_inverse=True)
-        joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
-        last = np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64)
-        counted = _counts_of_counts(joint)
-        joint[joint < CUT] = 0
-        seen = joint > 0
-        at = (keys[seen] >> _SHIFT).astype(np.int64)
-        sums = np.c_[_by_count(at, joint[seen], len(there)), _by_count(at, last[seen], len(there))]
-        is_hot, bucket = np.isin(there, hot), int(frame["bucket"].iloc[0])
-        kept, told = np.unique(at, return_counts=True)
-        body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
-        rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, counted, None)], 0, 0
-        for block, own, size in zip(frame["block"], contexts, sizes):
-            total = int(size.sum())
-            k = where[begin : begin + len(own)]
-            rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(sums[k[~is_hot[k]]].T.reshape(-1)), None, None, None))
-            begin, start = begin + len(own), start + total
-        for k in np.flatnonzero(is_hot):
-            rows.append(("hot", int(there[k : k + 1].view(np.int64)[0]), bucket, None, None, None, sums[k].tolist(), 0.0))
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
-    return answer
-
-
-def _total(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The sum of discounted counts that these columns of _by_count stand for."""
-    return sums[:, :-1] @ (np.arange(CUT, K + 1) * d[CUT:]) + sums[:, -1]
+def _answer_triples(frame: pd.DataFrame) -> pd.DataFrame:
+    """kind: model (contexts with the numbers of their next words; words and counts; sums), reply (a: counts of the asked
+    triples; b: sums for the contexts that aren't hot), hot (sums of a hot context in this bucket; its block is its place
+    among them). The sums are _by_count of the seen triples and of the pairs that end them."""
+    contexts = [unpacked(x) for x in frame["contexts"]]
+    sizes = [unpacked(x).astype(np.int64) for x in frame["sizes"]]
+    there, where = np.unique(np.concatenate(contexts), return_inverse=True)
+    of = np.repeat(where, np.concatenate(sizes))
+    keys = (of.astype(np.uint64) << _SHIFT) | np.concatenate([unpacked(x) for x in frame["words"]])
+    keys, first, index = np.unique(keys, return_index=True, return_inverse=True)
+    joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
+    last = np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64)
+    seen = joint > 0
+    at = (keys[seen] >> _SHIFT).astype(np.int64)
+    sums = np.c_[_by_count(at, joint[seen], len(there)), _by_count(at, last[seen], len(there))]
+    is_hot, bucket = there >= HOT_CONTEXT, int(frame["bucket"].iloc[0])
+    kept, told = np.unique(at, return_counts=True)
+    body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
+    rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, histogram(joint).tolist())], 0, 0
+    for block, own, size in zip(frame["block"], contexts, sizes):
+        total = int(size.sum())
+        k = where[begin : begin + len(own)]
+        rows.append(("reply", block, bucket, packed(joint[index[start : start + total]]), packed(sums[k[~is_hot[k]]].T.reshape(-1)), None, None))
+        begin, start = begin + len(own), start + total
+    for k in np.flatnonzero(is_hot):
+        rows.append(("hot", int(there[k] - HOT_CONTEXT), bucket, None, None, None, sums[k].tolist()))
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _lost(d: np.ndarray) -> np.ndarray:
@@ -480,16 +484,20 @@ def _alpha(freed: np.ndarray, mass: np.ndarray, count: np.ndarray) -> tuple[np.n
     return freed / np.maximum(divisor, 1) / np.maximum(1 - mass, 1e-300), divisor
 
 
-def _sums(rows: DataFrame, wide: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the hot contexts, over all buckets: the numbers and the masses, in the order of `hot`."""
-    told = rows.where("kind = 'hot'").groupBy("block").agg(*(F.sum(F.col("stats")[k]).alias(f"n{k}") for k in range(wide)), F.sum("mass").alias("mass")).collect()  # at most HOT + 1
-    of = {r["block"] % (1 << 64): ([r[f"n{k}"] for k in range(wide)], r["mass"]) for r in told}
-    nothing = ([0] * wide, 0.0)
-    return np.array([of.get(int(h), nothing)[0] for h in hot]).reshape(len(hot), wide), np.array([of.get(int(h), nothing)[1] for h in hot])
+def _sums(rows: DataFrame, names: list[int]) -> np.ndarray:
+    """The sums of the hot contexts of these names over all buckets, in their order."""
+    told = rows.where("kind = 'hot'").groupBy("block").agg(*(F.sum(F.col("stats")[k]).alias(f"n{k}") for k in range(WIDE))).collect()  # at most HOT + 1
+    of = {r["block"]: [r[f"n{k}"] for k in range(WIDE)] for r in told}
+    return np.array([of.get(x, [0] * WIDE) for x in names], dtype=np.int64).reshape(len(names), WIDE)
 
 
-def _told(rows: DataFrame, wide: int) -> list[int]:
-    return [int(x or 0) for x in rows.where("kind = 'model'").select(*(F.sum(F.col("stats")[k]) for k in range(wide))).first()]
+def _types(rows: DataFrame) -> np.ndarray:
+    """The histogram of counts over all buckets."""
+    told = rows.where("kind = 'model'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()  # one for each class
+    types = np.zeros(len(BINS) - 1, dtype=np.int64)
+    for r in told:
+        types[r["pos"]] = r["n"]
+    return types
 
 
 def _table(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.Table:
@@ -528,12 +536,10 @@ def scores(docs: DataFrame) -> DataFrame:
     asked = spread.mapInArrow(_ask_words(n_words), "bucket int, block long, words binary, counts binary")
     replies = common.scratch(spark, "lm-replies")
     answered = _by_kind(asked.groupBy("bucket").applyInPandas(_filed(_answer_words(n_words, hot_count), replies), _ANSWER), "lm-words")
-    kinds, *counted = _told(answered, K + 2)
-    if 0 < texts <= K + 1:
-        counted[texts - 1] += 1
-    kinds += texts > 0
+    types = _types(answered) + histogram(np.array([texts]))  # the end token's
+    kinds = int(types.sum())
     hot = np.array(sorted({END, *(x for r in answered.where("kind = 'hot'").select("stats").collect() for x in r["stats"])}), dtype=np.uint64)  # at most HOT + 1
-    unigram = Unigram(total, np.array(counted))
+    unigram = Unigram(total, types)
 
     # where a block and the replies to it are; small rows, so the number of tasks is given
     marks = blocks.select("block", F.lit("block").alias("kind"), F.lit(0).alias("bucket"), "file", F.lit(0).cast("long").alias("at"), "bytes")
@@ -556,14 +562,14 @@ def scores(docs: DataFrame) -> DataFrame:
 
     to_words = replied(answered, "words")
     pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_PAIR_ASK))
-    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_filed(_answer_pairs(unigram, n_words, hot, hot_count), replies), _ANSWER), "lm-pairs")
-    d2 = discounts(np.array(_told(pair_answers, K + 1)))
-    hot_n, hot_mass = _sums(pair_answers, K, hot)
+    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_filed(_answer_pairs(n_words, hot, hot_count), replies), _ANSWER), "lm-pairs")
+    d2 = discounts(slope(_types(pair_answers)))
+    hot_sums = _sums(pair_answers, hot.tolist())
     often = np.array(sorted(x % (1 << 64) for r in pair_answers.where("kind = 'often'").select("stats").collect() for x in r["stats"]), dtype=np.uint64)  # at most HOT
 
     def triples_of(table: pa.Table) -> tuple[int, _Pairs, _Triples, list[dict]]:
         block, pairs, rows = pairs_of(table)
-        pairs.answered(rows["pairs"], n_pairs, unigram, d2, hot, hot_n, hot_mass)
+        pairs.answered(rows["pairs"], n_pairs, unigram, d2, hot, hot_sums)
         return block, pairs, _Triples(pairs, n_pairs, often), rows["triples"]
 
     def ask_triples(table: pa.Table) -> pa.Table:
@@ -576,9 +582,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     to_pairs = replied(pair_answers, "pairs")
     triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
-    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_filed(_answer_triples(often), replies), _ANSWER), "lm-triples")
-    d3 = discounts(np.array(_told(triple_answers, K + 1)), CUT)
-    often_sums, _ = _sums(triple_answers, WIDE, often)
+    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_filed(_answer_triples, replies), _ANSWER), "lm-triples")
+    d3 = discounts(slope(_types(triple_answers)))
+    often_sums = _sums(triple_answers, list(range(len(often))))
 
     def score(table: pa.Table) -> pa.Table:
         _, pairs, triples, answers = triples_of(table)
@@ -589,10 +595,10 @@ def scores(docs: DataFrame) -> DataFrame:
             cold = contexts[~triples.hot[contexts]]
             if len(cold):
                 sums[cold] = unpacked(answer[k]["b"]).reshape(WIDE, len(cold)).T
-        sums[triples.hot] = often_sums[np.searchsorted(often, triples.contexts[triples.hot])]
+        sums[triples.hot] = often_sums[(triples.contexts[triples.hot] - HOT_CONTEXT).astype(np.int64)]
         counted, ended = sums[:, : WIDE // 2], sums[:, WIDE // 2 :]
         alpha, divisor = _alpha(triples.count - _total(counted, d3), _total(ended, d2) / np.maximum(triples.divisor, 1), triples.count)
-        alpha[~counted.any(axis=1)] = 1.0  # no word was seen often enough after it
+        alpha[~counted.any(axis=1)] = 1.0  # no word was seen after it
         p = pairs.p[pairs.inverse]
         seen = (triples.own >= 0) & (joint[triples.own] > 0) if len(joint) else np.zeros(len(triples.at), dtype=bool)
         p[triples.at] *= alpha[triples.context]

@@ -192,14 +192,13 @@ def _plain_katz(rows):
         two.update(zip([None, *ws[:-1]], ws))
         three.update(zip([None, *ws[:-2]], ws[:-1], ws[1:]))
     total = sum(one.values())
-    of_counts = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, katz.K + 2)])
-    unigram, d2, d3 = katz.Unigram(total, of_counts(one)), katz.discounts(of_counts(two)), katz.discounts(of_counts(three), katz.CUT)
+    types = lambda c: katz.histogram(np.array(list(c.values()), dtype=np.int64))
+    unigram, d2, d3 = katz.Unigram(total, types(one)), katz.discounts(katz.slope(types(two))), katz.discounts(katz.slope(types(three)))
     follow = {2: defaultdict(dict), 3: defaultdict(dict)}
     for (h, w), c in two.items():
         follow[2][h,][w] = c
     for (u, v, w), c in three.items():
-        if c >= katz.CUT:
-            follow[3][u, v][w] = c
+        follow[3][u, v][w] = c
     d = {2: d2, 3: d3}
     cut = lambda c, n: c * (d[n][c] if c <= katz.K else 1.0)
     memo = {}
@@ -267,7 +266,29 @@ def test_katz_is_normalised(rows):
     texts, one, _, p = _plain_katz(rows)
     contexts = {(None,), ("w1",), ("never seen",), ("never", "seen"), *((ws[k], ws[k + 1]) for _, ws in texts[:6] for k in range(min(6, len(ws) - 2)))}
     for h in contexts:
-        assert sum(p(h, w) for w in one) + p(h, "unknown word") == pytest.approx(1.0)
+        assert sum(p(h, w) for w in one) + p(h, "unknown word") == pytest.approx(1.0, abs=1e-9)
+
+
+def test_discounts_come_from_the_fit():
+    """Counts of counts that go as a power of the count give that power, and Katz's factors of it; those of copied texts
+    (nearly all types seen twice) or of a single count give factors between 0 and 1 too, rising with the count."""
+    for power in (-1.2, -2.0, -2.7):
+        counts = np.repeat(np.arange(1, 400), np.rint(4e6 * np.arange(1.0, 400) ** power).astype(int))
+        assert katz.slope(katz.histogram(counts)) == pytest.approx(power, abs=0.05)
+        d, ratio = katz.discounts(power), lambda r: (1 + 1 / r) ** (power + 1)  # r*/r
+        k = katz.K
+        for r in range(1, k + 1):
+            assert d[r] == pytest.approx((ratio(r) - (k + 1) ** (power + 1)) / (1 - (k + 1) ** (power + 1)))
+    for counts in ([2] * 1000 + [1] * 3 + [4] * 50, [7], [1, 1, 2, 3, 9, 9], []):
+        d = katz.discounts(katz.slope(katz.histogram(np.array(counts))))[1:]
+        assert ((d > 0) & (d < 1)).all() and (np.diff(d) > 0).all()
+    assert katz.discounts(-1.0)[1:] == pytest.approx(katz.discounts(-1.0 + 1e-6)[1:], abs=1e-5)
+
+
+def test_classes_of_counts_cover_all():
+    assert katz.BINS[:11].tolist() == list(range(1, 12)) and (np.diff(katz.BINS) > 0).all()
+    counts = np.array([0, 1, 5, 11, 12, 13, 1000, 2**61])
+    assert katz.histogram(counts).sum() == 7 and katz.histogram(counts)[[0, 4, 10]].tolist() == [1, 1, 1]
 
 
 def test_katz_tells_doubles_apart(spark):
