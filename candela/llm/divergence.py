@@ -24,6 +24,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, SCALE, RANKS = 3, 1_000_000_000, 200
-#: Bounds of a block: bytes of text, and bytes of different terms.
-BLOCK_BYTES, BLOCK_TERMS = 16 << 20, 6 << 20
+#: Bounds of a block: bytes of text, and bytes of terms and counts, summed over the texts that are counted at once.
+BLOCK_BYTES, BLOCK_TERMS, COUNTED_BYTES = 32 << 20, 32 << 20, 4 << 20
 #: Postings that are multiplied at once, and different pairs of sources held before they are passed on.
 PAIRED_ROWS, HELD_PAIRS = 1 << 16, 1 << 18
 _LETTER = [c >= 0x80 or chr(c).isalpha() for c in range(256)]
@@ -45,6 +46,16 @@ def folded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
+def frequencies(texts: list[bytes]) -> pa.Table:
+    """term and n: how many of these folded texts hold each term."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(split.offsets.to_numpy()))
+    held = np.unique((text << 32) | coded.indices.to_numpy())
+    found = pa.table({"term": coded.dictionary, "n": np.bincount(held & 0xFFFFFFFF, minlength=len(coded.dictionary))})
+    return found.filter(pc.not_equal(found.column("term"), ""))  # what is before a first blank
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a block's folded texts of a language and source (body), and a block's number of documents of
     a language that hold a term (df)."""
@@ -54,36 +65,46 @@ def blocks(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3).compress
 
-        def made(texts: dict[tuple[str, str], list[bytes]], df: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-            block = uuid.uuid4().hex
-
-            def batch(lang, source, body, term, n):
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(lang), pa.string()), pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(body, pa.binary()), pa.array(term, pa.binary()), pa.array(n, pa.int64())],
-                    names=["block", "lang", "source", "body", "term", "df"],
-                )
+        def batch(block, lang, n, source=None, body=None, term=None, df=None) -> pa.RecordBatch:
+            none = lambda t: pa.nulls(n, t)
+            columns = [pa.array([block] * n, pa.string()), pa.array([lang] * n, pa.string()), source, body, term, df]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([none(t) if c is None else c for c, t in zip(columns, kinds)], names=["block", "lang", "source", "body", "term", "df"])
 
+        def made(texts: dict[tuple[str, str], list[bytes]], df: dict[str, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+            block = uuid.uuid4().hex
             for (lang, source), parts in texts.items():
-                yield batch([lang], [source], [press(b" ".join(parts))], [None], [None])
-            for lang, counted in df.items():
-                names, n = list(counted), list(counted.values())
-                for k in range(0, len(names), 50_000):
-                    some = names[k : k + 50_000]
-                    yield batch([lang] * len(some), [None] * len(some), [None] * len(some), some, n[k : k + 50_000])
-
-        texts, df, size, named = defaultdict(list), defaultdict(Counter), 0, 0
-        for batch in batches:
-            for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                yield batch(block, lang, 1, source=pa.array([source], pa.string()), body=pa.array([press(b" ".join(parts))], pa.binary()))
+            for lang, tables in df.items():
+                whole = pa.concat_tables(tables).group_by("term").aggregate([("n", "sum")]).combine_chunks()
+                for k in range(0, whole.num_rows, 50_000):
+                    some = whole.slice(k, 50_000).combine_chunks()
+                    yield batch(block, lang, some.num_rows, term=some.column("term").combine_chunks().cast(pa.binary()), df=some.column("n_sum").combine_chunks())
+
+        texts, df, waiting, size, late, named = defaultdict(list), defaultdict(list), defaultdict(list), 0, 0, 0
+
+        def counted() -> int:
+            """Count the terms of the texts that wait; the bytes of those terms."""
+            found = {lang: frequencies(raws) for lang, raws in waiting.items()}
+            for lang, table in found.items():
+                df[lang].append(table)
+            waiting.clear()
+            return sum(table.nbytes for table in found.values())
+
+        for rows_ in batches:
+            for lang, source, text in zip(*(rows_.column(k).to_pylist() for k in range(3))):
                 raw = folded(text)
-                words = set(raw.split())
                 texts[lang, source].append(raw)
-                named += sum(map(len, words.difference(df[lang])))
-                df[lang].update(words)
-                size += len(raw)
+                waiting[lang].append(raw)
+                size, late = size + len(raw), late + len(raw)
+                if late >= COUNTED_BYTES or size >= BLOCK_BYTES:
+                    named, late = named + counted(), 0
                 if size >= BLOCK_BYTES or named >= BLOCK_TERMS:
                     yield from made(texts, df)
-                    texts, df, size, named = defaultdict(list), defaultdict(Counter), 0, 0
+                    texts, size, named = defaultdict(list), 0, 0
+                    df.clear()
         if texts:
+            counted()
             yield from made(texts, df)
 
     return common.written(rows.mapInArrow(cut, schema), "divergence-blocks")

@@ -119,6 +119,7 @@ def _plain_divergence(rows):
 def test_divergence(spark, rows, monkeypatch, size, paired):
     """Whatever the blocks' bounds and the rows that are paired at once."""
     monkeypatch.setattr(divergence, "BLOCK_BYTES", size)
+    monkeypatch.setattr(divergence, "COUNTED_BYTES", size // 3)
     monkeypatch.setattr(divergence, "PAIRED_ROWS", paired)
     monkeypatch.setattr(divergence, "HELD_PAIRS", paired)
     got = divergence.audit(_docs(spark, rows)).select("lang", "source", "part", "item", "value", "rank")
