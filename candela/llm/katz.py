@@ -11,7 +11,9 @@ count are averaged over the gaps between counts, and a line fitted to their loga
 texts, which make many types with one count and few with the next, move no single discount.
 
 The work: texts become files of word numbers, one a block. Blocks ask for the corpus counts of their words, then of their
-word pairs, then of those triples whose both pairs were seen (others can't have been), in packed arrays that are
+word pairs, then of those triples whose both pairs were seen (others can't have been) and whose context isn't the
+block's own (one that was seen once and occurs in no other block: its one next word stands in the block's file, which is
+its part of the model), in packed arrays that are
 dealt by hash of the context to buckets of bounded size; a bucket sums what blocks have counted in training documents,
 keeps its part of the model (counts, and for each context whole numbers that tell the sum of the shorter probabilities,
 from which its back-off weight follows exactly) as a row of a partitioned table, and replies to each block in a file, of which only the place is shuffled, since
@@ -53,24 +55,34 @@ def packed(values: np.ndarray, rising: bool = False) -> bytes:
         values = np.r_[values[:1], np.diff(values)]
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width, rising]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width, rising]) + _press().compress(planes)
+
+
+@functools.cache
+def _press() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@functools.cache
+def _open() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 def unpacked(data: bytes) -> np.ndarray:
     width, rising = data[0], data[1]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), dtype=np.uint8).reshape(width, -1)
-    values = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    values[:, :width] = planes.T
-    values = values.reshape(-1).view("<u8")
+    planes = np.frombuffer(_open().decompress(data[2:]), dtype=np.uint8).reshape(width, -1)
+    values = planes[0].astype(np.uint64)
+    for k in range(1, width):
+        values |= planes[k].astype(np.uint64) << np.uint64(8 * k)
     return np.cumsum(values, dtype=np.uint64) if rising else values
 
 
 def _text(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+    return _press().compress(b" ".join(words))
 
 
 def _words(data: bytes) -> list[bytes]:
-    joined = zstandard.ZstdDecompressor().decompress(data)
+    joined = _open().decompress(data)
     return joined.split(b" ") if joined else []
 
 
@@ -302,10 +314,16 @@ WIDE = 2 * (K + 1)
 def _by_count(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """For each of `size` groups (at: that of each count): how many counts are 1, ..., K (a column each), and the sum of
     the larger ones."""
-    few, columns = counts <= K, np.zeros((size, K + 1), dtype=np.int64)
-    np.add.at(columns, (at[few], counts[few] - 1), 1)
-    columns[:, -1] = np.bincount(at[~few], counts[~few].astype(float), size)
-    return columns
+    few = counts <= K
+    told = np.bincount(at[few] * (K + 1) + counts[few] - 1, minlength=size * (K + 1)).reshape(size, K + 1)
+    told[:, -1] = np.bincount(at[~few], counts[~few].astype(float), size)
+    return told
+
+
+def _runs(rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a sorted array begins, and each one's place among the different ones."""
+    new = np.r_[True, rising[1:] != rising[:-1]][: len(rising)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _total(sums: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -332,33 +350,49 @@ class _Pairs:
         self.trained = np.repeat(~self.held, self.lengths)
         self.count_now = count[now]
         keys = (number[before] << _SHIFT) | number[now]
-        self.keys, first, self.inverse = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        begins, place = _runs(ordered)
+        self.keys, first = ordered[begins], order[begins]
+        self.inverse = np.empty(len(keys), dtype=np.int64)
+        self.inverse[order] = place
         self.count_before, self.count_next = count[before[first]], self.count_now[first]
         self.context = self.keys >> _SHIFT
         self.hot = np.isin(self.context, hot)
         self.bucket = _dealt(np.where(self.hot, self.keys & _LOW, self.context), n_pairs)
 
     def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_sums: np.ndarray) -> None:
-        """joint: the pairs' counts; rank: their places among their bucket's seen pairs; divisor: their context's; p: their
-        probability."""
+        """joint: the pairs' counts; rank: their places among their bucket's pairs; alone: whether they are this block's own;
+        divisor: their context's; p: their probability."""
         order, at = _parts(self.bucket, n_pairs)
-        self.joint, self.rank, sums = np.zeros(len(self.keys), dtype=np.int64), np.zeros(len(self.keys), dtype=np.uint64), np.zeros((len(self.keys), WIDE), dtype=np.int64)
+        size = len(self.keys)
+        self.joint, self.rank, self.alone, self.divisor, alpha = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=bool), np.ones(size), np.ones(size)
+
+        def weigh(own: np.ndarray, k: np.ndarray, sums: np.ndarray, count: np.ndarray) -> None:
+            """The weights of these pairs' contexts, of which k tells the row in sums and count."""
+            counted, followed = sums[:, : K + 1], sums[:, K + 1 :]
+            weight, divisor = _alpha(count - _total(counted, d), unigram.mass(followed), count)
+            alpha[own], self.divisor[own] = np.where(counted.any(axis=1), weight, 1.0)[k], divisor[k]
+
         for r in answers:
             own = order[at[r["bucket"]] : at[r["bucket"] + 1]]
-            self.joint[own], self.rank[own] = unpacked(r["a"]), unpacked(r["c"])
+            told = unpacked(r["a"]).astype(np.int64)
+            self.joint[own], self.alone[own], self.rank[own] = told - (told > 1), told == 1, unpacked(r["c"])
             own = own[~self.hot[own]]
-            there, k = np.unique(self.context[own], return_inverse=True)
-            if len(there):
-                sums[own] = unpacked(r["b"]).reshape(WIDE, len(there)).T[k]
-        sums[self.hot] = hot_sums[np.searchsorted(hot, self.context[self.hot])]
-        counted, followed = sums[:, : K + 1], sums[:, K + 1 :]
-        alpha, self.divisor = _alpha(self.count_before - _total(counted, d), unigram.mass(followed), self.count_before)
-        backed = np.where(counted.any(axis=1), alpha, 1.0) * unigram(self.count_next)
-        self.p = np.where(self.joint > 0, _discounted(self.joint, d) / np.maximum(self.divisor, 1), backed)
+            if len(own):
+                first, k = _runs(self.context[own])
+                weigh(own, k, unpacked(r["b"]).reshape(WIDE, len(first)).T.astype(np.int64), self.count_before[own[first]])
+        own = np.flatnonzero(self.hot)
+        if len(own):
+            first, k = _runs(self.context[own])
+            weigh(own, k, hot_sums[np.searchsorted(hot, self.context[own[first]])], self.count_before[own[first]])
+        self.p = np.where(self.joint > 0, _discounted(self.joint, d) / np.maximum(self.divisor, 1), alpha * unigram(self.count_next))
 
 
 #: Contexts of triples are told by their place among their bucket's seen pairs; hot ones by this and their place among those.
 HOT_CONTEXT = np.uint64(1 << 40)
+#: In the place of a bucket: contexts that are the block's own, and hot ones.
+ALONE, SPREAD = -2, -1
 
 
 class _Triples:
@@ -370,14 +404,14 @@ class _Triples:
         at = np.flatnonzero(later)
         at = at[pairs.joint[pairs.inverse[at - 1]] > 0]
         self.at = at  # the tokens with such a context
-        # a block's contexts in the order of their buckets and names, so that what a bucket gets rises
+        # contexts in the order of their buckets and names, so that what a bucket gets rises; the block's own come first
         of = pairs.inverse[at - 1]
         there = np.zeros(len(pairs.keys), dtype=bool)
         there[of] = True
         there = np.flatnonzero(there)
-        is_hot = np.isin(pairs.keys[there], hot)
+        is_hot, is_alone = np.isin(pairs.keys[there], hot), pairs.alone[there]
         names = np.where(is_hot, HOT_CONTEXT + np.searchsorted(hot, pairs.keys[there]).astype(np.uint64), pairs.rank[there])
-        bucket = np.where(is_hot, -1, pairs.bucket[there])
+        bucket = np.where(is_alone, ALONE, np.where(is_hot, SPREAD, pairs.bucket[there]))
         order = np.lexsort((names, bucket))
         place = np.empty(len(pairs.keys), dtype=np.int64)
         place[there[order]] = np.arange(len(there))
@@ -386,33 +420,45 @@ class _Triples:
         now = pairs.inverse[at]
         seen = np.flatnonzero(pairs.joint[now] > 0)
         keys = (self.context[seen].astype(np.uint64) << _SHIFT) | (pairs.keys[now[seen]] & _LOW)
-        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        by_key = np.argsort(keys, kind="stable")
+        begins, index = _runs(keys[by_key])
+        first = by_key[begins]
         self.own = np.full(len(at), -1)
-        self.own[seen] = inverse
+        self.own[seen[by_key]] = index
+        keys = keys[first]
         self.words, self.of = keys & _LOW, (keys >> _SHIFT).astype(np.int64)
-        self.trained = np.bincount(inverse, pairs.trained[at[seen]].astype(float), len(keys)).astype(np.int64)
-        last = now[seen][first]  # the pair that ends each triple
+        self.trained = np.bincount(index, pairs.trained[at[seen[by_key]]].astype(float), len(keys)).astype(np.int64)
+        last = now[seen[first]]  # the pair that ends each triple
         self.last, self.divisor = pairs.joint[last], np.ones(len(contexts))
         self.divisor[self.context] = pairs.divisor[now]  # of the shorter context, which all pairs that end it share
         self.bucket = np.where(self.hot[self.of], _dealt(self.words, n), self.context_bucket[self.of])
         self.n = n
 
+    def alone(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts that are the block's own, their sums and all triples after them."""
+        contexts, own = np.flatnonzero(self.context_bucket == ALONE), np.flatnonzero(self.bucket == ALONE)  # the first ones
+        there = own[self.trained[own] > 0]
+        return contexts, np.c_[_by_count(self.of[there], self.trained[there], len(contexts)), _by_count(self.of[there], self.last[there], len(contexts))], own
+
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """bucket, contexts and triples of each bucket that is asked."""
         order, at = _parts(self.bucket, self.n)
-        cold, begins = _parts(self.context_bucket + 1, self.n + 1)  # hot ones have the first part
+        begins = np.searchsorted(self.context_bucket, np.arange(self.n + 1))
         for k in range(self.n):
-            own, contexts = order[at[k] : at[k + 1]], cold[begins[k + 1] : begins[k + 2]]
-            if self.hot.any():
-                contexts = np.union1d(contexts, self.of[own][self.hot[self.of[own]]])
+            own, contexts = order[at[k] : at[k + 1]], np.arange(begins[k], begins[k + 1])
+            spread = self.of[own]
+            spread = spread[self.hot[spread]]
+            if len(spread):
+                contexts = np.r_[np.unique(spread), contexts]  # hot ones come before all buckets'
             if len(contexts):
                 yield k, contexts, own
 
 
 def _answer_pairs(n_words: int, hot: np.ndarray, hot_count: float):
     """kind: model (seen pairs, counts and their contexts' sums), reply (a: counts of the asked pairs; b: sums for their
-    contexts that aren't hot, in order; c: places among the seen pairs), hot (sums of a hot context in this bucket),
-    often (frequent pairs). The sums are _by_count of the seen pairs and of their next words: whole numbers, from which
+    contexts that aren't hot, in order; c: places among the seen pairs that aren't a block's own), hot (sums of a hot
+    context in this bucket), often (frequent pairs), once (how many triples have a context of a block's own). Counts are
+    told as 1 for a block's own pair, as one more than they are for others that were seen. The sums are _by_count of the seen pairs and of their next words: whole numbers, from which
     what a context frees and its words' shorter probabilities follow exactly."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -423,19 +469,21 @@ def _answer_pairs(n_words: int, hot: np.ndarray, hot_count: float):
         there, of = np.unique(keys >> _SHIFT, return_inverse=True)
         seen = joint > 0
         sums = np.c_[_by_count(of[seen], joint[seen], len(there)), _by_count(of[seen], nexts[seen], len(there))]
-        rank = np.cumsum(seen) - seen
+        own = (joint == 1) & (np.bincount(index, minlength=len(keys)) == 1) & (hot_count > 1)
+        coded, named = joint + (seen & ~own), seen & ~own
+        rank = np.cumsum(named) - named
         is_hot, kept = np.isin(there, hot), sums.any(axis=1)
         bucket = int(frame["bucket"].iloc[0])
-        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(joint[seen]), packed(sums[kept].T.reshape(-1)), histogram(joint).tolist())], 0
-        for block, own in zip(frame["block"], asked):
-            mine = index[at : at + len(own)]
-            at += len(own)
-            contexts = np.unique(own >> _SHIFT)
-            k = np.searchsorted(there, contexts[~np.isin(contexts, hot)])
-            rows.append(("reply", block, bucket, packed(joint[mine]), packed(sums[k].T.reshape(-1)), packed(rank[mine], rising=True), None))
+        rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(coded[seen]), packed(sums[kept].T.reshape(-1)), histogram(joint).tolist())], 0
+        for block, told in zip(frame["block"], asked):
+            mine = index[at : at + len(told)]
+            at += len(told)
+            k = of[mine][_runs(told >> _SHIFT)[0]]
+            rows.append(("reply", block, bucket, packed(coded[mine]), packed(sums[k[~is_hot[k]]].T.reshape(-1)), packed(rank[mine], rising=True), None))
         for k in np.flatnonzero(is_hot):
             rows.append(("hot", int(there[k]), bucket, None, None, None, sums[k].tolist()))
         rows.append(("often", None, bucket, None, None, None, keys[joint >= hot_count].view(np.int64).tolist()))
+        rows.append(("once", None, bucket, None, None, None, [int((own & (keys & _LOW != END)).sum())]))
         return pd.DataFrame(rows, columns=_COLUMNS)
 
     return answer
@@ -458,7 +506,7 @@ def _answer_triples(frame: pd.DataFrame) -> pd.DataFrame:
     sums = np.c_[_by_count(at, joint[seen], len(there)), _by_count(at, last[seen], len(there))]
     is_hot, bucket = there >= HOT_CONTEXT, int(frame["bucket"].iloc[0])
     kept, told = np.unique(at, return_counts=True)
-    body = zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
+    body = _press().compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
     rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, histogram(joint).tolist())], 0, 0
     for block, own, size in zip(frame["block"], contexts, sizes):
         total = int(size.sum())
@@ -583,22 +631,31 @@ def scores(docs: DataFrame) -> DataFrame:
     to_pairs = replied(pair_answers, "pairs")
     triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
     triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_filed(_answer_triples, replies), _ANSWER), "lm-triples")
-    d3 = discounts(slope(_types(triple_answers)))
+    once = pair_answers.where("kind = 'once'").agg(F.coalesce(F.sum(F.col("stats")[0]), F.lit(0))).first()[0]
+    d3 = discounts(slope(_types(triple_answers) + once * histogram(np.array([1]))))
     often_sums = _sums(triple_answers, list(range(len(often))))
 
     def score(table: pa.Table) -> pa.Table:
         _, pairs, triples, answers = triples_of(table)
         answer = {r["bucket"]: r for r in answers}
-        joint, sums = np.zeros(len(triples.words), dtype=np.int64), np.zeros((len(triples.contexts), WIDE))
+        joint, alpha, divisor = np.zeros(len(triples.words), dtype=np.int64), np.ones(len(triples.contexts)), np.ones(len(triples.contexts))
+
+        def weigh(contexts: np.ndarray, sums: np.ndarray) -> None:
+            counted, ended = sums[:, : K + 1], sums[:, K + 1 :]
+            weight, divisor[contexts] = _alpha(triples.count[contexts] - _total(counted, d3), _total(ended, d2) / np.maximum(triples.divisor[contexts], 1), triples.count[contexts])
+            alpha[contexts] = np.where(counted.any(axis=1), weight, 1.0)  # 1: no word was seen after it
+
         for k, contexts, own in triples.parts():
             joint[own] = unpacked(answer[k]["a"])
             cold = contexts[~triples.hot[contexts]]
             if len(cold):
-                sums[cold] = unpacked(answer[k]["b"]).reshape(WIDE, len(cold)).T
-        sums[triples.hot] = often_sums[(triples.contexts[triples.hot] - HOT_CONTEXT).astype(np.int64)]
-        counted, ended = sums[:, : WIDE // 2], sums[:, WIDE // 2 :]
-        alpha, divisor = _alpha(triples.count - _total(counted, d3), _total(ended, d2) / np.maximum(triples.divisor, 1), triples.count)
-        alpha[~counted.any(axis=1)] = 1.0  # no word was seen after it
+                weigh(cold, unpacked(answer[k]["b"]).reshape(WIDE, len(cold)).T.astype(np.int64))
+        if triples.hot.any():
+            weigh(np.flatnonzero(triples.hot), often_sums[(triples.contexts[triples.hot] - HOT_CONTEXT).astype(np.int64)])
+        contexts, sums, own = triples.alone()
+        if len(contexts):
+            joint[own] = triples.trained[own]
+            weigh(contexts, sums)
         p = pairs.p[pairs.inverse]
         seen = (triples.own >= 0) & (joint[triples.own] > 0) if len(joint) else np.zeros(len(triples.at), dtype=bool)
         p[triples.at] *= alpha[triples.context]
