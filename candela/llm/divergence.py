@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, SCALE, RANKS = 3, 1_000_000_000, 200
+#: Counts under this, times SCALE, are longs.
+LONG_COUNTS = 9_000_000_000
 #: Bounds of a block: bytes of text, and bytes of terms and counts, summed over the texts that are counted at once.
 BLOCK_BYTES, BLOCK_TERMS, COUNTED_BYTES = 32 << 20, 32 << 20, 4 << 20
 #: Postings that are multiplied at once, and different pairs of sources held before they are passed on.
@@ -63,7 +65,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     schema = "block string, lang string, source string, body binary, term binary, df long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(3).compress
+        press = zstandard.ZstdCompressor(1).compress
 
         def batch(block, lang, n, source=None, body=None, term=None, df=None) -> pa.RecordBatch:
             none = lambda t: pa.nulls(n, t)
@@ -124,9 +126,16 @@ def occurrences(machine: ahocorasick.Automaton, body: bytes) -> Counter:
     return Counter(map(itemgetter(1), machine.iter(f" {body.decode('latin-1')} ")))
 
 
+def kept_terms(cut: DataFrame) -> DataFrame:
+    """block, lang, term and first: the terms of enough documents in each block that holds them; first is true in one."""
+    own = Window.partitionBy("lang", "term")  # one row a block
+    seen = cut.where("term IS NOT NULL").select("block", "lang", "term", F.sum("df").over(own).alias("df"), (F.col("block") == F.min("block").over(own)).alias("first"))
+    return common.written(seen.where(F.col("df") >= LEAST).drop("df"), "divergence-kept")
+
+
 def counts(cut: DataFrame, kept: DataFrame) -> DataFrame:
     """lang, source, term and n: occurrences of the kept terms, by an automaton for each block and language."""
-    here = cut.where("term IS NOT NULL").select("block", "lang", "term").join(kept.select("lang", "term"), ["lang", "term"])
+    here = kept.select("block", "lang", "term")
     texts = cut.where("body IS NOT NULL").select("block", "lang", "source", "body").toDF("of_block", "lang", "source", "body")
 
     def recount(terms: pa.Table, bodies: pa.Table) -> pa.Table:
@@ -139,7 +148,6 @@ def counts(cut: DataFrame, kept: DataFrame) -> DataFrame:
         open_ = zstandard.ZstdDecompressor().decompress
         parts = []
         for lang, held in by_lang.items():
-            held.sort()
             machine, names = automaton([t.decode("latin-1") for t in held]), pa.array(held, pa.binary())
             for k in of[lang]:
                 found = occurrences(machine, open_(bodies.column("body")[k].as_py()))
@@ -162,9 +170,11 @@ def counts(cut: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def share(n: Column, total: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / total), exactly; without a total, null."""
+    """1 + floor(SCALE * (n + 1) / total), exactly (in decimals where a long doesn't hold the product); without a total,
+    null."""
     wide = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return F.call_function("div", wide, F.nullif(total, F.lit(0)).cast("decimal(20,0)")) + 1
+    exact = F.call_function("div", wide, F.nullif(total, F.lit(0)).cast("decimal(20,0)"))
+    return F.when(n < LONG_COUNTS, F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), F.nullif(total, F.lit(0)))).otherwise(exact) + 1
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -240,11 +250,10 @@ def audit(docs: DataFrame) -> DataFrame:
     behind. A text of any length is one text of its block.
     """
     cut = blocks(docs)
-    df = cut.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("df").alias("df"))
-    kept = common.written(df.where(F.col("df") >= LEAST), "divergence-kept")
+    kept = kept_terms(cut)
     counted = counts(cut, kept)
     groups = cut.where("body IS NOT NULL").select("lang", "source").distinct()
-    words = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    words = kept.where("first").groupBy("lang").agg(F.count("*").alias("v"))
     held = counted.groupBy("lang", "source").agg(F.sum("n").alias("held"))
     totals = groups.join(words, "lang", "left").join(held, ["lang", "source"], "left").fillna(0, ["v", "held"])
     totals = common.written(totals.select("lang", "source", "v", (F.col("held") + F.col("v")).alias("total")).withColumn("none", F.coalesce(share(F.lit(0), F.col("total")), F.lit(1))), "divergence-totals")

@@ -135,6 +135,12 @@ def test_divergence_ranks_all_sources_and_200_terms(spark):
     assert max(r[5] for r in got if r[2] == "term") == 200
 
 
+def test_shares_are_exact_beyond_longs(spark):
+    counts = [(0, 7), (8_999_999_999, 10**10), (9_000_000_001, 3 * 10**10 + 1), (10**12, 10**13 + 7), (5, 0)]
+    got = spark.createDataFrame(counts, "n long, total long").select(divergence.share(F.col("n"), F.col("total"))).collect()
+    assert [r[0] for r in got] == [1 + 10**9 * (n + 1) // total if total else None for n, total in counts]
+
+
 def test_divergence_edges(spark):
     assert divergence.audit(spark.createDataFrame([], DOCS)).count() == 0
     lonely = [(1, "one two", "en", "a"), (2, None, "en", "b"), (3, "x " * 50_000, "de", "a"), (4, "123 456", "de", "a")]
