@@ -36,15 +36,34 @@ def price(x: Column, symbol: str = "$") -> Column:
     return out.otherwise(MISSING)
 
 
-def compact(x: Column, symbol: str = "$") -> Column:
-    """Amounts with the unit that fits: 1,23 bi."""
-    out = F.when(missing(x), MISSING)
-    for size, unit in UNITS:
-        out = out.when(F.abs(x) >= size, F.concat(F.lit(f"{symbol} "), number(x / size, 2), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.lit(f"{symbol} "), number(x, 2)))
+def _led(x: Column, symbol: str | None, told: Column) -> Column:
+    """An absolute amount with its sign first, then the currency, if any."""
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.lit(f"{symbol} " if symbol else ""), told)
+
+
+def money(x: Column, symbol: str | None = "$", digits: int = 2) -> Column:
+    """An amount with its sign before the currency: -$ 1.234,50."""
+    return F.when(missing(x), MISSING).otherwise(_led(x, symbol, number(F.abs(x), digits)))
+
+
+def compact(x: Column, symbol: str | None = None) -> Column:
+    """Amounts with the unit that fits, with or without a currency: 1,23 bi, -$ 1,23 bi."""
+    size, out = F.abs(x), F.when(missing(x), MISSING)
+    for least, unit in UNITS:
+        out = out.when(size >= least, _led(x, symbol, F.concat(number(size / least, 2), F.lit(f" {unit}"))))
+    return out.otherwise(_led(x, symbol, number(size, 2)))
+
+
+def ratio(x: Column, digits: int = 2) -> Column:
+    return number(x, digits)
+
+
+def axis_format(x: Column) -> Column:
+    """The format of an axis of prices around x, as d3 names it."""
+    return F.concat(F.lit(",."), F.when(missing(x), 2).otherwise(price_digits(x)).cast("string"), F.lit("f"))
 
 
-def percent(x: Column, digits: int = 2, signed: bool = True) -> Column:
+def percent(x: Column, digits: int = 2, signed: bool = False) -> Column:
     sign = F.when((F.round(x, digits) > 0) & F.lit(signed), "+").otherwise("")
     return F.when(missing(x), MISSING).otherwise(F.concat(sign, number(x, digits), F.lit("%")))
 

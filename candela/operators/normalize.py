@@ -115,22 +115,39 @@ def quality(raw: DataFrame) -> DataFrame:
     return points.join(flagged, "asset", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
 
 
-def asof(left: DataFrame, rates: DataFrame, value: str) -> DataFrame:
-    """left with the rate's value of the same or the last earlier day, before the first rate the first. left: asset, d;
-    rates: d and value, one row a day. Each rate becomes a row for every day until the next one (a table of the
-    calendar's size), so one join by day does for a search."""
-    first, last = left.agg(F.min("d"), F.max("d")).first()
-    order = Window.orderBy("d")  # one row a day
-    spans = rates.select("d", F.col(value).alias("__rate")).withColumns({"__next": F.lead("d").over(order), "__k": F.row_number().over(order)})
-    start = F.when(F.col("__k") == 1, F.least("d", F.lit(first))).otherwise(F.col("d"))
-    stop = F.coalesce(F.date_sub("__next", 1), F.greatest("d", F.lit(last)))
-    by_day = spans.select(F.explode(F.sequence(start, stop)).alias("d"), F.col("__rate").alias(value))
-    return left.join(by_day, "d", "left").select(*left.columns, value)
-
-
-def converted(panel: DataFrame, rates: DataFrame, value: str = "rate") -> DataFrame:
+def asof(left: DataFrame, rates: DataFrame, value: str, by: tuple[str, ...] = (), at: str = "d", bucket: str = "year") -> DataFrame:
+    """left with the rate's value of the same or the last earlier time (`at`, a date or timestamp in both), before the
+    first rate the first; of the rates (by, at and value) of one time the greatest counts. by: columns of both that tell
+    which rates a row takes, currencies for instance; a key without rates has null.
+
+    Both sides go in one order by key and bucket of time, where the last rate is taken; what a bucket starts with is
+    carried over from the buckets before it. So no task holds more than a key's bucket, and no calendar is made.
+    """
+    keys = [f"__by{k}" for k in range(len(by))]
+    key = lambda: [F.col(b).alias(k) for b, k in zip(by, keys)]
+    when = F.col(at).cast("timestamp")
+    marks = lambda side: [*key(), when.alias("__at"), F.date_trunc(bucket, when).alias("__bucket"), F.lit(side).alias("__side")]
+    kind = rates.schema[value].dataType
+    told = rates.where(F.col(value).isNotNull()).select(*marks(0), F.col(value).alias("__rate"))
+    asked = left.select(*marks(1), F.lit(None).cast(kind).alias("__rate"), F.struct(*left.columns).alias("__row"))
+    both = told.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)).unionByName(asked)
+    order = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__side", "__rate").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__last", F.last("__rate", ignorenulls=True).over(order)).where("__side = 1")
+    # of each bucket of a key what it is left with; then what it starts with
+    ends = both.groupBy(*keys, "__bucket").agg(F.max(F.when(F.col("__side") == 0, F.struct("__at", "__rate"))).alias("last"), F.min(F.when(F.col("__side") == 0, F.struct("__at", F.struct("__rate").alias("first")))).alias("__first"))
+    own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket")
+    carried = F.last("last.__rate", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    earliest = F.first("__first.first.__rate", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    starts = ends.select(*(F.col(k).alias(f"{k}s") for k in keys), F.col("__bucket").alias("__start"), F.coalesce(carried, earliest).alias("__carried"))
+    same = F.col("__bucket").eqNullSafe(F.col("__start"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    return found.join(starts, same, "left").select("__row.*", F.coalesce("__last", "__carried").alias(value))
+
+
+def converted(panel: DataFrame, rates: DataFrame, value: str = "rate", by: tuple[str, ...] = (), at: str = "d") -> DataFrame:
     """Prices and volume in another currency."""
-    return asof(panel, rates, value).withColumns({c: F.col(c) * F.col(value) for c in ("open", "high", "low", "close", "volume") if c in panel.columns})
+    return asof(panel, rates, value, by, at).withColumns({c: F.col(c) * F.col(value) for c in ("open", "high", "low", "close", "volume") if c in panel.columns})
 
 
 def rebased(panel: DataFrame, base: float = 100.0) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela import config
+from candela import config, tables
 from candela.operators import normalize, risk
 from candela.windows import ordered, ratio, so_far
 
@@ -57,10 +57,10 @@ def mean_correlation(matrix: DataFrame) -> DataFrame:
 def covariances(panel: DataFrame) -> DataFrame:
     """Annualised covariances (i, j, cov), shrunk as by Ledoit and Wolf (2004) where there are over k + 2 days, else of
     the sample: both need just the sums of products and of squared products of the centred returns."""
-    r = joint_returns(panel)
+    r = tables.kept(joint_returns(panel), "joint-returns")
     means = r.groupBy("asset").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
-    centred = r.join(means, "asset").select("asset", "d", "n", (C("r") - C("m")).alias("r"))
-    sums = _pairs(centred).groupBy("i", "j").agg((F.sum(C("x") * C("y"))).alias("p"), F.sum(C("x") * C("x") * C("y") * C("y")).alias("q"), F.count("*").alias("n"))
+    centred = tables.kept(r.join(means, "asset").select("asset", "d", "n", (C("r") - C("m")).alias("r")), "centred-returns")
+    sums = tables.kept(_pairs(centred).groupBy("i", "j").agg((F.sum(C("x") * C("y"))).alias("p"), F.sum(C("x") * C("x") * C("y") * C("y")).alias("q"), F.count("*").alias("n")), "pair-sums")
     own = sums.withColumns({"s": C("p") / C("n"), "own": C("i") == C("j")})
     twice = F.when(C("own"), 1.0).otherwise(2.0)  # a pair stands for both orders
     totals = own.groupBy("n").agg(F.count_if("own").alias("k"), F.sum(F.when(C("own"), C("s"))).alias("trace"), F.sum(twice * C("q")).alias("qq"), F.sum(twice * C("s") * C("s")).alias("ss"))
@@ -194,12 +194,22 @@ def random_baskets(panel: DataFrame, n: int = 3000, shape: float = 0.7, seed: in
     return gamma.select(C("basket").cast("string").alias("basket"), "asset", (C("g") / F.sum("g").over(Window.partitionBy("basket"))).alias("w"))
 
 
-def _boundary(period: str) -> Column:
-    if period == "none":
-        return F.lit(0)
-    unit = {"month": "month", "quarter": "quarter"}[period]
-    before = F.lag("d").over(Window.partitionBy("basket").orderBy("d"))
-    return F.coalesce((F.date_trunc(unit, "d") != F.date_trunc(unit, before)).cast("int"), F.lit(0))
+#: How often a portfolio is brought back to its weights, and the unit of time whose first day that is.
+PERIODS = {"none": None, "month": "month", "quarter": "quarter"}
+
+
+def holdings(panel: DataFrame, weights: DataFrame, period: str = "month") -> DataFrame:
+    """basket, asset, d, w, flag (1 on days that bring the basket back to its weights), x: what the holding is worth, for
+    each unit that the whole basket was worth at its segment's beginning; old: on any day, by the segment before.
+
+    Segments and their first closes are the same for all baskets, so they are found once an asset, before weights are
+    joined."""
+    shared = normalize.aligned(panel.select("asset", "d", "close"))
+    segment = F.date_trunc(PERIODS[period], "d") if PERIODS[period] else F.lit(0)
+    first = shared.withColumn("s", segment).withColumn("p0", F.first("close").over(Window.partitionBy("asset", "s").orderBy("d")))
+    turns = first.withColumns({"flag": F.coalesce((F.lag("s").over(ordered()) != C("s")).cast("int"), F.lit(0)), "before": F.lag("p0").over(ordered())})
+    held = tables.kept(turns.select("asset", "d", "flag", (C("close") / C("p0")).alias("grown"), (C("close") / C("before")).alias("grown_before")), "segments")
+    return held.join(weights.where("w > 0").select("basket", "asset", "w"), "asset").select("basket", "asset", "d", "w", "flag", (C("w") * C("grown")).alias("x"), (C("w") * C("grown_before")).alias("old"))
 
 
 def rebalanced(panel: DataFrame, weights: DataFrame, period: str = "month", cost: float = config.FEE + config.SLIPPAGE, initial: float = 1.0) -> DataFrame:
@@ -208,15 +218,8 @@ def rebalanced(panel: DataFrame, weights: DataFrame, period: str = "month", cost
 
     Within a segment the value is a fixed sum of prices, and a rebalance multiplies it by a factor that depends on the
     segment's growth alone; so a running product of factors does for a loop over days."""
-    shared = normalize.aligned(panel.select("asset", "d", "close"))
-    days = shared.select("d").distinct().join(F.broadcast(weights.select("basket").distinct()))
-    segments = days.withColumn("flag", _boundary(period)).withColumn("s", F.sum("flag").over(Window.partitionBy("basket").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
-    held = shared.join(weights.where("w > 0"), "asset").join(segments, ["basket", "d"])
-    start = held.withColumn("p0", F.first("close").over(Window.partitionBy("basket", "asset", "s").orderBy("d"))).withColumn("x", C("w") * C("close") / C("p0"))
-    # on a rebalance day the old segment's holdings are valued once more, at that day's prices
-    order = Window.partitionBy("basket", "asset").orderBy("d")
-    turn = start.withColumn("old", C("w") * C("close") / F.lag("p0").over(order))
-    grown = turn.groupBy("basket", "d", "s", "flag").agg(F.sum("x").alias("growth"), F.sum("old").alias("g"), F.collect_list(F.struct("w", "old")).alias("legs"))
+    legs = holdings(panel, weights, period)
+    grown = legs.groupBy("basket", "d", "flag").agg(F.sum("x").alias("growth"), F.sum("old").alias("g"), F.collect_list(F.struct("w", "old")).alias("legs"))
     traded = F.aggregate("legs", F.lit(0.0), lambda a, leg: a + F.abs(leg["w"] - leg["old"] / C("g")))
     factor = F.when(C("flag") == 1, C("g") * (1 - cost * traded))
     by = Window.partitionBy("basket").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
@@ -224,6 +227,26 @@ def rebalanced(panel: DataFrame, weights: DataFrame, period: str = "month", cost
     return valued.withColumn("value", initial * (1 - cost) * F.coalesce(F.product("factor").over(by), F.lit(1.0)) * C("growth")).select("basket", "d", "flag", "traded", "value")
 
 
+def effective_weights(panel: DataFrame, weights: DataFrame, period: str = "month") -> DataFrame:
+    """basket, asset, d, weight: what part of the basket's value each holding is at the end of the day, drifting from the
+    given weights and brought back to them when the basket is."""
+    part = C("x") / F.sum("x").over(Window.partitionBy("basket", "d"))
+    return holdings(panel, weights, period).select("basket", "asset", "d", part.alias("weight"))
+
+
+def record(curve: DataFrame, rate: float = 0.0, cost: float = config.FEE + config.SLIPPAGE, initial: float = 1.0) -> DataFrame:
+    """One row a basket of its curve: total and annual return, volatility (all in percent), Sharpe and Sortino ratio,
+    deepest fall in percent and all costs. Returns are from the first day's value on, the total is of what was paid."""
+    order = Window.partitionBy("basket").orderBy("d")
+    peak = F.max("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    r = curve.withColumns({"r": C("value") / F.lag("value").over(order) - 1, "fall": C("value") / peak - 1})
+    told = r.groupBy("basket").agg(
+        ((F.max_by("value", "d") / initial - 1) * 100).alias("total_return"), (risk.cagr(C("r")) * 100).alias("annual_return"), (F.stddev_samp("r") * N**0.5 * 100).alias("volatility"),
+        risk.sharpe(C("r"), rate).alias("sharpe"), risk.sortino(C("r"), rate).alias("sortino"), (F.min("fall") * 100).alias("max_drawdown"),
+    )
+    return told.join(turnover_cost(curve, cost, initial).withColumnRenamed("cost", "total_costs"), "basket")
+
+
 def turnover_cost(curve: DataFrame, cost: float = config.FEE + config.SLIPPAGE, initial: float = 1.0) -> DataFrame:
     """What buying and rebalancing cost in all: a rebalance costs its share of the value before it."""
     paid = F.when(C("flag") == 1, C("value") / (1 - cost * C("traded")) * cost * C("traded"))

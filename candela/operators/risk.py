@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela import config
+from candela import config, tables
+from candela.operators import normalize
 from candela.windows import full, ordered, ratio, rows, so_far, whole
 
 C = F.col
@@ -30,9 +31,10 @@ def sharpe(returns: Column, rate: float) -> Column:
 
 
 def sortino(returns: Column, rate: float) -> Column:
-    """The downside deviation is over all days."""
+    """The downside deviation is over all days with a return."""
     excess = returns - rate / N
-    return F.when(F.count(returns) >= 2, safe(F.avg(excess) * math.sqrt(N), F.sqrt(F.avg(F.pow(F.least(excess, F.lit(0.0)), F.lit(2.0))))))
+    below = F.when(excess < 0, excess * excess).when(excess >= 0, 0.0)
+    return F.when(F.count(returns) >= 2, safe(F.avg(excess) * math.sqrt(N), F.sqrt(F.avg(below))))
 
 
 def ratios(panel: DataFrame, rate: float = 0.0) -> DataFrame:
@@ -139,18 +141,41 @@ def scores(measures: DataFrame) -> DataFrame:
     return out.withColumn("risk_level", F.when(C("risk_score") <= 2.5, "low").when(C("risk_score") <= 5, "moderate").when(C("risk_score") <= 7.5, "high").otherwise("very_high"))
 
 
+def ewma_volatility(panel: DataFrame, decay: float = 0.94) -> DataFrame:
+    """The last day's RiskMetrics volatility, annualised, in percent: of the recursion's weights only the last day's sum is
+    needed, and a day's weight follows from how many returns come after it (the first day's takes what is left)."""
+    r = panel.where("returns IS NOT NULL").select("asset", "d", "returns")
+    after, before = Window.partitionBy("asset").orderBy(F.desc("d")), C("k") == C("n")
+    aged = r.withColumns({"k": F.row_number().over(after), "n": F.count("*").over(Window.partitionBy("asset"))})
+    weight = F.when(before, 1.0).otherwise(1 - decay) * F.pow(F.lit(decay), C("k") - 1)
+    return aged.groupBy("asset").agg((F.sqrt(F.sum(weight * C("returns") * C("returns")) * N) * 100).alias("ewma_vol"))
+
+
 def report(panel: DataFrame, rate: float = 0.0) -> DataFrame:
-    """Everything above, one row an asset."""
-    base = ratios(panel, rate).join(drawdown_summary(panel), "asset").join(value_at_risk(panel), "asset").join(tails(panel), "asset").join(window_volatilities(panel), "asset")
+    """Everything above, one row an asset. The panel is written once, so its gaps are filled once for all measures."""
+    panel = tables.kept(panel.select("asset", "d", "close", "returns"), "risk-panel")
+    base = ratios(panel, rate)
+    for measure in (drawdown_summary, value_at_risk, tails, window_volatilities, ewma_volatility):
+        base = base.join(measure(panel), "asset")
     return scores(base.withColumn("calmar", ratio(C("cagr"), F.abs("max_drawdown"))))
 
 
+def normal_density(x: Column, mean: Column, sd: Column) -> Column:
+    """The density of a normal variable; null without a deviation."""
+    z = (x - mean) / F.nullif(sd, F.lit(0.0))
+    return F.exp(z * z * -0.5) / (F.nullif(sd, F.lit(0.0)) * math.sqrt(2 * math.pi))
+
+
 def histogram(panel: DataFrame, bins: int = 70) -> DataFrame:
-    """Returns in equal bins between their 0.5 and 99.5 percentiles; what lies beyond isn't counted."""
+    """All returns in equal bins from the least to the greatest: the bin's number and middle, its returns, their density
+    and that of a normal variable at the middle. Equal returns are all in bin 0, without a density."""
     r = panel.where("returns IS NOT NULL").select("asset", "returns")
-    ends = r.groupBy("asset").agg(F.percentile("returns", F.lit(0.005)).alias("a"), F.percentile("returns", F.lit(0.995)).alias("b"))
-    at = F.least(F.floor((C("returns") - C("a")) / (C("b") - C("a")) * bins), F.lit(bins - 1))
-    return r.join(ends, "asset").where((C("returns") >= C("a")) & (C("returns") <= C("b")) & (C("b") > C("a"))).withColumn("bin", at.cast("int")).groupBy("asset", "bin").agg(F.count("*").alias("n"))
+    ends = r.groupBy("asset").agg(F.min("returns").alias("a"), F.max("returns").alias("b"), F.avg("returns").alias("mu"), F.stddev_samp("returns").alias("sd"), F.count("*").alias("all"))
+    at = F.least(F.coalesce(F.floor(ratio(C("returns") - C("a"), C("b") - C("a")) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    counted = r.join(ends, "asset").withColumn("bin", at).groupBy("asset", "bin", "a", "b", "mu", "sd", "all").agg(F.count("*").alias("n"))
+    width = (C("b") - C("a")) / bins
+    middle = C("a") + (C("bin") + 0.5) * width
+    return counted.select("asset", "bin", middle.alias("middle"), "n", ratio(C("n").cast("double"), C("all") * width).alias("density"), normal_density(middle, C("mu"), C("sd")).alias("normal"))
 
 
 def position_size(capital: Column, risk_pct: Column, stop_pct: Column) -> Column:
@@ -158,9 +183,48 @@ def position_size(capital: Column, risk_pct: Column, stop_pct: Column) -> Column
     return F.when((capital <= 0) | (stop_pct <= 0), 0.0).otherwise(F.least(capital, capital * risk_pct / F.nullif(stop_pct, F.lit(0.0))))
 
 
+def ranked(snapshots: DataFrame, value: str = "market_cap") -> DataFrame:
+    """The rows (one an asset) with their rank by a value, the greatest first, ties by asset, undefined ones last. Ranks are
+    counted within classes of values (a factor of two each), after all rows of the classes above, so no task holds all."""
+    size = C(value).cast("double")
+    # values of one sign and magnitude are a class; greater classes have greater numbers
+    level = F.when(size > 0, F.floor(F.log2(size)) + 2000).when(size == 0, 0).when(size < 0, -2000 - F.floor(F.log2(-size))).otherwise(-9999).cast("long")
+    rows = snapshots.withColumn("__level", level)
+    sizes = rows.groupBy("__level").agg(F.count("*").alias("__n"))  # a few thousand at most
+    above = sizes.withColumn("__above", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__level")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("__level").orderBy(size.desc_nulls_last(), "asset"))
+    return rows.withColumn("__within", within).join(above, "__level").withColumn("rank", C("__above") + C("__within")).drop("__level", "__within", "__n", "__above")
+
+
 def snapshot(panel: DataFrame, days: tuple[int, ...] = (1, 7, 30, 365)) -> DataFrame:
-    """Last price, its change over some rows in percent, the all-time high with its first day and the distance to it."""
+    """Last price, its change over some rows in percent, the all-time high with its first day and the distance to it; the
+    last day's high, low and volume where the panel has them; with a market_cap also that, its rank and the supply."""
+    last = [c for c in ("high", "low", "volume", "market_cap") if c in panel.columns]
     changes = {f"change_{n}": (ratio(C("close"), F.lag("close", n).over(ordered())) - 1) * 100 for n in days}
     high = "high" if "high" in panel.columns else "close"
-    out = panel.withColumns(changes).groupBy("asset").agg(F.max_by("close", "d").alias("price"), *(F.max_by(c, "d").alias(c) for c in changes), F.max(high).alias("ath"), F.min_by("d", F.struct(-C(high), "d")).alias("ath_day"))
-    return out.withColumn("ath_distance", (C("price") / C("ath") - 1) * 100)
+    out = panel.withColumns(changes).groupBy("asset").agg(F.max_by("close", "d").alias("price"), *(F.max_by(c, "d").alias(c) for c in [*changes, *last]), F.max(high).alias("ath"), F.min_by("d", F.struct(-C(high), "d")).alias("ath_day"))
+    out = out.withColumn("ath_distance", (C("price") / C("ath") - 1) * 100)
+    return ranked(out.withColumn("supply", ratio(C("market_cap"), C("price")))) if "market_cap" in last else out
+
+
+def period_extremes(panel: DataFrame) -> DataFrame:
+    """The highest high and the lowest low (without them: closes) with their first days, and how far the last close is
+    from the highest, in percent."""
+    high, low = ("high", "low") if {"high", "low"} <= set(panel.columns) else ("close", "close")
+    out = panel.groupBy("asset").agg(
+        F.max(high).alias("highest"), F.min_by("d", F.struct(-C(high), "d")).alias("highest_day"), F.min(low).alias("lowest"), F.min_by("d", F.struct(low, "d")).alias("lowest_day"),
+        F.max_by("close", "d").alias("price"), F.max("d").alias("last_day"),
+    )
+    return out.withColumn("from_highest_pct", (C("price") / C("highest") - 1) * 100)
+
+
+def sentiment_then(panel: DataFrame, sentiment: DataFrame, rows: int = 7) -> DataFrame:
+    """asset, last_day, and of the sentiment (d, value, a row a day, with days of its own) the last value by then with its
+    day and the value that many of its rows earlier, where it has more than rows + 1 by then."""
+    own = Window.partitionBy("index").orderBy("d")  # one series, a row a day
+    series = sentiment.select(F.lit(0).alias("index"), "d", "value").where("value IS NOT NULL")
+    earlier = F.when(F.row_number().over(own) > rows + 1, F.lag("value", rows).over(own))
+    told = series.select("d", F.struct("value", C("d").alias("day"), earlier.alias("earlier")).alias("told"))
+    ends = panel.groupBy("asset").agg(F.max("d").alias("d"))
+    found = normalize.asof(ends, told, "told").withColumn("told", F.when(C("told.day") <= C("d"), C("told")))
+    return found.select("asset", C("d").alias("last_day"), C("told.value").alias("value"), C("told.day").alias("value_day"), C("told.earlier").alias("earlier"))

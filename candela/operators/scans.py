@@ -109,6 +109,22 @@ def recursive(panel: DataFrame) -> DataFrame:
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in OUTPUTS})
 
 
+def pulled(rows: DataFrame, shock: str, mean: float = 0.0, keeps: float = 1.0, low: float = float("-inf"), high: float = float("inf"), start: float | None = None, key: str = "asset", at: str = "d") -> DataFrame:
+    """rows with `level`, by key in order of `at`: each keeps a part of the last level's distance from the mean and adds its
+    shock, and the level is held between low and high before the next row takes it (which no window can say). It
+    begins at the mean, if not at `start`; a missing shock is none. A key's rows are one task's."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "level double"])
+
+    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, level, out = frame.sort_values(at, kind="stable"), mean if start is None else start, []
+        for x in np.nan_to_num(frame[shock].to_numpy(dtype=float)).tolist():
+            level = min(max(mean + keeps * (level - mean) + x, low), high)
+            out.append(level)
+        return frame.assign(level=out)
+
+    return rows.groupBy(key).applyInPandas(scan, schema)
+
+
 def bundle(panel: DataFrame) -> DataFrame:
     """All indicators, with the average range in percent of the close."""
     return recursive(indicators.declarative(panel)).withColumn("atr_pct", F.col("atr") / F.col("close") * 100)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela import config
-from candela.windows import ordered
+from candela.operators import risk
+from candela.windows import ordered, ratio
 
 C = F.col
 # Days in a block of the bootstrap, days between purchases, simulations and sample paths.
@@ -23,8 +24,6 @@ def kept(fee: float = config.FEE, slippage: float = config.SLIPPAGE) -> float:
     return (1 - fee) * (1 - slippage)
 
 
-
-
 def hashed(seed: int, *parts: Column) -> Column:
     """A whole number under 2**32 from the seed and some columns."""
     return F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))), F.lit(1), F.lit(8)), 16, 10).cast("long")
@@ -88,6 +87,25 @@ def outcome(paths: DataFrame, investment: float = 1000.0, keeps: float = kept())
     return named.join(short, "asset").withColumns({"var_95": positive(C("p5")), "cvar_95": positive(C("tail"))}).drop("tail")
 
 
+def outcome_histogram(paths: DataFrame, investment: float = 1000.0, bins: int = 40, keeps: float = kept()) -> DataFrame:
+    """The last day's values in bins that break at the investment: side (loss, gain), bin, from, to, n, density and the
+    normal density of all values at the bin's middle. The bins of a loss are from the 0.5th percentile to the investment,
+    those of a gain from there to the 99.5th; what lies beyond is counted as a side of its own (below, above), so each
+    simulation is counted once."""
+    v, a, b = C("v"), C("a"), C("b")
+    last = paths.groupBy("asset", "sim").agg(F.max_by("ln", "day").alias("ln")).select("asset", _valued(investment, keeps).alias("v"))
+    told = last.groupBy("asset").agg(F.percentile("v", F.lit(0.005)).alias("a"), F.percentile("v", F.lit(0.995)).alias("b"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"), F.count("*").alias("all"))
+    side = F.when(v < a, "below").when(v > b, "above").when(v < investment, "loss").otherwise("gain")
+    start = F.when(C("side") == "below", C("least")).when(C("side") == "above", b).when(C("side") == "gain", F.greatest(a, F.lit(investment))).otherwise(a)
+    stop = F.when(C("side") == "below", a).when(C("side") == "above", C("most")).when(C("side") == "loss", F.least(b, F.lit(investment))).otherwise(b)
+    parts = F.when(C("side").isin("below", "above"), 1).otherwise(bins)
+    ends = last.join(told, "asset").withColumn("side", side).withColumns({"start": start, "width": (stop - start) / parts, "parts": parts})
+    at = F.least(F.coalesce(F.floor(ratio(v - C("start"), C("width"))), F.lit(0)), C("parts") - 1).cast("int")
+    counted = ends.withColumn("bin", at).groupBy("asset", "side", "bin", "start", "width", "mu", "sd", "all").agg(F.count("*").alias("n"))
+    low = C("start") + C("bin") * C("width")
+    return counted.select("asset", "side", "bin", low.alias("from"), (low + C("width")).alias("to"), "n", ratio(C("n").cast("double"), C("all") * C("width")).alias("density"), risk.normal_density(low + C("width") / 2, C("mu"), C("sd")).alias("normal"))
+
+
 def assumptions(panel: DataFrame, drift: str = "zero") -> DataFrame:
     """The drift and volatility a year, in percent, that the paths of these days assume."""
     r = _log_returns(panel, drift)

@@ -128,12 +128,15 @@ def better_than_holding(measured: DataFrame) -> DataFrame:
 
 def grid(panel: DataFrame, fast: tuple[int, ...] = FAST, slow: tuple[int, ...] = SLOW, fee: float = config.FEE + config.SLIPPAGE, rate: float = 0.0) -> DataFrame:
     """Sharpe ratio and log growth of moving-average crosses for all pairs with fast < slow: each average is computed
-    once, and a day's row carries the pairs."""
-    wide = numbered(panel).withColumns({f"m{n}": indicators.sma(n) for n in sorted({*fast, *slow})})
+    once, and a day's row carries the pairs. An asset is tested from its largest slow period with over LEAST_DAYS days
+    beyond it on (without one it has no rows), and has no pairs with a larger one."""
+    n = F.count("*").over(Window.partitionBy("asset"))
+    start = F.array_max(F.filter(F.array(*map(F.lit, slow)), lambda s: s < n - LEAST_DAYS))
+    wide = numbered(panel).withColumns({"start": start} | {f"m{n}": indicators.sma(n) for n in sorted({*fast, *slow})})
     pairs = F.array(*(F.struct(F.lit(a).alias("fast"), F.lit(b).alias("slow"), F.coalesce((C(f"m{a}") > C(f"m{b}")).cast("double"), F.lit(0.0)).alias("target")) for a in fast for b in slow if a < b))
-    long = wide.select("asset", "d", "i", "returns", F.explode(pairs).alias("p")).select("asset", "d", "i", "returns", "p.*")
+    long = wide.select("asset", "d", "i", "start", "returns", F.explode(pairs).alias("p")).select("asset", "d", "i", "start", "returns", "p.*").where("slow <= start")
     order = Window.partitionBy("asset", "fast", "slow").orderBy("d")
-    kept = long.withColumn("position", F.coalesce(F.lag("target").over(order), F.lit(0.0))).where(C("i") >= max(slow))
+    kept = long.withColumn("position", F.coalesce(F.lag("target").over(order), F.lit(0.0))).where("i >= start")
     net = kept.withColumn("net", C("position") * C("returns") - F.abs(C("position") - F.coalesce(F.lag("position").over(order), F.lit(0.0))) * fee)
     return net.groupBy("asset", "fast", "slow").agg(risk.sharpe(C("net"), rate).alias("sharpe"), F.sum(F.when(C("net") > -1, F.log1p("net"))).alias("ln_total"))
 

@@ -96,12 +96,15 @@ ORACLES["backtest_metrics"] = f"WITH RECURSIVE {fx.FLAG_PRICES}, {METRICS} SELEC
 QUERIES["beats_buy_hold"] = lambda spark, sf_dir: rounded(st.better_than_holding(st.metrics(*_with_trades(spark, sf_dir, fx.slow_prices, _CROSSES))))
 ORACLES["beats_buy_hold"] = f"WITH RECURSIVE {fx.SLOW_PRICES}, {_metrics_sql(_trades_sql(_CROSSES))}, o AS (SELECT m.asset, m.strategy, m.sharpe, b.sharpe AS bench FROM metrics m JOIN metrics b ON b.asset = m.asset AND b.strategy = 'buy_hold' WHERE m.strategy <> 'buy_hold' AND m.sharpe > b.sharpe) SELECT asset, strategy, {r('sharpe')}, {r('bench')} FROM o"
 _FAST, _SLOW = (5, 10, 15, 20, 30, 40), (30, 50, 75, 100, 150, 200)
-_GRID_PARTS = " UNION ALL ".join(f"SELECT asset, d, i, returns, {a} AS fast, {b} AS slow, CASE WHEN m{a} > m{b} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM gm" for a in _FAST for b in _SLOW if a < b)
-GRID = f"""gm AS (SELECT asset, d, returns, row_number() {_LAG} - 1 AS i, {', '.join(f"{full('avg(close)', n)} AS m{n}" for n in sorted({*_FAST, *_SLOW}))} FROM prices), gl AS ({_GRID_PARTS}),
-gp AS (SELECT * FROM (SELECT *, coalesce(lag(target) OVER (PARTITION BY asset, fast, slow ORDER BY d), 0) AS position FROM gl) WHERE i >= 200),
+_GRID_PARTS = " UNION ALL ".join(f"SELECT asset, d, i, start, returns, {a} AS fast, {b} AS slow, CASE WHEN m{a} > m{b} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM gm" for a in _FAST for b in _SLOW if a < b)
+GRID = f"""gm AS (SELECT asset, d, returns, row_number() {_LAG} - 1 AS i, list_max(list_filter({list(_SLOW)}, lambda s: s < count(*) OVER (PARTITION BY asset) - 30)) AS start, {', '.join(f"{full('avg(close)', n)} AS m{n}" for n in sorted({*_FAST, *_SLOW}))} FROM prices), gl AS ({_GRID_PARTS}),
+gp AS (SELECT * FROM (SELECT *, coalesce(lag(target) OVER (PARTITION BY asset, fast, slow ORDER BY d), 0) AS position FROM gl WHERE slow <= start) WHERE i >= start),
 gn AS (SELECT *, position * returns - abs(position - coalesce(lag(position) OVER (PARTITION BY asset, fast, slow ORDER BY d), 0)) * 0.002::DOUBLE AS net FROM gp),
 cells AS (SELECT asset, fast, slow, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) * sqrt(365) / stddev_samp(net) END AS sharpe, sum(CASE WHEN net > -1 THEN ln(1 + net) END) AS ln_total FROM gn GROUP BY 1, 2, 3)"""
 QUERIES["grid_sharpe"] = lambda spark, sf_dir: rounded(st.grid(fx.flag_prices(spark, sf_dir)))
 ORACLES["grid_sharpe"] = f"WITH {fx.FLAG_PRICES}, {GRID} SELECT asset, fast, slow, {r('sharpe')}, {r('ln_total')} FROM cells"
 QUERIES["grid_best"] = lambda spark, sf_dir: rounded(st.best_cell(st.grid(fx.flag_prices(spark, sf_dir))))
 ORACLES["grid_best"] = f"WITH {fx.FLAG_PRICES}, {GRID} SELECT asset, fast, slow, {r('sharpe')} FROM cells WHERE sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset ORDER BY sharpe DESC, fast, slow) = 1"
+# brands have short histories after their last long gap
+QUERIES["grid_brands"] = lambda spark, sf_dir: rounded(st.grid(fx.brand_prices(spark, sf_dir)))
+ORACLES["grid_brands"] = f"WITH {fx.BRAND_PRICES}, {GRID} SELECT asset, fast, slow, {r('sharpe')}, {r('ln_total')} FROM cells"

@@ -54,6 +54,10 @@ def flag_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.prices(flag_bars(spark, sf_dir))
 
 
+def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.prices(brand_bars(spark, sf_dir))
+
+
 def slow_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flags' closes averaged over 20 days and made to fall by half a percent a day, so that rules can do better than
     holding."""
@@ -105,7 +109,7 @@ prices AS (SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY d) - 1
  ln(close) - ln(lag(close) OVER (PARTITION BY asset ORDER BY d)) AS log_returns FROM solid)"""
 
 
-FLAG_PRICES = normalised_sql(FLAG_BARS)
+FLAG_PRICES, BRAND_PRICES = normalised_sql(FLAG_BARS), normalised_sql(BRAND_BARS)
 # named like the panel that it replaces
 SLOW_PRICES = f"""{FLAG_PRICES.replace("prices AS (SELECT", "daily AS (SELECT")},
 averaged AS (

@@ -112,6 +112,20 @@ def fx_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(normalize.converted(fx.priority_bars(spark, sf_dir).select("asset", "d", "close"), rates), close=4)
 
 
+@query(
+    "fx_asof_intraday",
+    f"""WITH rates AS (SELECT asset, bucket + INTERVAL 1 HOUR AS ts, close AS rate FROM ({_BARS.format('hour')})),
+back AS (SELECT e.event_type AS asset, e.ts, e.value, r.rate FROM events e ASOF LEFT JOIN rates r ON e.event_type = r.asset AND e.ts >= r.ts)
+SELECT asset, ts, {r('value', 4)}, {r('rate', 4)} FROM (SELECT b.asset, ts, value, coalesce(b.rate, f.rate) AS rate FROM back b JOIN (SELECT asset, first(rate ORDER BY ts) AS rate FROM rates GROUP BY 1) f ON f.asset = b.asset)""",
+)
+def fx_asof_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tick with its asset's close of the last hour that was over then."""
+    ticks = fx.event_ticks(spark, sf_dir)
+    rates = normalize.bucketed(ticks, "hour").select("asset", (F.col("bucket") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.col("close").alias("rate"))
+    told = normalize.asof(ticks.select("asset", "ts", "value"), rates, "rate", by=("asset",), at="ts", bucket="day")
+    return rounded(told.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 4)
+
+
 @query("align_inner", f"WITH raw AS ({fx.PRIORITY_BARS}) SELECT asset, d, close FROM raw WHERE d IN (SELECT d FROM raw GROUP BY d HAVING count(*) = (SELECT count(DISTINCT asset) FROM raw))")
 def align_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.aligned(fx.priority_bars(spark, sf_dir).select("asset", "d", "close"))

@@ -55,6 +55,20 @@ gr AS (SELECT basket, ho.d, flag, sum(x) AS growth, any_value(g) AS g, sum(abs(w
 va AS (SELECT basket, d, flag, CASE WHEN flag = 1 THEN traded END AS traded, ln(0.998::DOUBLE) + coalesce(sum(CASE WHEN flag = 1 THEN ln(g * (1 - 0.002::DOUBLE * traded)) END) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) + ln(growth) AS ln_value FROM gr)"""
     add(f"portfolio_bt_{_period}", lambda p, period=_period: pf.rebalanced(p, pf.equal_weights(p), period).select("basket", "d", "flag", "traded", F.log("value").alias("ln_value")), _curve + " " + told({"traded": 6, "ln_value": 6}, "va", "basket", "d", "CAST(flag AS INT) AS flag"))
 add("turnover_cost", lambda p: pf.turnover_cost(pf.rebalanced(p, pf.equal_weights(p), "quarter")), _curve + ", o AS (SELECT basket, 0.002::DOUBLE + coalesce(sum(CASE WHEN flag = 1 THEN exp(ln_value) / (1 - 0.002::DOUBLE * traded) * 0.002::DOUBLE * traded END), 0) AS cost FROM va GROUP BY 1) " + told({"cost": 5}, "o", "basket"), 5)
+# the curve of the quarters, whose segments drift the longest
+add("portfolio_weights_by_day", lambda p: pf.effective_weights(p, pf.equal_weights(p), "quarter"), _curve + ", o AS (SELECT basket, asset, d, x / sum(x) OVER (PARTITION BY basket, d) AS weight FROM ho) " + told({"weight": 6}, "o", "basket", "asset", "d"))
+_RECORD = {"log_total": 6, "log_annual": 6, "volatility": 4, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "log_costs": 5}
+add(
+    "portfolio_record",
+    lambda p: pf.record(pf.rebalanced(p, pf.equal_weights(p), "quarter"), 0.04).select("basket", F.log1p(F.col("total_return") / 100).alias("log_total"), F.log1p(F.col("annual_return") / 100).alias("log_annual"), "volatility", "sharpe", "sortino", "max_drawdown", F.log("total_costs").alias("log_costs")),
+    _curve
+    + """, lr AS (SELECT *, exp(ln_value - lag(ln_value) OVER w) - 1 AS r, exp(ln_value - max(ln_value) OVER (PARTITION BY basket ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS fall FROM va WINDOW w AS (PARTITION BY basket ORDER BY d)),
+o AS (SELECT basket, last(ln_value ORDER BY d) AS log_total, (last(ln_value ORDER BY d) - first(ln_value ORDER BY d)) * 365 / count(r) AS log_annual, stddev_samp(r) * sqrt(365) * 100 AS volatility,
+ (avg(r) - 0.04 / 365) * sqrt(365) / stddev_samp(r) AS sharpe, avg(r - 0.04 / 365) * sqrt(365) / sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r - 0.04 / 365, 0), 2) END)) AS sortino, min(fall) * 100 AS max_drawdown,
+ ln(0.002::DOUBLE + sum(CASE WHEN flag = 1 THEN exp(ln_value) / (1 - 0.002::DOUBLE * traded) * 0.002::DOUBLE * traded END)) AS log_costs FROM lr GROUP BY 1) """
+    + told(_RECORD, "o", "basket"),
+    **{k: n for k, n in _RECORD.items() if n != 6},
+)
 for _method in ("min_variance", "max_sharpe", "risk_parity"):
     add(f"optimize_{_method}", lambda p, method=_method: pf.optimised(p, method, 0.6, 0.04))
 _UNIFORM = "(('0x' || substr(md5('7{}:' || basket || ':' || asset || ':' || t), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657.0::DOUBLE"
@@ -121,6 +135,22 @@ o AS (
     5,
     **{c: n for c, n in _OUTCOME.items() if n != 5},
 )
+_SIDES = {"from": 4, "to": 4, "density": 6, "normal": 6}
+add(
+    "outcome_histogram",
+    lambda p: sim.outcome_histogram(sim.bootstrap_paths(p)).select("asset", "side", "bin", "n", F.log("from").alias("from"), F.log("to").alias("to"), (F.col("density") * F.col("to")).alias("density"), (F.col("normal") * F.col("to")).alias("normal")),
+    f"""{BOOT},
+la AS (SELECT asset, {_V} AS v FROM paths WHERE day = 60),
+tl AS (SELECT asset, quantile_cont(v, 0.005) AS a, quantile_cont(v, 0.995) AS b, min(v) AS least, max(v) AS most, avg(v) AS mu, stddev_samp(v) AS sd, count(*) AS total FROM la GROUP BY 1),
+sd AS (SELECT la.asset, v, mu, sd, total, CASE WHEN v < a THEN 'below' WHEN v > b THEN 'above' WHEN v < 1000 THEN 'loss' ELSE 'gain' END AS side, a, b, least, most FROM la JOIN tl ON tl.asset = la.asset),
+st AS (SELECT *, CASE side WHEN 'below' THEN least WHEN 'above' THEN b WHEN 'gain' THEN greatest(a, 1000) ELSE a END AS start, CASE side WHEN 'below' THEN a WHEN 'above' THEN most WHEN 'loss' THEN least(b, 1000) ELSE b END AS stop, CASE WHEN side IN ('below', 'above') THEN 1 ELSE 40 END AS parts FROM sd),
+bn AS (SELECT *, (stop - start) / parts AS width, CAST(coalesce(least(floor((v - start) / nullif((stop - start) / parts, 0)), parts - 1), 0) AS INT) AS bin FROM st),
+gr AS (SELECT asset, side, bin, count(*) AS n, any_value(start + bin * width) AS low, any_value(width) AS width, any_value(mu) AS mu, any_value(sd) AS sd, any_value(total) AS total FROM bn GROUP BY 1, 2, 3),
+o AS (SELECT asset, side, bin, n, ln(low) AS "from", ln(low + width) AS "to", n / (total * width) * (low + width) AS density, exp(-0.5::DOUBLE * pow((low + width / 2 - mu) / sd, 2)) / (sd * sqrt(2 * pi())) * (low + width) AS normal FROM gr)
+"""
+    + told(_SIDES, "o", "asset", "side", "bin", "n").replace("from +", '"from" +').replace("to +", '"to" +').replace("AS from", 'AS "from"').replace("AS to", 'AS "to"'),
+    **{k: n for k, n in _SIDES.items() if n != 6},
+)
 add(
     "monte_carlo_samples",
     lambda p: sim.samples(sim.bootstrap_paths(p)).select("asset", "sim", "day", F.log("value").alias("ln_value")),

@@ -22,7 +22,7 @@ def told(columns: dict[str, int], source: str, *keys: str) -> str:
 
 RATIOS = """rat AS (SELECT asset, CASE WHEN min(returns) <= -1 THEN -1.0 ELSE exp(sum(CASE WHEN returns > -1 THEN ln(1 + returns) END) * 365 / count(returns)) - 1 END AS cagr, stddev_samp(returns) * sqrt(365) AS volatility,
  CASE WHEN stddev_samp(returns) > 1e-12 THEN (avg(returns) - 0.04 / 365) * sqrt(365) / stddev_samp(returns) END AS sharpe,
- CASE WHEN sqrt(avg(pow(least(returns - 0.04 / 365, 0), 2))) > 1e-12 THEN avg(returns - 0.04 / 365) * sqrt(365) / sqrt(avg(pow(least(returns - 0.04 / 365, 0), 2))) END AS sortino FROM prices GROUP BY 1)"""
+ CASE WHEN sqrt(avg(CASE WHEN returns IS NOT NULL THEN pow(least(returns - 0.04 / 365, 0), 2) END)) > 1e-12 THEN avg(returns - 0.04 / 365) * sqrt(365) / sqrt(avg(CASE WHEN returns IS NOT NULL THEN pow(least(returns - 0.04 / 365, 0), 2) END)) END AS sortino FROM prices GROUP BY 1)"""
 add("sharpe_sortino", lambda p: risk.ratios(p, 0.04).select("asset", "volatility", "sharpe", "sortino", F.log1p("cagr").alias("log_growth")), RATIOS + ", o AS (SELECT *, ln(1 + cagr) AS log_growth FROM rat) " + told({"volatility": 6, "sharpe": 6, "sortino": 6, "log_growth": 6}, "o", "asset"))
 _VOLS = ", ".join(f"CASE WHEN count(CASE WHEN k <= {w} THEN 1 END) = {w} THEN stddev_samp(CASE WHEN k <= {w} THEN returns END) * sqrt(365) * 100 END AS vol_{w}" for w in (7, 30, 90, 365))
 VOLS = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY d DESC) AS k FROM prices WHERE returns IS NOT NULL), vols AS (SELECT asset, {_VOLS} FROM ranked GROUP BY 1)"
@@ -88,11 +88,48 @@ leveled AS (
 )"""
 _SCORE_COLUMNS = ["volatility_score", "drawdown_score", "var_score", "sharpe_score", "risk_score"]
 add("risk_score", lambda p: risk.report(p, 0.04).select("asset", *_SCORE_COLUMNS, "risk_level"), SCORES + " " + told(dict.fromkeys(_SCORE_COLUMNS, 6), "leveled", "asset", "risk_level"))
-_REPORT = {"volatility": 6, "log_calmar": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "current": 6, "var_95": 6, "cvar_99": 6, "cf_var_95": 6, "skew": 6, "kurtosis": 6, "vol_30": 5, "risk_score": 6}
-add("risk_report", lambda p: risk.report(p, 0.04).withColumn("log_calmar", F.log("calmar")).select("asset", "trough_day", "best_day", "extreme_days", "risk_level", *_REPORT), f"{SCORES}, {TAILS} " + told(_REPORT, "(SELECT *, ln(cagr / abs(max_drawdown)) AS log_calmar FROM leveled JOIN rat USING (asset) JOIN draw USING (asset) JOIN var USING (asset) JOIN tails USING (asset) JOIN vols USING (asset))", "asset", "trough_day", "best_day", "extreme_days", "risk_level"), vol_30=5)
-add("return_histogram", risk.histogram, """he AS (SELECT asset, quantile_cont(returns, 0.005) AS a, quantile_cont(returns, 0.995) AS b FROM prices WHERE returns IS NOT NULL GROUP BY 1),
-hb AS (SELECT p.asset, CAST(least(floor((returns - a) / (b - a) * 70), 69) AS INT) AS bin FROM prices p JOIN he ON he.asset = p.asset WHERE returns BETWEEN a AND b) SELECT asset, bin, count(*) AS n FROM hb GROUP BY 1, 2""")
+EWMA = """ew AS (SELECT asset, sqrt(sum(CASE WHEN k = n THEN 1.0 ELSE 0.06::DOUBLE END * pow(0.94::DOUBLE, k - 1) * returns * returns) * 365) * 100 AS ewma_vol
+ FROM (SELECT asset, returns, row_number() OVER (PARTITION BY asset ORDER BY d DESC) AS k, count(*) OVER (PARTITION BY asset) AS n FROM prices WHERE returns IS NOT NULL) GROUP BY 1)"""
+_REPORT = {"ewma_vol": 5, "volatility": 6, "log_calmar": 6, "sharpe": 6, "sortino": 6, "max_drawdown": 6, "current": 6, "var_95": 6, "cvar_99": 6, "cf_var_95": 6, "skew": 6, "kurtosis": 6, "vol_30": 5, "risk_score": 6}
+add("risk_report", lambda p: risk.report(p, 0.04).withColumn("log_calmar", F.log("calmar")).select("asset", "trough_day", "best_day", "extreme_days", "risk_level", *_REPORT), f"{SCORES}, {TAILS}, {EWMA} " + told(_REPORT, "(SELECT *, ln(cagr / abs(max_drawdown)) AS log_calmar FROM leveled JOIN ew USING (asset) JOIN rat USING (asset) JOIN draw USING (asset) JOIN var USING (asset) JOIN tails USING (asset) JOIN vols USING (asset))", "asset", "trough_day", "best_day", "extreme_days", "risk_level"), vol_30=5, ewma_vol=5)
+add("return_histogram", risk.histogram, """he AS (SELECT asset, min(returns) AS a, max(returns) AS b, avg(returns) AS mu, stddev_samp(returns) AS sd, count(*) AS total FROM prices WHERE returns IS NOT NULL GROUP BY 1),
+hb AS (SELECT p.asset, CAST(least(floor((returns - a) / (b - a) * 70), 69) AS INT) AS bin, any_value(a) AS a, any_value((b - a) / 70) AS width, any_value(mu) AS mu, any_value(sd) AS sd, any_value(total) AS total, count(*) AS n
+ FROM prices p JOIN he ON he.asset = p.asset WHERE returns IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT asset, bin, n, a + (bin + 0.5::DOUBLE) * width AS middle, n / (total * width) AS density, exp(-0.5::DOUBLE * pow((a + (bin + 0.5::DOUBLE) * width - mu) / sd, 2)) / (sd * sqrt(2 * pi())) AS normal FROM hb)
+""" + told({"middle": 6, "density": 6, "normal": 6}, "o", "asset", "bin", "n"))
 QUERIES["position_size"] = lambda spark, sf_dir: rounded(fx.table(spark, sf_dir, "customer").select("c_custkey", risk.position_size(F.col("c_acctbal"), F.lit(0.02), F.pmod("c_custkey", F.lit(7)).cast("double") / 100).alias("size")))
 ORACLES["position_size"] = "WITH o AS (SELECT c_custkey, CASE WHEN c_acctbal <= 0 OR c_custkey % 7 = 0 THEN 0.0 ELSE least(c_acctbal, c_acctbal * 0.02::DOUBLE / ((c_custkey % 7)::DOUBLE / 100)) END AS size FROM customer) " + told({"size": 6}, "o", "c_custkey")
 _CH = ", ".join(f"(close / lag(close, {n}) OVER (PARTITION BY asset ORDER BY d) - 1) * 100 AS change_{n}" for n in (1, 7, 30, 365))
-add("snapshot", risk.snapshot, f"ch AS (SELECT asset, d, close, high, {_CH} FROM prices), o AS (SELECT asset, last(close ORDER BY d) AS price, {', '.join(f'last(change_{n} ORDER BY d) AS change_{n}' for n in (1, 7, 30, 365))}, max(high) AS ath, first(d ORDER BY high DESC, d) AS ath_day, (last(close ORDER BY d) / max(high) - 1) * 100 AS ath_distance FROM ch GROUP BY 1) " + told({"price": 4, **{f"change_{n}": 4 for n in (1, 7, 30, 365)}, "ath": 4, "ath_distance": 4}, "o", "asset", "ath_day"), 4)
+add("snapshot", lambda p: risk.snapshot(p).drop("high", "low", "volume"), f"ch AS (SELECT asset, d, close, high, {_CH} FROM prices), o AS (SELECT asset, last(close ORDER BY d) AS price, {', '.join(f'last(change_{n} ORDER BY d) AS change_{n}' for n in (1, 7, 30, 365))}, max(high) AS ath, first(d ORDER BY high DESC, d) AS ath_day, (last(close ORDER BY d) / max(high) - 1) * 100 AS ath_distance FROM ch GROUP BY 1) " + told({"price": 4, **{f"change_{n}": 4 for n in (1, 7, 30, 365)}, "ath": 4, "ath_distance": 4}, "o", "asset", "ath_day"), 4)
+# units in circulation: all that was sold so far
+_SUPPLY = "close * sum(volume) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+add(
+    "snapshot_ranked",
+    lambda p: risk.snapshot(p.withColumn("market_cap", F.expr(_SUPPLY))).select("asset", "rank", "high", "low", "volume", "market_cap", "supply"),
+    f"""mc AS (SELECT *, {_SUPPLY} AS market_cap FROM prices),
+la AS (SELECT asset, last(close ORDER BY d) AS price, last(high ORDER BY d) AS high, last(low ORDER BY d) AS low, last(volume ORDER BY d) AS volume, last(market_cap ORDER BY d) AS market_cap FROM mc GROUP BY 1),
+o AS (SELECT *, market_cap / price AS supply, row_number() OVER (ORDER BY market_cap DESC, asset) AS rank FROM la) """ + told({"high": 4, "low": 4, "volume": 4, "market_cap": 2, "supply": 2}, "o", "asset", "rank"),
+    4, market_cap=2, supply=2,
+)
+add(
+    "period_extremes",
+    risk.period_extremes,
+    "o AS (SELECT asset, max(high) AS highest, first(d ORDER BY high DESC, d) AS highest_day, min(low) AS lowest, first(d ORDER BY low, d) AS lowest_day, last(close ORDER BY d) AS price, max(d) AS last_day, (last(close ORDER BY d) / max(high) - 1) * 100 AS from_highest_pct FROM prices GROUP BY 1) "
+    + told({"highest": 4, "lowest": 4, "price": 4, "from_highest_pct": 4}, "o", "asset", "highest_day", "lowest_day", "last_day"),
+    4,
+)
+
+
+def _mood(spark, sf_dir):
+    """An index of 0 to 100 on the days with urgent orders: their share of the day's orders. Days without one are missing."""
+    orders = fx.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d"))
+    urgent = F.count_if(F.col("o_orderpriority") == "1-URGENT")
+    return orders.agg(F.when(urgent > 0, F.round(urgent * 100.0 / F.count("*"))).cast("int").alias("value")).where("value IS NOT NULL")
+
+
+QUERIES["sentiment_then"] = lambda spark, sf_dir: risk.sentiment_then(fx.brand_prices(spark, sf_dir), _mood(spark, sf_dir))
+ORACLES["sentiment_then"] = f"""WITH {fx.BRAND_PRICES},
+mood AS (SELECT CAST(o_orderdate AS DATE) AS d, CAST(round(count(*) FILTER (o_orderpriority = '1-URGENT') * 100.0 / count(*)) AS INT) AS value FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderpriority = '1-URGENT') > 0),
+told AS (SELECT d AS value_day, value, CASE WHEN row_number() OVER (ORDER BY d) > 8 THEN lag(value, 7) OVER (ORDER BY d) END AS earlier FROM mood),
+ends AS (SELECT asset, max(d) AS last_day FROM prices GROUP BY 1)
+SELECT asset, last_day, value, value_day, earlier FROM ends ASOF LEFT JOIN told ON last_day >= value_day"""

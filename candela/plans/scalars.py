@@ -19,6 +19,19 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["format_ptbr"] = lambda spark, sf_dir: _orders(spark, sf_dir).select("o_orderkey", formatting.number(F.col("o_totalprice")).alias("told"))
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, p = F.col("l_extendedprice") * (F.col("l_discount") * 25 - 1) * F.pow(F.lit(1000), F.col("l_linenumber") % 4), F.col("l_discount") * 25 - 1
+    told = {"money": formatting.money(x), "plain": formatting.compact(x), "compact": formatting.compact(x, "R$"), "pct": formatting.percent(p)}
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(c.alias(name) for name, c in told.items()))
+
+
+QUERIES["amounts_ptbr"] = _amounts
+_BODY = "CASE " + " ".join(f"WHEN abs(x) >= {size} THEN translate(format('{{:,.2f}}', abs(x) / {size}), ',.', '.,') || ' {unit}'" for size, unit in (("1e12", "tri"), ("1e9", "bi"), ("1e6", "mi"), ("1e3", "mil"))) + " ELSE translate(format('{:,.2f}', abs(x)), ',.', '.,') END"
+ORACLES["amounts_ptbr"] = f"""WITH n AS (SELECT *, l_extendedprice * (l_discount * 25 - 1) * pow(1000, l_linenumber % 4) AS x, l_discount * 25 - 1 AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN x < 0 THEN '-' ELSE '' END || '$ ' || translate(format('{{:,.2f}}', abs(x)), ',.', '.,') AS money, CASE WHEN x < 0 THEN '-' ELSE '' END || {_BODY} AS plain,
+ CASE WHEN x < 0 THEN '-' ELSE '' END || 'R$ ' || {_BODY} AS compact, regexp_replace(translate(format('{{:,.2f}}', p), ',.', '.,'), '^-([0,]+)$', '\\1') || '%' AS pct FROM n"""
 ORACLES["format_ptbr"] = f"SELECT o_orderkey, {_TOLD} AS told FROM orders"
 QUERIES["price_decimals"] = lambda spark, sf_dir: _orders(spark, sf_dir).select("o_orderkey", formatting.price_digits(F.col("o_totalprice") / F.pow(F.lit(10), F.col("o_orderkey") % 12)).alias("digits"))
 ORACLES["price_decimals"] = f"SELECT o_orderkey, CAST(CASE WHEN x >= 10 THEN 2 WHEN x >= 1 THEN 3 WHEN x >= 0.01 THEN 4 WHEN x >= 1e-4 THEN 6 ELSE least(12, 3 - floor(log10(x))) END AS INT) AS digits FROM (SELECT o_orderkey, {_SMALL} AS x FROM orders)"

@@ -146,7 +146,7 @@ def test_unit_root(spark, walk):
 def test_formats(spark):
     rows = spark.createDataFrame([(1234.5,), (-0.001,), (None,), (float("nan"),), (float("inf"),)], "x double").select(formatting.number(F.col("x")).alias("t"), "x").collect()
     assert [r.t for r in rows] == ["1.234,50", "0,00", "—", "—", "—"]
-    one = spark.range(1).select(formatting.compact(F.lit(2.5e9)).alias("c"), formatting.price(F.lit(5.4321)).alias("p"), formatting.percent(F.lit(1.5)).alias("s"), formatting.symbol_of(F.lit("shiny-coin")).alias("y"), formatting.title_of(F.lit("shiny-coin")).alias("n")).first()
+    one = spark.range(1).select(formatting.compact(F.lit(2.5e9), "$").alias("c"), formatting.price(F.lit(5.4321)).alias("p"), formatting.percent(F.lit(1.5), signed=True).alias("s"), formatting.symbol_of(F.lit("shiny-coin")).alias("y"), formatting.title_of(F.lit("shiny-coin")).alias("n")).first()
     assert tuple(one) == ("$ 2,50 bi", "$ 5,432", "+1,50%", "SHINY", "Shiny Coin")
 
 
