@@ -14,7 +14,8 @@ The work: texts become files of word numbers, one a block. Blocks ask for the co
 word pairs, then of those triples whose both pairs were seen (others can't have been) and whose context isn't the
 block's own (one that was seen once and occurs in no other block: its one next word stands in the block's file, which is
 its part of the model), in packed arrays that are
-dealt by hash of the context to buckets of bounded size; a bucket sums what blocks have counted in training documents,
+dealt by hash of the context to buckets of bounded size: a block writes one file of sorted runs, a run for each bucket,
+and only the runs' places are shuffled. A bucket merges its runs, sums what blocks have counted in training documents,
 keeps its part of the model (counts, and for each context whole numbers that tell the sum of the shorter probabilities,
 from which its back-off weight follows exactly) as a row of a partitioned table, and replies to each block in a file, of which only the place is shuffled, since
 a block reads its replies in every later step. Contexts of more than one in HOT training tokens (so
@@ -199,9 +200,38 @@ def _block(file: str, size: int) -> dict:
     return {c: table.column(c)[0].as_py() for c in _KEPT} | {"ids": table.column("ids").chunk(0).values}
 
 
+def _distinct(*digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of whole numbers (the first array counts the most): their order (rows that are equal by their place), where
+    each different one begins in it, and each row's place among the different ones. Numbers and places that fit 64 bits
+    together are sorted as such, without an index beside them, which takes a fraction of the time."""
+    size = len(digits[0])
+    if not size:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    width = [int(x.max()).bit_length() for x in digits]
+    last = (size - 1).bit_length()
+    if sum(width) + last <= 64:
+        code = np.zeros(size, dtype=np.uint64)
+        for x, bits in zip(digits, width):
+            code = (code << np.uint64(bits)) | x.astype(np.uint64)
+        code = np.sort((code << np.uint64(last)) | np.arange(size, dtype=np.uint64))
+        order, code = (code & np.uint64((1 << last) - 1)).astype(np.int64), code >> np.uint64(last)
+        new = np.r_[True, code[1:] != code[:-1]]
+    else:
+        order = np.lexsort(digits[::-1])
+        new = np.zeros(size, dtype=bool)
+        new[0] = True
+        for x in digits:
+            told = x[order]
+            new[1:] |= told[1:] != told[:-1]
+    place = np.empty(size, dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
 def _parts(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order by bucket (stable) and where each bucket's part of it begins."""
-    order = np.argsort(bucket, kind="stable")
+    """The order by bucket (stable) and where each bucket's part of it begins; those under none (below 0) come first."""
+    least = min(0, int(bucket.min())) if len(bucket) else 0
+    order = _distinct(bucket - least)[0]
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
@@ -237,16 +267,53 @@ def _untold_counts(keys: np.ndarray, data: bytes, n: int) -> np.ndarray:
     return counts[index]
 
 
-def _ask_words(n: int):
+def _put(out, at: int, parts: list[bytes]) -> tuple[int, int]:
+    """Write the parts to a file that is at `at`; where they are."""
+    data = struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
+    out.write(data)
+    return at, len(data)
+
+
+def _got(file: str, at: int, size: int, n: int) -> list[bytes]:
+    """The n parts that _put wrote there."""
+    data = files.read(file, at, size)
+    ends = np.cumsum((8 * n, *struct.unpack_from(f"<{n}Q", data))).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+_ASK = {"bucket": pa.int32(), "block": pa.int64(), "file": pa.string(), "at": pa.int64(), "bytes": pa.int64()}
+
+
+def _runs_filed(folder: str, block: int, runs: Iterator[tuple]) -> list[tuple]:
+    """Rows of _ASK of a block's runs (bucket and parts, by bucket), which go to one file."""
+    rows, end = [], 0
+    with files.created(folder, "runs") as (name, out):
+        for bucket, *parts in runs:
+            at, size = _put(out, end, parts)
+            rows.append((bucket, block, name, at, size))
+            end += size
+    return rows
+
+
+def _of_runs(answer, *names: str):
+    """The answer to rows of _ASK, given the parts of their runs as columns of these names."""
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [_got(f, at, size, len(names)) for f, at, size in zip(frame["file"], frame["at"], frame["bytes"])]
+        return answer(frame[["bucket", "block"]].assign(**{name: pd.Series(x, dtype=object, index=frame.index) for name, x in zip(names, zip(*parts))}))
+
+    return told
+
+
+def _ask_words(n: int, folder: str):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, file, size in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 row = _block(file, size)
                 words, counts = _words(row["words"]), unpacked(row["counts"])
                 order, at = _parts(_word_buckets(words, n), n)
-                rows = [(k, block, _text([words[j] for j in own.tolist()]), packed(counts[own])) for k in range(n) if len(own := order[at[k] : at[k + 1]])]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(("bucket", "block", "words", "counts"), (pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))))))
+                runs = ((k, _text([words[j] for j in own.tolist()]), packed(counts[own])) for k in range(n) if len(own := order[at[k] : at[k + 1]]))
+                yield from _table(_runs_filed(folder, block, runs), _ASK).to_batches()
 
     return ask
 
@@ -260,14 +327,11 @@ def _filed(answer, folder: str):
 
     def told(frame: pd.DataFrame) -> pd.DataFrame:
         rows = answer(frame)
-        where, at = [(None, None, None)] * len(rows), 0
+        where, end = [(None, None, None)] * len(rows), 0
         with files.created(folder, "replies") as (name, out):
             for k in np.flatnonzero(rows["kind"] == "reply").tolist():
-                parts = [x or b"" for x in rows.loc[k, ["a", "b", "c"]]]
-                data = struct.pack("<3Q", *map(len, parts)) + b"".join(parts)
-                out.write(data)
-                where[k] = name, at, len(data)
-                at += len(data)
+                where[k] = name, *_put(out, end, [x or b"" for x in rows.loc[k, ["a", "b", "c"]]])
+                end += where[k][2]
         rows.loc[rows["kind"] == "reply", ["a", "b", "c"]] = None
         return rows.assign(**{c: pd.Series(x, dtype=object) for c, x in zip(("file", "at", "bytes"), zip(*where))})
 
@@ -276,9 +340,7 @@ def _filed(answer, folder: str):
 
 def _reply(row: dict) -> dict:
     """The bucket of a reply and its parts, from its file."""
-    data = files.read(row["file"], row["at"], row["bytes"])
-    ends = np.cumsum((24, *struct.unpack_from("<3Q", data))).tolist()
-    return {"bucket": row["bucket"]} | {c: data[a:b] for c, a, b in zip("abc", ends, ends[1:])}
+    return {"bucket": row["bucket"]} | dict(zip("abc", _got(row["file"], row["at"], row["bytes"], 3)))
 
 
 def _answer_words(n: int, hot_count: float):
@@ -350,12 +412,13 @@ class _Pairs:
         self.trained = np.repeat(~self.held, self.lengths)
         self.count_now = count[now]
         keys = (number[before] << _SHIFT) | number[now]
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        begins, place = _runs(ordered)
-        self.keys, first = ordered[begins], order[begins]
-        self.inverse = np.empty(len(keys), dtype=np.int64)
-        self.inverse[order] = place
+        by_number = np.argsort(number)  # the block's words by number, whose places take fewer bits
+        self.place = np.empty(len(number), dtype=np.int64)
+        self.place[by_number] = np.arange(len(number))
+        self.now = self.place[now]
+        order, begins, self.inverse = _distinct(self.place[before], self.now)
+        first = order[begins]
+        self.keys = keys[first]
         self.count_before, self.count_next = count[before[first]], self.count_now[first]
         self.context = self.keys >> _SHIFT
         self.hot = np.isin(self.context, hot)
@@ -412,22 +475,19 @@ class _Triples:
         is_hot, is_alone = np.isin(pairs.keys[there], hot), pairs.alone[there]
         names = np.where(is_hot, HOT_CONTEXT + np.searchsorted(hot, pairs.keys[there]).astype(np.uint64), pairs.rank[there])
         bucket = np.where(is_alone, ALONE, np.where(is_hot, SPREAD, pairs.bucket[there]))
-        order = np.lexsort((names, bucket))
+        order = _distinct(bucket - ALONE)[0]  # names rise with the keys
         place = np.empty(len(pairs.keys), dtype=np.int64)
         place[there[order]] = np.arange(len(there))
         contexts, self.context = there[order], place[of]
         self.contexts, self.hot, self.context_bucket, self.count = names[order], is_hot[order], bucket[order], pairs.joint[contexts]
         now = pairs.inverse[at]
         seen = np.flatnonzero(pairs.joint[now] > 0)
-        keys = (self.context[seen].astype(np.uint64) << _SHIFT) | (pairs.keys[now[seen]] & _LOW)
-        by_key = np.argsort(keys, kind="stable")
-        begins, index = _runs(keys[by_key])
+        by_key, begins, index = _distinct(self.context[seen], pairs.now[at[seen]])
         first = by_key[begins]
         self.own = np.full(len(at), -1)
-        self.own[seen[by_key]] = index
-        keys = keys[first]
-        self.words, self.of = keys & _LOW, (keys >> _SHIFT).astype(np.int64)
-        self.trained = np.bincount(index, pairs.trained[at[seen[by_key]]].astype(float), len(keys)).astype(np.int64)
+        self.own[seen] = index
+        self.words, self.of = pairs.keys[now[seen[first]]] & _LOW, self.context[seen[first]]
+        self.trained = np.bincount(index, pairs.trained[at[seen]].astype(float), len(first)).astype(np.int64)
         last = now[seen[first]]  # the pair that ends each triple
         self.last, self.divisor = pairs.joint[last], np.ones(len(contexts))
         self.divisor[self.context] = pairs.divisor[now]  # of the shorter context, which all pairs that end it share
@@ -463,11 +523,14 @@ def _answer_pairs(n_words: int, hot: np.ndarray, hot_count: float):
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         asked = [unpacked(x) for x in frame["keys"]]
-        keys, first, index = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        keys = np.concatenate(asked)
+        order, begins, index = _distinct(keys >> _SHIFT, keys & _LOW)
+        first = order[begins]
+        keys = keys[first]
         joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
         nexts = np.concatenate([_untold_counts(own, x, n_words) for own, x in zip(asked, frame["nexts"])])[first]
-        there, of = np.unique(keys >> _SHIFT, return_inverse=True)
-        seen = joint > 0
+        begins, of = _runs(keys >> _SHIFT)
+        there, seen = keys[begins] >> _SHIFT, joint > 0
         sums = np.c_[_by_count(of[seen], joint[seen], len(there)), _by_count(of[seen], nexts[seen], len(there))]
         own = (joint == 1) & (np.bincount(index, minlength=len(keys)) == 1) & (hot_count > 1)
         coded, named = joint + (seen & ~own), seen & ~own
@@ -495,18 +558,22 @@ def _answer_triples(frame: pd.DataFrame) -> pd.DataFrame:
     among them). The sums are _by_count of the seen triples and of the pairs that end them."""
     contexts = [unpacked(x) for x in frame["contexts"]]
     sizes = [unpacked(x).astype(np.int64) for x in frame["sizes"]]
-    there, where = np.unique(np.concatenate(contexts), return_inverse=True)
+    there = np.concatenate(contexts)
+    order, begins, where = _distinct(there)
+    there = there[order[begins]]
     of = np.repeat(where, np.concatenate(sizes))
-    keys = (of.astype(np.uint64) << _SHIFT) | np.concatenate([unpacked(x) for x in frame["words"]])
-    keys, first, index = np.unique(keys, return_index=True, return_inverse=True)
-    joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(keys)).astype(np.int64)
+    words = np.concatenate([unpacked(x) for x in frame["words"]])
+    order, begins, index = _distinct(of, words)
+    first = order[begins]
+    of, words = of[first], words[first]
+    joint = np.bincount(index, np.concatenate([unpacked(x) for x in frame["counts"]]).astype(float), len(first)).astype(np.int64)
     last = np.concatenate([unpacked(x) for x in frame["lasts"]])[first].astype(np.int64)
     seen = joint > 0
-    at = (keys[seen] >> _SHIFT).astype(np.int64)
+    at = of[seen]
     sums = np.c_[_by_count(at, joint[seen], len(there)), _by_count(at, last[seen], len(there))]
     is_hot, bucket = there >= HOT_CONTEXT, int(frame["bucket"].iloc[0])
     kept, told = np.unique(at, return_counts=True)
-    body = _press().compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(keys[seen] & _LOW), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
+    body = _press().compress(b"".join(len(x).to_bytes(8, "little") + x for x in (packed(words[seen]), packed(joint[seen]), packed(sums[kept].T.reshape(-1)))))
     rows, start, begin = [("model", None, bucket, packed(there[kept], rising=True), packed(told), body, histogram(joint).tolist())], 0, 0
     for block, own, size in zip(frame["block"], contexts, sizes):
         total = int(size.sum())
@@ -553,11 +620,8 @@ def _table(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values())], names=list(schema))
 
 
-_BINARY = pa.binary()
-_PAIR_ASK = {"bucket": pa.int32(), "block": pa.int64(), "keys": _BINARY, "counts": _BINARY, "nexts": _BINARY}
-_TRIPLE_ASK = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("contexts", "sizes", "words", "counts", "lasts"), _BINARY)}
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-_SQL = {pa.int32(): "int", pa.int64(): "long", _BINARY: "binary", pa.bool_(): "boolean", pa.float64(): "double"}
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
 
 
 def _schema(columns: dict[str, pa.DataType]) -> str:
@@ -581,9 +645,10 @@ def scores(docs: DataFrame) -> DataFrame:
     hot_count = max(1.0, total / HOT)
 
     spread = blocks.select("block", "file", "bytes").repartition(max(1, size["n"]), "block")
-    asked = spread.mapInArrow(_ask_words(n_words), "bucket int, block long, words binary, counts binary")
-    replies = common.scratch(spark, "lm-replies")
-    answered = _by_kind(asked.groupBy("bucket").applyInPandas(_filed(_answer_words(n_words, hot_count), replies), _ANSWER), "lm-words")
+    replies, runs = common.scratch(spark, "lm-replies"), common.scratch(spark, "lm-runs")
+    asked = spread.mapInArrow(_ask_words(n_words, runs), _schema(_ASK))
+    answers = lambda asked, answer, *names: asked.groupBy("bucket").applyInPandas(_filed(_of_runs(answer, *names), replies), _ANSWER)
+    answered = _by_kind(answers(asked, _answer_words(n_words, hot_count), "words", "counts"), "lm-words")
     types = _types(answered) + histogram(np.array([texts]))  # the end token's
     kinds = int(types.sum())
     hot = np.array(sorted({END, *(x for r in answered.where("kind = 'hot'").select("stats").collect() for x in r["stats"])}), dtype=np.uint64)  # at most HOT + 1
@@ -606,11 +671,11 @@ def scores(docs: DataFrame) -> DataFrame:
         trained = np.bincount(pairs.inverse, pairs.trained.astype(float), len(pairs.keys)).astype(np.int64)
         order, at = _parts(pairs.bucket, n_pairs)
         owned = ((int(k), order[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at)))
-        return _table([(k, block, packed(pairs.keys[own], rising=True), packed(trained[own]), _told_counts(pairs.keys[own], pairs.count_next[own], n_words)) for k, own in owned], _PAIR_ASK)
+        return _table(_runs_filed(runs, block, ((k, packed(pairs.keys[own], rising=True), packed(trained[own]), _told_counts(pairs.keys[own], pairs.count_next[own], n_words)) for k, own in owned)), _ASK)
 
     to_words = replied(answered, "words")
-    pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_PAIR_ASK))
-    pair_answers = _by_kind(pair_rows.groupBy("bucket").applyInPandas(_filed(_answer_pairs(n_words, hot, hot_count), replies), _ANSWER), "lm-pairs")
+    pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_ASK))
+    pair_answers = _by_kind(answers(pair_rows, _answer_pairs(n_words, hot, hot_count), "keys", "counts", "nexts"), "lm-pairs")
     d2 = discounts(slope(_types(pair_answers)))
     hot_sums = _sums(pair_answers, hot.tolist())
     often = np.array(sorted(x % (1 << 64) for r in pair_answers.where("kind = 'often'").select("stats").collect() for x in r["stats"]), dtype=np.uint64)  # at most HOT
@@ -622,15 +687,17 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def ask_triples(table: pa.Table) -> pa.Table:
         block, _, triples, _ = triples_of(table)
-        made = []
-        for k, contexts, own in triples.parts():
-            sizes = np.bincount(np.searchsorted(contexts, triples.of[own]), minlength=len(contexts))
-            made.append((k, block, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own])))
-        return _table(made, _TRIPLE_ASK)
+
+        def parts() -> Iterator[tuple]:
+            for k, contexts, own in triples.parts():
+                sizes = np.bincount(np.searchsorted(contexts, triples.of[own]), minlength=len(contexts))
+                yield k, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own])
+
+        return _table(_runs_filed(runs, block, parts()), _ASK)
 
     to_pairs = replied(pair_answers, "pairs")
-    triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
-    triple_answers = _by_kind(triple_rows.groupBy("bucket").applyInPandas(_filed(_answer_triples, replies), _ANSWER), "lm-triples")
+    triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_ASK))
+    triple_answers = _by_kind(answers(triple_rows, _answer_triples, "contexts", "sizes", "words", "counts", "lasts"), "lm-triples")
     once = pair_answers.where("kind = 'once'").agg(F.coalesce(F.sum(F.col("stats")[0]), F.lit(0))).first()[0]
     d3 = discounts(slope(_types(triple_answers) + once * histogram(np.array([1]))))
     often_sums = _sums(triple_answers, list(range(len(often))))

@@ -285,6 +285,17 @@ def test_discounts_come_from_the_fit():
     assert katz.discounts(-1.0)[1:] == pytest.approx(katz.discounts(-1.0 + 1e-6)[1:], abs=1e-5)
 
 
+def test_distinct_is_unique():
+    """With numbers that fit 64 bits with their places, and with such that don't."""
+    rng = np.random.default_rng(5)
+    for most in (1, 50, 1 << 20, 1 << 40, (1 << 62) + 1):
+        a, b = rng.integers(0, most, 3000), rng.integers(0, 7, 3000)
+        order, begins, place = katz._distinct(a, b)
+        keys, first, inverse = np.unique(np.c_[a, b], axis=0, return_index=True, return_inverse=True)
+        assert (np.c_[a, b][order[begins]] == keys).all() and (order[begins] == first).all() and (place == inverse.reshape(-1)).all()
+    assert all(len(x) == 0 for x in katz._distinct(np.zeros(0, dtype=np.int64)))
+
+
 def test_classes_of_counts_cover_all():
     assert katz.BINS[:11].tolist() == list(range(1, 12)) and (np.diff(katz.BINS) > 0).all()
     counts = np.array([0, 1, 5, 11, 12, 13, 1000, 2**61])
