@@ -43,9 +43,9 @@ _LETTER = [c >= 0x80 or chr(c).isalpha() for c in range(256)]
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if _LETTER[c] else 32 for c in range(256))
 
 
-def folded(text: str | None) -> bytes:
-    """The text as UTF-8 with its terms between blanks."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+def folded(text: bytes) -> bytes:
+    """A text's UTF-8 with its terms between blanks."""
+    return text.translate(_FOLD)
 
 
 def frequencies(texts: list[bytes]) -> pa.Table:
@@ -94,7 +94,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             return sum(table.nbytes for table in found.values())
 
         for rows_ in batches:
-            for lang, source, text in zip(*(rows_.column(k).to_pylist() for k in range(3))):
+            for lang, source, text in zip(rows_.column(0).to_pylist(), rows_.column(1).to_pylist(), rows_.column(2).cast(pa.binary()).to_pylist()):
                 raw = folded(text)
                 texts[lang, source].append(raw)
                 waiting[lang].append(raw)
@@ -128,7 +128,7 @@ def occurrences(machine: ahocorasick.Automaton, body: bytes) -> Counter:
 
 def kept_terms(cut: DataFrame) -> DataFrame:
     """block, lang, term and first: the terms of enough documents in each block that holds them; first is true in one."""
-    own = Window.partitionBy("lang", "term")  # one row a block
+    own = Window.partitionBy("term", "lang")  # one row a block; terms first, since their first bytes tell more in a sort
     seen = cut.where("term IS NOT NULL").select("block", "lang", "term", F.sum("df").over(own).alias("df"), (F.col("block") == F.min("block").over(own)).alias("first"))
     return common.written(seen.where(F.col("df") >= LEAST).drop("df"), "divergence-kept")
 
@@ -258,7 +258,7 @@ def audit(docs: DataFrame) -> DataFrame:
     totals = groups.join(words, "lang", "left").join(held, ["lang", "source"], "left").fillna(0, ["v", "held"])
     totals = common.written(totals.select("lang", "source", "v", (F.col("held") + F.col("v")).alias("total")).withColumn("none", F.coalesce(share(F.lit(0), F.col("total")), F.lit(1))), "divergence-totals")
 
-    by_term = Window.partitionBy("lang", "term")
+    by_term = Window.partitionBy("term", "lang")
     of_lang = totals.groupBy("lang").agg((F.sum("total") - F.sum("v") + F.max("v")).alias("lang_total"))
     told = counted.withColumn("n_lang", F.sum("n").over(by_term)).join(totals.join(of_lang, "lang"), ["lang", "source"])
     postings = common.written(
@@ -280,7 +280,7 @@ def audit(docs: DataFrame) -> DataFrame:
         )
     )
     either = shares.select("lang", one.alias("x")).select("lang", "x.source", "x.item", "x.value")
-    both = both_held(postings.repartition("lang", "term").sortWithinPartitions("lang", "term"))
+    both = both_held(postings.repartition("term", "lang").sortWithinPartitions("term", "lang"))
     pairs = neither.unionByName(either).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
     ranking = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
