@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from candela.llm import common, decontam, katz, ogg, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
+from candela.llm import common, decontam, katz, ogg, overlap, packing, pii, quality, separators, simhash, token_store, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, length long, block string, sequence_id int"  # with names that operators use
@@ -577,6 +577,76 @@ def _plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def _plain_overlap(a, b):
+    """Whether four fifths of all different runs of five words are in both texts."""
+    runs = lambda t: {tuple(ws[k : k + 5]) for ws in [t.lower().split()] if ws for k in range(max(1, len(ws) - 4))}
+    a, b = runs(a or ""), runs(b or "")
+    return len(a & b) >= 0.8 * len(a | b) > 0
+
+
+@pytest.fixture(scope="module")
+def families():
+    """Texts, some with copies in which a few words are changed, and one large family."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for family in range(60):
+        text = [rng.choice(words) for _ in range(rng.choice((60, 200, 500)))]
+        copies = 80 if family == 0 else rng.choice((0, 1, 1, 3))
+        rows.append(" ".join(text))
+        for _ in range(copies):
+            changed = list(text)
+            for k in rng.sample(range(len(text)), max(1, len(text) // 60)):
+                changed[k] = rng.choice(words)
+            rows.append(" ".join(changed))
+    rows += ["a b", "a b", "", "common words " * 200, "common words " * 201]
+    return list(enumerate(rows))
+
+
+def test_overlap_joins_classes(spark, families):
+    """Every verified link is one by brute force, and nearly all near copies are in the class that brute force gives."""
+    root = {i: i for i, _ in families}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = {i: _plain_fingerprint(t) for i, t in families}
+    links = []
+    for i, a in families:
+        for j, b in families:
+            if i < j and ((fps[i] ^ fps[j]).bit_count() <= simhash.BITS or _plain_overlap(a, b)):
+                links.append((i, j))
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame([(i, t, 1, "x", 7) for i, t in families], SCHEMA).repartition(3)
+    got = {r.doc_id: r.component_id for r in overlap.components(docs).collect()}
+    assert got.keys() == root.keys()
+    for i in got:
+        assert find(got[i]) == find(i)  # nothing is linked that brute force doesn't link
+    copies = [i for i in got if find(i) != i]
+    assert sum(got[i] == find(i) for i in copies) >= 0.95 * len(copies)
+    simple = {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+    assert sum(simple[i] == find(i) for i in copies) < 0.9 * len(copies)  # what the bits alone link
+
+
+def test_overlap_edges(spark, nothing):
+    assert overlap.components(nothing).count() == 0
+    docs = spark.createDataFrame([(1, None, 1, "x", 1), (2, "", 1, "x", 1), (3, "one", 1, "x", 1), (4, "ONE", 1, "x", 1), (5, "two words", 1, "x", 1)], SCHEMA)
+    assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_subsets_meet_their_promise():
+    rng = random.Random(1)
+    for n in (100, 200_000, 10**9):
+        masks = overlap.subsets(n)
+        met = 0
+        for _ in range(400):
+            apart = sum(1 << k for k in rng.sample(range(64), overlap.SURE))
+            met += any(apart & m == 0 for m in masks)
+        assert met >= 400 * (1 - 3 * overlap.MISSED) and len({m.bit_count() for m in masks}) == 1
+
+
 def _plain_classes(marks):
     root = {m: m for m in marks}
 
@@ -660,10 +730,19 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = {r.doc_id: r.text for r in docs.collect() if model.score(r.text) < toxicity.THRESHOLD}
-    of = _plain_classes({_plain_fingerprint(t) for t in kept.values()})
-    first = {}
-    for i in sorted(kept):
-        first.setdefault(of[_plain_fingerprint(kept[i])], i)
+    ids = sorted(kept)
+    fps, root = {i: _plain_fingerprint(kept[i]) for i in ids}, {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.BITS or _plain_overlap(kept[i], kept[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    first = {find(i): find(i) for i in ids}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     wanted = [decontam.shingles(sum(decontam.question_and_answer(t), [])) for _, t in items]
     clean = set()
@@ -689,3 +768,25 @@ def test_pipeline_tells_rows_apart_without_ids(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in once.collect()) == wanted
     left = corpus_pipeline.drop_leaks(spark, once, str(tmp_path))
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in wanted.elements() if item not in r[1])
+
+
+def test_pipeline_with_nulls_clashing_names_and_nothing(spark, tmp_path):
+    """A column named like the rows' numbers stays what it is; null texts are one document; empty tables run through."""
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    rows = [(k, text(), 7, None) for k in range(5)] + [(10, None, 7, "x"), (11, None, 7, "x"), (None, "", 7, "x")]
+    schema = "doc_id long, text string, __row long, block string"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    once = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in once.collect()) == [0, 1, 2, 3, 4, 10] and {r["__row"] for r in once.collect()} == {7}
+    left = corpus_pipeline.drop_leaks(spark, common.written(once, "again"), str(tmp_path))
+    assert left.columns == docs.columns and left.count() == 6
+    for name, given in (("some", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        given.write.parquet(f"{folder}/documents.parquet")
+        for table in ("benchmark", "labels"):
+            spark.read.parquet(f"{tmp_path}/{table}.parquet").write.parquet(f"{folder}/{table}.parquet")
+        got = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+        assert got == ({0, 1, 2, 3, 4, 10} if name == "some" else set())
