@@ -14,8 +14,9 @@ The work: texts become files of word numbers, one a block. Blocks ask for the co
 word pairs, then of those triples whose both pairs were seen (others can't have been) and whose context isn't the
 block's own (one that was seen once and occurs in no other block: its one next word stands in the block's file, which is
 its part of the model), in packed arrays that are
-dealt by hash of the context to buckets of bounded size: a block writes one file of sorted runs, a run for each bucket,
-and only the runs' places are shuffled. A bucket merges its runs, sums what blocks have counted in training documents,
+dealt by hash of the context to buckets of bounded size, as a sorted run for each bucket; the runs of triples, which are
+the most, go to one file a block, of which only the places are shuffled, and which is deleted when they are answered. A
+bucket merges its runs, sums what blocks have counted in training documents,
 keeps its part of the model (counts, and for each context whole numbers that tell the sum of the shorter probabilities,
 from which its back-off weight follows exactly) as a row of a partitioned table, and replies to each block in a file, of which only the place is shuffled, since
 a block reads its replies in every later step. Contexts of more than one in HOT training tokens (so
@@ -281,11 +282,14 @@ def _got(file: str, at: int, size: int, n: int) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
-_ASK = {"bucket": pa.int32(), "block": pa.int64(), "file": pa.string(), "at": pa.int64(), "bytes": pa.int64()}
+_BINARY = pa.binary()
+_WORD_ASK = {"bucket": pa.int32(), "block": pa.int64(), "words": _BINARY, "counts": _BINARY}
+_PAIR_ASK = {"bucket": pa.int32(), "block": pa.int64(), "keys": _BINARY, "counts": _BINARY, "nexts": _BINARY}
+_TRIPLE_ASK = {"bucket": pa.int32(), "block": pa.int64(), "file": pa.string(), "at": pa.int64(), "bytes": pa.int64()}
 
 
 def _runs_filed(folder: str, block: int, runs: Iterator[tuple]) -> list[tuple]:
-    """Rows of _ASK of a block's runs (bucket and parts, by bucket), which go to one file."""
+    """Rows of _TRIPLE_ASK of a block's runs (bucket and parts, by bucket), which go to one file."""
     rows, end = [], 0
     with files.created(folder, "runs") as (name, out):
         for bucket, *parts in runs:
@@ -296,7 +300,7 @@ def _runs_filed(folder: str, block: int, runs: Iterator[tuple]) -> list[tuple]:
 
 
 def _of_runs(answer, *names: str):
-    """The answer to rows of _ASK, given the parts of their runs as columns of these names."""
+    """The answer to rows of _TRIPLE_ASK, given the parts of their runs as columns of these names."""
 
     def told(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [_got(f, at, size, len(names)) for f, at, size in zip(frame["file"], frame["at"], frame["bytes"])]
@@ -305,15 +309,15 @@ def _of_runs(answer, *names: str):
     return told
 
 
-def _ask_words(n: int, folder: str):
+def _ask_words(n: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, file, size in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 row = _block(file, size)
                 words, counts = _words(row["words"]), unpacked(row["counts"])
                 order, at = _parts(_word_buckets(words, n), n)
-                runs = ((k, _text([words[j] for j in own.tolist()]), packed(counts[own])) for k in range(n) if len(own := order[at[k] : at[k + 1]]))
-                yield from _table(_runs_filed(folder, block, runs), _ASK).to_batches()
+                runs = [(k, block, _text([words[j] for j in own.tolist()]), packed(counts[own])) for k in range(n) if len(own := order[at[k] : at[k + 1]])]
+                yield from _table(runs, _WORD_ASK).to_batches()
 
     return ask
 
@@ -621,7 +625,7 @@ def _table(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.Table:
 
 
 _SCORES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-_SQL = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
+_SQL = {pa.int32(): "int", pa.int64(): "long", _BINARY: "binary", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
 
 
 def _schema(columns: dict[str, pa.DataType]) -> str:
@@ -646,9 +650,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     spread = blocks.select("block", "file", "bytes").repartition(max(1, size["n"]), "block")
     replies, runs = common.scratch(spark, "lm-replies"), common.scratch(spark, "lm-runs")
-    asked = spread.mapInArrow(_ask_words(n_words, runs), _schema(_ASK))
-    answers = lambda asked, answer, *names: asked.groupBy("bucket").applyInPandas(_filed(_of_runs(answer, *names), replies), _ANSWER)
-    answered = _by_kind(answers(asked, _answer_words(n_words, hot_count), "words", "counts"), "lm-words")
+    asked = spread.mapInArrow(_ask_words(n_words), _schema(_WORD_ASK))
+    answers = lambda asked, answer: asked.groupBy("bucket").applyInPandas(_filed(answer, replies), _ANSWER)
+    answered = _by_kind(answers(asked, _answer_words(n_words, hot_count)), "lm-words")
     types = _types(answered) + histogram(np.array([texts]))  # the end token's
     kinds = int(types.sum())
     hot = np.array(sorted({END, *(x for r in answered.where("kind = 'hot'").select("stats").collect() for x in r["stats"])}), dtype=np.uint64)  # at most HOT + 1
@@ -671,11 +675,11 @@ def scores(docs: DataFrame) -> DataFrame:
         trained = np.bincount(pairs.inverse, pairs.trained.astype(float), len(pairs.keys)).astype(np.int64)
         order, at = _parts(pairs.bucket, n_pairs)
         owned = ((int(k), order[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at)))
-        return _table(_runs_filed(runs, block, ((k, packed(pairs.keys[own], rising=True), packed(trained[own]), _told_counts(pairs.keys[own], pairs.count_next[own], n_words)) for k, own in owned)), _ASK)
+        return _table([(k, block, packed(pairs.keys[own], rising=True), packed(trained[own]), _told_counts(pairs.keys[own], pairs.count_next[own], n_words)) for k, own in owned], _PAIR_ASK)
 
     to_words = replied(answered, "words")
-    pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_ASK))
-    pair_answers = _by_kind(answers(pair_rows, _answer_pairs(n_words, hot, hot_count), "keys", "counts", "nexts"), "lm-pairs")
+    pair_rows = dealt(to_words).applyInArrow(ask_pairs, _schema(_PAIR_ASK))
+    pair_answers = _by_kind(answers(pair_rows, _answer_pairs(n_words, hot, hot_count)), "lm-pairs")
     d2 = discounts(slope(_types(pair_answers)))
     hot_sums = _sums(pair_answers, hot.tolist())
     often = np.array(sorted(x % (1 << 64) for r in pair_answers.where("kind = 'often'").select("stats").collect() for x in r["stats"]), dtype=np.uint64)  # at most HOT
@@ -693,11 +697,13 @@ def scores(docs: DataFrame) -> DataFrame:
                 sizes = np.bincount(np.searchsorted(contexts, triples.of[own]), minlength=len(contexts))
                 yield k, packed(triples.contexts[contexts], rising=True), packed(sizes), packed(triples.words[own]), packed(triples.trained[own]), packed(triples.last[own])
 
-        return _table(_runs_filed(runs, block, parts()), _ASK)
+        return _table(_runs_filed(runs, block, parts()), _TRIPLE_ASK)
 
     to_pairs = replied(pair_answers, "pairs")
-    triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_ASK))
-    triple_answers = _by_kind(answers(triple_rows, _answer_triples, "contexts", "sizes", "words", "counts", "lasts"), "lm-triples")
+    triple_rows = dealt(to_words, to_pairs).applyInArrow(ask_triples, _schema(_TRIPLE_ASK))
+    triple_rows = triple_rows.repartition(n_pairs, "bucket")  # small rows, much work
+    triple_answers = _by_kind(answers(triple_rows, _of_runs(_answer_triples, "contexts", "sizes", "words", "counts", "lasts")), "lm-triples")
+    common.dropped(spark, runs)
     once = pair_answers.where("kind = 'once'").agg(F.coalesce(F.sum(F.col("stats")[0]), F.lit(0))).first()[0]
     d3 = discounts(slope(_types(triple_answers) + once * histogram(np.array([1]))))
     often_sums = _sums(triple_answers, list(range(len(often))))

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The session's setting that holds the key, and the key of demonstrations and tests, which hides nothing.
+#: The session's setting that holds the key, and the key of demonstrations and tests, which hides nothing and which callers have to ask for.
 KEY_SETTING = "spark.candela.pseudonyms.key"
 DEMONSTRATION_KEY = "a key that everybody knows"
 ROUNDS = 8
@@ -47,9 +47,12 @@ def _rounds(start: Column, step: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def key_of(spark: SparkSession) -> str:
-    """The session's key, or (unset, as in tests) the demonstration key."""
-    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY)
+def key_of(spark: SparkSession, otherwise: str | None = None) -> str:
+    """The session's key, or (unset) the one that the caller names; without either there are no pseudonyms to give."""
+    key = spark.conf.get(KEY_SETTING, otherwise or "")
+    if not key:
+        raise ValueError(f"{KEY_SETTING} is not set")
+    return key
 
 
 def subkey(key: str, kind: str) -> str:

@@ -41,7 +41,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_pseudonyms(_table(spark, sf_dir, "documents"), pii.key_of(spark)).select("doc_id", "text")
+    return pii.with_pseudonyms(_table(spark, sf_dir, "documents"), pii.key_of(spark, pii.DEMONSTRATION_KEY)).select("doc_id", "text")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,18 @@ END_ID = 50256
 BLOCK_IDS = 1 << 20
 
 
+def narrow(raw: bytes) -> np.ndarray:
+    """32-bit ids as 16-bit ones; an id that doesn't fit is an error."""
+    ids = np.frombuffer(raw, dtype="<u4")
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} doesn't fit 16 bits")
+    return ids.astype("<u2")
+
+
 def write_flat(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> DataFrame:
     """Write every document's ids and the end id as little-endian unsigned 16-bit integers, one file a task. Rows: file,
     ids (in the file) and the doc_ids in the file's order, in lists of up to some thousand with the place of the first."""
-    end = np.array([end_id], dtype="<u2").tobytes()
+    end = narrow(np.array([end_id], dtype="<u4").tobytes()).tobytes()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, rows, total, place = tokens.encoder(path, plain=True), [], 0, 0
@@ -32,7 +40,7 @@ def write_flat(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) ->
             for batch in batches:
                 for part in tokens.groups(batch.column(1)):
                     for raw in encoder.encode([text for _, text in part]):
-                        ids = np.frombuffer(raw, dtype="<u4").astype("<u2")
+                        ids = narrow(raw)
                         out.write(ids.tobytes() + end)
                         total += len(ids) + 1
                 rows.append((place, batch.column(0).to_pylist()))

@@ -139,6 +139,12 @@ def test_separators(docs, rows, nothing, path):
     assert separators.counts(nothing, path).count() == 0
 
 
+def test_ids_over_16_bits_are_refused():
+    assert separators.narrow(np.array([0, 65_535], dtype="<u4").tobytes()).tolist() == [0, 65_535]
+    with pytest.raises(ValueError):
+        separators.narrow(np.array([1, 65_536], dtype="<u4").tobytes())
+
+
 def test_ogg_checksum_is_the_plain_crc():
     def plain(data):
         crc = 0
@@ -529,7 +535,9 @@ def test_pseudonyms_are_the_plain_networks(spark):
     wanted = f"mail {_plain_feistel_text('jo.doe@mail.example', pii.subkey(KEY, 'email'))}.org, API_KEY: '{secret('Ab9_xyz-77')}', my-Password={secret('Tr0ub4dor!')} born {datetime.date(1900, 1, 1) + datetime.timedelta(days=day)}"
     assert pii.with_pseudonyms(docs, KEY).first().text == wanted
     assert pii.with_pseudonyms(docs, "another").first().text != wanted
-    assert pii.key_of(spark) == pii.DEMONSTRATION_KEY
+    with pytest.raises(ValueError):
+        pii.key_of(spark)
+    assert pii.key_of(spark, "named") == "named"
 
 
 def test_pseudonyms_edges(spark):
