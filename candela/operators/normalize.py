@@ -61,15 +61,17 @@ def missing_days(rows: DataFrame) -> DataFrame:
 
 
 def filled(rows: DataFrame) -> DataFrame:
-    """The calendar's days with closes and market caps carried forward, the other prices at the close and no volume."""
+    """The calendar's days with closes and market caps carried forward, the other prices at the close and no volume. Each
+    row is repeated until the day before the next one: no calendar is joined, and the rows stay in their partition."""
     have = [c for c in ("close", *OPTIONAL) if c in rows.columns]
-    dense = calendar(rows).join(rows.select("asset", "d", *have, F.lit(True).alias("seen")), ["asset", "d"], "left")
-    new = F.col("seen").isNull()
-    close = forward_filled(F.col("close"))
-    some = {c: F.when(new, close).otherwise(F.col(c)) for c in ("open", "high", "low") if c in have}
-    some |= {"volume": F.coalesce("volume", F.lit(0.0))} if "volume" in have else {}
-    some |= {"market_cap": forward_filled(F.col("market_cap"))} if "market_cap" in have else {}
-    dense = dense.withColumns({**some, "close": close, "was_filled": new}).drop("seen")
+    if "market_cap" in have:
+        rows = rows.withColumn("market_cap", forward_filled(F.col("market_cap")))
+    last = F.greatest("d", F.coalesce(F.date_sub(F.lead("d").over(ordered()), 1), F.col("d")))
+    days = rows.withColumn("__last", last).select("asset", F.explode(F.sequence("d", "__last")).alias("__day"), "d", *have)
+    new = F.col("__day") != F.col("d")
+    some = {c: F.when(new, F.col("close")).otherwise(F.col(c)) for c in ("open", "high", "low") if c in have}
+    some |= {"volume": F.when(new, 0.0).otherwise(F.coalesce("volume", F.lit(0.0)))} if "volume" in have else {}
+    dense = days.withColumns({**some, "was_filled": new}).drop("d").withColumnRenamed("__day", "d")
     prices = [F.col(c) for c in ("open", "high", "low", "close") if c in have]
     if "high" in have and "low" in have:
         dense = dense.withColumns({"high": F.greatest(*prices), "low": F.least(*prices)})
