@@ -115,7 +115,8 @@ def links(marks: DataFrame, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at most BITS apart, enough of them to connect every class: all within
     small cells, and one to the smallest sharer of each one-bit neighbour within dense ones. marks: one row per fp."""
     rows = marks.select("fp").mapInArrow(_cells, "fp long, choice int, cell long")
-    sizes = rows.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    # from a table, so that both sides of the join are shuffled for it and a hot cell's rows can be split
+    sizes = common.written(rows.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     shared = common.written(rows.join(sizes.hint("merge"), ["choice", "cell"]), "simhash-cells")  # both grow with the documents
     small = shared.where(F.col("n") <= dense).groupBy("choice", "cell").agg(F.collect_list("fp").alias("fps"))
     pairs = small.select("fps").mapInPandas(_pairs, "a long, b long")
