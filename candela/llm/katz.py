@@ -41,7 +41,7 @@ from . import common, files
 
 K = 5
 HOT = 2000
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 400_000
 BUCKET_PAIRS = 2_000_000
 HELD_OUT = (7, 2)
@@ -208,6 +208,7 @@ def _distinct(*digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = len(digits[0])
     if not size:
         return (np.zeros(0, dtype=np.int64),) * 3
+    index = np.int32 if size < 1 << 31 else np.int64
     width = [int(x.max()).bit_length() for x in digits]
     last = (size - 1).bit_length()
     if sum(width) + last <= 64:
@@ -215,7 +216,7 @@ def _distinct(*digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for x, bits in zip(digits, width):
             code = (code << np.uint64(bits)) | x.astype(np.uint64)
         code = np.sort((code << np.uint64(last)) | np.arange(size, dtype=np.uint64))
-        order, code = (code & np.uint64((1 << last) - 1)).astype(np.int64), code >> np.uint64(last)
+        order, code = (code & np.uint64((1 << last) - 1)).astype(index), code >> np.uint64(last)
         new = np.r_[True, code[1:] != code[:-1]]
     else:
         order = np.lexsort(digits[::-1])
@@ -224,8 +225,8 @@ def _distinct(*digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for x in digits:
             told = x[order]
             new[1:] |= told[1:] != told[:-1]
-    place = np.empty(size, dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(size, dtype=index)
+    place[order] = np.cumsum(new, dtype=index) - 1
     return order, np.flatnonzero(new), place
 
 
@@ -381,7 +382,7 @@ def _by_count(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """For each of `size` groups (at: that of each count): how many counts are 1, ..., K (a column each), and the sum of
     the larger ones."""
     few = counts <= K
-    told = np.bincount(at[few] * (K + 1) + counts[few] - 1, minlength=size * (K + 1)).reshape(size, K + 1)
+    told = np.bincount(at[few].astype(np.int64) * (K + 1) + counts[few] - 1, minlength=size * (K + 1)).reshape(size, K + 1)
     told[:, -1] = np.bincount(at[~few], counts[~few].astype(float), size)
     return told
 
@@ -417,10 +418,10 @@ class _Pairs:
         self.count_now = count[now]
         keys = (number[before] << _SHIFT) | number[now]
         by_number = np.argsort(number)  # the block's words by number, whose places take fewer bits
-        self.place = np.empty(len(number), dtype=np.int64)
-        self.place[by_number] = np.arange(len(number))
-        self.now = self.place[now]
-        order, begins, self.inverse = _distinct(self.place[before], self.now)
+        place = np.empty(len(number), dtype=np.int32)
+        place[by_number] = np.arange(len(number), dtype=np.int32)
+        self.now = place[now]
+        order, begins, self.inverse = _distinct(place[before], self.now)
         first = order[begins]
         self.keys = keys[first]
         self.count_before, self.count_next = count[before[first]], self.count_now[first]
@@ -480,15 +481,15 @@ class _Triples:
         names = np.where(is_hot, HOT_CONTEXT + np.searchsorted(hot, pairs.keys[there]).astype(np.uint64), pairs.rank[there])
         bucket = np.where(is_alone, ALONE, np.where(is_hot, SPREAD, pairs.bucket[there]))
         order = _distinct(bucket - ALONE)[0]  # names rise with the keys
-        place = np.empty(len(pairs.keys), dtype=np.int64)
-        place[there[order]] = np.arange(len(there))
+        place = np.empty(len(pairs.keys), dtype=np.int32)
+        place[there[order]] = np.arange(len(there), dtype=np.int32)
         contexts, self.context = there[order], place[of]
         self.contexts, self.hot, self.context_bucket, self.count = names[order], is_hot[order], bucket[order], pairs.joint[contexts]
         now = pairs.inverse[at]
         seen = np.flatnonzero(pairs.joint[now] > 0)
         by_key, begins, index = _distinct(self.context[seen], pairs.now[at[seen]])
         first = by_key[begins]
-        self.own = np.full(len(at), -1)
+        self.own = np.full(len(at), -1, dtype=np.int32)
         self.own[seen] = index
         self.words, self.of = pairs.keys[now[seen[first]]] & _LOW, self.context[seen[first]]
         self.trained = np.bincount(index, pairs.trained[at[seen]].astype(float), len(first)).astype(np.int64)
