@@ -106,5 +106,5 @@ ORACLES["grid_sharpe"] = f"WITH {fx.FLAG_PRICES}, {GRID} SELECT asset, fast, slo
 QUERIES["grid_best"] = lambda spark, sf_dir: rounded(st.best_cell(st.grid(fx.flag_prices(spark, sf_dir))))
 ORACLES["grid_best"] = f"WITH {fx.FLAG_PRICES}, {GRID} SELECT asset, fast, slow, {r('sharpe')} FROM cells WHERE sharpe IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset ORDER BY sharpe DESC, fast, slow) = 1"
 # brands have short histories after their last long gap
-QUERIES["grid_brands"] = lambda spark, sf_dir: rounded(st.grid(fx.brand_prices(spark, sf_dir)))
-ORACLES["grid_brands"] = f"WITH {fx.BRAND_PRICES}, {GRID} SELECT asset, fast, slow, {r('sharpe')}, {r('ln_total')} FROM cells"
+QUERIES["grid_brands"] = lambda spark, sf_dir: rounded(st.grid(fx.brand_cents(spark, sf_dir)))
+ORACLES["grid_brands"] = f"WITH {fx.BRAND_CENTS}, {GRID} SELECT asset, fast, slow, {r('sharpe')}, {r('ln_total')} FROM cells"

@@ -58,6 +58,12 @@ def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.prices(brand_bars(spark, sf_dir))
 
 
+def brand_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brands' closes in whole cents, whose averages are the same however they are added up: filled days have equal
+    closes, and so averages of different lengths that are equal."""
+    return normalize.with_returns(brand_prices(spark, sf_dir).withColumn("close", F.round(F.col("close") * 100)))
+
+
 def slow_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flags' closes averaged over 20 days and made to fall by half a percent a day, so that rules can do better than
     holding."""
@@ -121,5 +127,8 @@ prices AS (
   SELECT asset, d, close, close / lag(close) OVER (PARTITION BY asset ORDER BY d) - 1 AS returns, ln(close) - ln(lag(close) OVER (PARTITION BY asset ORDER BY d)) AS log_returns
   FROM averaged WHERE k >= 20
 )"""
+BRAND_CENTS = f"""{BRAND_PRICES.replace("prices AS (SELECT", "daily AS (SELECT")},
+cents AS (SELECT * REPLACE (round(close * 100) AS close) FROM daily),
+prices AS (SELECT * REPLACE (close / lag(close) OVER (PARTITION BY asset ORDER BY d) - 1 AS returns, ln(close) - ln(lag(close) OVER (PARTITION BY asset ORDER BY d)) AS log_returns) FROM cents)"""
 FLAWED_BARS = f"""SELECT * REPLACE (CASE day(d) WHEN 13 THEN -close WHEN 17 THEN NULL WHEN 23 THEN 0.0 ELSE close END AS close)
  FROM ({BRAND_BARS})"""
