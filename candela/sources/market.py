@@ -85,6 +85,16 @@ def snapshot_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(C("id").alias("asset"), C("current_price").alias("price"), C("market_cap_rank").alias("rank"), "market_cap", C("total_volume").alias("volume"), *(C(a).alias(b) for a, b in changes.items()))
 
 
+def snapshot_or_nothing(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a snapshot that can be read and name an asset; no rows, of the same columns, if it can't: an overview is
+    shown without it rather than not at all."""
+    none = spark.createDataFrame([], "asset string, price double, rank int, market_cap double, volume double, change_24h double, change_7d double, change_30d double, change_1y double")
+    try:
+        return read().where("asset IS NOT NULL")
+    except (SourceError, ConnectionError, AnalysisException):
+        return none
+
+
 def seed_of(text: Column) -> Column:
     """A whole number under 2**32 from a text."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

@@ -259,6 +259,18 @@ def test_snapshot_extremes_and_sentiment(spark):
     assert got == {"now": (57, _day(-3), 49), "then": (47, _day(-13), None), "early": (None, None, None), "ninth": (48, _day(-12), 41)}
 
 
+def test_snapshots_fail_without_rows(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"id": "x", "current_price": 2.5, "market_cap_rank": 1, "price_change_percentage_24h_in_currency": -1.0}, {"current_price": 3.0}]')
+    (tmp_path / "bad.json").write_text("not json")
+
+    def limited():
+        raise market.SourceError("limited")
+
+    good, bad, gone, failed = (market.snapshot_or_nothing(spark, read) for read in (*(lambda name=name: market.snapshot_json(spark, str(tmp_path / name)) for name in ("good.json", "bad.json", "gone.json")), limited))
+    assert [(r.asset, r.price, r["rank"], r.change_24h, r.volume) for r in good.collect()] == [("x", 2.5, 1, -1.0, None)]
+    assert bad.count() == gone.count() == failed.count() == 0 and good.columns == bad.columns == gone.columns == failed.columns
+
+
 @pytest.fixture
 def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
