@@ -41,7 +41,7 @@ from . import common, files
 
 K = 5
 HOT = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 BUCKET_WORDS = 400_000
 BUCKET_PAIRS = 2_000_000
 HELD_OUT = (7, 2)
