@@ -644,15 +644,22 @@ def test_overlap_edges(spark, nothing):
     assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
-def test_subsets_meet_their_promise():
-    rng = random.Random(1)
-    for n in (100, 200_000, 10**9):
-        masks = overlap.subsets(n)
-        met = 0
-        for _ in range(400):
-            apart = sum(1 << k for k in rng.sample(range(64), overlap.SURE))
-            met += any(apart & m == 0 for m in masks)
-        assert met >= 400 * (1 - 3 * overlap.MISSED) and len({m.bit_count() for m in masks}) == 1
+def test_keys_meet_their_promise(monkeypatch):
+    """Sets that share four fifths of their hashes nearly always share a key, sets that share a tenth hardly ever; keys
+    don't depend on how many hashes are mixed at once."""
+    rng, mixers = np.random.default_rng(1), overlap._mixers()
+    made = lambda n: np.unique(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+    met = {0.8: 0, 0.1: 0}
+    for share in met:
+        for _ in range(150):
+            both, rest = made(int(300 * share)), [made(int(300 * (1 - share) / 2)) for _ in range(2)]
+            a, b = (set(overlap.keys(np.concatenate([both, x]), mixers)) for x in rest)
+            met[share] += bool(a & b)
+    assert met[0.8] >= 148 and met[0.1] <= 5
+    some = made(1000)
+    whole = overlap.keys(some, mixers)
+    monkeypatch.setattr(overlap, "CHUNK", 7)
+    assert overlap.keys(some, mixers) == whole and len(whole) == overlap.BANDS and overlap.keys(some[:0], mixers) == []
 
 
 def _plain_classes(marks):
