@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +11,14 @@ from pyspark import TaskContext
 
 
 def _at(uri: str):
+    """The file system of a file's folder, which is looked up once, and the file's path in it."""
+    folder, _, name = uri.rpartition("/")
+    system, path = _folder(folder)
+    return system, f"{path.rstrip('/')}/{name}"
+
+
+@functools.cache
+def _folder(uri: str):
     from pyarrow import fs
 
     # Hadoop's names of stores that Arrow knows by others

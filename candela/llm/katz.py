@@ -41,7 +41,7 @@ from . import common, files
 
 K = 5
 HOT = 2000
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_WORDS = 400_000
 BUCKET_PAIRS = 2_000_000
 HELD_OUT = (7, 2)
@@ -201,6 +201,13 @@ def _block(file: str, size: int) -> dict:
     return {c: table.column(c)[0].as_py() for c in _KEPT} | {"ids": table.column("ids").chunk(0).values}
 
 
+def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which values are among a few sorted ones."""
+    if not len(few):
+        return np.zeros(len(values), dtype=bool)
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
 def _distinct(*digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows of whole numbers (the first array counts the most): their order (rows that are equal by their place), where
     each different one begins in it, and each row's place among the different ones. Numbers and places that fit 64 bits
@@ -426,7 +433,7 @@ class _Pairs:
         self.keys = keys[first]
         self.count_before, self.count_next = count[before[first]], self.count_now[first]
         self.context = self.keys >> _SHIFT
-        self.hot = np.isin(self.context, hot)
+        self.hot = _among(self.context, hot)
         self.bucket = _dealt(np.where(self.hot, self.keys & _LOW, self.context), n_pairs)
 
     def answered(self, answers: list[dict], n_pairs: int, unigram: Unigram, d: np.ndarray, hot: np.ndarray, hot_sums: np.ndarray) -> None:
@@ -477,7 +484,7 @@ class _Triples:
         there = np.zeros(len(pairs.keys), dtype=bool)
         there[of] = True
         there = np.flatnonzero(there)
-        is_hot, is_alone = np.isin(pairs.keys[there], hot), pairs.alone[there]
+        is_hot, is_alone = _among(pairs.keys[there], hot), pairs.alone[there]
         names = np.where(is_hot, HOT_CONTEXT + np.searchsorted(hot, pairs.keys[there]).astype(np.uint64), pairs.rank[there])
         bucket = np.where(is_alone, ALONE, np.where(is_hot, SPREAD, pairs.bucket[there]))
         order = _distinct(bucket - ALONE)[0]  # names rise with the keys
@@ -540,7 +547,7 @@ def _answer_pairs(n_words: int, hot: np.ndarray, hot_count: float):
         own = (joint == 1) & (np.bincount(index, minlength=len(keys)) == 1) & (hot_count > 1)
         coded, named = joint + (seen & ~own), seen & ~own
         rank = np.cumsum(named) - named
-        is_hot, kept = np.isin(there, hot), sums.any(axis=1)
+        is_hot, kept = _among(there, hot), sums.any(axis=1)
         bucket = int(frame["bucket"].iloc[0])
         rows, at = [("model", None, bucket, packed(keys[seen], rising=True), packed(coded[seen]), packed(sums[kept].T.reshape(-1)), histogram(joint).tolist())], 0
         for block, told in zip(frame["block"], asked):
