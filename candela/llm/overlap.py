@@ -1,12 +1,18 @@
 """SimHash classes joined by verified overlap: near copies that differ in more bits than SimHash's own links allow.
 
-Texts of which four fifths of the five-word shingles are the same often differ by three to eleven bits. Whether two
-classes are compared depends on keys of their texts: bands of least hashes of the shingles, of which such a pair
-shares at least one with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS (0.9998). Under a key each fingerprint is
-compared with two representatives: the one that shares most keys with others (an original with its copies, which may be
-less like each other) and one by hash, another for each key. So rows stay in proportion to fingerprints, however many
-share a key; pairs of one class already are discarded, and the rest are verified by the exact overlap of
-their shingles. What is verified joins the classes.
+Texts of which four fifths of the five-word shingles are the same often differ by three to eleven bits. All such pairs
+of different texts end in one class. That takes two steps, which work on a text for each set of shingles.
+
+The first is cheap and leaves some out: texts that share a band of least hashes of their shingles are compared with two
+representatives of that band only, the one that shares most keys with others (an original with its copies, which may be
+less like each other) and one by hash, another for each key. It puts large groups into one class by rows in proportion
+to their members.
+
+The second finds what is left exactly: in any order of all shingles, such a pair shares one of its first, as many as may
+miss and one more (the prefix). Frequent shingles come last in the order, which a bounded sample of texts decides; so the
+sample moves the work, never the result. Pairs of one class already are discarded, as are pairs that share too little of
+their prefixes or differ too much in size, and the rest are verified by the exact overlap of their shingles. A frequent
+shingle's texts are dealt to groups by pairs of blocks, and none is left out.
 """
 
 from __future__ import annotations
@@ -25,6 +31,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Shingles whose hashes are mixed at once.
 CHUNK = 1 << 15
+#: Texts whose shingles are counted for the order, about; a shingle of so many of them is frequent, if it is among so many.
+SAMPLE, FREQUENT, KEPT = 1 << 13, 3, 1 << 17
+#: Texts of a shingle that are paired in one group.
+BLOCK = 512
+#: Rows of sets that a task holds at once.
+HELD = 512
+#: Roundings of a share of a size are smaller.
+SLACK = 1e-9
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -50,57 +64,165 @@ def keys(hashes: np.ndarray, mixers: np.ndarray) -> list[int]:
     return [simhash._signed(xxhash.xxh64_intdigest(band.tobytes(), number)) for number, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mixers = _mixers()
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [keys(shingles(text.as_py()), mixers) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "keys"])
-
-
-def candidates(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b (a < b): fingerprints of different classes that share a key with one of them as a representative of it. nodes:
-    fp (each once) and the doc_id and component_id of its text."""
-    keyed = common.documents(docs).mapInArrow(_keyed, "doc_id long, keys array<long>")
-    dealt = common.written(nodes.join(keyed, "doc_id").select("fp", "component_id", F.explode("keys").alias("key")), "overlap-keys")
+        for text in batch.column(1):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()))], ["token"])
+
+
+def frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample's frequent shingles, ascending, and their numbers of texts; rows: how many docs has."""
+    some = common.documents(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0)
+    counts = common.written(some.mapInArrow(_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT), "overlap-frequent")
+    total, least = 0, 1 << 62
+    for n, tokens in counts.groupBy("n").agg(F.count("*")).orderBy(F.desc("n")).limit(KEPT).collect():
+        total += tokens
+        if total > KEPT:
+            break
+        least = n
+    table = counts.where(F.col("n") >= least).toArrow().sort_by("token")  # at most KEPT rows
+    return table["token"].to_numpy(), table["n"].to_numpy()
+
+
+def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes, frequent ones last, of which a set that is so similar shares one."""
+    tokens, counts = order
+    weights = np.zeros(len(hashes), dtype=np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+        weights = np.where(tokens[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, weights))[: spared(len(hashes), similarity)]]
+
+
+def spared(size: int | np.ndarray, similarity: float) -> int | np.ndarray:
+    """How long the prefix of a set of this size (at least 1) is."""
+    return size - np.ceil(similarity * size - SLACK).astype(np.int64) + 1
+
+
+def keyed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """doc_id, the digest and size of its set of shingles, its bands' keys and its prefix; no row without shingles."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixers = _mixers()
+        for part in (batch.slice(k, HELD) for batch in batches for k in range(0, batch.num_rows, HELD)):
+            found = []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+                hashes = shingles(text.as_py())
+                if len(hashes):
+                    digest = simhash._signed(xxhash.xxh64_intdigest(hashes.tobytes()))
+                    found.append((doc_id, digest, len(hashes), keys(hashes, mixers), prefix(hashes, held.value, similarity)))
+            columns = list(zip(*found)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["doc_id", "digest", "size", "keys", "prefix"])
+
+    return common.documents(docs).mapInArrow(rows, "doc_id long, digest long, size int, keys array<long>, prefix array<long>")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """a, b (a < b): texts of different classes that share a band's key with one of them as a representative of it. nodes:
+    doc_id (each once), component_id and keys."""
+    dealt = common.written(nodes.select("doc_id", "component_id", F.explode("keys").alias("key")), "overlap-keys")
     # from tables, so that both sides of the joins are shuffled for them and a hot key's rows can be split
     sizes = common.written(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "overlap-sizes")
     shared = common.written(dealt.join(sizes.hint("merge"), "key"), "overlap-shared")
-    degrees = common.written(shared.groupBy("fp").agg(F.sum("n").alias("degree")), "overlap-degrees")
-    one, at = F.struct("fp", "component_id"), F.xxhash64("fp", "key")
-    firsts = shared.join(degrees, "fp").groupBy("key").agg(F.max_by(one, F.struct("degree", at)).alias("hub"), F.min_by(one, at).alias("some"))
-    told = shared.join(common.written(firsts, "overlap-firsts").hint("merge"), "key").select("fp", "component_id", F.explode(F.array("hub", "some")).alias("other"))
+    degrees = common.written(shared.groupBy("doc_id").agg(F.sum("n").alias("degree")), "overlap-degrees")
+    one, at = F.struct("doc_id", "component_id"), F.xxhash64("doc_id", "key")
+    firsts = shared.join(degrees, "doc_id").groupBy("key").agg(F.max_by(one, F.struct("degree", at)).alias("hub"), F.min_by(one, at).alias("some"))
+    told = shared.join(common.written(firsts, "overlap-firsts").hint("merge"), "key").select("doc_id", "component_id", F.explode(F.array("hub", "some")).alias("other"))
     apart = told.where(F.col("component_id") != F.col("other.component_id"))
-    return apart.select(F.least("fp", "other.fp").alias("a"), F.greatest("fp", "other.fp").alias("b")).distinct()
+    return apart.select(F.least("doc_id", "other.doc_id").alias("a"), F.greatest("doc_id", "other.doc_id").alias("b")).distinct()
+
+
+def _met(similarity: float):
+    """Pairs of a group's members that may be so similar, and how many shingles their prefixes have to share for that."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, out = batch.column(1), ([], [], [])
+            doc_ids, classes, sizes, blocks = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+            ends = np.cumsum([0, *column.value_lengths().to_pylist()])
+            for within, k, stop in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                i, j = np.triu_indices(stop - k, 1)
+                i, j = i + k, j + k
+                kept = (classes[i] != classes[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - SLACK)
+                if not within:
+                    kept &= blocks[i] != blocks[j]
+                i, j = i[kept], j[kept]
+                a, b = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
+                wanted = np.ceil(similarity / (1 + similarity) * (a + b) - SLACK).astype(np.int64)
+                rest = np.maximum(a - spared(a, similarity), b - spared(b, similarity))  # one of them holds all else they may share
+                for x, y in zip(out, (np.minimum(doc_ids[i], doc_ids[j]), np.maximum(doc_ids[i], doc_ids[j]), wanted - rest)):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["a", "b", "least"])
+
+    return met
+
+
+def remaining(nodes: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): all pairs of texts of different classes that may be so similar. nodes: doc_id (each once),
+    component_id, size and prefix.
+
+    Rows grow with pairs of different classes under a shingle: with the square of its texts only if they stay apart in
+    so many classes.
+    """
+    rows = nodes.select("doc_id", "component_id", "size", F.explode("prefix").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    sizes = common.written(sizes.where("low <> high").select("key", "n"), "overlap-counts")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = rows.join(sizes.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), blocks))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = dealt.withColumn("other", others).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("doc_id", "component_id", "size", "block").alias("member"))
+    groups = dealt.groupBy("key", "low", "high").agg(F.collect_list("member").alias("members"))
+    pairs = groups.select((F.col("low") == F.col("high")).alias("within"), "members").mapInArrow(_met(similarity), "a long, b long, least long")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for fp, text in zip(batch.column(0), batch.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()], pa.int64()), pa.array([shingles(text.as_py())], pa.list_(pa.int64()))], ["fp", "hashes"])
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([shingles(text.as_py())], pa.list_(pa.int64()))], ["doc_id", "hashes"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts share so much of all their shingles. Only texts of pairs are hashed."""
-    asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp").select("doc_id", "fp")
-    texts = common.documents(docs).join(common.written(asked, "overlap-asked"), "doc_id").select("fp", "text")
-    sets = common.written(texts.mapInArrow(_hashed, "fp long, hashes array<long>"), "overlap-shingles")
-    side = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    asked = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "overlap-asked")
+    texts = common.documents(docs).join(asked, "doc_id").select("doc_id", "text")
+    sets = common.written(texts.mapInArrow(_hashed, "doc_id long, hashes array<long>"), "overlap-shingles")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"{x}_hashes"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     same = F.size(F.array_intersect("a_hashes", "b_hashes"))
     return both.where((same > 0) & (same >= similarity * (F.size("a_hashes") + F.size("b_hashes") - same))).select("a", "b")
 
 
+def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes of pairs of texts, as links."""
+    named = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("component_id").alias(f"{x}_id"))
+    return pairs.join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def _joined(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows with component_id by the links of classes."""
+    roots = common.written(simhash.classes(edges), "overlap-roots").select(F.col("node").alias("component_id"), "root")
+    return rows.join(roots, "component_id", "left").withColumn("component_id", F.coalesce("root", "component_id")).drop("root")
+
+
 def components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that is reached over SimHash's links and verified overlaps.
+    """doc_id and component_id, the smallest doc_id that is reached over SimHash's links and all overlaps of at least
+    this similarity.
 
-    The text of a fingerprint is that of its smallest doc_id, which is looked up: doc_ids have to be different and not
-    null (rows are told apart by numbers of their own in the pipeline). Null and empty texts have no shingles and are
-    linked by their fingerprint alone; an empty table gives an empty result; other columns are left behind.
+    doc_ids have to be different and not null (rows are told apart by numbers of their own in the pipeline). Null and
+    empty texts have no shingles and are linked by their fingerprint alone; texts with the same set of shingles are
+    linked; an empty table gives an empty result; other columns are left behind.
     """
-    marked = common.written(simhash.components(docs).select("doc_id", F.conv("fingerprint", 16, -10).cast("long").alias("fp"), "component_id"), "overlap-marks")
-    nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("component_id")), "overlap-nodes")
-    pairs = verified(common.written(candidates(nodes, docs), "overlap-pairs"), nodes, docs, similarity)
-    named = lambda x: nodes.select(F.col("fp").alias(x), F.col("component_id").alias(f"{x}_id"))
-    edges = pairs.join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    roots = common.written(simhash.classes(edges), "overlap-roots").select(F.col("node").alias("component_id"), "root")
-    return marked.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    marked = common.written(simhash.components(docs).select("doc_id", "component_id"), "overlap-marks")
+    sets = common.written(keyed(docs, frequent(docs, marked.count()), similarity), "overlap-sets")
+    equal = common.written(sets.select("doc_id", "digest", "size").join(marked, "doc_id"), "overlap-equal")
+    first = common.written(equal.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.min("component_id").alias("to")), "overlap-first")
+    edges = equal.join(first.hint("merge"), ["digest", "size"]).where("component_id <> to").select(F.col("component_id").alias("a"), F.col("to").alias("b")).distinct()
+    named = first.select(F.col("first").alias("doc_id"), F.col("to").alias("component_id"))
+    nodes = common.written(named.join(sets.select("doc_id", "size", "keys", "prefix"), "doc_id"), "overlap-nodes")
+    edges = common.written(edges.unionByName(_linked(verified(common.written(candidates(nodes), "overlap-pairs"), docs, similarity), nodes)), "overlap-edges")
+    nodes = common.written(_joined(nodes.drop("keys"), edges), "overlap-apart")
+    more = _linked(verified(common.written(remaining(nodes, similarity), "overlap-remaining"), docs, similarity), nodes)
+    return _joined(marked, common.written(edges.unionByName(more), "overlap-more")).select("doc_id", "component_id")

@@ -644,6 +644,49 @@ def test_overlap_edges(spark, nothing):
     assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+@pytest.mark.parametrize("block, sample", [(512, 1 << 15), (7, 40)])
+def test_overlap_joins_all_pairs_under_hot_keys(spark, monkeypatch, block, sample):
+    """300 texts that share keys, though each is like one other only: no pair is left out for want of a representative."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "SAMPLE", sample)
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(200)]
+
+    def changed(text, n):
+        text = list(text)
+        for k in rng.sample(range(10, 190), n):
+            text[k] = f"x{rng.randrange(10**9)}"
+        return text
+
+    pairs = [(a, changed(a, 3)) for a in (changed(base, 5) for _ in range(150))]
+    texts = [" ".join(x) for pair in pairs for x in pair]
+    runs = [{tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} for ws in map(str.split, texts)]
+    fps, root = [_plain_fingerprint(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(runs):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.BITS or len(a & runs[j]) >= 0.8 * len(a | runs[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert len({find(i) for i in root}) > 100  # most pairs are classes of their own
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_overlap_knows_all_texts_of_a_fingerprint(spark):
+    """Repeats give two texts one fingerprint; what is like the second of them only is in their class, too."""
+    tails = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    texts = ["w " * 400 + tails[0], "w " * 400 + tails[1], tails[1], "other words"]
+    assert _plain_fingerprint(texts[0]) == _plain_fingerprint(texts[1]) and _plain_overlap(texts[1], texts[2])
+    assert not _plain_overlap(texts[0], texts[2]) and (_plain_fingerprint(texts[1]) ^ _plain_fingerprint(texts[2])).bit_count() > simhash.BITS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_keys_meet_their_promise(monkeypatch):
     """Sets that share four fifths of their hashes nearly always share a key, sets that share a tenth hardly ever; keys
     don't depend on how many hashes are mixed at once."""
