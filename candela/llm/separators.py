@@ -19,6 +19,8 @@ from . import common, files, tokens
 
 END_ID = 50256
 BLOCK_IDS = 1 << 20
+#: Pieces that a worker's encoder keeps: fewer than elsewhere, since time is less scarce here than memory.
+KEPT_PIECES = 100_000
 
 
 def narrow(raw: bytes) -> np.ndarray:
@@ -35,7 +37,7 @@ def write_flat(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) ->
     end = narrow(np.array([end_id], dtype="<u4").tobytes()).tobytes()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, total, place = tokens.encoder(path, plain=True), [], 0, 0
+        encoder, rows, total, place = tokens.encoder(path, plain=True, kept=KEPT_PIECES), [], 0, 0
         with files.created(folder, "flat") as (name, out):
             for batch in batches:
                 for part in tokens.groups(batch.column(1)):

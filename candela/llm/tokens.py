@@ -27,7 +27,7 @@ LATIN_END = "\u0250"  # letters before this one are letters in every version of
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: The byte-level alphabet: bytes that aren't visible characters are spelled by the characters from 256 on.
 _SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -40,12 +40,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers. plain: the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, plain: bool = False) -> None:
+    def __init__(self, path: str, plain: bool = False, kept: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        self.kept = kept
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -126,7 +127,7 @@ class Encoder:
             odd = {x for x in fresh if _OTHER_SPACE.search(x)}
             pieces = [cut if cut and odd.isdisjoint(cut) else None for cut in pieces]
             fresh -= odd
-        if len(self.known) + len(fresh) > KEPT_PIECES:
+        if len(self.known) + len(fresh) > (self.kept or KEPT_PIECES):
             self.older, self.known, self.tails = self.known, {}, {"": b""}
             fresh = set().union(*filter(None, pieces))
         known = self.known
@@ -136,11 +137,11 @@ class Encoder:
         return [b"".join(map(known.__getitem__, cut)) if cut else self._whole(text) for text, cut in zip(texts, pieces)]
 
 
-def encoder(path: str, plain: bool = False) -> Encoder:
-    """This worker's encoder for a tokenizer file."""
-    if (path, plain) not in _encoders:
-        _encoders[path, plain] = Encoder(path, plain)
-    return _encoders[path, plain]
+def encoder(path: str, plain: bool = False, kept: int | None = None) -> Encoder:
+    """This worker's encoder for a tokenizer file; kept: how many pieces its store holds (None: KEPT_PIECES)."""
+    if (path, plain, kept) not in _encoders:
+        _encoders[path, plain, kept] = Encoder(path, plain, kept)
+    return _encoders[path, plain, kept]
 
 
 def groups(values, most_chars: int = 1 << 20):

@@ -133,6 +133,17 @@ def test_token_files_are_closed_at_their_size(docs, rows, path, monkeypatch):
     assert len(made) > 6 and sum(r.documents for r in made) == len(rows) and max(r.nth for r in made) > 0
 
 
+def test_separators_keep_few_pieces(path):
+    """The store of op4's encoder stays at its own bound, and ids don't depend on it."""
+    assert separators.KEPT_PIECES < tokens.KEPT_PIECES
+    small = tokens.Encoder(path, plain=True, kept=50)
+    for k in range(20):
+        texts = [" ".join(f"word{k}x{i % 7} {chr(97 + i)}{chr(97 + k)}bc," for i in range(12))]
+        assert small.encode(texts) == [small._whole(x) for x in texts]
+        assert len(small.known) <= 50 and len(small.older) <= 50
+    assert tokens.encoder(path, True, 50) is not tokens.encoder(path, True)
+
+
 def test_separators(docs, rows, nothing, path):
     got = Counter((r.doc_id, r.n_tokens) for r in separators.counts(docs, path, block_ids=37).collect())
     assert got == Counter((i, len(_encoded(path, t, 2, True)) // 4) for i, t in rows)
