@@ -37,6 +37,8 @@ SAMPLE, FREQUENT, KEPT = 1 << 13, 3, 1 << 17
 BLOCK = 512
 #: Rows of sets that a task holds at once.
 HELD = 512
+#: Pairs that a task holds at once, besides those of one group.
+PAIRS = 1 << 16
 #: Roundings of a share of a size are smaller.
 SLACK = 1e-9
 
@@ -137,9 +139,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def _met(similarity: float):
     """Pairs of a group's members that may be so similar, and how many shingles their prefixes have to share for that."""
 
+    def told(out: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["a", "b", "least"])
+
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, out = batch.column(1), ([], [], [])
+            column, out, held = batch.column(1), ([], [], []), 0
             doc_ids, classes, sizes, blocks = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
             ends = np.cumsum([0, *column.value_lengths().to_pylist()])
             for within, k, stop in zip(batch.column(0).to_pylist(), ends, ends[1:]):
@@ -154,7 +159,11 @@ def _met(similarity: float):
                 rest = np.maximum(a - spared(a, similarity), b - spared(b, similarity))  # one of them holds all else they may share
                 for x, y in zip(out, (np.minimum(doc_ids[i], doc_ids[j]), np.maximum(doc_ids[i], doc_ids[j]), wanted - rest)):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["a", "b", "least"])
+                held += len(i)
+                if held >= PAIRS:
+                    yield told(out)
+                    out, held = ([], [], []), 0
+            yield told(out)
 
     return met
 

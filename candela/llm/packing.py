@@ -80,15 +80,16 @@ def _places(made: list[tuple[int, dict[int, int]]], capacity: int) -> dict[str,
     return dict(zip(("key", "each", "sequence", "offset"), table.T))
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, kept: int | None = None) -> DataFrame:
     """One row per piece: block (of the task that made it), nth (among the block's pieces of this length), doc_id,
-    piece, start, length, ids_crc32. The first piece of a longer document takes what the full ones leave."""
+    piece, start, length, ids_crc32. The first piece of a longer document takes what the full ones leave. kept: see
+    tokens.encoder()."""
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        block, seen, encoder = uuid.uuid4().hex, np.zeros(capacity + 1, dtype=np.int64), tokens.encoder(path)
+        block, seen, encoder = uuid.uuid4().hex, np.zeros(capacity + 1, dtype=np.int64), tokens.encoder(path, kept=kept)
         for batch in batches:
             ids = batch.column(0)
             for part in tokens.groups(batch.column(1)):
@@ -112,13 +113,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return common.documents(docs).mapInArrow(cut, "block string, nth long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document.
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, kept: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document. kept: how many
+    pieces of words each worker's encoder stores (None: tokens.KEPT_PIECES); the ids don't depend on it.
 
     A null text is empty: its document is the end id alone. Repeated rows and null doc_ids are packed like others;
     documents of any length are cut into pieces; an empty table gives an empty result.
     """
-    made = common.written(pieces(docs, path, capacity, end_id), "pack-pieces")
+    made = common.written(pieces(docs, path, capacity, end_id, kept), "pack-pieces")
     counted = common.written(made.groupBy("block", "length").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = _places(plan(histogram, capacity), capacity)

@@ -113,12 +113,13 @@ def compose(machines: list[Transducer]) -> Transducer:
 
 class Lexicon(dict):
     """Word to (symbol, weight, ends a clause); words are looked up in the closed classes and the learned words and stems
-    when first met."""
+    when first met. Words with the same entry share it."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], most: int = 400_000) -> None:
         super().__init__()
         self.words, self.stems, self.most = words, stems, most
         self.fixed = {w: symbol for symbol, ws in FIXED.items() for w in ws.split()}
+        self.entries: dict[tuple[int, float, bool], tuple[int, float, bool]] = {}
 
     def __reduce__(self):
         return (Lexicon, (self.words, self.stems, self.most))
@@ -129,7 +130,8 @@ class Lexicon(dict):
         word = token.strip(_EDGE)
         weight = max(self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n), 0.0)
         symbol = self.fixed.get(word, INSULT if weight else OTHER)
-        self[token] = found = (symbol, weight, token.rstrip("\"'“”»)]}").endswith(_CLAUSE_END))
+        found = (symbol, weight, token.rstrip("\"'“”»)]}").endswith(_CLAUSE_END))
+        self[token] = found = self.entries.setdefault(found, found)
         return found
 
 
@@ -220,11 +222,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> D
     return once.select("label", "text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).alias("half"))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, int]]:
+    """label, text and half of a batch's rows; only one text at a time is a string of Python's."""
+    for label, text, half in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        yield label, text.as_py(), half
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and stems (with a star) of documents: in how many of each half and label of this task they occur."""
     counts: dict[str, list[int]] = {}
     for batch in batches:
-        for label, text, half in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for label, text, half in _rows(batch):
             words = {w.strip(_EDGE) for w in (text or "").lower().split()}
             for x in words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}:
                 counts.setdefault(x, [0, 0, 0, 0])[2 * half + label] += 1
@@ -270,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter = Counter()
         for batch in batches:
-            for label, text, half in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for label, text, half in _rows(batch):
                 read = clauses(text or "", crossed[half])
                 for k, machine in enumerate(machines):
                     counted[k, label, *described(read, machine)] += 1
@@ -297,12 +305,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(model: Model, text: Column) -> Column:
-    """The probability that a text is toxic."""
+    """The probability that a text is toxic. A batch's texts stay in Arrow and are read one at a time."""
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pd.Series([model.score(x) for x in part], dtype="float64")
+            yield pa.array((model.score(x.as_py()) for x in part), pa.float64())
 
     return scored(text)
 

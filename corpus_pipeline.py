@@ -17,6 +17,9 @@ from candela.llm import common, decontam, overlap, packing, pii, tokens, toxicit
 #: the tables that are written.
 MARK = "pipeline row"
 
+#: Pieces in the store of the packing stage's encoder: its workers, stores and all, live on beside later stages and runs.
+KEPT_PIECES = 100_000
+
 
 def row_of(docs: DataFrame) -> str | None:
     """The name of the column of rows' numbers, if there is one; a column of the input is never taken for it."""
@@ -67,7 +70,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the training sequences."""
-    return packing.packed(docs, tokens.vocabulary())
+    return packing.packed(docs, tokens.vocabulary(), kept=KEPT_PIECES)
 
 
 STAGES = [

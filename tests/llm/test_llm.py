@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,16 @@ def test_separators_keep_few_pieces(path):
     assert tokens.encoder(path, True, 50) is not tokens.encoder(path, True)
 
 
+def test_pipeline_packs_with_few_pieces(spark, docs, path, monkeypatch):
+    """The packing stage's encoder has its own bound, and ids don't depend on it."""
+    asked = []
+    monkeypatch.setattr(packing, "packed", lambda *x, f=packing.packed, **named: asked.append(named) or f(*x, **named))
+    corpus_pipeline.pack(spark, docs, SF)
+    assert 0 < asked[0]["kept"] < tokens.KEPT_PIECES
+    told = lambda made: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in made.collect())
+    assert told(packing.packed(docs, path, 64, kept=20)) == told(packing.packed(docs, path, 64))
+
+
 def test_separators(docs, rows, nothing, path):
     got = Counter((r.doc_id, r.n_tokens) for r in separators.counts(docs, path, block_ids=37).collect())
     assert got == Counter((i, len(_encoded(path, t, 2, True)) // 4) for i, t in rows)
@@ -341,6 +352,24 @@ def test_toxicity_grammar():
     assert len(toxicity.compose(toxicity.grammar()).next) == 1 * 2 * 4 * 4 * 2
 
 
+def test_lexicon_shares_entries():
+    lexicon = toxicity.Lexicon({"idiot": 5.0}, {})
+    assert lexicon["table"] is lexicon["chair"] and lexicon["idiot"] is lexicon["idiot,"]
+    assert lexicon["table."] == (toxicity.OTHER, 0.0, True) and lexicon["idiot"] == (toxicity.INSULT, 5.0, False)
+
+
+def test_overlap_pairs_come_in_parts(monkeypatch):
+    """A batch's groups aren't all held at once, and none of their pairs is lost."""
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("component_id", pa.int64()), ("size", pa.int32()), ("block", pa.int64())]))
+    groups = [[{"doc_id": 10 * g + k, "component_id": 10 * g + k, "size": 20, "block": k % 2} for k in range(4)] for g in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([True, True, False, True, False]), pa.array(groups, kind)], ["within", "members"])
+    pairs = lambda parts: sorted(zip(*(sum((x.column(k).to_pylist() for x in parts), []) for k in range(3))))
+    whole = list(overlap._met(0.8)(iter([batch])))
+    monkeypatch.setattr(overlap, "PAIRS", 5)
+    parts = list(overlap._met(0.8)(iter([batch])))
+    assert len(parts) > 3 and pairs(parts) == pairs(whole) and len(pairs(whole)) == 3 * 6 + 2 * 4
+
+
 def test_composition_runs_all_machines_at_once():
     """Against the machines stepped one by one."""
     rng = random.Random(9)
