@@ -10,9 +10,13 @@ to their members.
 
 The second finds what is left exactly: in any order of all shingles, such a pair shares one of its first, as many as may
 miss and one more (the prefix). Frequent shingles come last in the order, which a bounded sample of texts decides; so the
-sample moves the work, never the result. Pairs of one class already are discarded, as are pairs that share too little of
+sample moves the work, never the result. Of the others those with the least hashes come first, a few more than a prefix
+needs, and these are counted exactly: shingles of one class come before those of several, and rarer ones before others.
+Pairs of one class already are discarded, as are pairs that share too little of
 their prefixes or differ too much in size, and the rest are verified by the exact overlap of their shingles. A frequent
-shingle's texts are dealt to groups by pairs of blocks, and none is left out.
+shingle's texts are dealt to groups by pairs of blocks, and none is left out; each has the parities of its shingles'
+hashes with it, of which two texts differ in no more than they differ in shingles, so pairs that are too far apart (those
+of a large group's outliers, and texts that share a frequent line) are told where they meet and never become rows.
 """
 
 from __future__ import annotations
@@ -35,10 +39,16 @@ CHUNK = 1 << 15
 SAMPLE, FREQUENT, KEPT = 1 << 13, 3, 1 << 17
 #: Texts of a shingle that are paired in one group.
 BLOCK = 512
+#: Texts of a shingle that are paired without their marks: at most half as many rows each.
+FEW = 8
+#: Bits of the longest mark; longer texts have no more, by which fewer pairs can be told apart.
+MARKED = 1 << 14
 #: Rows of sets that a task holds at once.
 HELD = 512
 #: Pairs that a task holds at once, besides those of one group.
 PAIRS = 1 << 16
+#: Shingles that are counted exactly, as a multiple of those that may miss.
+COUNTED = 1.75
 #: Roundings of a share of a size are smaller.
 SLACK = 1e-9
 
@@ -86,14 +96,47 @@ def frequent(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return table["token"].to_numpy(), table["n"].to_numpy()
 
 
-def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first hashes, frequent ones last, of which a set that is so similar shares one."""
+def prefix(hashes: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, int]:
+    """The first hashes (those that are counted, then others, frequent ones last) of which a set that is so similar shares
+    one, and how many of them may be left out, if those are counted."""
     tokens, counts = order
     weights = np.zeros(len(hashes), dtype=np.int64)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
         weights = np.where(tokens[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, weights))[: spared(len(hashes), similarity)]]
+    counted = int(((weights == 0) & (hashes < int(min(1.0, COUNTED * (1 - similarity)) * (1 << 63)) * 2 - (1 << 63))).sum())
+    wanted = int(spared(len(hashes), similarity))
+    return hashes[np.lexsort((hashes, weights))[: max(wanted, counted)]], max(0, counted - wanted)
+
+
+def mark(hashes: np.ndarray) -> bytes:
+    """Parities of the numbers of hashes (at least 1) with the same last bits, at least as many as hashes: two sets' marks
+    differ in no more bits than the sets in hashes."""
+    width = min(MARKED, max(64, 1 << (len(hashes) - 1).bit_length()))
+    parities = np.bincount((hashes.view(np.uint64) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(parities.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A mark as it would be with so many bytes, as 64-bit words."""
+    words = np.frombuffer(bits, dtype="<u8")
+    while len(words) * 8 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def differing(marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the marks of each pair differ, the longer one folded."""
+    sizes = np.array([len(x) for x in marks], dtype=np.int64)
+    both, told = np.minimum(sizes[i], sizes[j]), np.zeros(len(i), dtype=np.int64)
+    for size in np.unique(both):
+        pairs = np.flatnonzero(both == size)
+        asked, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        table = np.stack([folded(x, size) for x in marks[asked]])
+        left, right, step = at[: len(pairs)], at[len(pairs) :], max(1, 8 * PAIRS // int(size))
+        for k in range(0, len(pairs), step):
+            told[pairs[k : k + step]] = np.bitwise_count(table[left[k : k + step]] ^ table[right[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return told
 
 
 def spared(size: int | np.ndarray, similarity: float) -> int | np.ndarray:
@@ -102,7 +145,8 @@ def spared(size: int | np.ndarray, similarity: float) -> int | np.ndarray:
 
 
 def keyed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """doc_id, the digest and size of its set of shingles, its bands' keys and its prefix; no row without shingles."""
+    """doc_id, the digest and size of its set of shingles, its bands' keys, its prefix, how many of that
+    may be left out, and its mark; no row without shingles."""
     held = docs.sparkSession.sparkContext.broadcast(order)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +157,12 @@ def keyed(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], similarity: flo
                 hashes = shingles(text.as_py())
                 if len(hashes):
                     digest = simhash._signed(xxhash.xxh64_intdigest(hashes.tobytes()))
-                    found.append((doc_id, digest, len(hashes), keys(hashes, mixers), prefix(hashes, held.value, similarity)))
-            columns = list(zip(*found)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["doc_id", "digest", "size", "keys", "prefix"])
+                    found.append((doc_id, digest, len(hashes), keys(hashes, mixers), *prefix(hashes, held.value, similarity), mark(hashes)))
+            columns = list(zip(*found)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["doc_id", "digest", "size", "keys", "prefix", "spare", "mark"])
 
-    return common.documents(docs).mapInArrow(rows, "doc_id long, digest long, size int, keys array<long>, prefix array<long>")
+    return common.documents(docs).mapInArrow(rows, "doc_id long, digest long, size int, keys array<long>, prefix array<long>, spare int, mark binary")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -137,7 +181,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _met(similarity: float):
-    """Pairs of a group's members that may be so similar, and how many shingles their prefixes have to share for that."""
+    """Pairs of a group's members that may be so similar (by their sizes and, if they have them, marks), and how many
+    shingles their prefixes have to share for that."""
 
     def told(out: tuple[list, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["a", "b", "least"])
@@ -145,7 +190,7 @@ def _met(similarity: float):
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, out, held = batch.column(1), ([], [], []), 0
-            doc_ids, classes, sizes, blocks = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+            doc_ids, classes, sizes, blocks, *marks = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
             ends = np.cumsum([0, *column.value_lengths().to_pylist()])
             for within, k, stop in zip(batch.column(0).to_pylist(), ends, ends[1:]):
                 i, j = np.triu_indices(stop - k, 1)
@@ -156,6 +201,9 @@ def _met(similarity: float):
                 i, j = i[kept], j[kept]
                 a, b = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
                 wanted = np.ceil(similarity / (1 + similarity) * (a + b) - SLACK).astype(np.int64)
+                if marks:
+                    near = differing(marks[0][k:stop], i - k, j - k) <= a + b - 2 * wanted
+                    i, j, a, b, wanted = i[near], j[near], a[near], b[near], wanted[near]
                 rest = np.maximum(a - spared(a, similarity), b - spared(b, similarity))  # one of them holds all else they may share
                 for x, y in zip(out, (np.minimum(doc_ids[i], doc_ids[j]), np.maximum(doc_ids[i], doc_ids[j]), wanted - rest)):
                     x.append(y)
@@ -170,21 +218,29 @@ def _met(similarity: float):
 
 def remaining(nodes: DataFrame, similarity: float) -> DataFrame:
     """a, b (a < b): all pairs of texts of different classes that may be so similar. nodes: doc_id (each once),
-    component_id, size and prefix.
+    component_id, size, prefix, spare and mark.
 
-    Rows grow with pairs of different classes under a shingle: with the square of its texts only if they stay apart in
-    so many classes.
+    Rows grow with the texts of a shingle, and with those pairs of different classes whose marks are near enough. Pairs of
+    texts of a frequent shingle are compared inside its groups' tasks, by marks only.
     """
-    rows = nodes.select("doc_id", "component_id", "size", F.explode("prefix").alias("key"))
+    rows = nodes.select("doc_id", "component_id", F.explode("prefix").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
     sizes = common.written(sizes.where("low <> high").select("key", "n"), "overlap-counts")
+    told = rows.select("doc_id", "key").join(sizes.hint("merge"), "key").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("told"))
+    # what no other class has comes first, then the rarest: the last ones aren't in the prefix
+    asked = told.join(nodes.select("doc_id", "component_id", "size", "spare"), "doc_id").where(F.size("told") > F.col("spare"))
+    shared = asked.select("doc_id", "component_id", "size", F.explode(F.slice("told", F.lit(1), F.size("told") - F.col("spare"))).alias("at"))
+    shared = common.written(shared.select("doc_id", "component_id", "size", "at.key", "at.n"), "overlap-met")
+    member = ["doc_id", "component_id", "size", "block"]
+    few = shared.where(F.col("n") <= FEW).withColumn("block", F.lit(0).cast("long")).select("key", F.struct(*member).alias("member"))
+    few = few.groupBy("key").agg(F.collect_list("member").alias("members")).select(F.lit(True).alias("within"), "members")
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = rows.join(sizes.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), blocks))
+    many = shared.where(F.col("n") > FEW).join(nodes.select("doc_id", "mark"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), blocks))
     others = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    dealt = dealt.withColumn("other", others).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("doc_id", "component_id", "size", "block").alias("member"))
-    groups = dealt.groupBy("key", "low", "high").agg(F.collect_list("member").alias("members"))
-    pairs = groups.select((F.col("low") == F.col("high")).alias("within"), "members").mapInArrow(_met(similarity), "a long, b long, least long")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
+    many = many.withColumn("other", others).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct(*member, "mark").alias("member"))
+    many = many.groupBy("key", "low", "high").agg(F.collect_list("member").alias("members")).select((F.col("low") == F.col("high")).alias("within"), "members")
+    pairs = [x.mapInArrow(_met(similarity), "a long, b long, least long") for x in (few, many)]
+    return pairs[0].unionByName(pairs[1]).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +280,17 @@ def components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     empty texts have no shingles and are linked by their fingerprint alone; texts with the same set of shingles are
     linked; an empty table gives an empty result; other columns are left behind.
     """
+    spark, path, before = docs.sparkSession, common.scratch(docs.sparkSession, "overlap-sets"), common.scratch(docs.sparkSession, "overlap-nodes")
     marked = common.written(simhash.components(docs).select("doc_id", "component_id"), "overlap-marks")
-    sets = common.written(keyed(docs, frequent(docs, marked.count()), similarity), "overlap-sets")
+    sets = common.written_at(keyed(docs, frequent(docs, marked.count()), similarity), path)
     equal = common.written(sets.select("doc_id", "digest", "size").join(marked, "doc_id"), "overlap-equal")
     first = common.written(equal.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.min("component_id").alias("to")), "overlap-first")
     edges = equal.join(first.hint("merge"), ["digest", "size"]).where("component_id <> to").select(F.col("component_id").alias("a"), F.col("to").alias("b")).distinct()
     named = first.select(F.col("first").alias("doc_id"), F.col("to").alias("component_id"))
-    nodes = common.written(named.join(sets.select("doc_id", "size", "keys", "prefix"), "doc_id"), "overlap-nodes")
+    nodes = common.written_at(named.join(sets.select("doc_id", "size", "keys", "prefix", "spare", "mark"), "doc_id"), before)
+    common.dropped(spark, path)
     edges = common.written(edges.unionByName(_linked(verified(common.written(candidates(nodes), "overlap-pairs"), docs, similarity), nodes)), "overlap-edges")
     nodes = common.written(_joined(nodes.drop("keys"), edges), "overlap-apart")
+    common.dropped(spark, before)
     more = _linked(verified(common.written(remaining(nodes, similarity), "overlap-remaining"), docs, similarity), nodes)
     return _joined(marked, common.written(edges.unionByName(more), "overlap-more")).select("doc_id", "component_id")

@@ -727,6 +727,67 @@ def test_overlap_knows_all_texts_of_a_fingerprint(spark):
     assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
+@pytest.mark.parametrize("few", [8, 0])
+def test_overlap_rows_grow_with_a_groups_texts(spark, monkeypatch, few):
+    """An original's near copies beside its outliers, of classes of their own: rows in proportion to the texts, though
+    nearly all pairs meet under many shingles, and the classes of brute force."""
+    rng, base = random.Random(8), [f"w{k}" for k in range(150)]
+
+    def changed(n):
+        text = list(base)
+        for k in rng.sample(range(30), n // 2) + rng.sample(range(30, 150), n - n // 2):
+            text[k] = f"x{rng.randrange(10**9)}"
+        return text
+
+    texts = [changed(2) for _ in range(120)] + [changed(16) for _ in range(120)]
+    texts += [[*x[:60], "y", *x[61:]] for x in texts[-4:]] + [[f"z{k}" for k in range(40)], ["one"]]
+    runs = [{tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} for ws in texts]
+    root, fps = list(range(len(texts))), [_plain_fingerprint(" ".join(x)) for x in texts]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(runs):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.BITS or len(a & runs[j]) >= 0.8 * len(a | runs[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert 100 < len({find(i) for i in root}) < 130
+    made, met = spark.sparkContext.accumulator(0), overlap._met
+
+    def counted(similarity):
+        def rows(batches, told=met(similarity)):
+            for batch in told(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows
+
+    monkeypatch.setattr(overlap, "_met", counted)
+    monkeypatch.setattr(overlap, "FEW", few, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in overlap.components(docs).collect()} == {i: find(i) for i in range(len(texts))}
+    assert made.value <= 10 * len(texts)
+
+
+def test_marks_differ_no_more_than_sets():
+    """Whatever their sizes; and far more in sets that share little."""
+    rng = np.random.default_rng(5)
+    made = lambda n: np.unique(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+    for n, m, same in [(1, 1, 0), (1, 1, 1), (60, 70, 50), (64, 80, 64), (140, 130, 120), (300, 250, 0), (500, 520, 450), (17_000, 20_000, 16_000)]:
+        both = made(same)
+        a, b = (np.sort(np.concatenate([both, made(x - same)])) for x in (n, m))
+        marks = np.array([overlap.mark(a), overlap.mark(b), overlap.mark(a)], dtype=object)
+        apart = overlap.differing(marks, np.array([0, 0, 1]), np.array([1, 2, 2])).tolist()
+        assert apart[1] == 0 and apart[0] == apart[2] <= n + m - 2 * same
+        odd = Counter(x % 64 for x in a.tolist())
+        assert overlap.folded(overlap.mark(a), 8).tolist() == [sum((odd[k] & 1) << k for k in range(64))]
+        if same == 0 and n > 1:
+            assert apart[0] > (n + m) / 9
+    assert overlap.differing(marks, np.array([], dtype=int), np.array([], dtype=int)).tolist() == []
+
+
 def test_keys_meet_their_promise(monkeypatch):
     """Sets that share four fifths of their hashes nearly always share a key, sets that share a tenth hardly ever; keys
     don't depend on how many hashes are mixed at once."""
